@@ -1,6 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
 from siteatlas.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from siteatlas.llm.mixing import OP8_SQL, op8_mix_sources
+from siteatlas.llm.secrets import op2_secret_scan
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
-SQL = {"op3_exact_dedup": OP3_SQL}
+QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op8_mix_sources": op8_mix_sources,
+}
+SQL = {"op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
