@@ -1,12 +1,18 @@
 """The queries of this subpackage and their SQL."""
 
 from siteatlas.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from siteatlas.llm.extraction import op1_html_extraction
+from siteatlas.llm.imatch import op4_imatch
 from siteatlas.llm.mixing import OP8_SQL, op8_mix_sources
+from siteatlas.llm.packing import op9_best_fit_packing
 from siteatlas.llm.secrets import op2_secret_scan
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_imatch": op4_imatch,
     "op8_mix_sources": op8_mix_sources,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 SQL = {"op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
