@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,12 +37,24 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table written so far; only for when all results built on them are stored elsewhere."""
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside, for release()."""
+    global _written
+    outer, _written = _written, []
+    try:
+        yield _written
+    finally:
+        outer += _written
+        _written = outer
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables; only for when all results built on them are stored elsewhere."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
