@@ -289,7 +289,7 @@ def toxicity(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     tune(docs.sparkSession)
     packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("src"))
-    schema = packed.select("src").schema.add("score", "double").add("predicted", "int")
+    schema = packed.select("src").schema.add("score", "double").add("predicted", "integer")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
