@@ -1,12 +1,15 @@
 """Jaccard join of word shingles by prefixes of token combinations.
 
-A document is the set of its distinct shingles; equal sets are one node. Tokens
-have two classes: frequent ones, which more than FREQUENT documents hold, and
-rare ones (all tokens of all documents are counted). In the order rare before
-frequent, then by hash, two sets that are alike share `k` tokens within their
-prefixes of n - ceil(threshold * n) + k tokens; prefixes are extended to k = 2.
-Rare tokens, and frequent ones that join few components, are indexed singly;
-of frequent tokens that join many, combinations of two are.
+A document is the set of its distinct shingles; equal sets are one node. All
+tokens of all documents are counted and have three classes: those of one
+document, rare ones, and frequent ones, which more than FREQUENT documents
+hold. In this order, then by hash, two sets that are alike share
+min(EXTEND, ceil(threshold * n)) tokens within their prefixes of
+n - ceil(threshold * n) + EXTEND tokens, n the greater set's size where it
+counts. Rare tokens, and frequent ones that join few components, are indexed
+singly, and pairs must meet at as many of them; of frequent tokens that join
+many components, combinations of two are indexed, and a pair that has such
+tokens is tried wherever it meets.
 
 Only links decide components, so pairs of one component needn't all be tried:
 first each token's holders are verified against its least and its greatest
@@ -15,7 +18,7 @@ against each other. What a token's holders give is thus in proportion to their
 number where they are alike. Pairs are verified on whole sets.
 
 Tokens are 64-bit hashes of shingles, nodes 64-bit hashes of sets. Broadcasts
-are bitmaps of 2^26 bits at any size.
+are bitmaps of 2^26 and 2^27 bits at any size.
 
 Defined results: a text with fewer words than a shingle is one shingle of all
 of them; without words (or null) it is the empty set, of component itself;
@@ -38,12 +41,13 @@ from siteatlas.llm.storage import durable, table, tune
 from siteatlas.llm.textops import mix, shingles, word_hashes
 
 WORDS, PERCENT = 5, 80
-FREQUENT, FEW, BITS, SHARDS = 8, 64, 26, 64
+FREQUENT, FEW, EXTEND, SHARDS = 8, 64, 6, 64
+BITS, REPEAT_BITS = 26, 27
 _KEPT = ~np.uint64((1 << 24) - 1)
 
 
-def _slots(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(64 - BITS)).astype(np.int64)
+def _slots(x: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -62,23 +66,23 @@ def _node(tokens: np.ndarray) -> int:
     return int((h | np.uint64(1)).view(np.int64)[0])
 
 
-def _bitmap(marked: DataFrame) -> np.ndarray:
-    """marked: shard, bits (packed slots of the shard's range)."""
-    out = np.zeros(1 << BITS - 3, np.uint8)
+def _bitmap(parts: list[tuple[int, bytes]], bits: int = BITS) -> np.ndarray:
+    """From packed slots of each shard's range."""
+    out = np.zeros(1 << bits - 3, np.uint8)
     width = len(out) // SHARDS
-    for r in marked.collect():
-        out[r.shard * width : (r.shard + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    for shard, packed in parts:
+        out[shard * width : (shard + 1) * width] = np.frombuffer(packed, np.uint8)
     return out
 
 
-def _pack(s: int, tokens: np.ndarray) -> pa.RecordBatch:
-    flags = np.zeros((1 << BITS) // SHARDS, np.uint8)
-    flags[_slots(tokens) - s * len(flags)] = 1
-    return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["shard", "bits"])
+def _pack(s: int, tokens: np.ndarray, bits: int = BITS) -> bytes:
+    flags = np.zeros((1 << bits) // SHARDS, np.uint8)
+    flags[_slots(tokens, bits) - s * len(flags)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
-def frequent_tokens(docs: DataFrame, words: int, more_than: int) -> np.ndarray:
-    """Bitmap of the slots that hold a token of more documents."""
+def token_classes(docs: DataFrame, words: int, more_than: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the slots that hold a token of two documents, and of more than so many."""
 
     def count(batches):
         counter = _Counter(SHARDS, lambda key: key)
@@ -90,10 +94,11 @@ def frequent_tokens(docs: DataFrame, words: int, more_than: int) -> np.ndarray:
     def mark(batches):
         for s, rows in _by_group(batches):
             key, n = _summed([_numbers(k, np.uint64) for k, _ in rows], [_numbers(c, np.uint32).astype(np.int64) for _, c in rows])
-            yield _pack(s, key[n > more_than])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack(s, key[n > 1], REPEAT_BITS)], pa.binary()), pa.array([_pack(s, key[n > more_than])], pa.binary())], names=["shard", "repeated", "frequent"])
 
     met = docs.select("text").mapInArrow(count, "shard int, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
-    return _bitmap(met.mapInArrow(mark, "shard int, bits binary"))
+    told = met.mapInArrow(mark, "shard int, repeated binary, frequent binary").collect()
+    return _bitmap([(r.shard, r.repeated) for r in told], REPEAT_BITS), _bitmap([(r.shard, r.frequent) for r in told])
 
 
 def node_bitmap(nodes: DataFrame) -> np.ndarray:
@@ -101,10 +106,11 @@ def node_bitmap(nodes: DataFrame) -> np.ndarray:
 
     def mark(batches):
         for s, rows in _by_group(batches):
-            yield _pack(s, np.array([r[0] for r in rows], np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack(s, np.array([r[0] for r in rows], np.int64).view(np.uint64))], pa.binary())], names=["shard", "bits"])
 
     shard = F.shiftrightunsigned("node", 64 - 6).cast("int")
-    return _bitmap(nodes.select(shard.alias("shard"), F.shiftrightunsigned("node", 64 - BITS).alias("slot")).distinct().select("shard", F.shiftleft("slot", 64 - BITS).alias("node")).repartition("shard").sortWithinPartitions("shard").mapInArrow(mark, "shard int, bits binary"))
+    told = (nodes.select(shard.alias("shard"), F.shiftrightunsigned("node", 64 - BITS).alias("slot")).distinct().select("shard", F.shiftleft("slot", 64 - BITS).alias("node")).repartition("shard").sortWithinPartitions("shard").mapInArrow(mark, "shard int, bits binary")).collect()
+    return _bitmap([(r.shard, r.bits) for r in told])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -145,8 +151,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int, few: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node, n, comp) by token: pairs of one token and different components; the token itself where `few` components or more hold it."""
+    """Rows (token, node, n, comp) by token: pairs of one token and different components, and at how many tokens they must meet; the token itself where more than `few` components hold it."""
     out: list[tuple] = []
+    least = lambda n: -(-percent * n // 100)
     for token, rows in _by_group(batches):
         if len(rows) < 2:
             continue
@@ -155,18 +162,18 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, few: int | None) ->
         if len(kinds) < 2:
             continue
         if few is not None and len(kinds) > few:
-            out.append((token, None, None))
+            out.append((token, None, None, None))
         else:
             order = np.argsort(-sizes[back], kind="stable")
             node, n, comp = node[order], n[order], comp[order]
             for i in range(int(sizes.max()) if (sizes == sizes.max()).sum() == 1 else 1, len(node)):
                 j = np.flatnonzero((comp[:i] != comp[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-                out += [(None, max(int(node[i]), x), min(int(node[i]), x)) for x in node[j].tolist()]
+                out += [(None, max(int(node[i]), x), min(int(node[i]), x), min(EXTEND, least(max(int(n[i]), m)))) for x, m in zip(node[j].tolist(), n[j].tolist(), strict=True)]
         while len(out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[:10_000], strict=True)], names=["big", "u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[:10_000], strict=True)], names=["big", "u", "v", "need"])
             out = out[10_000:]
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["big", "u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["big", "u", "v", "need"])
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -174,11 +181,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     tune(spark)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, words, FREQUENT))
+    classes = spark.sparkContext.broadcast(token_classes(docs, words, FREQUENT))
     shape = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def prefixes(batches):
-        bitmap, seen = frequent.value, set()
+        (repeated, frequent), seen = classes.value, set()
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
                 out = []
@@ -188,9 +195,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         if len(seen) > 200_000:
                             seen.clear()
                         seen.add(node)
-                        common = _set(bitmap, _slots(s))
+                        common, twice = _set(frequent, _slots(s)), _set(repeated, _slots(s, REPEAT_BITS))
                         least = -(-percent * n // 100)
-                        prefix = np.concatenate([s[~common], s[common]])[: n - least + 2].view(np.int64).tolist()
+                        prefix = np.concatenate([s[~twice], s[twice & ~common], s[twice & common]])[: n - least + EXTEND]
+                        prefix = prefix[_set(repeated, _slots(prefix, REPEAT_BITS))].view(np.int64).tolist()
                     out.append((doc, node, n, prefix))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
 
@@ -198,20 +206,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index = rows.where("tokens is not null").dropDuplicates(["node"]).select("node", "n", F.explode("tokens").alias("token"))
     own = Window.partitionBy("token")
     held = durable(index.withColumn("least", F.min("node").over(own)).withColumn("most", F.max("node").over(own)).where("least <> most"), "index")
-    ends = held.select("node", F.explode(F.array("least", "most")).alias("end")).where("node <> end")
-    first = verified(ends.select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct(), docs, words, percent)
+    ends = held.select("node", "n", F.explode(F.array("least", "most")).alias("end")).where("node <> end")
+    ends = ends.groupBy(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
+    first = verified(ends.where(f"met >= least({EXTEND}, ceil(n * {percent} / 100))").select("u", "v"), docs, words, percent)
     found = components(first)
 
     comp = held.select("token", "node", "n").join(found, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
     comp = durable(comp, "holders")
-    across = "big long, u long, v long"
+    across = "big long, u long, v long, need long"
     met = lambda holders, few: holders.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _across(it, percent, few), across)
     single = durable(met(comp, FEW), "across")
     big = single.where("big is not null").select(F.col("big").alias("token"))
     sets = comp.join(big, "token").groupBy("node", "n", "comp").agg(F.collect_set("token").alias("tokens"))
     many = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.xxhash64(x, y))))
     pairs = met(sets.select(F.explode(many).alias("token"), "node", "n", "comp"), None)
-    rest = single.where("big is null").select("u", "v").unionByName(pairs.select("u", "v")).distinct()
+    near = single.where("big is null").groupBy("u", "v").agg((F.count("*") >= F.max("need")).alias("enough"))
+    in_big = lambda c: near.where("not enough").join(sets.select(F.col("node").alias(c)), c, "left_semi")
+    rest = near.where("enough").select("u", "v").unionByName(in_big("u").select("u", "v")).unionByName(in_big("v").select("u", "v")).unionByName(pairs.select("u", "v")).distinct()
     second = verified(rest, docs, words, percent)
     hung = found.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
     final = components(hung.unionByName(second))
