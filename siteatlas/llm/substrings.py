@@ -38,7 +38,7 @@ from siteatlas.llm.kneser_ney import _by_group, _Counter, _numbers, _summed
 from siteatlas.llm.storage import durable, table, tune
 from siteatlas.llm.textops import mix
 
-LENGTH, ANCHOR = 200, 24
+LENGTH, ANCHOR = 200, 64
 SLOT_BITS, HOT_BITS, HOT, SALTS = 26, 22, 256, 64
 BLOCK, CHUNK = 1 << 20, 3 << 20
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
