@@ -5,7 +5,8 @@ it lies. Each such string holds one anchor: the run of ANCHOR bytes in it with
 the smallest hash, leftmost among equals, so equal strings have equal anchors
 at equal offsets. Anchors of all texts are counted; strings whose anchor comes
 once can't repeat. The others go, as contexts (the bytes that the strings of
-one anchor cover), to the task of their anchor. There, suffixes at equal
+one anchor cover), to the task of their anchor. A context that a
+task holds twice is settled within it and sent once. There, suffixes at equal
 offsets from equal anchors are sorted: prefix polynomial hashes and a binary
 search give the common extension of two suffixes, so one comparison takes a
 logarithmic number of steps, and a bottom-up merge sort puts them in order for
@@ -40,7 +41,7 @@ from siteatlas.llm.textops import mix
 
 LENGTH, ANCHOR = 200, 64
 SLOT_BITS, HOT_BITS, HOT, SALTS = 26, 22, 256, 64
-BLOCK, CHUNK = 1 << 20, 3 << 20
+BLOCK, CHUNK, HELD = 1 << 20, 3 << 20, 100_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -250,23 +251,46 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
             bitmap[r.shard * len(part) : (r.shard + 1) * len(part)] = np.frombuffer(part, np.uint8)
     kept = df.sparkSession.sparkContext.broadcast((often, hot))
 
-    cut = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("data", pa.binary())])
+    cut = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("offset", pa.int64()), ("data", pa.binary())])
+
+    def flushed(pending: dict, again: list) -> Iterator[pa.RecordBatch]:
+        """Contexts once each; where one came again, its places as merged stretches instead."""
+        rows = [(*k[:1], v[0], *v[1:4], k[1], k[2]) for k, v in pending.items()]
+        again += [(v[1], v[2], v[3], v[3] + len(k[2])) for k, v in pending.items() if v[4]]
+        last: list | None = None
+        for doc, key, start, end in sorted(again):
+            if last and last[:2] == [doc, key] and start <= last[3]:
+                last[3] = max(last[3], end)
+            else:
+                if last:
+                    rows.append((last[1], -1, *last[:3], last[3], None))
+                last = [doc, key, start, end]
+        if last:
+            rows.append((last[1], -1, *last[:3], last[3], None))
+        for i in range(0, len(rows), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 5000], strict=True), cut, strict=True)], schema=cut)
 
     def give(batches):
         often, hot = kept.value
+        pending: dict[tuple, list] = {}
+        again: list[tuple] = []
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
                 texts = raw(batch, i, 2)
-                ids, keys = (np.array(batch.column(c).slice(i, 100).to_pylist(), np.int64) for c in (0, 1))
+                ids, keys = (batch.column(c).slice(i, 100).to_pylist() for c in (0, 1))
                 for anchor, owner, start, n, offset in contexts(texts, length):
                     pick = np.flatnonzero(_set(often, _slots(anchor, SLOT_BITS)))
-                    if len(pick):
-                        anchor, owner, start, n, offset = (x[pick] for x in (anchor, owner, start, n, offset))
-                        salt = np.where(_set(hot, _slots(anchor, HOT_BITS)), keys[owner] % SALTS, -1)
-                        data = [texts[o][s : s + m + length - 1] for o, s, m in zip(owner.tolist(), start.tolist(), n.tolist(), strict=True)]
-                        for j in range(0, len(data), 5000):
-                            k = slice(j, j + 5000)
-                            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([anchor[k].view(np.int64), salt[k], ids[owner[k]], keys[owner[k]], start[k], offset[k], data[k]], cut, strict=True)], schema=cut)
+                    salted = _set(hot, _slots(anchor[pick], HOT_BITS)).tolist()
+                    for x, o, s, m, at, h in zip(*(y[pick].tolist() for y in (anchor.view(np.int64), owner, start, n, offset)), salted, strict=True):
+                        data = texts[o][s : s + m + length - 1]
+                        held = pending.setdefault((x, at, data), [keys[o] % SALTS if h else -1, ids[o], keys[o], s, -1])
+                        held[4] += 1
+                        if held[4]:
+                            again.append((ids[o], keys[o], s, s + len(data)))
+                if len(pending) > HELD or len(again) > 4 * HELD:
+                    yield from flushed(pending, again)
+                    pending, again = {}, []
+        yield from flushed(pending, again)
 
     told = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
@@ -297,6 +321,11 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
     def sort(batches):
         rows, size, group, now = [], 0, 0, None
         for batch in batches:
+            whole = batch.filter(batch.column(6).is_null())
+            if whole.num_rows:
+                none = pa.nulls(whole.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(whole.column(i) for i in (2, 3, 4, 5)), none, none], schema=told)
+            batch = batch.filter(batch.column(6).is_valid())
             for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[:2] != now:
                     if size > CHUNK:
@@ -310,7 +339,7 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
 
     sorted_ = (
         df.select("id", "key", "text")
-        .mapInArrow(give, "anchor long, salt int, id long, key long, start long, offset int, data binary")
+        .mapInArrow(give, "anchor long, salt int, id long, key long, start long, offset long, data binary")
         .repartition("anchor", "salt")
         .sortWithinPartitions("anchor", "salt")
         .mapInArrow(sort, "id long, key long, start long, end long, h1 long, h2 long")
