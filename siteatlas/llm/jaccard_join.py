@@ -12,10 +12,13 @@ many components, combinations of two are indexed, and a pair that has such
 tokens is tried wherever it meets.
 
 Only links decide components, so pairs of one component needn't all be tried:
-first each token's holders are verified against its least and its greatest
-node, then the holders of a token that are still in different components
-against each other. What a token's holders give is thus in proportion to their
-number where they are alike. Pairs are verified on whole sets.
+first each token's holders are verified against two of them, the least and the
+one with the greatest share of repeated tokens (what copies were made from has
+no edits of its own), then the holders of a token that are still in different
+components against each other. There a bitmap of each set bounds the
+intersection from above: a bit that one set has and the other lacks stands for
+a token that they don't share. Pairs whose bound is under the threshold can't
+be linked and are never rows; the others are verified on whole sets.
 
 Tokens are 64-bit hashes of shingles, nodes 64-bit hashes of sets. Broadcasts
 are bitmaps of 2^26 and 2^27 bits at any size.
@@ -41,7 +44,8 @@ from siteatlas.llm.storage import durable, table, tune
 from siteatlas.llm.textops import mix, shingles, word_hashes
 
 WORDS, PERCENT = 5, 80
-FREQUENT, FEW, EXTEND, SHARDS = 8, 64, 6, 64
+FREQUENT, FEW, EXTEND, SHARDS = 8, 4096, 6, 64
+SKETCH = 1024
 BITS, REPEAT_BITS = 26, 27
 _KEPT = ~np.uint64((1 << 24) - 1)
 
@@ -66,6 +70,12 @@ def _node(tokens: np.ndarray) -> int:
     return int((h | np.uint64(1)).view(np.int64)[0])
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    flags = np.zeros(SKETCH, np.uint8)
+    flags[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
+
+
 def _bitmap(parts: list[tuple[int, bytes]], bits: int = BITS) -> np.ndarray:
     """From packed slots of each shard's range."""
     out = np.zeros(1 << bits - 3, np.uint8)
@@ -151,13 +161,14 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int, few: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node, n, comp) by token: pairs of one token and different components, and at how many tokens they must meet; the token itself where more than `few` components hold it."""
+    """Rows (token, node, n, comp, sketch) by token: pairs of one token and different components that can be alike, and at how many tokens they must meet; the token itself where more than `few` components hold it."""
     out: list[tuple] = []
     least = lambda n: -(-percent * n // 100)
     for token, rows in _by_group(batches):
         if len(rows) < 2:
             continue
-        node, n, comp = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        *numbers, sketches = zip(*rows, strict=True)
+        node, n, comp = (np.array(x, np.int64) for x in numbers)
         kinds, back, sizes = np.unique(comp, return_inverse=True, return_counts=True)
         if len(kinds) < 2:
             continue
@@ -166,8 +177,12 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, few: int | None) ->
         else:
             order = np.argsort(-sizes[back], kind="stable")
             node, n, comp = node[order], n[order], comp[order]
+            bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(node), -1)[order]
             for i in range(int(sizes.max()) if (sizes == sizes.max()).sum() == 1 else 1, len(node)):
                 j = np.flatnonzero((comp[:i] != comp[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
+                mine, theirs = bits[i], bits[j]
+                most = np.minimum(n[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[j] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+                j = j[(100 + percent) * most >= percent * (n[i] + n[j])]
                 out += [(None, max(int(node[i]), x), min(int(node[i]), x), min(EXTEND, least(max(int(n[i]), m)))) for x, m in zip(node[j].tolist(), n[j].tolist(), strict=True)]
         while len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[:10_000], strict=True)], names=["big", "u", "v", "need"])
@@ -182,7 +197,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tune(spark)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     classes = spark.sparkContext.broadcast(token_classes(docs, words, FREQUENT))
-    shape = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    shape = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("shared", pa.float64()), ("sketch", pa.binary())])
 
     def prefixes(batches):
         (repeated, frequent), seen = classes.value, set()
@@ -190,36 +205,40 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for i in range(0, batch.num_rows, 100):
                 out = []
                 for doc, s in zip(batch.column(0).slice(i, 100).to_pylist(), _sets(batch, 1, i, words), strict=True):
-                    node, n, prefix = _node(s), len(s), None
+                    node, n, prefix, shared, sketch = _node(s), len(s), None, None, None
                     if node and node not in seen:
                         if len(seen) > 200_000:
                             seen.clear()
                         seen.add(node)
                         common, twice = _set(frequent, _slots(s)), _set(repeated, _slots(s, REPEAT_BITS))
+                        shared, sketch = float(twice.mean() + common.mean()), _sketch(s)
                         least = -(-percent * n // 100)
                         prefix = np.concatenate([s[~twice], s[twice & ~common], s[twice & common]])[: n - least + EXTEND]
                         prefix = prefix[_set(repeated, _slots(prefix, REPEAT_BITS))].view(np.int64).tolist()
-                    out.append((doc, node, n, prefix))
+                    out.append((doc, node, n, prefix, shared, sketch))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
 
-    rows = durable(docs.select(F.col("id").cast("long"), "text").mapInArrow(prefixes, "id long, node long, n long, tokens array<long>"), "prefixes")
-    index = rows.where("tokens is not null").dropDuplicates(["node"]).select("node", "n", F.explode("tokens").alias("token"))
+    rows = durable(docs.select(F.col("id").cast("long"), "text").mapInArrow(prefixes, "id long, node long, n long, tokens array<long>, shared double, sketch binary"), "prefixes")
+    sets = rows.where("tokens is not null").dropDuplicates(["node"])
+    index = sets.select("node", "n", "shared", F.explode("tokens").alias("token"))
     own = Window.partitionBy("token")
-    held = durable(index.withColumn("least", F.min("node").over(own)).withColumn("most", F.max("node").over(own)).where("least <> most"), "index")
-    ends = held.select("node", "n", F.explode(F.array("least", "most")).alias("end")).where("node <> end")
+    told = index.select("token", "node", "n", F.min("node").over(own).alias("least"), F.max("node").over(own).alias("most"), F.max(F.struct("shared", "node")).over(own)["node"].alias("source"))
+    held = durable(told.where("least <> most").drop("most"), "index")
+    ends = held.select("node", "n", F.explode(F.array_distinct(F.array("least", "source"))).alias("end")).where("node <> end")
     ends = ends.groupBy(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
     first = verified(ends.where(f"met >= least({EXTEND}, ceil(n * {percent} / 100))").select("u", "v"), docs, words, percent)
     found = components(first)
 
     comp = held.select("token", "node", "n").join(found, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    comp = durable(comp, "holders")
+    kinds = comp.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    comp = durable(comp.join(kinds, "token", "left_semi").join(sets.select("node", "sketch"), "node").select("token", "node", "n", "comp", "sketch"), "holders")
     across = "big long, u long, v long, need long"
     met = lambda holders, few: holders.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _across(it, percent, few), across)
     single = durable(met(comp, FEW), "across")
     big = single.where("big is not null").select(F.col("big").alias("token"))
-    sets = comp.join(big, "token").groupBy("node", "n", "comp").agg(F.collect_set("token").alias("tokens"))
+    sets = comp.join(big, "token").groupBy("node", "n", "comp").agg(F.collect_set("token").alias("tokens"), F.first("sketch").alias("sketch"))
     many = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    pairs = met(sets.select(F.explode(many).alias("token"), "node", "n", "comp"), None)
+    pairs = met(sets.select(F.explode(many).alias("token"), "node", "n", "comp", "sketch"), None)
     near = single.where("big is null").groupBy("u", "v").agg((F.count("*") >= F.max("need")).alias("enough"))
     in_big = lambda c: near.where("not enough").join(sets.select(F.col("node").alias(c)), c, "left_semi")
     rest = near.where("enough").select("u", "v").unionByName(in_big("u").select("u", "v")).unionByName(in_big("v").select("u", "v")).unionByName(pairs.select("u", "v")).distinct()
