@@ -20,6 +20,7 @@ are packed as often as they come; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
@@ -40,11 +41,22 @@ MARK = "<|endoftext|>"
 
 #: Python splits at these four, the vocabulary's white space doesn't hold them.
 _CONTROL = re.compile("[\x1c-\x1f]")
+_WIDE = re.compile("[^\x00-\xff]")
 _WORD = re.compile(r"(?:[\x1c-\x1f]|\S)+")
+# The vocabulary's splitter, and what its classes hold of the lower-case characters up to 255.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CLASSES = {r"\p{L}": r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": r"\t-\r \x85\xa0"}
+LAST = "</w>"
+
+
+def _narrow(splitter: str) -> re.Pattern:
+    for name, held in _CLASSES.items():
+        splitter = splitter.replace(name, held)
+    return re.compile(splitter)
 
 
 class Encoder:
-    """ids of texts with a cache of words: the vocabulary's splitter never joins what white space parts."""
+    """ids of texts with a cache: of the splitter's own parts where a text's characters are below 256, else of words, which the splitter never joins."""
 
     def __init__(self, path: str):
         import os
@@ -55,6 +67,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.mark = self.tokenizer.token_to_id(MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(LAST)]] = True
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"].get("pretokenizers", [])
+        known = steps and steps[0].get("pattern") == {"Regex": SPLITTER} and self.tokenizer.model.end_of_word_suffix == LAST
+        self.part = _narrow(SPLITTER) if known else None
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Parts in one call; a part ends where a token does that ends words."""
+        raw = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * np.flatnonzero(self.last[raw]) + 4).tolist()
+        if len(ends) != len(parts):
+            raise ValueError("the vocabulary splits a part in two")
+        raw = raw.tobytes()
+        for part, i, j in zip(parts, [0, *ends], ends, strict=False):
+            self.known[part] = raw[i:j]
 
     def _learn(self, words: list[str]) -> None:
         """Words in one call, kept apart by a special token; one by one where a word holds that token itself."""
@@ -70,10 +99,14 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [_WORD.findall(t) if _CONTROL.search(t) else t.split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
+        narrow = [bool(self.part) and "<|" not in t and (t.isascii() or not _WIDE.search(t)) for t in texts]
+        words = [self.part.findall(t.lower()) if short else _WORD.findall(t) if _CONTROL.search(t) else t.split() for t, short in zip(texts, narrow, strict=True)]
+        new = list({w for ws, short in zip(words, narrow, strict=True) if short for w in ws if w not in self.known})
+        for i in range(0, len(new), 5000):
+            self._learn_parts(new[i : i + 5000])
+        new = list({w for ws, short in zip(words, narrow, strict=True) if not short for w in ws if w not in self.known})
         for i in range(0, len(new), 500):
             self._learn(new[i : i + 500])
         get = self.known.__getitem__
