@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from siteatlas.llm.storage import durable, table, tune
 
 CAPACITY, END_ID, GROUPS, SMALL = 2048, 0, (8, 64, 256), 1 / 3
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 #: A special token of the vocabulary: texts around it are encoded apart.
 MARK = "<|endoftext|>"
 
@@ -103,23 +104,29 @@ class Encoder:
             self.known.clear()
         narrow = [bool(self.part) and "<|" not in t and (t.isascii() or not _WIDE.search(t)) for t in texts]
         words = [self.part.findall(t.lower()) if short else _WORD.findall(t) if _CONTROL.search(t) else t.split() for t, short in zip(texts, narrow, strict=True)]
-        new = list({w for ws, short in zip(words, narrow, strict=True) if short for w in ws if w not in self.known})
+        new = list(set().union(*(ws for ws, short in zip(words, narrow, strict=True) if short)).difference(self.known))
         for i in range(0, len(new), 5000):
             self._learn_parts(new[i : i + 5000])
-        new = list({w for ws, short in zip(words, narrow, strict=True) if not short for w in ws if w not in self.known})
+        new = list(set().union(*(ws for ws, short in zip(words, narrow, strict=True) if not short)).difference(self.known))
         for i in range(0, len(new), 500):
             self._learn(new[i : i + 500])
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder: later tasks find the cache of earlier ones."""
+    return Encoder(path)
+
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("place", pa.int64())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    task, encoder = TaskContext.get().partitionId(), Encoder(path)
+    task, encoder = TaskContext.get().partitionId(), _encoder(path)
     seen = [0] * (capacity + 1)
     end = np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
