@@ -31,7 +31,7 @@ from siteatlas.llm.storage import table, tune
 ROWS, SIZE, HIDDEN, ATTEND = 1 << 15, 16, 8, 8
 WINDOW, STRIDE = 32, 24
 SAMPLE, SAMPLE_CHARS, PASSES, SEED, THRESHOLD = 1500, 6000, 8, 7, 0.7
-CACHED_WORDS = 100_000
+CACHED_WORDS, BLOCK = 100_000, 10_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -55,7 +55,7 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         key = np.concatenate(grams) * np.uint64(0xBF58476D1CE4E5B9)
     who = np.concatenate(owners)
     order = np.argsort(who, kind="stable")
-    row = (key[order] >> np.uint64(49)).astype(np.int64)
+    row = (key[order] >> np.uint64(49)).astype(np.int32)
     return row, np.concatenate([np.searchsorted(who[order], np.arange(len(raw))), [len(row)]])
 
 
@@ -63,6 +63,17 @@ def _vectors(emb: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(emb[row], at[:-1]) / np.diff(at)[:, None].astype(emb.dtype)
 
 
+def _features_by_block(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_features(words[i : i + BLOCK]) for i in range(0, len(words), BLOCK)]
+    sizes = np.concatenate([np.diff(at) for _, at in parts])
+    return np.concatenate([row for row, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _vectors_by_block(emb: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    ends = [at[i : i + BLOCK + 1] for i in range(0, len(at) - 1, BLOCK)]
+    return np.concatenate([_vectors(emb, row[e[0] : e[-1]], e - e[0]) for e in ends])
+
+
 def windows_of(n: int) -> list[int]:
     """Where windows over n words begin; the last one reaches the end."""
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
@@ -162,7 +173,7 @@ class Network:
 def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, time) of word numbers, and which are words."""
     begin = windows_of(len(words))
-    place = np.array(begin)[:, None] + np.arange(WINDOW)
+    place = np.array(begin, np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
     there = place < len(words)
     return words[np.minimum(place, len(words) - 1)], there
 
@@ -174,13 +185,15 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PAS
     if len({y for _, y in split}) < 2:
         return None
     number: dict[str, int] = {}
-    docs = [(_windows(np.array([number.setdefault(x, len(number)) for x in w])), y) for w, y in split]
-    row, at = _features(list(number))
+    docs = [(_windows(np.array([number.setdefault(x, len(number)) for x in w], np.int32)), y) for w, y in split]
+    row, at = _features_by_block(list(number))
+    del split, number
     count = np.diff(at)
     words, there = np.concatenate([d[0][0] for d in docs]), np.concatenate([d[0][1] for d in docs])
     doc = np.repeat(np.arange(len(docs)), [len(d[0][0]) for d in docs])
     toxic = np.array([y for _, y in docs]) == 1
-    first = np.searchsorted(doc, np.arange(len(docs)))
+    del docs[:]
+    first = np.searchsorted(doc, np.arange(len(toxic)))
     few = np.diff(np.append(first, len(doc))) <= 3
     net, r = Network(seed), np.random.default_rng(seed)
     mean = {k: np.zeros_like(x) for k, x in net.p.items()}
@@ -188,7 +201,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PAS
     step = 0
 
     def scores() -> np.ndarray:
-        x = net.project(_vectors(net.p["emb"], row, at))
+        x = net.project(_vectors_by_block(net.p["emb"], row, at))
         return np.concatenate([net.forward(x[words[i : i + 1000].T], there[i : i + 1000].T) for i in range(0, len(words), 1000)])
 
     for k in range(passes):
