@@ -166,6 +166,14 @@ def test_packing_round_trip(spark):
         assert at <= 2048
 
 
+def test_encoder_equals_tokenizer():
+    pytest.importorskip("public_tokenizers")
+    encoder, some = packing.Encoder(packing.vocabulary_path()), random.Random(3)
+    texts = ["", "It's AZ'S 'll <|endoftext|> x", *("".join(chr(some.choice((32, 39, 115, some.randrange(256), some.randrange(256), 0x130 if i % 3 == 0 else 97))) for _ in range(40)) for i in range(500))]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encoder.ids(texts) == want
+
+
 def test_plans_hold_all():
     for n in (1, 40, 2000):
         histogram = collections.Counter(min(2048, 1 + int(rng.expovariate(1 / 700))) for _ in range(n))
