@@ -4,21 +4,24 @@ A string of `length` bytes that starts at two places at least is removed where
 it lies. Each such string holds one anchor: the run of ANCHOR bytes in it with
 the smallest hash, leftmost among equals, so equal strings have equal anchors
 at equal offsets. Anchors of all texts are counted; strings whose anchor comes
-once can't repeat. The others go, as contexts (the bytes that the strings of
-one anchor cover), to the task of their anchor. A context that a
-task holds twice is settled within it and sent once. There, suffixes at equal
-offsets from equal anchors are sorted: prefix polynomial hashes and a binary
-search give the common extension of two suffixes, so one comparison takes a
-logarithmic number of steps, and a bottom-up merge sort puts them in order for
-all groups at once. Neighbours that share `length` bytes are compared byte by
-byte before they count.
-
-An anchor that comes very often (a line in a third of all texts) is split by
-salt. A string found twice within a salt needs no more; of the rest, and one of
-each, 128-bit hashes meet evenly spread.
-
-What is broadcast is 2^26 bits for repeated anchors and 2^22 for frequent ones,
-at any size; a slot that two anchors share costs work, never results.
+once can't repeat. The others make contexts: the bytes that the strings of one
+anchor cover. Two 64-bit polynomial hashes of each context, without its bytes,
+meet first: a context that comes again is repeated as a whole, and one of each
+kind is elected. Elected contexts whose anchor has another go, with their bytes,
+to the task of their anchor. There, suffixes at equal offsets from equal
+anchors are sorted: prefix polynomial hashes and a binary search give the
+common extension of two suffixes, so one comparison takes a logarithmic number
+of steps, and a bottom-up merge sort puts them in order for all groups at once.
+Neighbours that share `length` bytes are compared byte by byte before they
+count.
+
+An anchor with very many unlike contexts (a line in a third of all texts) is
+split by salt. A string found twice within a salt needs no more; of the rest,
+and one of each, 128-bit hashes meet evenly spread.
+
+What is broadcast is 2^26 bits each for repeated anchors, anchors with several
+contexts and elected contexts and 2^22 for frequent anchors, at any size; a
+slot that two share costs work, never results.
 
 Defined results: null counts as empty; texts shorter than `length` lose
 nothing by themselves; repeated rows are each other's copies; matches never
@@ -32,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteatlas.llm.kneser_ney import _by_group, _Counter, _numbers, _summed
@@ -41,24 +45,41 @@ from siteatlas.llm.textops import mix
 
 LENGTH, ANCHOR = 200, 64
 SLOT_BITS, HOT_BITS, HOT, SALTS = 26, 22, 256, 64
-BLOCK, CHUNK, HELD = 1 << 20, 3 << 20, 100_000
+BLOCK, CHUNK, HELD = 1 << 20, 3 << 20, 400_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of base and of its inverse, n at least, kept for the next call."""
+    if int(base) not in _powers or len(_powers[int(base)][0]) < n:
+        size = max(n, 2 * BLOCK)
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        _powers[int(base)] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (base, inverse))
+    return _powers[int(base)]
+
+
 class PrefixHash:
     """Polynomial hashes of any stretch of buf, modulo 2^64."""
 
     def __init__(self, buf: np.ndarray, base: np.uint64 = _B1):
-        with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(buf), base, np.uint64)]))
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            unpower = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(buf), inverse, np.uint64)]))
-            self.sum = np.concatenate([[np.uint64(0)], np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.power[:-1])])
-        self.unpower = unpower
+        power, self.unpower = _power(base, len(buf) + 1)
+        self.sum = np.empty(len(buf) + 1, np.uint64)
+        self.sum[0] = 0
+        terms = buf.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[: len(buf)]
+        np.cumsum(terms, out=self.sum[1:])
 
     def of(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         return (self.sum[at + n] - self.sum[at]) * self.unpower[at]
 
+    def all(self, n: int) -> np.ndarray:
+        """Of every n bytes, in order."""
+        return (self.sum[n:] - self.sum[:-n]) * self.unpower[: len(self.sum) - n]
+
 
 def _slide(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each `width` consecutive values."""
@@ -70,8 +91,8 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def contexts(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For blocks of texts: anchor's hash, text's number, first string's start, strings, anchor's offset from that start.
+def contexts(texts: list[bytes], length: int, whole: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """For blocks of texts: anchor's hash, text's number, first string's start, strings, anchor's offset from that start, two hashes of the context (whole).
 
     Texts over BLOCK bytes are read in blocks that overlap by length - 1.
     """
@@ -84,7 +105,8 @@ def contexts(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]
         sizes = np.array([len(b[2]) for b in block])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         buf = np.frombuffer(b"".join(b[2] for b in block), np.uint8)
-        hashes = mix(PrefixHash(buf).of(np.arange(len(buf) - ANCHOR + 1), ANCHOR))
+        prefix = PrefixHash(buf)
+        hashes = mix(prefix.all(ANCHOR))
         ranked = (hashes & ~np.uint64(0xFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
         at = (_slide(ranked, length - ANCHOR + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         starts = np.concatenate([np.arange(f, f + n - length + 1) for f, n in zip(first, sizes, strict=True)])
@@ -93,7 +115,11 @@ def contexts(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
         count = np.diff(np.append(new, len(starts)))
         t = text[new]
-        return hashes[anchor[new]], owner[t], starts[new] - first[t] + shift[t], count, anchor[new] - starts[new]
+        found = hashes[anchor[new]], owner[t], starts[new] - first[t] + shift[t], count, anchor[new] - starts[new]
+        if not whole:
+            return found
+        sizes = count + length - 1
+        return (*found, *(mix(p.of(starts[new], sizes) ^ mix(sizes.astype(np.uint64))) for p in (prefix, PrefixHash(buf, _B2))))
 
     for i, text in enumerate(texts):
         for at in range(0, len(text), BLOCK):
@@ -217,6 +243,11 @@ def _slots(anchors: np.ndarray, bits: int) -> np.ndarray:
     return (anchors >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _place(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """One number for a text's key and a place in it."""
+    return mix(key.view(np.uint64) ^ mix(start.astype(np.uint64)))
+
+
 def _set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
@@ -225,72 +256,121 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
     """df: id, key, text. Rows id, key, start, end: stretches of bytes that repeated strings cover; they may overlap."""
     raw = lambda batch, i, column: [(t or "").encode() for t in batch.column(column).slice(i, 100).to_pylist()]
 
-    def count(batches):
-        counter = _Counter(shards, lambda key: key)
+    def blocks(batches, whole: bool = False):
+        """Identifiers, keys, texts and contexts of 100 rows at a time; batches: id, key, text."""
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
-                for found in contexts(raw(batch, i, 0), length):
-                    yield from counter.add(found[0])
+                ids, keys = (batch.column(c).slice(i, 100).to_numpy(zero_copy_only=False) for c in (0, 1))
+                texts = raw(batch, i, 2)
+                for found in contexts(texts, length, whole):
+                    yield ids, keys, texts, found
+
+    def count(batches):
+        counter = _Counter(shards, lambda key: key)
+        for *_, found in blocks(batches):
+            yield from counter.add(found[0])
         yield from counter.close()
 
     def mark(batches):
+        """Bits of the slots whose keys come often enough; shards beyond the first `shards` hold elected contexts."""
         for s, rows in _by_group(batches):
             key, n = _summed([_numbers(k, np.uint64) for k, _ in rows], [_numbers(c, np.uint32).astype(np.int64) for _, c in rows])
             out = []
-            for bits, least in ((SLOT_BITS, 2), (HOT_BITS, HOT)):
+            for bits, least in ((SLOT_BITS, 2 if s < shards else 1), (HOT_BITS, HOT)):
                 width = (1 << bits) // shards
                 flags = np.zeros(width, np.uint8)
-                flags[_slots(key[n >= least], bits) - s * width] = 1
+                flags[_slots(key[n >= least], bits) - s % shards * width] = 1
                 out.append(np.packbits(flags, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([out[0]], pa.binary()), pa.array([out[1]], pa.binary())], names=["shard", "often", "hot"])
 
-    counted = df.select("text").mapInArrow(count, "shard int, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard")
-    often, hot = np.zeros(1 << SLOT_BITS - 3, np.uint8), np.zeros(1 << HOT_BITS - 3, np.uint8)
-    for r in counted.mapInArrow(mark, "shard int, often binary, hot binary").collect():
-        for bitmap, part in ((often, r.often), (hot, r.hot)):
-            bitmap[r.shard * len(part) : (r.shard + 1) * len(part)] = np.frombuffer(part, np.uint8)
-    kept = df.sparkSession.sparkContext.broadcast((often, hot))
+    def marked(counted: DataFrame) -> list[np.ndarray]:
+        maps = [np.zeros(1 << bits - 3, np.uint8) for bits in (SLOT_BITS, SLOT_BITS, HOT_BITS)]
+        for r in counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(mark, "shard int, often binary, hot binary").toLocalIterator():
+            for bitmap, part in ((maps[r.shard // shards], r.often), (maps[2] if r.shard < shards else None, r.hot)):
+                if bitmap is not None:
+                    at = r.shard % shards * len(part)
+                    bitmap[at : at + len(part)] = np.frombuffer(part, np.uint8)
+        return maps
 
-    cut = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("offset", pa.int64()), ("data", pa.binary())])
+    spark = df.sparkSession
+    df = df.select("id", "key", "text")
+    counts = "shard int, keys binary, counts binary"
+    often = spark.sparkContext.broadcast(marked(df.mapInArrow(count, counts))[0])
+
+    slim = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("anchor", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("again", pa.bool_())])
+
+    def flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Contexts once each; the places of those that came again as merged stretches, whose anchor is null."""
+        h1, h2, anchor, id_, key, start, end = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((h2, h1))
+        new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(order))) > 1
+        one = order[first]
+        more = order[many[np.cumsum(new) - 1]]
+        more = more[np.lexsort((start[more], id_[more], key[more]))]
+        k, i, s, e = (x[more] for x in (key, id_, start, end))
+        runs = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (s[1:] > e[:-1])])) if len(more) else more
+        last = np.append(runs[1:], len(more)) - 1 if len(more) else more
+        none = pa.nulls(len(runs), pa.int64())
+        for columns in (
+            [*(x[one] for x in (h1, h2, anchor, id_, key, start, end)), many],
+            [k[runs], s[runs], none, i[runs], k[runs], s[runs], e[last], np.ones(len(runs), bool)],
+        ):
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, slim, strict=True)], schema=slim)
+
+    def gather(batches):
+        held, size = [], 0
+        for ids, keys, _, (anchor, owner, start, n, _, h1, h2) in blocks(batches, True):
+            pick = np.flatnonzero(_set(often.value, _slots(anchor, SLOT_BITS)))
+            o, s = owner[pick], start[pick]
+            held.append((h1[pick].view(np.int64), h2[pick].view(np.int64), anchor[pick].view(np.int64), ids[o], keys[o], s, s + n[pick] + length - 1))
+            size += len(pick)
+            if size > HELD:
+                yield from flushed(held)
+                held, size = [], 0
+        if size:
+            yield from flushed(held)
+
+    like = Window.partitionBy("h1", "h2").orderBy("key", "start")
+    every = like.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = (
+        df.mapInArrow(gather, "h1 long, h2 long, anchor long, id long, key long, start long, end long, again boolean")
+        .withColumn("first", (F.row_number().over(like) == 1) & F.col("anchor").isNotNull())
+        .withColumn("whole", F.max("again").over(every) | (F.count(F.lit(1)).over(every) > 1))
+        .where("first or whole")
+        .select("anchor", "id", "key", "start", "end", "first", "whole")
+    )
+    met = durable(met, "contexts")
 
-    def flushed(pending: dict, again: list) -> Iterator[pa.RecordBatch]:
-        """Contexts once each; where one came again, its places as merged stretches instead."""
-        rows = [(*k[:1], v[0], *v[1:4], k[1], k[2]) for k, v in pending.items()]
-        again += [(v[1], v[2], v[3], v[3] + len(k[2])) for k, v in pending.items() if v[4]]
-        last: list | None = None
-        for doc, key, start, end in sorted(again):
-            if last and last[:2] == [doc, key] and start <= last[3]:
-                last[3] = max(last[3], end)
-            else:
-                if last:
-                    rows.append((last[1], -1, *last[:3], last[3], None))
-                last = [doc, key, start, end]
-        if last:
-            rows.append((last[1], -1, *last[:3], last[3], None))
-        for i in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 5000], strict=True), cut, strict=True)], schema=cut)
+    def elect(batches):
+        """Anchors of elected contexts, counted, and the places of these contexts."""
+        counters = [_Counter(shards, lambda key: key) for _ in range(2)]
+        out = lambda i, found: (pa.RecordBatch.from_arrays([pa.compute.add(b.column(0), pa.scalar(i * shards, pa.int32())), *b.columns[1:]], names=b.schema.names) for b in found)
+        for batch in batches:
+            anchor, key, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            yield from out(0, counters[0].add(anchor.view(np.uint64)))
+            yield from out(1, counters[1].add(_place(key, start)))
+        for i, c in enumerate(counters):
+            yield from out(i, c.close())
+
+    kept = spark.sparkContext.broadcast(marked(met.where("first").select("anchor", "key", "start").mapInArrow(elect, counts)))
+    cut = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("offset", pa.int64()), ("data", pa.binary())])
 
     def give(batches):
-        often, hot = kept.value
-        pending: dict[tuple, list] = {}
-        again: list[tuple] = []
-        for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                texts = raw(batch, i, 2)
-                ids, keys = (batch.column(c).slice(i, 100).to_pylist() for c in (0, 1))
-                for anchor, owner, start, n, offset in contexts(texts, length):
-                    pick = np.flatnonzero(_set(often, _slots(anchor, SLOT_BITS)))
-                    salted = _set(hot, _slots(anchor[pick], HOT_BITS)).tolist()
-                    for x, o, s, m, at, h in zip(*(y[pick].tolist() for y in (anchor.view(np.int64), owner, start, n, offset)), salted, strict=True):
-                        data = texts[o][s : s + m + length - 1]
-                        held = pending.setdefault((x, at, data), [keys[o] % SALTS if h else -1, ids[o], keys[o], s, -1])
-                        held[4] += 1
-                        if held[4]:
-                            again.append((ids[o], keys[o], s, s + len(data)))
-                if len(pending) > HELD or len(again) > 4 * HELD:
-                    yield from flushed(pending, again)
-                    pending, again = {}, []
-        yield from flushed(pending, again)
+        several, elected, hot = kept.value
+        for ids, keys, texts, (anchor, owner, start, n, offset) in blocks(batches):
+            pick = np.flatnonzero(_set(several, _slots(anchor, SLOT_BITS)))
+            pick = pick[_set(elected, _slots(_place(keys[owner[pick]], start[pick]), SLOT_BITS))]
+            if not len(pick):
+                continue
+            anchor, o, s, n, offset = (x[pick] for x in (anchor, owner, start, n, offset))
+            salt = np.where(_set(hot, _slots(anchor, HOT_BITS)), keys[o] % SALTS, -1)
+            data = [texts[i][a:b] for i, a, b in zip(o.tolist(), s.tolist(), (s + n + length - 1).tolist(), strict=True)]
+            for i in range(0, len(pick), 5000):
+                part = slice(i, i + 5000)
+                columns = (anchor[part].view(np.int64), salt[part], ids[o[part]], keys[o[part]], s[part], offset[part], data[part])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, cut, strict=True)], schema=cut)
 
     told = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
@@ -321,11 +401,6 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
     def sort(batches):
         rows, size, group, now = [], 0, 0, None
         for batch in batches:
-            whole = batch.filter(batch.column(6).is_null())
-            if whole.num_rows:
-                none = pa.nulls(whole.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(whole.column(i) for i in (2, 3, 4, 5)), none, none], schema=told)
-            batch = batch.filter(batch.column(6).is_valid())
             for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[:2] != now:
                     if size > CHUNK:
@@ -338,15 +413,15 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
             yield from settle(rows)
 
     sorted_ = (
-        df.select("id", "key", "text")
-        .mapInArrow(give, "anchor long, salt int, id long, key long, start long, offset long, data binary")
+        df.mapInArrow(give, "anchor long, salt int, id long, key long, start long, offset long, data binary")
         .repartition("anchor", "salt")
         .sortWithinPartitions("anchor", "salt")
         .mapInArrow(sort, "id long, key long, start long, end long, h1 long, h2 long")
     )
     found = durable(sorted_, "suffixes")
     single = found.where("h1 is not null").groupBy("h1", "h2").agg(F.collect_list(F.struct("id", "key", "start", "end")).alias("at")).where(F.size("at") > 1).select(F.inline("at"))
-    return found.where("h1 is null").select("id", "key", "start", "end").unionByName(single)
+    place = ["id", "key", "start", "end"]
+    return met.where("whole").select(place).unionByName(found.where("h1 is null").select(place)).unionByName(single)
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
