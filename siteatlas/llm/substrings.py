@@ -115,7 +115,8 @@ def contexts(texts: list[bytes], length: int, whole: bool = False) -> Iterator[t
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
         count = np.diff(np.append(new, len(starts)))
         t = text[new]
-        found = hashes[anchor[new]], owner[t], starts[new] - first[t] + shift[t], count, anchor[new] - starts[new]
+        # least hashes of windows are small numbers: mixed once more, they spread over shards and slots
+        found = mix(hashes[anchor[new]]), owner[t], starts[new] - first[t] + shift[t], count, anchor[new] - starts[new]
         if not whole:
             return found
         sizes = count + length - 1
