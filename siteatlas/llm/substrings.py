@@ -15,7 +15,8 @@ of steps, and a bottom-up merge sort puts them in order for all groups at once.
 Neighbours that share `length` bytes are compared byte by byte before they
 count.
 
-An anchor with very many unlike contexts (a line in a third of all texts) is
+An anchor with HOT unlike contexts or more (a line in a third of all texts), which
+would be over 2 MB for one sort, is
 split by salt. A string found twice within a salt needs no more; of the rest,
 and one of each, 128-bit hashes meet evenly spread.
 
@@ -44,7 +45,7 @@ from siteatlas.llm.storage import durable, table, tune
 from siteatlas.llm.textops import mix
 
 LENGTH, ANCHOR = 200, 64
-SLOT_BITS, HOT_BITS, HOT, SALTS = 26, 22, 256, 64
+SLOT_BITS, HOT_BITS, HOT, SALTS = 26, 22, 8192, 64
 BLOCK, CHUNK, HELD = 1 << 20, 3 << 20, 400_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
