@@ -15,10 +15,10 @@ of steps, and a bottom-up merge sort puts them in order for all groups at once.
 Neighbours that share `length` bytes are compared byte by byte before they
 count.
 
-An anchor with HOT unlike contexts or more (a line in a third of all texts), which
-would be over 2 MB for one sort, is
-split by salt. A string found twice within a salt needs no more; of the rest,
-and one of each, 128-bit hashes meet evenly spread.
+An anchor with HOT unlike contexts or more (a line in a third of all texts),
+which would be over 2 MB for one sort, is split by salt. A string found twice
+within a salt needs no more; of the rest, and one of each, 128-bit hashes meet
+evenly spread.
 
 What is broadcast is 2^26 bits each for repeated anchors, anchors with several
 contexts and elected contexts and 2^22 for frequent anchors, at any size; a
