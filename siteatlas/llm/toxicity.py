@@ -31,7 +31,7 @@ from siteatlas.llm.storage import table, tune
 ROWS, SIZE, HIDDEN, ATTEND = 1 << 15, 16, 8, 8
 WINDOW, STRIDE = 32, 24
 SAMPLE, SAMPLE_CHARS, PASSES, SEED, THRESHOLD = 1500, 6000, 8, 7, 0.7
-CACHED_WORDS, BLOCK = 100_000, 10_000
+CACHED_WORDS, BLOCK = 300_000, 10_000
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -249,12 +249,17 @@ class Scorer:
 
     def _numbers(self, texts: list[list[str]]) -> None:
         if len(self.known) > CACHED_WORDS:
-            self.known, self.rows = {}, self.rows[:0]
+            self.known = {}
         new = list({w for ws in texts for w in ws if w not in self.known})
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            self.known.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
-            self.rows = np.concatenate([self.rows, self.net.project(_vectors(self.net.p["emb"], *_features(part)))])
+            at, end = len(self.known), len(self.known) + len(part)
+            if end > len(self.rows):
+                grown = np.empty((max(end, 2 * len(self.rows)), 6 * HIDDEN), np.float32)
+                grown[:at] = self.rows[:at]
+                self.rows = grown
+            self.rows[at:end] = self.net.project(_vectors(self.net.p["emb"], *_features(part)))
+            self.known.update(zip(part, range(at, end), strict=True))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         split = [(t or "").lower().split() for t in texts]
