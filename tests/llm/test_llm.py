@@ -95,7 +95,9 @@ def test_jaccard(spark):
     assert got(jaccard_components(docs(spark, rows), words=4, percent=85), "doc_id", "n_shingles", "component_id") == sorted(want, key=str)
 
 
-def test_repeated_strings(spark):
+@pytest.mark.parametrize("hot", [8192, 2])
+def test_repeated_strings(spark, monkeypatch, hot):
+    monkeypatch.setattr("siteatlas.llm.substrings.HOT", hot)
     rows, count, want = [*made(20), (500, "x" * 450), (501, "y" * 199)], collections.Counter(), []
     raws = [(t or "").encode() for _, t in rows]
     for r in raws:
