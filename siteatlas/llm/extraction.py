@@ -1,11 +1,16 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is cut into lines, one for each block element. A line's length counts as
-zero where it belongs to page furniture (by element, role or class name), where
-most of it is link text, or where it stands outside the page's article or main
-element, if there is one with text. Lengths are summed over sliding windows of
-lines; text begins where a window surges over a threshold and ends where it
-dives to zero, and the lines of non-zero length between are the article.
+zero where it belongs to page furniture (by element, role or class name) or,
+outside an article or main element, where most of it is link text. Lengths are
+summed over sliding windows of lines; text begins where a window surges over a
+threshold and ends where it dives to zero or at the border of such an element,
+and the lines of non-zero length between are the article.
+
+An article or main element is a weight only: on a page that has one with text,
+lines inside count INSIDE times and lines outside half. Where the lines found
+outside still hold more text than those found inside, the element isn't the
+page's text, and lines outside count in full.
 
 Defined results: a null or empty page, and a page without such a surge, give
 empty text. Unclosed elements end with the element around them; an unclosed
@@ -25,6 +30,7 @@ from siteatlas.llm.storage import table, tune
 
 WINDOW = 3
 SURGE = 40
+INSIDE = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -127,21 +133,39 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
     return out
 
 
+def _found(size: list[float], main: list[bool], window: int, surge: int) -> list[int]:
+    """Which lines stand between a surge and the dive after it; no window reaches over the border of an article or main element."""
+    kept: list[int] = []
+    begin = 0
+    while begin < len(size):
+        end = begin
+        while end < len(size) and main[end] == main[begin]:
+            end += 1
+        own = size[begin:end]
+        total = [sum(own[i : i + window]) for i in range(len(own))]
+        i = 0
+        while i < len(own):
+            if own[i] and total[i] >= surge:
+                while i < len(own) and total[i]:
+                    if own[i]:
+                        kept.append(begin + i)
+                    i += 1
+            else:
+                i += 1
+        begin = end
+    return kept
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page or "")
-    marked = any(main and not bad for _, bad, main, _ in lines)
-    size = [0 if bad or (marked and not main) or (share > 0.6 and not marked) else len(line) for line, bad, main, share in lines]
-    total = [sum(size[i : i + window]) for i in range(len(size))]
-    kept, i, least = [], 0, 1 if marked else surge
-    while i < len(size):
-        if size[i] and total[i] >= least:
-            while i < len(size) and total[i]:
-                if size[i]:
-                    kept.append(lines[i][0])
-                i += 1
-        else:
-            i += 1
-    return " ".join(kept)
+    main = [m for _, _, m, _ in lines]
+    marked = any(m and not bad for _, bad, m, _ in lines)
+    size = [0 if bad or (share > 0.6 and not m) else len(line) for line, bad, m, share in lines]
+    weigh = lambda outside: [n * (INSIDE if m else outside) for n, m in zip(size, main, strict=True)]
+    kept = _found(weigh(0.5 if marked else 1), main, window, surge)
+    if marked and sum(size[i] for i in kept if not main[i]) > sum(size[i] for i in kept if main[i]):
+        kept = _found(weigh(1), main, window, surge)
+    return " ".join(lines[i][0] for i in kept)
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -220,6 +220,16 @@ def test_extraction():
     assert extraction.main_text(inside) == "T short a & b"
 
 
+def test_extraction_beside_an_article():
+    body = " ".join(f"<p>Paragraph {i} of the body text, which is long enough to surge.</p>" for i in range(6))
+    teaser = "<article><h2>Other story</h2><p>A teaser of a few words.</p></article>"
+    short = "<p>Short.</p>"
+    text = extraction.main_text(f"<div>{body}{short}</div>{teaser}")
+    assert all(f"Paragraph {i} of" in text for i in range(6)) and "Short." in text
+    assert extraction.main_text("<article><p>a b</p></article>") == ""
+    assert extraction.main_text(f"<article>{body}</article><p>outside</p>") == extraction.main_text(body)
+
+
 @pytest.mark.parametrize("run", [lambda d: exact_dedup(d), lambda d: jaccard_components(d), lambda d: remove_repeated(d), lambda d: scan_secrets(d), lambda d: edited_fingerprints(d), lambda d: lm_scores(d)])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string")).count() == 0
