@@ -1,6 +1,8 @@
 """I-Match fingerprints over several randomised lexicons.
 
-Document frequencies are counted over all documents. The lexicon is hashed to
+Document frequencies are counted over distinct texts: texts whose hash comes
+once, told from a bitmap of fixed size, are counted where they are read, the
+others meet first, one of each text and task. The lexicon is hashed to
 2^22 slots, so what is broadcast is one bit a slot whatever the corpus: a term
 is in the lexicon if its slot's document frequency lies in the band. A document
 keeps its distinct terms inside the band, sorted; of every randomised lexicon
@@ -11,8 +13,11 @@ hashes at the level that shows most of it, among subsets that hold a term of
 either document, with four of them at least; else over all levels.
 
 Defined results: equal texts have equal fingerprints (also of likeness 1); a
-text without a term inside the band uses all of its terms; null and empty texts
-have the empty fingerprint, alike to itself only.
+text of whose terms the band holds less than one in FLOOR (one of many near
+copies, whose words are all frequent, or none at all) uses all of its terms;
+likeness is taken under the rule of the document itself, for its edited text and
+for the next document too; null and empty texts have the empty fingerprint,
+alike to itself only.
 
 `edited_fingerprints` pairs each document with the next in descending order of
 identifier without a global window: splits of the identifier range deal rows to
@@ -35,30 +40,101 @@ from siteatlas.llm.textops import mix, word_hashes
 
 SLOT_BITS, BLOCK_BITS = 22, 14
 LEVELS, DRAWS, FIRST_LEVEL = 12, 16, 2
-MIN_DF, MAX_DF_SHARE = 2, 0.05
+MIN_DF, MAX_DF_SHARE, FLOOR = 2, 0.05, 4
+COPY_BITS, COPY_BLOCK_BITS = 26, 16
 _DIGITS = 4
 
 
-def document_frequencies(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task's documents: compressed blocks of counts by slot."""
-    counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-    for batch in texts:
+def _copies(df: DataFrame, text_col: str) -> tuple[bytes, int]:
+    """The compressed bitmap of hashes that come more than once, 2^COPY_BITS bits at any size of corpus, and the number of distinct hashes."""
+    met = df.select(F.xxhash64(text_col).alias("h")).groupBy("h").count()
+    slot = F.shiftrightunsigned("h", 64 - COPY_BITS)
+    at = F.when(F.col("count") > 1, slot.bitwiseAND((1 << COPY_BLOCK_BITS) - 1).cast("int"))
+    blocks = met.groupBy(F.shiftright(slot, COPY_BLOCK_BITS).cast("int").alias("block")).agg(F.collect_set(at).alias("again"), F.count("*").alias("n"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for again in batch.column(1):
+                full = np.zeros(1 << COPY_BLOCK_BITS, dtype=bool)
+                full[again.values.to_numpy()] = True
+                bits.append(zlib.compress(np.packbits(full, bitorder="little").tobytes(), 1) if len(again) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), batch.column(2)], names=["block", "bits", "n"])
+
+    out, width, n = bytearray(1 << (COPY_BITS - 3)), 1 << (COPY_BLOCK_BITS - 3), 0
+    for r in blocks.mapInArrow(pack, "block int, bits binary, n long").collect():
+        n += r.n
+        if r.bits:
+            out[r.block * width : (r.block + 1) * width] = zlib.decompress(r.bits)
+    return zlib.compress(bytes(out), 1), n
+
+
+class _Frequencies:
+    def __init__(self):
+        self.counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+
+    def add(self, raw: list[bytes]) -> None:
+        words, at = word_hashes(raw)
+        slots = words >> np.uint64(64 - SLOT_BITS)
+        doc = np.repeat(np.arange(len(raw), dtype=np.uint64), np.diff(at))
+        pairs = np.unique(doc << np.uint64(32) | slots)
+        self.counts += np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(self.counts))
+
+    def told(self) -> pa.RecordBatch:
+        """Compressed blocks of counts by slot; the key only spreads them."""
+        blocks = self.counts.reshape(-1, 1 << BLOCK_BITS)
+        full = np.flatnonzero(blocks.any(axis=1))
+        data = [zlib.compress(blocks[i].tobytes(), 1) for i in full]
+        return _counted(full, [zlib.crc32(x) for x in data], data)
+
+
+def _counted(blocks, keys, data) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["block", "key", "data"])
+
+
+def _count_single(batches: Iterator[pa.RecordBatch], copies: bytes) -> Iterator[pa.RecordBatch]:
+    """Of one task's (text, hash): counts of texts that come once, and one of each other text as block -1."""
+    bits, found, seen = np.frombuffer(zlib.decompress(copies), dtype=np.uint8), _Frequencies(), set()
+    for batch in batches:
+        slots = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - COPY_BITS)).astype(np.int64)
+        again = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
         for i in range(0, batch.num_rows, 200):
             raw = [(x or "").encode() for x in batch.column(0).slice(i, 200).to_pylist()]
-            words, at = word_hashes(raw)
-            slots = words >> np.uint64(64 - SLOT_BITS)
-            doc = np.repeat(np.arange(len(raw), dtype=np.uint64), np.diff(at))
-            pairs = np.unique(doc << np.uint64(32) | slots)
-            counts += np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(counts))
-    blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-    full = np.flatnonzero(blocks.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in full], pa.binary())], names=["block", "counts"])
+            found.add([x for x, a in zip(raw, again[i : i + 200], strict=True) if not a])
+            new = {}
+            for x, a in zip(raw, again[i : i + 200], strict=True):
+                if a and (digest := hashlib.blake2b(x, digest_size=16).digest()) not in seen:
+                    seen.add(digest)
+                    new[digest] = x
+            if new:
+                yield _counted([-1] * len(new), [int.from_bytes(k[:8], "little", signed=True) for k in new], [zlib.compress(x, 1) for x in new.values()])
+    yield found.told()
+
+
+def _count_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By (block, key, data): counts of distinct texts of block -1 besides the counts that are there."""
+    found, last = _Frequencies(), None
+    for batch in batches:
+        for i in range(0, batch.num_rows, 200):
+            rows, texts = list(zip(*(batch.column(c).slice(i, 200).to_pylist() for c in range(3)), strict=True)), []
+            for block, _, data in rows:
+                if block < 0 and data != last:
+                    texts.append(zlib.decompress(data))
+                    last = data
+            found.add(texts)
+            if counts := [r for r in rows if r[0] >= 0]:
+                yield _counted(*zip(*counts, strict=True))
+    yield found.told()
 
 
 def lexicon(df: DataFrame, text_col: str = "text", min_df: int = MIN_DF, max_share: float = MAX_DF_SHARE) -> bytes:
     """The bitmap of slots inside the band: 2^SLOT_BITS / 8 bytes at any size of corpus."""
-    counted = df.select(text_col).mapInArrow(document_frequencies, "block int, counts binary")
-    most = max(min_df, int(df.count() * max_share))
+    texts = df.select(F.coalesce(df[text_col], F.lit("")).alias("text"))
+    copies, n = _copies(texts, "text")
+    schema = "block int, key long, data binary"
+    single = texts.select("text", F.xxhash64("text").alias("h")).mapInArrow(lambda it: _count_single(it, copies), schema)
+    counted = single.repartition("block", "key").sortWithinPartitions("block", "key", "data").mapInArrow(_count_copies, schema).select("block", F.col("data").alias("counts"))
+    most = max(min_df, int(n * max_share))
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
@@ -84,8 +160,8 @@ def lexicon(df: DataFrame, text_col: str = "text", min_df: int = MIN_DF, max_sha
     return bytes(bits)
 
 
-def fingerprints(texts: list[str], bits: np.ndarray) -> np.ndarray:
-    """Hashes of the whole lexicon and of each subset for each text; 0 where a subset holds none of its terms."""
+def fingerprints(texts: list[str], bits: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the whole lexicon and of each subset for each text, 0 where a subset holds none of its terms; which texts use all of their terms, if whole doesn't say it."""
     out = np.zeros((len(texts), 1 + LEVELS * DRAWS), dtype=np.uint64)
     words, at = word_hashes([t.encode() for t in texts])
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(at))
@@ -96,9 +172,10 @@ def fingerprints(texts: list[str], bits: np.ndarray) -> np.ndarray:
     words, doc = words[first], doc[first]
     slot = (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     inside = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-    has = np.zeros(len(texts), dtype=bool)
-    has[doc[inside]] = True
-    use = inside | ~has[doc]
+    held = np.bincount(doc[inside], minlength=len(texts))
+    if whole is None:
+        whole = FLOOR * held < np.bincount(doc, minlength=len(texts))
+    use = inside | (whole | (held == 0))[doc]
     words, doc = words[use], doc[use]
 
     def put(column: int, w: np.ndarray, d: np.ndarray) -> None:
@@ -113,7 +190,7 @@ def fingerprints(texts: list[str], bits: np.ndarray) -> np.ndarray:
             keep = luck < np.uint64(1 << (64 - FIRST_LEVEL - level))
             luck, w, d = luck[keep], w[keep], d[keep]
             put(1 + level * DRAWS + draw, w, d)
-    return out
+    return out, whole
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,9 +225,12 @@ def _edits(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[pa.Reco
                 edited.append(text[: len(text) - k] + texts[i + 1][:k])
         if not pairs:
             return None
-        own, new = fingerprints(texts, bits), fingerprints(edited, bits)
         at = np.array(pairs)
-        mine = own[at]
+        own, whole = fingerprints(texts, bits)
+        new, _ = fingerprints(edited, bits, whole[at])
+        mine, after = own[at], own[at + 1]
+        if len(other := np.flatnonzero(whole[at] != whole[at + 1])):
+            after[other], _ = fingerprints([texts[i + 1] for i in at[other]], bits, whole[at][other])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][3] for i in pairs], pa.int64()),
@@ -159,7 +239,7 @@ def _edits(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[pa.Reco
                 pa.array(written(mine)),
                 pa.array(written(new)),
                 pa.array(likeness(mine, new)),
-                pa.array(likeness(mine, own[at + 1])),
+                pa.array(likeness(mine, after)),
             ],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )

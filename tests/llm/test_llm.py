@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteatlas.llm import extraction, packing, toxicity
+from siteatlas.llm import extraction, imatch, packing, toxicity
 from siteatlas.llm.exact_dedup import RadixTrie, deduplicated, exact_dedup
 from siteatlas.llm.imatch import edited_fingerprints
 from siteatlas.llm.jaccard_join import jaccard_components
@@ -143,6 +143,32 @@ def test_fingerprints(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
 
 
+@pytest.mark.parametrize("changed", [0, 3])
+def test_fingerprints_of_a_large_group(spark, changed):
+    some = random.Random(5)
+    term = lambda i: "".join(chr(97 + int(x)) for x in str(i))
+    say = lambda n: [term(some.randrange(4000)) for _ in range(n)]
+    hot, rows = [term(10_000 + i) for i in range(90)], []
+    for i in range(300):
+        text = say(90)
+        if i % 3 == 0 or (changed and i % 3 == 1):
+            text = list(hot)
+            for k in some.sample(range(30), changed):
+                text[k] = say(1)[0]
+        rows.append((i, " ".join(text)))
+    out = {r.doc_id: r for r in edited_fingerprints(docs(spark, rows)).collect()}
+    assert len(out) == 300
+    mean = lambda column, k: np.mean([out[i][column] for i in range(k, 300, 3)])
+    assert mean("near_edited", 0) > 0.25 and mean("near_next", 2) < 0.1
+    assert not changed or mean("near_next", 1) > 0.4
+
+
+def test_frequencies_of_distinct_texts(spark):
+    some = [words(12) for _ in range(60)]
+    single, copied = (imatch.lexicon(docs(spark, list(enumerate(x)))) for x in (some, some + some[:1] * 40 + some[5:9] * 3))
+    assert single == copied and any(single)
+
+
 def test_packing_round_trip(spark):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
