@@ -2,7 +2,9 @@
 
 A word's input is the mean of learnt vectors of the word and of its character
 2- to 5-grams with its borders (hashed to 2^15 rows), so unseen words are read
-by their characters. Windows of WINDOW words overlap by a quarter; each is read in
+by their characters. A run without white space of more than LONG code points is
+no word: its runs of letters and digits are read as words, and those that are
+still longer as overlapping pieces, so no part of a text is left out. Windows of WINDOW words overlap by a quarter; each is read in
 both directions, pooled by attention and scored; a text's score is its highest
 window's, and all windows of the whole text are scored.
 
@@ -32,12 +34,30 @@ ROWS, SIZE, HIDDEN, ATTEND = 1 << 15, 16, 8, 8
 WINDOW, STRIDE = 32, 24
 SAMPLE, SAMPLE_CHARS, PASSES, SEED, THRESHOLD = 1500, 6000, 8, 7, 0.7
 CACHED_WORDS, BLOCK = 300_000, 10_000
+LONG, PIECE, STEP = 64, 24, 12
 _EDGE = re.compile(r"^\W+|\W+$")
+_RUN = re.compile(r"[^\W_]+")
+
+
+def words_of(text: str) -> list[str]:
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    out = []
+    for word in words:
+        for run in (_RUN.findall(word) or _cut(word)) if len(word) > LONG else (word,):
+            out += _cut(run) if len(run) > LONG else (run,)
+    return out
+
+
+def _cut(run: str) -> list[str]:
+    """Pieces of PIECE code points; whatever has no more than PIECE - STEP is whole in one of them."""
+    return [run[i : i + PIECE] for i in range(0, max(1, len(run) - PIECE + STEP), STEP)]
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the table that each word uses, one after another, and where each word's begin."""
-    raw = [b"\x02" + _EDGE.sub("", w).encode()[:64] + b"\x03" for w in words]
+    raw = [b"\x02" + _EDGE.sub("", w).encode() + b"\x03" for w in words]
     size = np.array([len(x) for x in raw])
     first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     body = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -180,7 +200,7 @@ def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PASSES) -> Network | None:
     """A network from whole texts and their labels; none without both labels."""
-    split = [(t.lower().split(), y) for t, y in zip(texts, labels, strict=True)]
+    split = [(words_of(t), y) for t, y in zip(texts, labels, strict=True)]
     split = [(w, y) for w, y in split if w]
     if len({y for _, y in split}) < 2:
         return None
@@ -262,7 +282,7 @@ class Scorer:
             self.known.update(zip(part, range(at, end), strict=True))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        split = [(t or "").lower().split() for t in texts]
+        split = [words_of(t or "") for t in texts]
         self._numbers(split)
         out, blocks, held, size = np.zeros(len(texts), np.float32), [], [], 0
 

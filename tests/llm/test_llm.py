@@ -236,6 +236,20 @@ def test_toxicity_held_out():
     assert toxicity.fit(good, [0] * 300) is None
 
 
+def test_toxicity_reads_long_runs_whole():
+    some = random.Random(4)
+    say = lambda n: [some.choice("abcdefgh") + str(some.randint(0, 40)) for _ in range(n)]
+    good, bad = [" ".join(say(30)) for _ in range(200)], [" ".join([*say(12), "vequoti", *say(12)]) for _ in range(150)]
+    scorer = toxicity.Scorer(toxicity.fit(good + bad, [0] * 200 + [1] * 150))
+    for sign in "_-,/":
+        clean, toxic = scorer.scores([sign.join(say(60)), sign.join([*say(40), "vequoti", *say(20)])])
+        assert clean < 0.7 <= toxic
+    run = "".join(chr(0x4E00 + i) for i in range(500))
+    pieces = toxicity.words_of(f"a {run} b")
+    assert pieces[0] == "a" and pieces[-1] == "b"
+    assert all(any(run[i : i + 12] in p for p in pieces) for i in range(489))
+
+
 def test_extraction():
     page = """<html><body class="has-sidebar"><header>Site<nav><a href=x>a</a></nav></header><div class="cookie-notice">We use cookies to give you the best experience ever made</div>
     <div class="post"><h1>Title here</h1><p>First para with <a href="z">a link</a> in it&nbsp;and&#8217;s more text to be long enough.<p>Second<br>para un<b>bold</b>ed.<ul><li>item one<li>item two</ul></div>
