@@ -4,7 +4,7 @@ A word's input is the mean of learnt vectors of the word and of its character
 2- to 5-grams with its borders (hashed to 2^15 rows), so unseen words are read
 by their characters. A run without white space of more than LONG code points is
 no word: its runs of letters and digits are read as words, and those that are
-still longer as overlapping pieces, so no part of a text is left out. Windows of WINDOW words overlap by a quarter; each is read in
+still longer as overlapping pieces, so no part of a text is left out. Windows of WINDOW words overlap by half; each is read in
 both directions, pooled by attention and scored; a text's score is its highest
 window's, and all windows of the whole text are scored.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from siteatlas.llm.storage import table, tune
 
 ROWS, SIZE, HIDDEN, ATTEND = 1 << 15, 16, 8, 8
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 SAMPLE, SAMPLE_CHARS, PASSES, SEED, THRESHOLD = 1500, 6000, 8, 7, 0.7
 CACHED_WORDS, BLOCK = 300_000, 10_000
 LONG, PIECE, STEP = 64, 24, 12

@@ -250,6 +250,13 @@ def test_toxicity_reads_long_runs_whole():
     assert all(any(run[i : i + 12] in p for p in pieces) for i in range(489))
 
 
+def test_windows_hold_passages_whole():
+    half = toxicity.WINDOW // 2
+    for n in (1, 32, 33, 50, 200):
+        begins = toxicity.windows_of(n)
+        assert all(any(b <= i and i + half <= b + toxicity.WINDOW for b in begins) for i in range(max(1, n - half + 1)))
+
+
 def test_extraction():
     page = """<html><body class="has-sidebar"><header>Site<nav><a href=x>a</a></nav></header><div class="cookie-notice">We use cookies to give you the best experience ever made</div>
     <div class="post"><h1>Title here</h1><p>First para with <a href="z">a link</a> in it&nbsp;and&#8217;s more text to be long enough.<p>Second<br>para un<b>bold</b>ed.<ul><li>item one<li>item two</ul></div>
