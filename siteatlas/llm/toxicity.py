@@ -8,9 +8,10 @@ still longer as overlapping pieces, so no part of a text is left out. Windows of
 both directions, pooled by attention and scored; a text's score is its highest
 window's, and all windows of the whole text are scored.
 
-Training takes a bounded sample of labelled rows: for each label SAMPLE rows
-at most, those with the smallest hash of their identifier among rows outside
-the held fold with at most SAMPLE_CHARS code points. Labels are of texts, so
+Training takes a bounded sample of labelled rows, whole texts of any length: for
+each label, in order of a hash of their identifier, SAMPLE rows outside the held
+fold at most, and of these as many as have SAMPLE_TOTAL code points together, or
+the shortest one if none has so few. Labels are of texts, so
 windows are learnt as multiple instances: of a toxic text the window that
 scores highest counts as toxic, of another one every window as clean.
 
@@ -32,7 +33,7 @@ from siteatlas.llm.storage import table, tune
 
 ROWS, SIZE, HIDDEN, ATTEND = 1 << 15, 16, 8, 8
 WINDOW, STRIDE = 32, 16
-SAMPLE, SAMPLE_CHARS, PASSES, SEED, THRESHOLD = 1500, 6000, 8, 7, 0.7
+SAMPLE, SAMPLE_TOTAL, PASSES, SEED, THRESHOLD = 1500, 4_000_000, 8, 7, 0.7
 CACHED_WORDS, BLOCK = 300_000, 10_000
 LONG, PIECE, STEP = 64, 24, 12
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -306,17 +307,27 @@ class Scorer:
         return out.astype(float)
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Network | None:
+def _within(rows: list, total: int) -> list:
+    """Rows in order whose n are total together at most; the least one where none fits."""
+    out, left = [], total
+    for r in rows:
+        if r.n <= left:
+            out.append(r)
+            left -= r.n
+    return out or sorted(rows, key=lambda r: r.n)[:1]
+
+
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_total: int = SAMPLE_TOTAL) -> Network | None:
     """From a sample of at most `sample` rows of each label outside the held fold."""
-    fit_for = docs.where(F.length(text_col).between(1, sample_chars)).select(F.col(id_col).alias("id")).distinct()
+    fit_for = docs.where(F.length(F.trim(text_col)) > 0).groupBy(F.col(id_col).alias("id")).agg(F.max(F.length(text_col)).alias("n"))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % modulus != held)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     fair = known.join(fit_for, "id")
     order = [F.xxhash64("id"), F.col("id")]
-    chosen = [r for y in (0, 1) for r in fair.where(F.col("y") == y).orderBy(*order).limit(sample).collect()]
+    chosen = [r for y in (0, 1) for r in _within(fair.where(F.col("y") == y).orderBy(*order).limit(sample).collect(), sample_total)]
     if not chosen:
         return None
     picked = docs.sparkSession.createDataFrame([(r.id, r.y) for r in chosen], "id long, y int")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, sample_chars)).join(F.broadcast(picked), "id").dropDuplicates(["id"]).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0).join(F.broadcast(picked), "id").dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: r.id)
     return fit([r.text for r in rows], [r.y for r in rows])
 

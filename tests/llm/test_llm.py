@@ -257,6 +257,14 @@ def test_windows_hold_passages_whole():
         assert all(any(b <= i and i + half <= b + toxicity.WINDOW for b in begins) for i in range(max(1, n - half + 1)))
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    rows = [(i, words(20)) for i in range(60)] + [(i, f"{words(1500)} vequoti {words(1500)}") for i in range(60, 90)]
+    assert min(len(t) for i, t in rows if i >= 60) > 6000
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i, _ in rows], "doc_id long, toxic int")
+    assert toxicity.train(docs(spark, rows), labels) is not None
+    assert toxicity.train(docs(spark, rows), labels, sample_total=100) is not None
+
+
 def test_extraction():
     page = """<html><body class="has-sidebar"><header>Site<nav><a href=x>a</a></nav></header><div class="cookie-notice">We use cookies to give you the best experience ever made</div>
     <div class="post"><h1>Title here</h1><p>First para with <a href="z">a link</a> in it&nbsp;and&#8217;s more text to be long enough.<p>Second<br>para un<b>bold</b>ed.<ul><li>item one<li>item two</ul></div>
