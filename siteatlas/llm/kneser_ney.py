@@ -1,20 +1,23 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and read by memory map.
+"""Interpolated modified Kneser-Ney model of any order from 2, counted in Spark and read by memory map.
 
 Words are counted by task and meet in shards of equal ranges of their 64-bit
 hash; each shard is written as a sorted array of hashes with counts, so a
-word's number is its place among all. Bigrams are pairs of such numbers, also
-counted by task; they meet in shards by a hash of the pair, so a frequent word
-fills no shard, and are written as sorted arrays of pairs and counts. Totals of
-contexts and continuation counts come out of the shards as partial sums and
-meet by block of word numbers. The arrays lie in the folder that all executors
-share; workers map them and look up a batch's distinct words and pairs.
+word's number is its place among all. N-grams of the full order are rows of
+such numbers, also counted by task; they meet in shards by a hash of the n-gram,
+so a frequent word or context fills no shard. Each shard is written as a sorted
+array of keys, with a code for each into the shard's distinct rows of numbers,
+and gives to the order below one continuation for the end of each n-gram and
+the sums of its contexts. So lower orders come from the higher one's shards, and
+only the highest from the texts; the sums of single words meet by block of word
+numbers. The arrays lie in the folder that all executors share; workers map them
+and look up a batch's distinct words and n-grams.
 
 The driver sees sums of each shard only: tokens, words and counts of counts.
 
-Order 2: with trigrams the arrays and shuffles of the checked corpora go over
-the disk they are allowed. An n-gram that isn't known falls back to the
-continuation distribution, which is interpolated with the uniform one over the
-known words and one unknown word, so every text has a probability.
+Texts begin with order - 1 begin symbols. Each order is interpolated with the
+one below, the lowest with the uniform distribution over the known words and one
+unknown word, so every text has a probability. Keys of pairs are exact, those of
+longer n-grams 64-bit hashes.
 
 Defined results: a null or empty text is the end token alone; with no training
 rows every token has probability 1; a null identifier counts as empty text in
@@ -37,8 +40,9 @@ from siteatlas.llm.storage import new_path, table, tune
 from siteatlas.llm.textops import mix, word_hashes
 
 END = mix(np.array([0xE0D], dtype=np.uint64))[0]
-PAIRS_A_SHARD, WORDS_A_BLOCK, HELD = 2_000_000, 1 << 20, 1_500_000
-_LOW = np.uint64(0xFFFFFFFF)
+ORDER = 3
+GRAMS_A_SHARD, WORDS_A_BLOCK, HELD = 2_000_000, 1 << 20, 1_500_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def in_fold(doc_id, modulus: int, remainder: int) -> bool:
@@ -171,11 +175,74 @@ class Words(Arrays):
         return number[back], count[back]
 
 
-def _pairs(number: np.ndarray, at: np.ndarray, begin: int) -> np.ndarray:
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[at[:-1]] = begin
-    return before.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
+def _grams(number: np.ndarray, at: np.ndarray, begin: int, order: int) -> np.ndarray:
+    """The last `order` words up to each token, the token itself in the last row."""
+    place = np.arange(len(number)) - np.repeat(at[:-1], np.diff(at))
+    out = np.full((order, len(number)), begin, np.uint32)
+    for back in range(order):
+        there = np.flatnonzero(place >= back)
+        out[order - 1 - back, there] = number[there - back]
+    return out
+
+
+def _key(grams: np.ndarray) -> np.ndarray:
+    key = grams[0].astype(np.uint64)
+    if len(grams) > 1:
+        key = key << np.uint64(32) | grams[1].astype(np.uint64)
+    for row in grams[2:]:
+        key = mix(mix(key) * _STEP + row.astype(np.uint64))
+    return key
+
+
+def _met(grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, their n-grams and the sums of their columns of values."""
+    key = _key(grams)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return key[first], grams[:, order[first]], np.add.reduceat(values[:, order], first, axis=1) if len(key) else values
+
+
+_PACKED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+_PACKED_DDL = "shard int, kind int, keys binary, values binary"
+
+
+def _dealt(grams: np.ndarray, values: np.ndarray, kind: int, shards: int) -> Iterator[tuple]:
+    """Rows of _PACKED, one for each shard that is reached, each sorted by its first words."""
+    shard = _shard(mix(_key(grams)), shards)
+    order = np.lexsort((_key(grams[:2]), shard))
+    shard = shard[order]
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if j > i:
+            own = order[i:j]
+            yield int(shard[i]), kind, b"".join(_planes(row[own]) for row in grams), b"".join(_planes(row[own]) for row in values)
+
+
+def _undealt(rows: list, width: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams and values of rows (keys, values)."""
+    grams = [np.stack([_numbers(k[i * len(k) // order : (i + 1) * len(k) // order], np.uint32) for i in range(order)]) for k, _ in rows]
+    values = [np.stack([_numbers(v[i * len(v) // width : (i + 1) * len(v) // width], np.int64) for i in range(width)]) for _, v in rows]
+    return np.concatenate([np.empty((order, 0), np.uint32), *grams], axis=1), np.concatenate([np.empty((width, 0), np.int64), *values], axis=1)
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+
+def _code_kind(rows: int) -> type:
+    return np.uint8 if rows <= 1 << 8 else np.uint16 if rows <= 1 << 16 else np.uint32
+
+
+def _save_rows(folder: str, stem: str, key: np.ndarray, values: np.ndarray) -> None:
+    """Keys, the distinct columns of values and a code for each key."""
+    like = np.zeros(len(key), np.uint64)
+    for row in values:
+        like = mix(like * _STEP + row.astype(np.uint64) + np.uint64(1))
+    _, first, code = np.unique(like, return_index=True, return_inverse=True)
+    _save(folder, f"keys{stem}", key)
+    _save(folder, f"rows{stem}", np.ascontiguousarray(values[:, first]))
+    _save(folder, f"codes{stem}", code.astype(_code_kind(len(first))))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -188,8 +255,10 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, 0.1, [0.95, 1.95, 2.95])
 
 
-def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int) -> dict:
+def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, order: int = ORDER) -> dict:
     """Counts all rows outside the held fold; gives what a scorer needs besides the arrays in `folder`."""
+    if order < 2:
+        raise ValueError(f"order {order}; the model has contexts from order 2")
     spark = df.sparkSession
     folder = _local(new_path(spark, "lm"))
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
@@ -224,43 +293,75 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int) ->
         firsts.append(firsts[-1] + (told[s].words if s in told else 0))
     known, tokens = firsts[-1], sum(r.tokens for r in told.values())
     if known >= 2**32 - 2:
-        raise ValueError(f"{known} words; pairs of numbers hold 2^32 - 2")
-    pair_shards, blocks = max(1, -(-tokens // PAIRS_A_SHARD)), known // WORDS_A_BLOCK + 1
+        raise ValueError(f"{known} words; n-grams of numbers hold 2^32 - 2")
+    gram_shards, blocks = max(1, -(-tokens // GRAMS_A_SHARD)), known // WORDS_A_BLOCK + 1
 
-    def count_pairs(batches):
-        words, counter = Words(folder, firsts), _Counter(pair_shards, mix)
-        for token, at in batches_of(batches):
-            yield from counter.add(_pairs(words.numbers(token)[0], at, known))
-        yield from counter.close()
+    def count_grams(batches):
+        words, held_, size = Words(folder, firsts), [], 0
 
-    sums = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+        def close():
+            _, grams, count = _met(*(np.concatenate(x, axis=1) for x in zip(*held_, strict=True)))
+            return _sent(list(_dealt(grams, count, 0, gram_shards)))
 
-    def write_pairs(batches):
+        for token, at in batches_of(batches):
+            grams = _grams(words.numbers(token)[0], at, known, order)
+            _, grams, count = _met(grams, np.ones((1, grams.shape[1]), np.int64))
+            held_.append((grams, count))
+            size += grams.shape[1]
+            if size > HELD:
+                yield close()
+                held_, size = [], 0
+        if held_:
+            yield close()
+
+    def contexts(grams, value):
+        """N-grams without their last word, with totals and numbers of continuations seen once, twice and more often."""
+        return grams[:-1], np.stack([value, *(x.astype(np.int64) for x in (value == 1, value == 2, value >= 3))])
+
+    def write_grams(level, batches):
+        """Arrays of n-grams of `level` words; what they give to the level below, or to the sums of words."""
         for s, rows in _by_group(batches):
-            key, count = _summed([_numbers(k, np.uint64) for k, _ in rows], [_numbers(c, np.uint32).astype(np.int64) for _, c in rows])
-            _save(folder, f"pairs-{s}", key)
-            _save(folder, f"times-{s}", np.minimum(count, 255).astype(np.uint8))
-            often = np.flatnonzero(count >= 255)
-            _save(folder, f"often-{s}", np.stack([often, count[often]]).astype(np.int64))
-            out = [[-1], [0], [b""], [np.array([(count == i).sum() for i in (1, 2, 3, 4)], np.int64).tobytes()]]
-            kinds = [(0, key >> np.uint64(32), count)]
-            kinds += [(i, key[pick] >> np.uint64(32), np.ones(int(pick.sum()), np.int64)) for i, pick in ((1, count == 1), (2, count == 2), (3, count >= 3))]
-            kinds.append((4, key & _LOW, np.ones(len(key), np.int64)))
+            if s < 0:
+                yield _sent([(s, *r) for r in rows])
+                continue
+            ends, times = _undealt([r[1:] for r in rows if r[0] == 0], 1, level)
+            if level == order:
+                key, grams, values = _met(ends, times)
+            else:
+                before, sums_ = _undealt([r[1:] for r in rows if r[0] == 1], 4, level)
+                values = np.zeros((5, ends.shape[1] + before.shape[1]), np.int64)
+                values[0, : ends.shape[1]], values[1:, ends.shape[1] :] = times[0], sums_
+                key, grams, values = _met(np.concatenate([ends, before], axis=1), values)
+            _save_rows(folder, f"{level}-{s}", key, values)
+            seen = np.flatnonzero(values[0])
+            grams, count = grams[:, seen], values[0, seen]
+            yield _sent([(-1, level, b"", np.array([(count == i).sum() for i in (1, 2, 3, 4)], np.int64).tobytes())])
+            if level > 2:
+                for part, value, kind in ((grams[1:], np.ones((1, len(count)), np.int64), 0), (*contexts(grams, count), 1)):
+                    _, part, value = _met(part, value)
+                    if len(value[0]):
+                        yield _sent(list(_dealt(part, value, kind, gram_shards)))
+                continue
+            out = []
+            kinds = [(0, grams[0], count)]
+            kinds += [(i, grams[0][pick], np.ones(int(pick.sum()), np.int64)) for i, pick in ((1, count == 1), (2, count == 2), (3, count >= 3))]
+            kinds.append((4, grams[1], np.ones(len(count), np.int64)))
             for kind, word, value in kinds:
                 word, value = _summed([word], [value])
-                block = word // np.uint64(WORDS_A_BLOCK)
+                block = word // np.uint32(WORDS_A_BLOCK)
                 cut = [0, *(np.flatnonzero(np.diff(block)) + 1), len(word)]
                 for i, j in zip(cut[:-1], cut[1:], strict=True):
                     if j > i:
-                        for x, v in zip(out, (int(block[i]), kind, _planes((word[i:j] % np.uint64(WORDS_A_BLOCK)).astype(np.uint32)), _planes(value[i:j])), strict=True):
-                            x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, sums, strict=True)], schema=sums)
+                        out.append((int(block[i]), kind, _planes((word[i:j] % np.uint32(WORDS_A_BLOCK)).astype(np.uint32)), _planes(value[i:j])))
+            if out:
+                yield _sent(out)
 
     def write_blocks(batches):
         for block, rows in _by_group(batches):
             if block < 0:
-                n = sum(np.frombuffer(v, np.int64) for _, _, v in rows)
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([0], pa.int64())], names=["kind", "n", "total"])
+                for level in sorted({level for level, _, _ in rows}):
+                    n = sum(np.frombuffer(v, np.int64) for x, _, v in rows if x == level)
+                    yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([0], pa.int64())], names=["kind", "n", "total"])
                 continue
             total = np.zeros((5, min(WORDS_A_BLOCK, known + 1 - block * WORDS_A_BLOCK)), np.int64)
             for kind, keys, values in rows:
@@ -269,14 +370,15 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int) ->
             n = np.array([(total[4] == i).sum() for i in (1, 2, 3, 4)] + [(total[4] == 1).sum(), (total[4] == 2).sum(), (total[4] >= 3).sum()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([int(total[4].sum())], pa.int64())], names=["kind", "n", "total"])
 
-    met = docs.mapInArrow(count_pairs, packed).repartition("shard").sortWithinPartitions("shard")
-    parts = met.mapInArrow(write_pairs, "block int, kind int, keys binary, values binary").repartition("block").sortWithinPartitions("block")
-    told = parts.mapInArrow(write_blocks, "kind int, n binary, total long").collect()
+    parts = docs.mapInArrow(count_grams, _PACKED_DDL)
+    for level in range(order, 1, -1):
+        parts = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it, level=level: write_grams(level, it), _PACKED_DDL)
+    told = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(write_blocks, "kind int, n binary, total long").collect()
     of = lambda kind, size: sum((np.frombuffer(r.n, np.int64) for r in told if r.kind == kind), np.zeros(size, np.int64))
     lower = of(1, 7)
     d_low = discounts(lower[:4])
     kinds = sum(r.total for r in told if r.kind == 1)
-    return {"folder": folder, "firsts": firsts, "pair_shards": pair_shards, "blocks": blocks, "words": known, "tokens": tokens, "d": discounts(of(0, 4)), "d_low": d_low, "pair_kinds": kinds, "spare": float((d_low * lower[4:]).sum() / kinds) if kinds else 1.0}
+    return {"folder": folder, "firsts": firsts, "order": order, "gram_shards": gram_shards, "blocks": blocks, "words": known, "tokens": tokens, "d": {k: discounts(of(k, 4)) for k in range(2, order + 1)}, "d_low": d_low, "pair_kinds": kinds, "spare": float((d_low * lower[4:]).sum() / kinds) if kinds else 1.0}
 
 
 class Scorer:
@@ -296,40 +398,48 @@ class Scorer:
                 out[:, own] = raw.reshape(5, width)[:, number[own] % WORDS_A_BLOCK]
         return out
 
+    def _rows(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Rows times, and below the highest order total, n1, n2, n3+ as a context, of each n-gram; zeros for unknown ones."""
+        keys, back = np.unique(keys, return_inverse=True)
+        out = np.zeros((1 if level == self.m["order"] else 5, len(keys)), np.int64)
+        for s, own, place, there in self.files.find(f"keys{level}", self.m["gram_shards"], keys, mix(keys)):
+            rows = self.files.get(f"rows{level}-{s}", np.int64).reshape(len(out), -1)
+            code = self.files.get(f"codes{level}-{s}", _code_kind(rows.shape[1]))
+            out[:, own[there]] = rows[:, code[place[there]]]
+        return out[:, back]
+
     def scores(self, texts: list) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base score and score of each text."""
         m = self.m
         token, at = _tokens([], texts)
         number, count = self.words.numbers(token)
         base = np.log10((count + 1) / (m["tokens"] + m["words"] + 1))
-        keys, back = np.unique(_pairs(number, at, m["words"]), return_inverse=True)
-        times = np.zeros(len(keys), np.int64)
-        for s, own, place, there in self.files.find("pairs", m["pair_shards"], keys, mix(keys)):
-            got = self.files.get(f"times-{s}", np.uint8)[place[there]].astype(np.int64)
-            often = self.files.get(f"often-{s}", np.int64).reshape(2, -1)
-            many = np.flatnonzero(got == 255)
-            got[many] = often[1][np.searchsorted(often[0], place[there][many])]
-            times[own[there]] = got
-        word, context = (keys & _LOW).astype(np.int64), (keys >> np.uint64(32)).astype(np.int64)
-        of_word, w = np.unique(word, return_inverse=True)
-        of_context, c = np.unique(context, return_inverse=True)
+        grams = _grams(number, at, m["words"], m["order"])
+        of_word, w = np.unique(number, return_inverse=True)
+        of_context, c = np.unique(grams[-2].astype(np.int64), return_inverse=True)
         follows = self._sums(of_word)[4]
-        d, d_low = np.concatenate([[0], m["d"]]), np.concatenate([[0], m["d_low"]])
-        kinds = max(m["pair_kinds"], 1)
-        low = ((follows - d_low[np.minimum(follows, 3)]) / kinds + m["spare"] / (m["words"] + 1))[w]
-        total, n1, n2, n3, _ = self._sums(of_context)
-        safe = np.maximum(total, 1)
-        back_off = np.where(total > 0, (m["d"][0] * n1 + m["d"][1] * n2 + m["d"][2] * n3) / safe, 1.0)[c]
-        p = (times - d[np.minimum(times, 3)]) / safe[c] + back_off * low
-        score = np.log10(p)[back]
+        d_low = np.concatenate([[0], m["d_low"]])
+        p = ((follows - d_low[np.minimum(follows, 3)]) / max(m["pair_kinds"], 1) + m["spare"] / (m["words"] + 1))[w]
+        before = self._sums(of_context)[:4, c]
+        for level in range(2, m["order"] + 1):
+            own = _key(grams[-level:])
+            if level < m["order"]:
+                own = np.concatenate([own, _key(grams[-level - 1 : -1])])
+            found = self._rows(level, own)
+            times, (total, n1, n2, n3), d = found[0, : len(p)], before, np.concatenate([[0], m["d"][level]])
+            safe = np.maximum(total, 1)
+            back_off = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / safe, 1.0)
+            p = (times - d[np.minimum(times, 3)]) / safe + back_off * p
+            before = found[1:, len(p) :]
+        score = np.log10(p)
         add = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.empty(0)
         return np.diff(at), add((count > 0).astype(np.int64)), add(base), add(score)
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
     """One row for each row of df: identifier, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     tune(df.sparkSession)
-    model = train(df, id_col, text_col, modulus, held)
+    model = train(df, id_col, text_col, modulus, held, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

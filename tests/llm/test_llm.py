@@ -226,6 +226,37 @@ def test_language_model(spark):
     assert all(r.score <= 0 for r in out)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_order(spark, order):
+    rows = [*ODD, *((i, words(rng.randint(1, 60), 3)) for i in range(20, 120))]
+    tokens = lambda t: [*[1] * (order - 1), *re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), 0]
+    grams = lambda t, n: [tuple(tokens(t)[i - n + 1 : i + 1]) for i in range(order - 1, len(tokens(t)))]
+    train = [t for d, t in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
+    count = {order: collections.Counter(g for t in train for g in grams(t, order))}
+    for n in range(order - 1, 0, -1):
+        count[n] = collections.Counter(g[1:] for g in count[n + 1])
+    known, d, after = len({w for t in train for w in tokens(t)} - {1}), {}, collections.defaultdict(list)
+    for n, c in count.items():
+        of = [sum(x == i for x in c.values()) for i in range(5)]
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else None
+        d[n] = [0, *((min(max(i - (i + 1) * y * of[i + 1] / of[i] if of[i] else i / 2, 0.1), i - 0.05) for i in (1, 2, 3)) if y else (0.5, 1.0, 1.5))]
+        for g, x in c.items():
+            after[g[:-1]].append((n, x))
+
+    def p(g):
+        if not g:
+            return 1 / (known + 1)
+        n, seen = len(g), [x for m, x in after[g[:-1]] if m == len(g)]
+        if not seen:
+            return p(g[1:])
+        x = count[n][g]
+        return (x - d[n][min(x, 3)] + sum(d[n][min(i, 3)] for i in seen) * p(g[1:])) / sum(seen)
+
+    want = [(i, round(sum(np.log10(p(g)) for g in grams(t, order)), 5)) for i, t in rows]
+    out = lm_scores(docs(spark, rows), order=order).collect()
+    assert sorted(((r.doc_id, round(r.score, 5)) for r in out), key=str) == sorted(want, key=str)
+
+
 def test_toxicity_held_out():
     good = [words(rng.randint(3, 80)) for _ in range(300)]
     bad = [" ".join([*(w := words(rng.randint(3, 40)).split())[: len(w) // 2], "vequ" + words(1), *w[len(w) // 2 :]]) for _ in range(200)]
