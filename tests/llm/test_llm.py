@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteatlas.llm import extraction, imatch, packing, toxicity
+from siteatlas.llm import extraction, imatch, jaccard_join, mixing, packing, toxicity
 from siteatlas.llm.exact_dedup import RadixTrie, deduplicated, exact_dedup
 from siteatlas.llm.imatch import edited_fingerprints
 from siteatlas.llm.jaccard_join import jaccard_components
@@ -332,3 +332,120 @@ def test_pipeline_stages(spark):
     near = p.drop_near_copies(spark, all_docs, sf)
     assert near.count() == jaccard_components(all_docs).select("component_id").distinct().count()
     assert p.run(spark, sf).count() > 0
+
+
+def plain_toxicity(net, text):
+    read, best, H = toxicity.words_of(text or ""), 0.0, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    seen = {w: net.p["emb"][toxicity._features([w])[0]].mean(axis=0) for w in set(read)}
+    for begin in toxicity.windows_of(len(read)) if read else []:
+        own, states = read[begin : begin + toxicity.WINDOW], {}
+        for d, order in (("f", range(len(own))), ("b", range(len(own) - 1, -1, -1))):
+            h, states[d] = np.zeros(H), np.zeros((len(own), H))
+            for t in order:
+                x, u = seen[own[t]] @ net.p[d + "W"] + net.p[d + "b"], h @ net.p[d + "U"]
+                z, r = sig(x[:H] + u[:H]), sig(x[H : 2 * H] + u[H : 2 * H])
+                n = np.tanh(x[2 * H :] + r * u[2 * H :])
+                states[d][t] = h = (1 - z) * n + z * h
+        both = np.concatenate([states["f"], states["b"]], axis=1)
+        e = np.exp(np.tanh(both @ net.p["A"] + net.p["a"]) @ net.p["v"])
+        best = max(best, sig((e / e.sum()) @ both @ net.p["w"] + net.p["c"][0]))
+    return best
+
+
+def plain_near_copies(rows, words_, percent):
+    sets, root = [], list(range(len(rows)))
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets.append({tuple(w[i : i + words_]) for i in range(max(1, len(w) - words_ + 1))} if w else set())
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    return [r for i, r in enumerate(rows) if not sets[i] or least[find(i)] == r.doc_id]
+
+
+def plain_mix(rows, percent, epochs):
+    def shares(tokens, given, weights):
+        out, left, order = {}, given, sorted(tokens, key=lambda c: (tokens[c] * epochs // weights.get(c, 10), tokens[c] * epochs % weights.get(c, 10) * 1000000 // weights.get(c, 10), c))
+        for i, c in enumerate(order):
+            w, cap, rest = weights.get(c, 10), tokens[c] * epochs, sum(weights.get(x, 10) for x in order[i:])
+            if cap * rest > w * left:
+                return out | {x: weights.get(x, 10) * left // rest for x in order[i:]}
+            out[c], left = cap, left - cap
+        return out
+
+    tree, leaves, n = collections.defaultdict(lambda: collections.defaultdict(collections.Counter)), collections.defaultdict(list), {}
+    for r in rows:
+        n[r] = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        source = r.source or "(none)"
+        m = re.search("([0-9]{1,9})$", source)
+        leaf = (f"d{int(m[1]) % 4}" if m else "other", r.lang or "(none)", source)
+        tree[leaf[0]][leaf[1]][leaf[2]] += n[r]
+        leaves[leaf].append(r)
+    W, of = mixing.WEIGHTS, lambda langs: sum(sum(x.values()) for x in langs.values())
+    kept = []
+    for domain, given in shares({d: of(x) for d, x in tree.items()}, sum(n.values()) * percent // 100, W["domain"]).items():
+        for lang, own in shares({g: sum(x.values()) for g, x in tree[domain].items()}, given, W["lang"]).items():
+            for source, budget in shares(tree[domain][lang], own, W["source"]).items():
+                tokens = tree[domain][lang][source]
+                whole, part = divmod(budget, tokens) if tokens else (0, 0)
+                place = 0
+                for r in sorted(leaves[domain, lang, source], key=lambda r: (hashlib.md5(f"{mixing.SEED}|{whole}|{r.doc_id}".encode()).hexdigest(), r.doc_id, n[r])):
+                    if whole or place < part:
+                        kept.append(r)
+                    place += n[r]
+    return kept
+
+
+def test_pipeline_against_plain_version(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    start = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = start.collect()
+    assert len({r.doc_id for r in rows}) == len(rows) and None not in {r.doc_id for r in rows}
+    net = toxicity.train(start, spark.read.parquet(f"{sf}/labels.parquet"))
+    first = {}
+
+    def toxic(rows):
+        return [r for r in rows if plain_toxicity(net, r.text) < toxicity.THRESHOLD]
+
+    def copies(rows):
+        for r in sorted(rows, key=lambda r: r.doc_id):
+            first.setdefault(r.text or "", r)
+        return list(first.values())
+
+    plain = [toxic, copies, lambda rows: plain_near_copies(rows, jaccard_join.WORDS, jaccard_join.PERCENT), lambda rows: plain_mix(rows, p.MIX_PERCENT, p.MIX_EPOCHS)]
+    docs_, sizes = start, [len(rows)]
+    for i, ((name, stage), keep) in enumerate(zip(p.STAGES[:4], plain, strict=True)):
+        stage(spark, docs_, sf).write.parquet(f"{tmp_path}/{i}")
+        docs_, rows = spark.read.parquet(f"{tmp_path}/{i}"), keep(rows)
+        assert sorted(docs_.collect()) == sorted(rows), name
+        sizes.append(len(rows))
+    assert all(a > b for a, b in zip(sizes, sizes[1:], strict=False)), sizes
+    tokenizer, want = Tokenizer.from_file(packing.vocabulary_path()), collections.Counter()
+    for r in rows:
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[s : s + 2048], dtype="<u4")
+            want[(r.doc_id, k, s, len(part), zlib.crc32(part.tobytes()))] += 1
+    for out in (p.STAGES[4][1](spark, docs_, sf).collect(), p.run(spark, sf).collect()):
+        assert collections.Counter(tuple(r)[:5] for r in out) == want
+        full = collections.defaultdict(list)
+        for r in out:
+            full[r.sequence_id].append((r.offset, r.length))
+        for parts in full.values():
+            assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1]) and sum(n for _, n in parts) <= 2048
