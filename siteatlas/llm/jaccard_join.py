@@ -6,19 +6,26 @@ document, rare ones, and frequent ones, which more than FREQUENT documents
 hold. In this order, then by hash, two sets that are alike share
 min(EXTEND, ceil(threshold * n)) tokens within their prefixes of
 n - ceil(threshold * n) + EXTEND tokens, n the greater set's size where it
-counts. Rare tokens, and frequent ones that join few components, are indexed
-singly, and pairs must meet at as many of them; of frequent tokens that join
-many components, combinations of two are indexed, and a pair that has such
-tokens is tried wherever it meets.
+counts. Rare tokens, and frequent ones that few sets outside of their greatest
+component hold, are indexed singly; of the other frequent tokens, combinations
+of two are indexed. Sets that are alike share two tokens of their prefixes, so
+they meet at a single token or at a combination.
 
 Only links decide components, so pairs of one component needn't all be tried:
 first each token's holders are verified against two of them, the least and the
 one with the greatest share of repeated tokens (what copies were made from has
-no edits of its own), then the holders of a token that are still in different
-components against each other. There a bitmap of each set bounds the
-intersection from above: a bit that one set has and the other lacks stands for
-a token that they don't share. Pairs whose bound is under the threshold can't
-be linked and are never rows; the others are verified on whole sets.
+no edits of its own). Then the holders of a token that are still in different
+components are compared by a bitmap of each set, which bounds the intersection
+from above: a bit that one set has and the other lacks stands for a token that
+they don't share. A task gives a forest over the pairs within the bound, so
+never more pairs than it has rows; trees of all tokens join to clusters, and
+every link that is left lies in one of them. Each cluster's whole sets meet
+once and are verified there, components joining as links are found.
+
+A token or cluster of many sets is dealt to parts in blocks, those of its
+greatest component apart; blocks of that component meet the others, never each
+other. What is sent is in proportion to the sets while the others are one block,
+beyond that to the sets times the number of blocks; memory is two blocks.
 
 Tokens are 64-bit hashes of shingles, nodes 64-bit hashes of sets. Broadcasts
 are bitmaps of 2^26 and 2^27 bits at any size.
@@ -35,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteatlas.llm.components import components
@@ -45,7 +52,7 @@ from siteatlas.llm.textops import mix, shingles, word_hashes
 
 WORDS, PERCENT = 5, 80
 FREQUENT, FEW, EXTEND, SHARDS = 8, 4096, 6, 64
-SKETCH = 1024
+SKETCH, PART, TOKENS = 1024, 4096, 2_000_000
 BITS, REPEAT_BITS = 26, 27
 _KEPT = ~np.uint64((1 << 24) - 1)
 
@@ -70,9 +77,9 @@ def _node(tokens: np.ndarray) -> int:
     return int((h | np.uint64(1)).view(np.int64)[0])
 
 
-def _sketch(tokens: np.ndarray) -> bytes:
-    flags = np.zeros(SKETCH, np.uint8)
-    flags[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)] = 1
+def _sketch(tokens: np.ndarray, bits: int = SKETCH) -> bytes:
+    flags = np.zeros(bits, np.uint8)
+    flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags).tobytes()
 
 
@@ -123,10 +130,9 @@ def node_bitmap(nodes: DataFrame) -> np.ndarray:
     return _bitmap([(r.shard, r.bits) for r in told])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of distinct pairs (u, v) of nodes, those that are alike."""
-    pairs = durable(pairs, "pairs")
-    wanted = docs.sparkSession.sparkContext.broadcast(node_bitmap(pairs.select(F.explode(F.array("u", "v")).alias("node"))))
+def whole_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Rows node, tokens of each of these nodes; of some others too, where slots are shared."""
+    wanted = docs.sparkSession.sparkContext.broadcast(node_bitmap(nodes))
 
     def give(batches):
         bitmap, seen = wanted.value, set()
@@ -143,56 +149,128 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["node", "tokens"])
 
-    sets = docs.select("text").mapInArrow(give, "node long, tokens binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(give, "node long, tokens binary").dropDuplicates(["node"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    place = np.searchsorted(x, y)
+    n = int((x[np.minimum(place, len(x) - 1)] == y).sum())
+    return 100 * n >= percent * (len(x) + len(y) - n)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of distinct pairs (u, v) of nodes, those that are alike."""
+    pairs = durable(pairs, "pairs")
+    sets = whole_sets(pairs.select(F.explode(F.array("u", "v")).alias("node")), docs, words)
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u")
 
     def test(batches):
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in (2, 3))
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                place = np.searchsorted(x, y)
-                n = int((x[np.minimum(place, len(x) - 1)] == y).sum())
-                keep.append(100 * n >= percent * (len(x) + len(y) - n))
+            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return durable(both.select("u", "v", "a", "b").mapInArrow(test, "u long, v long"), "links")
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int, few: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node, n, comp, sketch) by token: pairs of one token and different components that can be alike, and at how many tokens they must meet; the token itself where more than `few` components hold it."""
+def dealt(rows: DataFrame, key: str, weight: Column) -> DataFrame:
+    """Rows (key, node, comp, ...) of keys that several components hold, with the columns minor (not of the key's greatest component) and others, most (weight of the minor rows and of the rest)."""
+    own = rows.groupBy(key, "comp").agg(F.sum(weight).alias("w"))
+    told = own.groupBy(key).agg(F.sum("w").alias("w"), F.max(F.struct("w", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    told = told.select(key, "top.comp", (F.col("w") - F.col("top.w")).alias("others"), F.col("top.w").alias("most")).withColumnRenamed("comp", "top")
+    return rows.join(told, key).withColumn("minor", F.col("comp") != F.col("top")).drop("top")
+
+
+def parted(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of dealt() in blocks of about `size` in weight, the minor ones apart; each two blocks of which one is minor meet in one part (salt), a minor block with itself where it meets the first of the others."""
+    few, many = (F.ceil(F.col(c) / size).cast("int") for c in ("others", "most"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), few).otherwise(many)).cast("int")
+    part = lambda a, x: F.struct((a * (few + many) + x).alias("salt"), (x == 0).alias("first"))
+    met = F.concat(F.transform(F.sequence(F.lit(0), many - 1), lambda x: part(block, x)), F.transform(F.filter(F.sequence(F.lit(0), few - 1), lambda x: x != block), lambda x: part(F.least(block, x), many + F.greatest(block, x))))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("minor"), met).otherwise(F.transform(F.sequence(F.lit(0), few - 1), lambda a: part(a, block)))))
+    return rows.select("*", "part.*", F.when(F.col("minor"), block).otherwise(-1).alias("block")).drop("part", "minor", "others", "most")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Of consecutive rows (key, salt, node, n, comp, block, first, data): the data, nodes, sizes, components, blocks, whether blocks meet themselves."""
+
+    def told(rows):
+        node, n, comp, block, first, data = zip(*rows, strict=True)
+        return data, *(np.array(x, np.int64) for x in (node, n, comp, block)), first[0]
+
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if row[:2] != now:
+                if rows:
+                    yield told(rows)
+                now, rows = row[:2], []
+            rows.append(row[2:])
+    if rows:
+        yield told(rows)
+
+
+def _pairs_out(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    least = lambda n: -(-percent * n // 100)
-    for token, rows in _by_group(batches):
-        if len(rows) < 2:
-            continue
-        *numbers, sketches = zip(*rows, strict=True)
-        node, n, comp = (np.array(x, np.int64) for x in numbers)
-        kinds, back, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(kinds) < 2:
-            continue
-        if few is not None and len(kinds) > few:
-            out.append((token, None, None, None))
-        else:
-            order = np.argsort(-sizes[back], kind="stable")
-            node, n, comp = node[order], n[order], comp[order]
-            bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(node), -1)[order]
-            for i in range(int(sizes.max()) if (sizes == sizes.max()).sum() == 1 else 1, len(node)):
-                j = np.flatnonzero((comp[:i] != comp[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-                mine, theirs = bits[i], bits[j]
-                most = np.minimum(n[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[j] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
-                j = j[(100 + percent) * most >= percent * (n[i] + n[j])]
-                out += [(None, max(int(node[i]), x), min(int(node[i]), x), min(EXTEND, least(max(int(n[i]), m)))) for x, m in zip(node[j].tolist(), n[j].tolist(), strict=True)]
-        while len(out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[:10_000], strict=True)], names=["big", "u", "v", "need"])
-            out = out[10_000:]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["u", "v"])
+    for pair in found:
+        out.append(pair)
+        if len(out) == 10_000:
+            yield batch()
+            out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["big", "u", "v", "need"])
+        yield batch()
+
+
+def _partners(i: int, differ: np.ndarray, n: np.ndarray, block: np.ndarray, first: bool, percent: int) -> np.ndarray:
+    """Places that the minor set i is tried with in this part, as far as sizes allow."""
+    ok = differ & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+    minor = block >= 0
+    if not first:
+        ok &= block != block[i]
+    ok[i:] &= ~minor[i:]
+    return np.flatnonzero(ok)
+
+
+def _most(i: int, j: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Bounds of the intersections of i and j from above."""
+    mine, theirs = bits[i], bits[j]
+    return np.minimum(n[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), n[j] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
+    """Of parts of tokens, with sketches: a forest over the pairs that can be alike, so fewer pairs than rows."""
+    for data, node, n, comp, block, first in _by_part(batches):
+        bits, tree = np.frombuffer(b"".join(data), np.uint64).reshape(len(node), -1), np.arange(len(node))
+        for i in np.flatnonzero(block >= 0):
+            j = _partners(i, (comp != comp[i]) & (tree != tree[i]), n, block, first, percent)
+            j = j[(100 + percent) * _most(i, j, n, bits) >= percent * (n[i] + n[j])]
+            trees, least = np.unique(tree[j], return_index=True)
+            for k in j[least]:
+                yield int(node[i]), int(node[k])
+            tree[np.isin(tree, trees)] = tree[i]
+
+
+def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
+    """Of parts of clusters, with whole sets: verified pairs, one at most for two components as they then are."""
+    for data, node, n, comp, block, first in _by_part(batches):
+        sets = [np.frombuffer(x, np.uint64) for x in data]
+        wide = 1 << int(np.clip(8 * int(np.median(n)) - 1, SKETCH - 1, (1 << 15) - 1)).bit_length()
+        bits = np.frombuffer(b"".join(_sketch(s, wide) for s in sets), np.uint64).reshape(len(node), -1)
+        for i in np.flatnonzero(block >= 0):
+            j = _partners(i, comp != comp[i], n, block, first, percent)
+            most = _most(i, j, n, bits)
+            can = (100 + percent) * most >= percent * (n[i] + n[j])
+            for k in j[can][np.argsort(-most[can], kind="stable")]:
+                if comp[k] != comp[i] and _alike(sets[i], sets[k], percent):
+                    yield int(node[i]), int(node[k])
+                    comp[comp == comp[k]] = comp[i]
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of df: identifier, n_shingles, component_id."""
+    """One row for each row of df: identifier, n_shingles, component_id. percent is over 50."""
+    if percent <= 50:
+        raise ValueError(f"percent {percent}; unlike sets that are alike share two tokens only above 50")
     spark = df.sparkSession
     tune(spark)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
@@ -230,19 +308,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = components(first)
 
     comp = held.select("token", "node", "n").join(found, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    kinds = comp.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    comp = durable(comp.join(kinds, "token", "left_semi").join(sets.select("node", "sketch"), "node").select("token", "node", "n", "comp", "sketch"), "holders")
-    across = "big long, u long, v long, need long"
-    met = lambda holders, few: holders.repartition("token").sortWithinPartitions("token").mapInArrow(lambda it: _across(it, percent, few), across)
-    single = durable(met(comp, FEW), "across")
-    big = single.where("big is not null").select(F.col("big").alias("token"))
-    sets = comp.join(big, "token").groupBy("node", "n", "comp").agg(F.collect_set("token").alias("tokens"), F.first("sketch").alias("sketch"))
+    holders = durable(dealt(comp, "token", F.lit(1)), "holders")
+    sketches = sets.select("node", "sketch")
+    columns = ["salt", "node", "n", "comp", "block", "first"]
+
+    def candidates(holders):
+        near = parted(holders, PART).join(sketches, "node").select("token", *columns, "sketch")
+        return near.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(lambda it: _pairs_out(_candidates(it, percent)), "u long, v long")
+
+    several = holders.where(F.col("others") > FEW).groupBy("node", "n", "comp").agg(F.collect_set("token").alias("tokens"))
     many = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    pairs = met(sets.select(F.explode(many).alias("token"), "node", "n", "comp", "sketch"), None)
-    near = single.where("big is null").groupBy("u", "v").agg((F.count("*") >= F.max("need")).alias("enough"))
-    in_big = lambda c: near.where("not enough").join(sets.select(F.col("node").alias(c)), c, "left_semi")
-    rest = near.where("enough").select("u", "v").unionByName(in_big("u").select("u", "v")).unionByName(in_big("v").select("u", "v")).unionByName(pairs.select("u", "v")).distinct()
-    second = verified(rest, docs, words, percent)
+    combined = durable(dealt(several.select(F.explode(many).alias("token"), "node", "n", "comp"), "token", F.lit(1)), "combinations")
+    near = durable(candidates(holders.where(F.col("others") <= FEW)).unionByName(candidates(combined)), "candidates")
+
+    nodes = components(near).select("node", F.col("comp").alias("cluster")).join(sets.select("node", "n"), "node").join(found, "node", "left")
+    nodes = durable(nodes.select("node", "n", "cluster", F.coalesce("comp", "node").alias("comp")), "clusters")
+    parts = parted(dealt(nodes, "cluster", F.col("n")), TOKENS).join(whole_sets(nodes.select("node"), docs, words), "node").select("cluster", *columns, "tokens")
+    parts = parts.repartition("cluster", "salt").sortWithinPartitions("cluster", "salt")
+    second = durable(parts.mapInArrow(lambda it: _pairs_out(_links(it, percent)), "u long, v long"), "links")
     hung = found.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
     final = components(hung.unionByName(second))
 

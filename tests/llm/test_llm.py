@@ -71,11 +71,12 @@ def test_dedup_keeps_columns(spark):
     assert [tuple(r) for r in deduplicated(df).collect()] == [(1, "x", "r1", "o")]
 
 
-def test_jaccard(spark):
-    rows, sets = made(), []
+def plain_components(rows, k, percent):
+    """Rows (doc_id, set size, least identifier that links reach)."""
+    sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
     root = list(range(len(rows)))
 
     def find(i):
@@ -85,14 +86,47 @@ def test_jaccard(spark):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    want = [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
-    assert got(jaccard_components(docs(spark, rows), words=4, percent=85), "doc_id", "n_shingles", "component_id") == sorted(want, key=str)
+    return sorted(((d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def hot_copies(groups, copies, least, most, size):
+    """Copies of a few texts with some words changed: many are just under the threshold."""
+    some, out = random.Random(groups * copies), []
+    for g in range(groups):
+        base = [f"g{g}w{some.randrange(400)}" for _ in range(size)]
+        for _ in range(copies):
+            b = list(base)
+            for i in some.sample(range(size), some.randint(least, most)):
+                b[i] = f"c{some.randrange(10**6)}"
+            out.append((1000 + len(out), " ".join(b)))
+    some.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("few", "part", "tokens", "frequent"), [(4096, 4096, 2_000_000, 8), (2, 3, 400, 2), (4096, 5, 200, 8)])
+def test_jaccard(spark, monkeypatch, few, part, tokens, frequent):
+    for name, value in (("FEW", few), ("PART", part), ("TOKENS", tokens), ("FREQUENT", frequent)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = made() + hot_copies(3, 25, 0, 4, 70)
+    assert got(jaccard_components(docs(spark, rows), words=4, percent=85), "doc_id", "n_shingles", "component_id") == plain_components(rows, 4, 85)
+
+
+def test_jaccard_candidates_grow_with_rows(spark, monkeypatch):
+    """Five times as many near copies that aren't linked give about five times the candidates, not the square."""
+    made_, keep = {}, jaccard_join.durable
+    monkeypatch.setattr(jaccard_join, "durable", lambda df, label: made_.__setitem__(label, out := keep(df, label)) or out)
+    counts = []
+    for copies in (40, 200):
+        rows = hot_copies(1, copies, 4, 4, 300)
+        assert got(jaccard_components(docs(spark, rows), words=4, percent=85), "doc_id", "n_shingles", "component_id") == plain_components(rows, 4, 85)
+        counts.append((made_["candidates"].count(), made_["holders"].count(), made_["candidates"].distinct().count()))
+    assert all(c <= h for c, h, _ in counts) and 0 < counts[1][0] <= 6 * counts[0][0], counts
 
 
 @pytest.mark.parametrize("hot", [8192, 2])
