@@ -7,7 +7,7 @@ from siteatlas.llm.jaccard_join import op7_jaccard_join
 from siteatlas.llm.kneser_ney import op6_kneser_ney
 from siteatlas.llm.mixing import OP8_SQL, op8_mix_sources
 from siteatlas.llm.packing import op9_best_fit_packing
-from siteatlas.llm.secrets import op2_secret_scan
+from siteatlas.llm.secrets import OP2_SQL, op2_secret_scan
 from siteatlas.llm.substrings import op10_suffix_dedup
 from siteatlas.llm.toxicity import op5_toxicity
 
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-SQL = {"op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
+SQL = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL}
