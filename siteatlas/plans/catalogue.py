@@ -32,6 +32,10 @@ class Spark:
     seq = staticmethod(lambda n, name: f"(select id as {name} from range({n}))")
     like = staticmethod(lambda x, re: f"{x} rlike '{re}'")
     bytes = staticmethod(lambda x: f"octet_length({x})")
+    arr = staticmethod(lambda *xs: f"array({', '.join(xs)})")
+    rec = staticmethod(lambda **kv: f"named_struct({', '.join(f'{k!r}, {v}' for k, v in kv.items())})")
+    compact = staticmethod(lambda x: f"array_compact({x})")
+    each = staticmethod(lambda x, name: f"lateral view explode({x}) _e as {name}")
     nl = "'\\n'"
 
 
@@ -49,6 +53,10 @@ class Duck:
     seq = staticmethod(lambda n, name: f"(select range as {name} from range({n}))")
     like = staticmethod(lambda x, re: f"regexp_matches({x}, '{re}')")
     bytes = staticmethod(lambda x: f"octet_length(encode({x}))")
+    arr = staticmethod(lambda *xs: f"[{', '.join(xs)}]")
+    rec = staticmethod(lambda **kv: "{" + ", ".join(f"{k!r}: {v}" for k, v in kv.items()) + "}")
+    compact = staticmethod(lambda x: f"list_filter({x}, lambda x: x is not null)")
+    each = staticmethod(lambda x, name: f", lateral (select unnest({x}) as {name})")
     nl = "chr(10)"
 
 
@@ -120,13 +128,6 @@ def section_balanced_rank(spark, sf_dir):
 
 
 plan("section_counts", lambda d: f"select {_SECTION} as section, count(*) as n from pages group by 1")
-plan("guide_suggestions", lambda d: f"select section, n from (select lower({_SECTION}) as section, count(*) as n, min(page_id) as first from pages group by 1) where section in ({', '.join(map(repr, urls.ELIGIBLE))}) and n >= 3 order by n desc, first limit 3")
-plan("scope_contains", lambda d: f"select page_id, {_PATH} = s or {_PATH} like s || '/%' as inside from (select page_id, url, '/' || {_SECTION} as s from (select page_id, url from pages))")
-plan("html_title", lambda d: "select page_id, substr(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), 1, 500) as title from pages")
-plan("html_links", lambda d: f"select page_id, {d.size(d.all('html', 'href=.[^ >]*'))} as n_links from pages")
-plan("usable_evidence", lambda d: "select page_id, length(trim(html)) >= 40 as usable from pages")
-plan("content_hash", lambda d: f"select doc_id, {d.sha("concat_ws('|', trim(regexp_replace(text, '[ ]+', ' ')), lang)" if d is Spark else "concat_ws('|', trim(regexp_replace(text, '[ ]+', ' ', 'g')), lang)")} as hash from documents")
-plan("cacheable_storage", lambda d: "select page_id, case when page_id % 7 = 0 then 'not stored: Cache-Control private/no-store' when page_id % 5 = 0 then 'not stored: unsupported Vary' when page_id % 3 < 2 then 'stored with validator' else 'stored without validator' end as label from pages")
 
 _OBS = """stored as (select url, md5(url) as hash, cast(page_id % 2 as bigint) as n from pages where page_id % 4 <> 0),
 observed as (select url, case when page_id % 5 = 1 then 'not-found' when page_id % 5 = 2 then 'unavailable' else 'ok' end as outcome, case when page_id % 6 = 3 then md5(url || 'x') else md5(url) end as hash from pages where page_id % 9 <> 8)"""
@@ -156,14 +157,10 @@ def reconcile_summary(spark, sf_dir):
 
 
 plan("snapshot_status", lambda d: _RECONCILED + " select case when count(*) filter (where change <> 'none') = 0 then 'complete' when count(hash) = 0 then 'failed' else 'partial' end as status, count(hash) as kept from k")
-plan("snapshot_merge", lambda d: f"with {_OBS}, u as (select url, hash, 1 as p from observed where outcome = 'ok' union all select url, hash, 0 as p from stored), r as (select url, hash, p, row_number() over (partition by url order by p desc) as k from u) select url, hash, p = 1 as fresh from r where k = 1")
-plan("change_inbox", lambda d: _RECONCILED + f" select {_SECTION} as section, change, count(*) as n, min(url) as first_url from k where change <> 'none' group by 1, 2")
 plan("not_found_streak", lambda d: f"""with o as (select page_id, r, case when (page_id + r) % 3 = 0 then 'not-found' when (page_id * r) % 4 = 1 then 'unavailable' else 'ok' end as outcome from pages cross join {d.seq(3, 'r')} t),
 g as (select *, sum(case when outcome = 'ok' then 1 else 0 end) over (partition by page_id order by r rows between unbounded preceding and current row) as island from o)
 select page_id, cast(r as bigint) as r, outcome, cast(sum(case when outcome = 'not-found' then 1 else 0 end) over (partition by page_id, island order by r rows between unbounded preceding and current row) as bigint) as streak from g""")
 plan("coverage_micro", lambda d: f"with {_OBS} select count(*) filter (where o.outcome = 'ok') as matched, count(*) as total, round(count(*) filter (where o.outcome = 'ok') * 1.0e0 / count(*), 6) as ratio from stored s left join observed o on s.url = o.url")
-plan("decision_review_flags", lambda d: "select l.doc_id, bool_or(d.doc_id is null or d.n_chars % 5 = 0) as needs_review from labels l left join documents d on l.doc_id = d.doc_id group by 1")
-plan("suppressed_topics", lambda d: "select d.doc_id, case when l.quality = 0 then 'dismissed' when l.toxic = 1 then 'pending' else 'answered' end as why from documents d join labels l on d.doc_id = l.doc_id where l.quality = 0 or l.toxic = 1 or d.n_chars > 1000")
 
 
 def _refresh(d):
@@ -179,16 +176,12 @@ plan("job_due", lambda d: f"with {_JOBS} select id, project from jobs where stat
 plan("job_claim_topk", lambda d: f"with {_JOBS}, c as (select *, row_number() over (partition by kind order by available_at, id) as k from jobs where attempt < 3 and ((status = 'pending' and available_at <= timestamp '1998-01-01 00:00:00') or (status = 'running' and available_at <= timestamp '1997-01-01 00:00:00'))) select id, project, kind, attempt + 1 as attempt, 'running' as status from c where k <= 5")
 plan("job_lease_sweep", lambda d: f"with {_JOBS} select status, swept, count(*) as n from (select case when status = 'running' and attempt >= 3 then 'failed' else status end as status, status = 'running' and attempt >= 3 as swept from jobs) group by 1, 2")
 plan("job_backoff", lambda d: f"with {_JOBS} select id, status = 'failed' and attempt < 3 as retry, least(300, 5 * cast(power(2, attempt) as bigint)) as delay_s from jobs")
-plan("job_enqueue_dedupe", lambda d: f"with {_JOBS}, r as (select *, row_number() over (partition by project order by case when status in ('pending', 'running') then 0 else 1 end, available_at, id) as k from jobs) select project, id, case when status in ('pending', 'running') then 'active' else 'insert' end as result from r where k = 1")
 plan("latest_job_status", lambda d: f"with {_JOBS}, r as (select *, row_number() over (partition by project order by available_at desc, id desc) as k from jobs) select c_custkey as project, coalesce(r.status, 'none') as status from customer left join r on c_custkey = r.project and r.k = 1")
-plan("publish_gate", lambda d: f"with {_JOBS}, a as (select project, count(*) as active from jobs where status in ('pending', 'running') and kind <> '5-LOW' group by 1) select c_custkey as project, a.active is null and c_acctbal > 0 as may_publish from customer left join a on c_custkey = a.project")
 plan("cache_retention", lambda d: "select event_id, user_id from (select event_id, user_id, ts, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k <= 100 and ts >= timestamp '2024-01-24 00:00:00'")
 plan("cache_upsert", lambda d: "select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) where k = 1")
 
 _TRIALS = "trials as (select l_returnflag as category, l_linestatus as split, l_orderkey as case_id, l_quantity as took, l_discount < 0.09 as passed from lineitem)"
 _SUMMARY = "count(*) as attempts, count(*) filter (where passed) as passed, count(distinct case_id) as cases, round(median(took), 6) as median_took"
-plan("run_summary", lambda d: f"with {_TRIALS}, o as (select took, row_number() over (order by took) as k, count(*) over () as n from trials) select {_SUMMARY}, (select min(took) from o where k = least(n - 1, cast(floor(n * 0.95) as bigint)) + 1) as p95_took from trials")
-plan("run_summary_groups", lambda d: f"with {_TRIALS} select category, split, {_SUMMARY} from trials group by grouping sets ((category), (split))")
 plan("consistent_cases", lambda d: f"with {_TRIALS} select category, count(*) as cases, count(*) filter (where ok) as consistent from (select category, case_id, bool_and(passed) as ok from trials group by 1, 2) group by 1")
 
 _STOP = ", ".join(map(repr, STOP))
@@ -225,22 +218,13 @@ def bm25_metrics(spark, sf_dir):
     return met.agg(F.count("*").alias("tasks"), F.count_if(F.col("best") == 1).alias("top1"), F.count("best").alias("top3"), F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0))), 6).alias("mrr"))
 
 
-plan("quote_match", lambda d: "select b.item_id, count(d.doc_id) as n_docs, coalesce(min(d.doc_id), -1) as first_doc from benchmark b left join documents d on contains(d.text, b.text) group by 1")
-plan("covering_guide", lambda d: f"with g as (select min(page_id) as guide, {_SECTION} as section from pages group by 2) select p.page_id, g.guide from (select page_id, url, {_SECTION} as section from pages) p left join g on p.section = g.section and g.section <> '(entry)'")
 
 _GUIDE = lambda d: f"guides as (select page_id, concat_ws({d.nl}, concat('# ', regexp_extract(html, '<title>([^<]*)</title>', 1)), '', concat('- [one](', url, '): about'), case when page_id % 3 = 0 then concat('- [one](', url, ')') else 'See https://example.com/plain for more.' end, case when page_id % 4 = 0 then concat_ws({d.nl}, '```', 'curl https://example.com/fenced', '```') else 'todo: write' end) as text from pages)"
 _LINES = lambda d: f"{_GUIDE(d)}, lines as (select page_id, {d.pos('k')} as k, line from guides {d.rows(d.lines('text'), 'k', 'line')})"
 plan("markdown_metrics", lambda d: f"with {_GUIDE(d)} select page_id, {d.bytes('text')} as bytes, {d.words('text')} as words, {d.size(d.lines('text'))} as lines, cast(ceil(length(text) / 4.0) as bigint) as approx_tokens from guides")
-plan("markdown_flags", lambda d: f"with {_LINES(d)} select page_id, count(*) filter (where {d.like('line', '^# ')}) <> 1 as odd_h1, count(*) filter (where contains(line, '](')) = 0 as no_links, count(*) filter (where contains(line, '](')) > 1 as repeated, bool_or(contains(lower(line), 'todo')) as placeholder from lines group by 1")
 plan("bare_urls", lambda d: f"with {_LINES(d)}, f as (select *, sum(case when line like '```%' then 1 else 0 end) over (partition by page_id order by k rows between unbounded preceding and current row) % 2 as fenced from lines) select page_id, k, regexp_extract(line, '(https?://[^ )]+)', 1) as url from f where fenced = 0 and not contains(line, '](') and contains(line, 'http')")
-plan("consolidate_links", lambda d: f"with {_LINES(d)} select page_id, {d.join('line', '|', 'k')} as kept from lines where not (line like '- [%' and page_id % 2 = 0) group by 1")
 plan("truncate_complete_line", lambda d: "select doc_id, case when length(text) <= 1000 then text else regexp_replace(substr(text, 1, 1000), '" + "\\\\n[^\\\\n]*\\\\z".replace("\\\\", "\\" if d is Duck else "\\\\") + "', '') end as cut from documents")
 plan("passages", lambda d: f"select doc_id, count(*) as n, min(length(line)) as shortest from (select doc_id, line from documents {d.rows(d.lines('substr(text, 1, 12000)'), 'k', 'line')}) where trim(line) <> '' group by 1")
-plan("render_guide", lambda d: f"select {_SECTION} as section, {d.join("concat('- [', regexp_extract(html, '<title>([^<]*)</title>', 1), '](<', url, '>)')", '|', 'page_id')} as body from pages group by 1")
-plan("validation_violations", lambda d: "select l.doc_id, 'unknown source' as rule from labels l left join documents d on l.doc_id = d.doc_id where d.doc_id is null union all select doc_id, 'repeated topic' as rule from documents where text in (select text from documents group by text having count(*) > 1)")
-plan("trial_outcomes", lambda d: "select conv_id, case when count(*) filter (where role = 'assistant' and trim(text) <> '') = 0 then 'abstained' when max(turn) >= 3 then 'citations_verified' else 'needs_review' end as outcome from conversations group by 1")
-plan("round_robin_limit", lambda d: "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by doc_id) as k from documents) order by k, source limit 50")
-plan("even_sample", lambda d: f"with r as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as k, count(*) over (partition by source) as n from documents) select distinct r.doc_id, r.source from r join {d.seq(12, 'i')} t on i < least(12, n) and r.k = {d.idiv('i * n', 'least(12, n)')}")
 plan("progress_changes", lambda d: "select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) where before is null or before <> event_type")
 plan("progress_latest", lambda d: "select user_id, max_by(event_type, event_id) as event_type, max(event_id) as event_id from events group by 1")
 plan("progress_recent", lambda d: "select event_id, count(*) over w as n, round(sum(value) over w, 4) as total from events window w as (partition by user_id order by ts, event_id rows between 5 preceding and current row)")

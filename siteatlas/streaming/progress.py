@@ -1,37 +1,112 @@
-"""The progress feed as a stream: a row wherever a user's event type changes."""
+"""The progress feed as streams, equal to their batch forms.
 
-from pyspark.sql import DataFrame
+Events are (user_id, event_id, ts, event_type). State by user keeps the last
+event's time and identifier; an event that comes after a later one of its user
+was told is late: it is counted in its state and gives no row.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CHANGES = "user_id long, event_id long, event_type string"
+_LAST = "ts timestamp, event_id long, event_type string, late long"
+HEARTBEAT_TICKS, LIFETIME_TICKS = 10, 60
 
-def _changes(key, frames, state):
-    import pandas as pd
 
-    last = state.get[0] if state.exists else None
-    rows = []
-    for pdf in frames:
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-            if r.event_type != last:
-                rows.append((key[0], r.event_id, r.event_type))
-                last = r.event_type
-    state.update((last,))
-    yield pd.DataFrame(rows, columns=["user_id", "event_id", "event_type"])
+def _changes(key, frames, state) -> Iterator[pd.DataFrame]:
+    last = state.get if state.exists else (None, None, None, 0)
+    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+    fresh = rows if last[0] is None else rows[(rows.ts > last[0]) | ((rows.ts == last[0]) & (rows.event_id > last[1]))]
+    late = last[3] + len(rows) - len(fresh)
+    if len(fresh):
+        before = fresh.event_type.shift()
+        before.iloc[0] = last[2]
+        changed = (fresh.event_type != before) & ~(fresh.event_type.isna() & before.isna())
+        if last[0] is None:
+            changed.iloc[0] = True
+        end = fresh.iloc[-1]
+        last = (end.ts.to_pydatetime(), int(end.event_id), end.event_type, late)
+        yield fresh[changed][["user_id", "event_id", "event_type"]]
+    state.update((*last[:3], late))
 
 
 def stage_changes(events: DataFrame) -> DataFrame:
-    """Of a stream of events (user_id, event_id, ts, event_type)."""
-    return events.groupBy("user_id").applyInPandasWithState(_changes, "user_id long, event_id long, event_type string", "last string", "append", "NoTimeout")
+    """Rows wherever a user's event type changes. One user's events of a micro-batch are sorted in one task."""
+    return events.groupBy("user_id").applyInPandasWithState(_changes, CHANGES, _LAST, "append", "NoTimeout")
+
+
+def once(events: DataFrame) -> DataFrame:
+    """At-least-once deliveries of an event as one, by its key within the watermark."""
+    return events.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+
+
+def latest(batch: DataFrame) -> DataFrame:
+    """The last event of each user: all that a slow reader of one slot sees of a micro-batch."""
+    return batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max(F.struct("ts", "event_id")).alias("at")).select("user_id", "at.event_id", "event_type")
+
+
+def ticks(changed: list[bool], heartbeat: int = HEARTBEAT_TICKS, lifetime: int = LIFETIME_TICKS) -> list[str]:
+    """What a feed sends at each tick: a payload where it changed, a heartbeat after so many idle ticks, and an end after its lifetime."""
+    out, idle = [], 0
+    for tick in changed[:lifetime]:
+        idle = 0 if tick else idle + 1
+        out.append("payload" if tick else "heartbeat" if idle and idle % heartbeat == 0 else "")
+    return [*out, "end"] if len(changed) >= lifetime else out
+
+
+def _leases(key, frames, state) -> Iterator[pd.DataFrame]:
+    token, until = state.get if state.exists else (None, None)
+    out = []
+    for r in pd.concat(list(frames)).sort_values(["at", "worker"], kind="stable").itertuples():
+        held = until is not None and r.at < until
+        ok = not held or r.worker == token
+        if ok:
+            token, until = r.worker, (r.at + pd.Timedelta(seconds=r.ttl)).to_pydatetime()
+        out.append((key[0], r.worker, r.at, ("renewed" if held else "claimed") if ok else "refused"))
+    state.update((token, until))
+    yield pd.DataFrame(out, columns=["job", "worker", "at", "result"])
+
+
+def leases(beats: DataFrame) -> DataFrame:
+    """beats: job, worker, at, ttl (seconds). Claims and renewals of leases: one worker holds a job until its lease ends, then any may."""
+    return beats.groupBy("job").applyInPandasWithState(_leases, "job long, worker string, at timestamp, result string", "token string, until timestamp", "append", "NoTimeout")
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster; a temporary one only in local mode."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="siteatlas-")
+
+
+def drained(spark: SparkSession, path: str, stream: Callable[[DataFrame], DataFrame], out: str, files: int = 1000) -> DataFrame:
+    """All files of a table once through the stream, so many in a micro-batch; what a run before has read isn't read again."""
+    table = spark.read.parquet(path)
+    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+    made = stream(events)
+    made.writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-log").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
+
+
+def audited(spark: SparkSession, events: DataFrame, out: str, epoch: Callable[[], DataFrame]) -> None:
+    """Appends events to the audit table, each micro-batch joined to the side table as it is then (user_id, epoch): a new epoch is read with the next micro-batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.join(epoch(), "user_id", "left").withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", out + "-log").trigger(availableNow=True).start().awaitTermination()
 
 
-def run_stage_changes(spark, sf_dir: str) -> DataFrame:
+def run_stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events once through the stream; the sink is a table in the shared folder."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    out = f"{base.rstrip('/')}/progress-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    query = stage_changes(events).writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-log").trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    return spark.read.schema("user_id long, event_id long, event_type string").parquet(out)
+    stream = lambda events: stage_changes(events.select("user_id", "event_id", F.col("ts").cast("timestamp"), "event_type"))
+    return drained(spark, f"{sf_dir}/events.parquet", stream, f"{folder(spark)}/progress-{uuid.uuid4().hex}")
