@@ -88,10 +88,18 @@ def folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="siteatlas-")
 
 
+def _source(spark: SparkSession, path: str) -> tuple[str, str]:
+    """A folder that a stream can read and the pattern of its files: a table is a folder of files or one file."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (path, "*") if system.getFileStatus(own).isDirectory() else (path.rsplit("/", 1)[0], own.getName())
+
+
 def drained(spark: SparkSession, path: str, stream: Callable[[DataFrame], DataFrame], out: str, files: int = 1000) -> DataFrame:
     """All files of a table once through the stream, so many in a micro-batch; what a run before has read isn't read again."""
     table = spark.read.parquet(path)
-    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
+    folder_, pattern = _source(spark, path)
+    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(folder_)
     made = stream(events)
     made.writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-log").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(made.schema).parquet(out)
