@@ -33,6 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def _numbers(raw: bytes, kind: type) -> np.ndarray:
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, count = key[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
     return key[first], np.add.reduceat(count, first) if len(key) else count
@@ -127,6 +129,16 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[lis
         yield now, rows
 
 
+def _blocks(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text, one row at least."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _tokens(ids: list, texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's words and its end, and where each text begins."""
     words, at = word_hashes([(t or "").encode() for t in texts])
@@ -197,7 +209,7 @@ def _key(grams: np.ndarray) -> np.ndarray:
 def _met(grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys in order, their n-grams and the sums of their columns of values."""
     key = _key(grams)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
     return key[first], grams[:, order[first]], np.add.reduceat(values[:, order], first, axis=1) if len(key) else values
@@ -207,20 +219,30 @@ _PACKED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.bi
 _PACKED_DDL = "shard int, kind int, keys binary, values binary"
 
 
+def _packed(rows) -> bytes:
+    """Planes of rows of numbers, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(_planes(row) for row in rows))
+
+
 def _dealt(grams: np.ndarray, values: np.ndarray, kind: int, shards: int) -> Iterator[tuple]:
-    """Rows of _PACKED, one for each shard that is reached, each sorted by its first words."""
+    """Rows of _PACKED, one for each shard that is reached, each sorted by its first words (by as many bits as one number holds)."""
     shard = _shard(mix(_key(grams)), shards)
-    order = np.lexsort((_key(grams[:2]), shard))
+    width = int(grams[:2].max(initial=0)).bit_length()
+    spare = 64 - max(1, (shards - 1).bit_length())
+    first, second = (row.astype(np.uint64) for row in grams[:2])
+    line = first << np.uint64(width) | second if 2 * width <= spare else first
+    order = np.argsort(shard << np.uint64(2 * width if 2 * width <= spare else width) | line)
     shard = shard[order]
     cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
         if j > i:
             own = order[i:j]
-            yield int(shard[i]), kind, b"".join(_planes(row[own]) for row in grams), b"".join(_planes(row[own]) for row in values)
+            yield int(shard[i]), kind, _packed(row[own] for row in grams), _packed(row[own] for row in values)
 
 
 def _undealt(rows: list, width: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams and values of rows (keys, values)."""
+    rows = [tuple(zstandard.ZstdDecompressor().decompress(x) for x in r) for r in rows]
     grams = [np.stack([_numbers(k[i * len(k) // order : (i + 1) * len(k) // order], np.uint32) for i in range(order)]) for k, _ in rows]
     values = [np.stack([_numbers(v[i * len(v) // width : (i + 1) * len(v) // width], np.int64) for i in range(width)]) for _, v in rows]
     return np.concatenate([np.empty((order, 0), np.uint32), *grams], axis=1), np.concatenate([np.empty((width, 0), np.int64), *values], axis=1)
@@ -239,7 +261,9 @@ def _save_rows(folder: str, stem: str, key: np.ndarray, values: np.ndarray) -> N
     like = np.zeros(len(key), np.uint64)
     for row in values:
         like = mix(like * _STEP + row.astype(np.uint64) + np.uint64(1))
-    _, first, code = np.unique(like, return_index=True, return_inverse=True)
+    kinds, code = np.unique(like, return_inverse=True)
+    first = np.empty(len(kinds), np.int64)
+    first[code] = np.arange(len(code))
     _save(folder, f"keys{stem}", key)
     _save(folder, f"rows{stem}", np.ascontiguousarray(values[:, first]))
     _save(folder, f"codes{stem}", code.astype(_code_kind(len(first))))
@@ -266,8 +290,8 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
 
     def batches_of(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                ids, texts = (batch.column(c).slice(i, 200).to_pylist() for c in (0, 1))
+            for part in _blocks(batch, 1):
+                ids, texts = (part.column(c).to_pylist() for c in (0, 1))
                 keep = [k for k, x in enumerate(ids) if not in_fold(x, modulus, held)]
                 if keep:
                     yield _tokens(ids, [texts[k] for k in keep])
@@ -444,8 +468,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for part in _blocks(batch, 1):
                 ids = part.column(0).to_pylist()
                 n, known, base, score = scorer.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([in_fold(x, modulus, held) for x in ids]), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([model["tokens"]] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
