@@ -5,9 +5,10 @@ it lies. Each such string holds one anchor: the run of ANCHOR bytes in it with
 the smallest hash, leftmost among equals, so equal strings have equal anchors
 at equal offsets. Anchors of all texts are counted; strings whose anchor comes
 once can't repeat. The others make contexts: the bytes that the strings of one
-anchor cover. Two 64-bit polynomial hashes of each context, without its bytes,
-meet first: a context that comes again is repeated as a whole, and one of each
-kind is elected. Elected contexts whose anchor has another go, with their bytes,
+anchor cover. A 128-bit BLAKE2 digest of each context, without its bytes, meets
+first: a context that comes again is repeated as a whole, and one of each kind
+is elected. (Polynomial hashes wouldn't do here: texts can be made that collide
+modulo 2^64 whatever the base, and these contexts aren't compared again.) Elected contexts whose anchor has another go, with their bytes,
 to the task of their anchor. There, suffixes at equal offsets from equal
 anchors are sorted: prefix polynomial hashes and a binary search give the
 common extension of two suffixes, so one comparison takes a logarithmic number
@@ -17,8 +18,8 @@ count.
 
 An anchor with HOT unlike contexts or more (a line in a third of all texts),
 which would be over 2 MB for one sort, is split by salt. A string found twice
-within a salt needs no more; of the rest, and one of each, 128-bit hashes meet
-evenly spread.
+within a salt needs no more; of the rest, and one of each, 128-bit BLAKE2 digests
+meet evenly spread.
 
 What is broadcast is 2^26 bits each for repeated anchors, anchors with several
 contexts and elected contexts and 2^22 for frequent anchors, at any size; a
@@ -47,7 +48,7 @@ from siteatlas.llm.textops import mix
 LENGTH, ANCHOR = 200, 64
 SLOT_BITS, HOT_BITS, HOT, SALTS = 26, 22, 8192, 64
 BLOCK, CHUNK, HELD = 1 << 20, 3 << 20, 400_000
-_B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_B1 = np.uint64(0x9E3779B97F4A7C15)
 
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -92,8 +93,13 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def contexts(texts: list[bytes], length: int, whole: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-    """For blocks of texts: anchor's hash, text's number, first string's start, strings, anchor's offset from that start, two hashes of the context (whole).
+def digests(parts: Iterator[bytes]) -> np.ndarray:
+    """Rows of two numbers: the 128-bit digest of each."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in parts), np.int64).reshape(-1, 2)
+
+
+def contexts(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For blocks of texts: anchor's hash, text's number, first string's start, strings, anchor's offset from that start.
 
     Texts over BLOCK bytes are read in blocks that overlap by length - 1.
     """
@@ -117,11 +123,7 @@ def contexts(texts: list[bytes], length: int, whole: bool = False) -> Iterator[t
         count = np.diff(np.append(new, len(starts)))
         t = text[new]
         # least hashes of windows are small numbers: mixed once more, they spread over shards and slots
-        found = mix(hashes[anchor[new]]), owner[t], starts[new] - first[t] + shift[t], count, anchor[new] - starts[new]
-        if not whole:
-            return found
-        sizes = count + length - 1
-        return (*found, *(mix(p.of(starts[new], sizes) ^ mix(sizes.astype(np.uint64))) for p in (prefix, PrefixHash(buf, _B2))))
+        return mix(hashes[anchor[new]]), owner[t], starts[new] - first[t] + shift[t], count, anchor[new] - starts[new]
 
     for i, text in enumerate(texts):
         for at in range(0, len(text), BLOCK):
@@ -258,13 +260,13 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
     """df: id, key, text. Rows id, key, start, end: stretches of bytes that repeated strings cover; they may overlap."""
     raw = lambda batch, i, column: [(t or "").encode() for t in batch.column(column).slice(i, 100).to_pylist()]
 
-    def blocks(batches, whole: bool = False):
+    def blocks(batches):
         """Identifiers, keys, texts and contexts of 100 rows at a time; batches: id, key, text."""
         for batch in batches:
             for i in range(0, batch.num_rows, 100):
                 ids, keys = (batch.column(c).slice(i, 100).to_numpy(zero_copy_only=False) for c in (0, 1))
                 texts = raw(batch, i, 2)
-                for found in contexts(texts, length, whole):
+                for found in contexts(texts, length):
                     yield ids, keys, texts, found
 
     def count(batches):
@@ -323,10 +325,12 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
 
     def gather(batches):
         held, size = [], 0
-        for ids, keys, _, (anchor, owner, start, n, _, h1, h2) in blocks(batches, True):
+        for ids, keys, texts, (anchor, owner, start, n, _) in blocks(batches):
             pick = np.flatnonzero(_set(often.value, _slots(anchor, SLOT_BITS)))
             o, s = owner[pick], start[pick]
-            held.append((h1[pick].view(np.int64), h2[pick].view(np.int64), anchor[pick].view(np.int64), ids[o], keys[o], s, s + n[pick] + length - 1))
+            e = s + n[pick] + length - 1
+            h = digests(texts[i][a:b] for i, a, b in zip(o.tolist(), s.tolist(), e.tolist(), strict=True))
+            held.append((h[:, 0], h[:, 1], anchor[pick].view(np.int64), ids[o], keys[o], s, e))
             size += len(pick)
             if size > HELD:
                 yield from flushed(held)
@@ -385,17 +389,14 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, shards: int = 64) -> Dat
         sizes[context] = n
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         out: list[tuple] = []
-        hashes: tuple | None = None
         given: set[int] = set()
         for r, c, m in zip(rows, context.tolist(), n.tolist(), strict=True):
             own = slice(begin[c], begin[c] + m)
             out += [(r[2], r[3], a, b, None, None) for a, b in _runs(dup[own], r[4], length)]
             if r[1] >= 0 and c not in given:
                 given.add(c)
-                if hashes is None:
-                    hashes = (PrefixHash(buf), PrefixHash(buf, _B2))
                 pick = np.flatnonzero(first[own])
-                h1, h2 = (mix(h.of(at[own][pick], length)).view(np.int64).tolist() for h in hashes)
+                h1, h2 = digests(buf[i : i + length] for i in at[own][pick].tolist()).T.tolist()
                 out += [(r[2], r[3], r[4] + j, r[4] + j + length, x, y) for j, x, y in zip(pick.tolist(), h1, h2, strict=True)]
         for i in range(0, len(out), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[i : i + 20_000], strict=True), told, strict=True)], schema=told)
