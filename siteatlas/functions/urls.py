@@ -57,4 +57,5 @@ def rank(url: Column) -> Column:
 
 
 def depth(url: Column) -> Column:
-    return F.size(F.filter(F.split(part(url, 3), "/"), lambda x: x != ""))
+    """Path segments, one for none."""
+    return F.greatest(F.size(F.filter(F.split(part(url, 3), "/"), lambda x: x != "")), F.lit(1))

@@ -6,6 +6,8 @@ at once; a site is one key. Times come in as values, never from the clock.
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,53 +59,61 @@ def section_under(url: Column, root: Column) -> Column:
     """First path segment below the root's path, (entry) for none."""
     base = F.regexp_replace(urls.part(root, 3), "/+$", "")
     path = urls.part(url, 3)
-    rest = F.when(F.startswith(path, F.concat(base, F.lit("/"))), F.substr(path, F.length(base) + 1)).otherwise(path)
+    rest = F.when((path == base) | F.startswith(path, F.concat(base, F.lit("/"))), F.substr(path, F.length(base) + 1)).otherwise(path)
     return F.coalesce(F.nullif(F.regexp_extract(rest, "^/*([^/]+)", 1), F.lit("")), F.lit("(entry)"))
 
 
 # robots
 
 
-@arrow("struct<rules:array<struct<agent:string,pos:int,allow:boolean,path:string>>,delay:double,sitemaps:array<string>>")
-def robots_rules(body: pd.Series) -> pd.DataFrame:
-    """Rules in file order, each with its agent; * is everybody. The delay is that of *."""
-    from urllib.parse import quote, unquote
+@arrow("struct<groups:array<struct<agents:array<string>,everybody:boolean,rules:array<struct<allow:boolean,path:string>>>>,delay:double,sitemaps:array<string>>")
+def robots_groups(body: pd.Series) -> pd.DataFrame:
+    """Groups of rules in file order; an empty line ends a group. The delay is that of the group for everybody."""
 
     def read(text):
-        rules, agents, delay, maps, open_ = [], [], None, [], False
+        groups, agents, rules, delay, maps = [], [], [], None, []
+
+        def close():
+            nonlocal agents, rules
+            if agents and rules:
+                groups.append({"agents": agents, "everybody": "*" in agents, "rules": [r for r in rules if r]})
+            agents, rules = [], []
+
         for raw in (text or "").splitlines():
+            if not raw:
+                close()
             name, _, value = raw.split("#", 1)[0].strip().partition(":")
             name, value = name.strip().lower(), value.strip()
             if name == "user-agent":
-                agents, open_ = ([*agents, value.lower()] if not open_ else [value.lower()]), False
+                if rules:
+                    close()
+                agents = [*agents, value.lower()]
             elif name == "sitemap" and value:
                 maps.append(value)
             elif agents and name in ("allow", "disallow"):
-                open_ = True
-                allow = name == "allow" or not value
-                rules += [{"agent": a, "pos": len(rules), "allow": allow, "path": quote(unquote(value))} for a in agents]
+                rules.append({"allow": name == "allow" or not value, "path": quote(unquote(value))})
             elif agents and name == "crawl-delay":
-                open_ = True
-                if "*" in agents and value.isdigit():
+                rules.append(None)
+                if "*" in agents and delay is None and value.isdigit():
                     delay = float(value)
-        return rules, delay, maps
+        close()
+        return groups, delay, maps
 
-    return pd.DataFrame([read(x) for x in body], columns=["rules", "delay", "sitemaps"])
+    return pd.DataFrame([read(x) for x in body], columns=["groups", "delay", "sitemaps"])
 
 
 def robots_policies(captures: DataFrame) -> DataFrame:
-    """captures: origin, status, body. Rows origin, policy (parsed, allow-all or deferred), rules, delay, sitemaps."""
-    read = robots_rules(F.when(F.col("status") == 200, F.col("body")).otherwise(""))
+    """captures: origin, status, body. Rows origin, policy (parsed, allow-all or deferred), groups, delay, sitemaps."""
+    read = robots_groups(F.when(F.col("status") == 200, F.col("body")).otherwise(""))
     policy = F.when(F.col("status") == 200, "parsed").when(F.col("status").isin(404, 410), "allow-all").otherwise("deferred")
     return captures.select("origin", policy.alias("policy"), read.alias("r")).select("origin", "policy", "r.*")
 
 
-def permitted(path: Column, rules: Column, agent: str) -> Column:
-    """The first matching rule of the agent's own group decides, else of everybody's; without one the path is open."""
-    own = lambda name: F.filter(rules, lambda r: F.contains(F.lit(agent.lower()), r["agent"]) if name is None else r["agent"] == name)
-    named = F.filter(rules, lambda r: (r["agent"] != "*") & F.contains(F.lit(agent.lower()), r["agent"]))
-    group = F.when(F.size(named) > 0, named).otherwise(own("*"))
-    first = F.get(F.filter(group, lambda r: (r["path"] == "") | (r["path"] == "*") | F.startswith(path, r["path"])), F.lit(0))
+def permitted(path: Column, groups: Column, agent: str) -> Column:
+    """The first matching rule of the first group that names the agent decides, without one of the first group for everybody; else the path is open."""
+    named = F.filter(groups, lambda g: ~g["everybody"] & F.exists(g["agents"], lambda a: F.contains(F.lit(agent.lower()), a)))
+    rules = F.coalesce(F.get(named, F.lit(0)), F.get(F.filter(groups, lambda g: g["everybody"]), F.lit(0)))["rules"]
+    first = F.get(F.filter(rules, lambda r: (r["path"] == "*") | F.startswith(path, r["path"])), F.lit(0))
     return F.coalesce(first["allow"], F.lit(True))
 
 
@@ -111,11 +121,11 @@ def readable(pages: DataFrame, scopes: DataFrame, policies: DataFrame, agent: st
     """pages: site, url; scopes: site, root. Rows with origin, in_scope, allowed (null while a policy is deferred), read."""
     own = scopes.select("site", bare_host(F.col("root")).alias("_host"), scope_path(F.col("root")).alias("_path"))
     met = pages.join(own, "site").withColumn("origin", F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2)))
-    met = met.join(policies.select("origin", "policy", "rules"), "origin", "left")
+    met = met.join(policies.select("origin", "policy", "groups"), "origin", "left")
     path = F.concat(F.when(urls.part(F.col("url"), 3) == "", "/").otherwise(urls.part(F.col("url"), 3)), urls.part(F.col("url"), 4))
-    allowed = F.when(F.col("policy") == "allow-all", True).when(F.col("policy") == "parsed", permitted(path, F.col("rules"), agent))
+    allowed = F.when(F.col("policy") == "allow-all", True).when(F.col("policy") == "parsed", permitted(path, F.col("groups"), agent))
     met = met.withColumn("in_scope", in_scope(F.col("url"), F.col("_host"), F.col("_path"))).withColumn("allowed", allowed)
-    return met.withColumn("read", F.coalesce(F.col("in_scope") & F.col("allowed"), F.lit(False))).drop("_host", "_path", "rules", "policy")
+    return met.withColumn("read", F.coalesce(F.col("in_scope") & F.col("allowed"), F.lit(False))).drop("_host", "_path", "groups", "policy")
 
 
 # sitemaps
@@ -255,6 +265,27 @@ def read_order(pages: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     return met.where(keep).withColumn("place", F.row_number().over(order).cast("long")).drop("_planned", "step", "entry")
 
 
+def shortlist(pages: DataFrame, budget: int = 24_000, slack: int = 2051) -> DataFrame:
+    """pages: site, root, url, known. Rows site, url, pos: sections take turns, the one with the best head first; a page goes in if its JSON string fits the bytes left, and a full round ends the list once it is within `slack` of the budget. One site's candidates are one row."""
+    url = F.col("url")
+    rank = F.when(url == F.col("root"), -2).when(F.col("known"), -1).otherwise(urls.rank(url))
+    depth = F.when((url == F.col("root")) | F.col("known"), 0).otherwise(urls.depth(url))
+    p = pages.withColumn("section", section_under(url, F.col("root"))).withColumn("_p", F.struct(rank.alias("rank"), depth.alias("depth"), url.alias("url")))
+    own = Window.partitionBy("site", "section")
+    p = p.withColumn("rn", F.row_number().over(own.orderBy("_p"))).withColumn("head", F.min("_p").over(own))
+    cost = F.octet_length(F.to_json(F.struct(url.alias("u")))) - F.octet_length(F.lit('{"u":}')) + 1
+    each = p.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("rn", "head", "url", cost.alias("cost")))).alias("all"))
+    start = F.struct(F.lit(2).alias("size"), F.lit(False).alias("stop"), F.lit(1).alias("rn"), F.array().cast("array<struct<url:string,pos:int>>").alias("took"), F.lit(0).alias("pos"))
+
+    def step(a, x):
+        stop = a["stop"] | ((x["rn"] > a["rn"]) & (a["size"] >= budget - slack))
+        fits = ~stop & (a["size"] + x["cost"] <= budget)
+        pos = a["pos"] + 1
+        return F.struct(F.when(fits, a["size"] + x["cost"]).otherwise(a["size"]).alias("size"), stop.alias("stop"), x["rn"].alias("rn"), F.when(fits, F.concat(a["took"], F.array(F.struct(x["url"].alias("url"), pos.alias("pos"))))).otherwise(a["took"]).alias("took"), pos.alias("pos"))
+
+    return each.select("site", F.explode(F.aggregate("all", start, step)["took"]).alias("t")).select("site", "t.url", "t.pos")
+
+
 def within_budget(rows: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
     """Rows up to the first one whose cost goes over the budget, that one left out: nothing after it is taken, however small."""
     total = F.sum(cost).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -115,12 +115,12 @@ def source_id(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", urls.source_id(F.col("url")).alias("source_id"))
 
 
-@built("page_priority", f"select page_id, {_RANK} as rank, len({_SEGMENTS}) as depth from pages")
+@built("page_priority", f"select page_id, {_RANK} as rank, greatest(len({_SEGMENTS}), 1) as depth from pages")
 def page_priority(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", urls.rank(F.col("url")).alias("rank"), urls.depth(F.col("url")).alias("depth"))
 
 
-@built("section_balanced_rank", f"with p as (select url, {_SECTION} as section, {_RANK} as rank, len({_SEGMENTS}) as depth from pages) select url, section, row_number() over (partition by section order by rank, depth, url) as reads, row_number() over (partition by section order by rank, depth, url) = 1 as head from p")
+@built("section_balanced_rank", f"with p as (select url, {_SECTION} as section, {_RANK} as rank, greatest(len({_SEGMENTS}), 1) as depth from pages) select url, section, row_number() over (partition by section order by rank, depth, url) as reads, row_number() over (partition by section order by rank, depth, url) = 1 as head from p")
 def section_balanced_rank(spark, sf_dir):
     p = _table(spark, sf_dir, "pages").select("url", urls.section(F.col("url")).alias("section"), urls.rank(F.col("url")).alias("rank"), urls.depth(F.col("url")).alias("depth"))
     reads = F.row_number().over(Window.partitionBy("section").orderBy("rank", "depth", "url"))
@@ -230,35 +230,6 @@ plan("progress_latest", lambda d: "select user_id, max_by(event_type, event_id)
 plan("progress_recent", lambda d: "select event_id, count(*) over w as n, round(sum(value) over w, 4) as total from events window w as (partition by user_id order by ts, event_id rows between 5 preceding and current row)")
 
 
-def _shortlist(d_budget=3000, slack=200):
-    return f"""with recursive p as (select url, {_SECTION} as section, {_RANK} as rank, len({_SEGMENTS}) as depth, strlen(url) + 3 as cost from pages),
-r as (select *, row_number() over (partition by section order by rank, depth, url) as rn from p),
-h as (select *, first_value(rank) over w as hr, first_value(depth) over w as hd, first_value(url) over w as hu from r window w as (partition by section order by rn)),
-o as (select *, row_number() over (order by rn, hr, hd, hu) as pos from h),
-f as (select 0::bigint as pos, 2::bigint as size, false as took, 0::bigint as rn union all
-select o.pos, case when s.stop or s.size + o.cost > {d_budget} then s.size else s.size + o.cost end, not s.stop and s.size + o.cost <= {d_budget}, o.rn from (select *, rn > 0 and size >= {d_budget - slack} as full_, false as stop from f) s join o on o.pos = s.pos + 1)
-select o.url, o.pos from o join f on o.pos = f.pos where f.took"""
-
-
-@built("balanced_shortlist", _shortlist())
-def balanced_shortlist(spark, sf_dir, budget=3000):
-    """Sections take turns, best head first; a page that doesn't fit the bytes left is skipped."""
-    p = _table(spark, sf_dir, "pages").select("url", urls.section(F.col("url")).alias("section"), urls.rank(F.col("url")).alias("rank"), urls.depth(F.col("url")).alias("depth"))
-    own = Window.partitionBy("section").orderBy("rank", "depth", "url")
-    key = F.struct("rank", "depth", "url")
-    p = p.withColumn("rn", F.row_number().over(own)).withColumn("head", F.min(key).over(Window.partitionBy("section")))
-    one = p.agg(F.array_sort(F.collect_list(F.struct("rn", "head", "url"))).alias("all"))
-    start = F.struct(F.lit(2).cast("long").alias("size"), F.array().cast("array<struct<url:string,pos:long>>").alias("took"), F.lit(0).cast("long").alias("pos"))
-
-    def step(a, x):
-        cost = F.octet_length(x["url"]) + 3
-        fits = a["size"] + cost <= budget
-        pos = a["pos"] + 1
-        return F.struct(F.when(fits, a["size"] + cost).otherwise(a["size"]).cast("long").alias("size"), F.when(fits, F.concat(a["took"], F.array(F.struct(x["url"].alias("url"), pos.alias("pos"))))).otherwise(a["took"]).alias("took"), pos.alias("pos"))
-
-    return one.select(F.explode(F.aggregate("all", start, step)["took"]).alias("t")).select("t.url", "t.pos")
-
-
 @built("progress_stream")
 def progress_stream(spark, sf_dir):
     return run_stage_changes(spark, sf_dir)

@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None):
         if sql:
             given = derived.needed(Duck, sql)
             more = sql.lstrip().removeprefix(",")
-            SQL[name] = f"with {given}{',' * bool(given)}{more}" if more != sql.lstrip() else f"with {given} {sql}" if given else sql
+            SQL[name] = f"with recursive {given}{',' * bool(given)}{more}" if more != sql.lstrip() else f"with {given} {sql}" if given else sql
         else:
             SQL.pop(name, None)
         return f
@@ -160,7 +160,7 @@ def discover_guides(q):
 
 
 _ORDER = f""", p as (select *, {_PATH} as path, url = root as entry from reading), w as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from p),
-k as (select *, case when entry then -2 when known then -1 when len(list_filter(parts, lambda x: lower(x) in {_LOW})) > 0 then 3 when lower(parts[-1]) in {_USEFUL} then 0 else 1 end as rank, case when entry or known then 0 else len(parts) end as depth, coalesce(parts[1], '(entry)') as section from w),
+k as (select *, case when entry then -2 when known then -1 when len(list_filter(parts, lambda x: lower(x) in {_LOW})) > 0 then 3 when lower(parts[-1]) in {_USEFUL} then 0 else 1 end as rank, case when entry or known then 0 else greatest(len(parts), 1) end as depth, coalesce(parts[1], '(entry)') as section from w),
 t as (select *, case when entry then -1 else row_number() over (partition by site, section order by rank, depth, url) - 1 end as turn from k),
 o as (select site, url, section, page_id, known, entry, row_number() over (partition by site order by turn, rank, depth, url) as place from t)"""
 
@@ -184,6 +184,15 @@ def crawl_stops(q):
     return crawl.crawled(pages, 8, 4000).select("site", "url", "place", F.col("total").cast("long").alias("total"), "stopped")
 
 
+@query("balanced_shortlist", _ORDER + """, h as (select *, row_number() over (partition by site, section order by rank, depth, url) as rn, first_value(rank) over v as hr, first_value(depth) over v as hd, first_value(url) over v as hu, strlen(url) + 3 as cost from k window v as (partition by site, section order by rank, depth, url)),
+s as (select site, url, rn, cost, row_number() over (partition by site order by rn, hr, hd, hu) as pos from h),
+f as (select site, 0::bigint as pos, 2::bigint as size, false as stop, false as took, 1::bigint as rn from site_roots union all
+select s.site, s.pos, case when not (f.stop or s.rn > f.rn and f.size >= 500) and f.size + s.cost <= 600 then f.size + s.cost else f.size end, f.stop or s.rn > f.rn and f.size >= 500, not (f.stop or s.rn > f.rn and f.size >= 500) and f.size + s.cost <= 600, s.rn from f join s on s.site = f.site and s.pos = f.pos + 1)
+select s.site, s.url, s.pos from s join f on f.site = s.site and f.pos = s.pos where f.took""")
+def balanced_shortlist(q):
+    return crawl.shortlist(q("reading"), 600, 100).select("site", "url", F.col("pos").cast("long").alias("pos"))
+
+
 @query("crawl_frontier", "select site, url from site_pages where page_id % 2 = 0 and page_id % 3 <> 0 and page_id % 6 <> 1")
 def crawl_frontier(q):
     part = lambda where: q(f"select site, url from site_pages where {where}")
