@@ -11,7 +11,8 @@ A leaf reads its documents in epochs. Epochs that fit wholly take each document
 once each; the last one takes the prefix, in the order of a seeded hash, that
 reaches the leaf's budget. The prefix of a leaf that holds a third of all rows
 is found by hash bucket: sums of 4096 buckets name the one where the budget
-ends, and only that bucket's rows are put in order.
+ends, and only that bucket's rows are put in order. Rows meet their leaf's
+budget in SALTS parts, so that no task gets all rows of a leaf.
 
 Defined results: null language or source is the child "(none)", null text has
 no tokens, a document without tokens is taken in whole epochs and where it lies
@@ -30,7 +31,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights of the production mix; nodes that aren't named weigh 10.
 WEIGHTS = {"domain": {"d0": 40, "d1": 30, "d2": 20}, "lang": {"en": 50, "de": 20, "fr": 20}, "source": {"src1": 30, "src2": 5}}
 OTHER = 10
-SHARE_PERCENT, MAX_EPOCHS, SEED = 60, 2, 17
+SHARE_PERCENT, MAX_EPOCHS, SEED, SALTS = 60, 2, 17, 64
 
 
 def source_domain(source: Column) -> Column:
@@ -70,6 +71,12 @@ def leaf_budgets(leaves: DataFrame, share_percent: int, max_epochs: int, weights
     return fill(leaves.join(langs, ["domain", "lang"]), ["domain", "lang"], "source", weights, other, max_epochs).drop("given").withColumnRenamed("share", "budget")
 
 
+def _with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row with its leaf's line of plan; a line goes to all of its leaf's parts."""
+    lines = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(lines, [*LEVELS, "salt"]).drop("salt")
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain=source_domain, weights: dict = WEIGHTS, other: int = OTHER, share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """One row for each row of df: identifier, domain, lang, source, n_tokens, copies (times taken), tokens (taken in all)."""
     name = lambda c: F.coalesce(df[c], F.lit("(none)"))
@@ -79,11 +86,11 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     plan = leaf_budgets(leaves, share_percent, max_epochs, weights, other)
     plan = durable(plan.select(*LEVELS, F.expr("case when tokens > 0 then budget div tokens else 0 end").alias("whole"), F.expr("case when tokens > 0 then budget % tokens else 0 end").alias("part")), "budgets")
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.col("_id").cast("string")))
-    keyed = docs.join(plan, LEVELS).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
+    keyed = _with_plan(docs, plan).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
     sums = keyed.groupBy(*LEVELS, "part", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     order = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cut = sums.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0))).where("before <= part and part < before + tokens").select(*LEVELS, F.col("bucket").alias("cut"), "before")
-    keyed = docs.join(plan.join(cut, LEVELS, "left"), LEVELS).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
+    keyed = _with_plan(docs, plan.join(cut, LEVELS, "left")).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
     out = ["_id", *LEVELS, "n_tokens", "whole", "took"]
     sure = keyed.where("cut is null or bucket <> cut").withColumn("took", F.expr("case when bucket < cut then n_tokens else -1 end")).select(*out)
     place = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens") + F.col("before")
