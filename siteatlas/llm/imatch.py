@@ -2,9 +2,10 @@
 
 Document frequencies are counted over distinct texts: texts whose hash comes
 once, told from a bitmap of fixed size, are counted where they are read, the
-others meet first, one of each text and task. The lexicon is hashed to
-2^22 slots, so what is broadcast is one bit a slot whatever the corpus: a term
-is in the lexicon if its slot's document frequency lies in the band. A document
+others meet first, one of each text and task. Frequencies are those of single
+terms (64-bit hashes), which meet in shards; the lexicon is a bitmap of 2^26
+slots, 8 MB whatever the corpus: a term is in it if a term of its slot lies in
+the band, so a shared slot lets a term in and never keeps one out. A document
 keeps its distinct terms inside the band, sorted; of every randomised lexicon
 subset it hashes the terms that the subset holds. Subsets come in LEVELS sizes
 (each half of the one before) of DRAWS random draws; the first entry is the
@@ -35,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteatlas.llm.kneser_ney import _by_group, _Counter, _numbers, _summed
 from siteatlas.llm.storage import table, tune
 from siteatlas.llm.textops import mix, word_hashes
 
-SLOT_BITS, BLOCK_BITS = 22, 14
+SLOT_BITS, SHARDS = 26, 64
 LEVELS, DRAWS, FIRST_LEVEL = 12, 16, 2
 MIN_DF, MAX_DF_SHARE, FLOOR = 2, 0.05, 4
 COPY_BITS, COPY_BLOCK_BITS = 26, 16
@@ -69,94 +71,83 @@ def _copies(df: DataFrame, text_col: str) -> tuple[bytes, int]:
     return zlib.compress(bytes(out), 1), n
 
 
-class _Frequencies:
-    def __init__(self):
-        self.counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+_COUNTED = "shard int, key long, data binary, counts binary"
 
-    def add(self, raw: list[bytes]) -> None:
-        words, at = word_hashes(raw)
-        slots = words >> np.uint64(64 - SLOT_BITS)
-        doc = np.repeat(np.arange(len(raw), dtype=np.uint64), np.diff(at))
-        pairs = np.unique(doc << np.uint64(32) | slots)
-        self.counts += np.bincount((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(self.counts))
 
-    def told(self) -> pa.RecordBatch:
-        """Compressed blocks of counts by slot; the key only spreads them."""
-        blocks = self.counts.reshape(-1, 1 << BLOCK_BITS)
-        full = np.flatnonzero(blocks.any(axis=1))
-        data = [zlib.compress(blocks[i].tobytes(), 1) for i in full]
-        return _counted(full, [zlib.crc32(x) for x in data], data)
+def _rows(shards, keys, data, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(keys, pa.int64()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "key", "data", "counts"])
 
 
-def _counted(blocks, keys, data) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["block", "key", "data"])
+def _terms(raw: list[bytes]) -> np.ndarray:
+    """Hashes of each text's distinct words, text by text."""
+    words, at = word_hashes(raw)
+    doc = np.repeat(np.arange(len(raw)), np.diff(at))
+    order = np.lexsort((words, doc))
+    words, doc = words[order], doc[order]
+    return words[np.concatenate([[True], (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])])] if len(words) else words
+
+
+def _told(counted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A counter's shards as rows; the key only spreads them."""
+    for batch in counted:
+        shards, data, counts = (batch.column(i).to_pylist() for i in range(3))
+        yield _rows(shards, [zlib.crc32(x) for x in data], data, counts)
 
 
 def _count_single(batches: Iterator[pa.RecordBatch], copies: bytes) -> Iterator[pa.RecordBatch]:
-    """Of one task's (text, hash): counts of texts that come once, and one of each other text as block -1."""
-    bits, found, seen = np.frombuffer(zlib.decompress(copies), dtype=np.uint8), _Frequencies(), set()
+    """Of one task's (text, hash): term counts of texts that come once, and one of each other text as shard -1."""
+    bits, found, seen = np.frombuffer(zlib.decompress(copies), dtype=np.uint8), _Counter(SHARDS, lambda key: key), set()
     for batch in batches:
         slots = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - COPY_BITS)).astype(np.int64)
         again = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
         for i in range(0, batch.num_rows, 200):
             raw = [(x or "").encode() for x in batch.column(0).slice(i, 200).to_pylist()]
-            found.add([x for x, a in zip(raw, again[i : i + 200], strict=True) if not a])
+            yield from _told(found.add(_terms([x for x, a in zip(raw, again[i : i + 200], strict=True) if not a])))
             new = {}
             for x, a in zip(raw, again[i : i + 200], strict=True):
                 if a and (digest := hashlib.blake2b(x, digest_size=16).digest()) not in seen:
                     seen.add(digest)
                     new[digest] = x
             if new:
-                yield _counted([-1] * len(new), [int.from_bytes(k[:8], "little", signed=True) for k in new], [zlib.compress(x, 1) for x in new.values()])
-    yield found.told()
+                yield _rows([-1] * len(new), [int.from_bytes(k[:8], "little", signed=True) for k in new], [zlib.compress(x, 1) for x in new.values()], [None] * len(new))
+    yield from _told(found.close())
 
 
 def _count_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By (block, key, data): counts of distinct texts of block -1 besides the counts that are there."""
-    found, last = _Frequencies(), None
+    """By (shard, key, data): term counts of the distinct texts of shard -1 besides the counts that are there."""
+    found, last = _Counter(SHARDS, lambda key: key), None
     for batch in batches:
         for i in range(0, batch.num_rows, 200):
-            rows, texts = list(zip(*(batch.column(c).slice(i, 200).to_pylist() for c in range(3)), strict=True)), []
-            for block, _, data in rows:
-                if block < 0 and data != last:
+            rows, texts = list(zip(*(batch.column(c).slice(i, 200).to_pylist() for c in range(4)), strict=True)), []
+            for shard, _, data, _ in rows:
+                if shard < 0 and data != last:
                     texts.append(zlib.decompress(data))
                     last = data
-            found.add(texts)
+            yield from _told(found.add(_terms(texts)))
             if counts := [r for r in rows if r[0] >= 0]:
-                yield _counted(*zip(*counts, strict=True))
-    yield found.told()
+                yield _rows(*zip(*counts, strict=True))
+    yield from _told(found.close())
 
 
 def lexicon(df: DataFrame, text_col: str = "text", min_df: int = MIN_DF, max_share: float = MAX_DF_SHARE) -> bytes:
-    """The bitmap of slots inside the band: 2^SLOT_BITS / 8 bytes at any size of corpus."""
+    """The bitmap of slots that hold a term inside the band: 2^SLOT_BITS / 8 bytes at any size of corpus."""
     texts = df.select(F.coalesce(df[text_col], F.lit("")).alias("text"))
     copies, n = _copies(texts, "text")
-    schema = "block int, key long, data binary"
-    single = texts.select("text", F.xxhash64("text").alias("h")).mapInArrow(lambda it: _count_single(it, copies), schema)
-    counted = single.repartition("block", "key").sortWithinPartitions("block", "key", "data").mapInArrow(_count_copies, schema).select("block", F.col("data").alias("counts"))
+    single = texts.select("text", F.xxhash64("text").alias("h")).mapInArrow(lambda it: _count_single(it, copies), _COUNTED)
+    counted = single.repartition("shard", "key").sortWithinPartitions("shard", "key", "data").mapInArrow(_count_copies, _COUNTED).select("shard", "data", "counts")
     most = max(min_df, int(n * max_share))
+    width = (1 << SLOT_BITS) // SHARDS
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
-
-        def told():
-            inside = (total >= min_df) & (total <= most)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(inside, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if block != now:
-                    if now is not None:
-                        yield told()
-                    now, total = block, np.zeros(1 << BLOCK_BITS, dtype=np.int64)
-                total += np.frombuffer(zlib.decompress(counts), dtype=np.int64)
-        if now is not None:
-            yield told()
+        for s, rows in _by_group(batches):
+            term, n = _summed([_numbers(k, np.uint64) for k, _ in rows], [_numbers(c, np.uint32).astype(np.int64) for _, c in rows])
+            flags = np.zeros(width, dtype=np.uint8)
+            flags[(term[(n >= min_df) & (n <= most)] >> np.uint64(64 - SLOT_BITS)).astype(np.int64) - s * width] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["shard", "bits"])
 
     bits = bytearray(1 << (SLOT_BITS - 3))
-    width = 1 << (BLOCK_BITS - 3)
-    for r in counted.repartition("block").sortWithinPartitions("block").mapInArrow(band, "block int, bits binary").collect():
-        bits[r.block * width : (r.block + 1) * width] = r.bits
+    for r in counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(band, "shard int, bits binary").toLocalIterator():
+        bits[r.shard * width // 8 : (r.shard + 1) * width // 8] = r.bits
     return bytes(bits)
 
 
@@ -210,9 +201,9 @@ def written(prints: np.ndarray) -> list[str]:
     return [f"{int(p):016x}" + "".join("-" * _DIGITS if e else t[_DIGITS * j : _DIGITS * j + _DIGITS] for j, e in enumerate(es)) for p, t, es in zip(prints[:, 0], text, empty, strict=True)]
 
 
-def _edits(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[pa.RecordBatch]:
+def _edits(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
     """Rows by (bucket, tail, identifier and text descending)."""
-    bits = np.frombuffer(bitmap, dtype=np.uint8)
+    bits = np.frombuffer(bitmap.value, dtype=np.uint8)
     held: list[tuple] = []
 
     def told(rows: list[tuple]):
@@ -256,7 +247,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row for each row of df, with its fingerprint, its edited text's and their likeness. Null identifiers come last, equal ones by text."""
     spark = df.sparkSession
     tune(spark)
-    bitmap = lexicon(df, text_col)
+    bitmap = spark.sparkContext.broadcast(lexicon(df, text_col))
     docs = df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     key = F.coalesce("id", F.lit(-(1 << 63)))
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -96,6 +96,8 @@ class _Counter:
         self.shards, self.spread, self.keys, self.counts, self.size = shards, spread, [], [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(keys):
+            return
         key, count = np.unique(keys, return_counts=True)
         self.keys.append(key)
         self.counts.append(count)

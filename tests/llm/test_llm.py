@@ -258,6 +258,65 @@ def test_frequencies_of_distinct_texts(spark):
     assert single == copied and any(single)
 
 
+def plain_fingerprints(texts, edited, following):
+    """Fingerprints and likenesses with integers and sets: terms by document frequency over distinct texts."""
+    M = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & M
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & M
+        return x ^ x >> 31
+
+    word_hash = lambda w: int(imatch.word_hashes([w.encode()])[0][0])
+    terms = lambda t: {word_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))}
+    df = collections.Counter(w for t in set(texts) for w in terms(t))
+    most = max(imatch.MIN_DF, int(len(set(texts)) * imatch.MAX_DF_SHARE))
+    band = {w >> (64 - imatch.SLOT_BITS) for w, n in df.items() if imatch.MIN_DF <= n <= most}
+    inside = lambda w: w >> (64 - imatch.SLOT_BITS) in band
+
+    def prints(t, whole=None):
+        ts = terms(t)
+        own = {w for w in ts if inside(w)}
+        whole = imatch.FLOOR * len(own) < len(ts) if whole is None else whole
+        use = ts if whole or not own else own
+        add = lambda ws: (sum(map(mixed, ws)) & M) | 1 if ws else 0
+        out = [add(use)]
+        for level in range(imatch.LEVELS):
+            out += [add([w for w in use if mixed(w ^ mixed(draw + 1)) < 1 << (64 - imatch.FIRST_LEVEL - level)]) for draw in range(imatch.DRAWS)]
+        return out, whole
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        held, same = [bool(x or y) for x, y in zip(a, b, strict=True)], [x == y != 0 for x, y in zip(a, b, strict=True)]
+        best = sum(same) / max(sum(held), 1)
+        for level in range(imatch.LEVELS):
+            own = slice(1 + level * imatch.DRAWS, 1 + (level + 1) * imatch.DRAWS)
+            if sum(held[own]) >= 4:
+                best = max(best, sum(same[own]) / sum(held[own]))
+        return best
+
+    out = []
+    for t, e, f in zip(texts, edited, following, strict=True):
+        mine, whole = prints(t)
+        out.append((f"{mine[0]:016x}", round(like(mine, prints(e, whole)[0]), 9), round(like(mine, prints(f, whole)[0]), 9)))
+    return out
+
+
+def test_fingerprints_against_plain_version(spark):
+    some = random.Random(6)
+    rows = [(i, " ".join(some.choice("abcdefgh") + str(int(some.expovariate(0.01))) for _ in range(some.randint(0, 60)))) for i in range(90)] + [(i, "same text of a few words") for i in range(100, 112)] + [(200, None), (201, "")]
+    order = sorted(rows, key=lambda r: -r[0])
+    texts = [t or "" for _, t in order]
+    following = [*texts[1:], texts[0]]
+    edited = [t[: len(t) - len(t) // 3] + f[: len(t) // 3] for t, f in zip(texts, following, strict=True)]
+    want = {d: w for (d, _), w in zip(order, plain_fingerprints(texts, edited, following), strict=True)}
+    got_ = {r.doc_id: (r.fingerprint[:16], round(r.near_edited, 9), round(r.near_next, 9)) for r in edited_fingerprints(docs(spark, rows)).collect()}
+    assert got_ == want and 0 < sum(w[1] > 0 for w in want.values())
+
+
 def test_packing_round_trip(spark):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -395,6 +454,26 @@ def test_extraction():
     assert extraction.main_text(inside) == "T short a & b"
 
 
+def test_extraction_in_spark(spark):
+    deep = "<div>" * 4000 + "<p>" + "deep text of the page " * 5 + "</p>" + "</span>" * 4000
+    long = "<p>A paragraph of the long page, read to its end.</p>" * 100_000
+    rows = [(1, None), (2, ""), (3, deep), (4, long), (5, deep), (None, "<p>no closing tag, but long enough to be found here")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u")).withColumn("other", F.lit(1))
+    out = {r.page_id: r for r in extraction.extract_main_text(df).collect()}
+    assert out[1].text == out[2].text == "" and out[3].text == out[5].text == ("deep text of the page " * 5).strip()
+    assert out[4].n_chars == len(out[4].text) == 100_000 * 47 - 1 and out[None].text.startswith("no closing")
+    assert extraction.extract_main_text(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="twice"):
+        extraction.extract_main_text(df.withColumn("text", F.lit("x")), keep=("page_id", "text"))
+
+
+def test_window_and_surge_decide():
+    lines = ["<p>Tiny.</p>"] * 4 + ["<p>A longer paragraph that stands alone on the page.</p>"] + ["<p>Tiny.</p>"] * 4
+    page = "<div>" + "<hr><ul><li><a href=x>link</a></ul>".join(lines) + "</div>"
+    kept = {(w, s): extraction.main_text(page, w, s) for w in (1, 3, 9) for s in (1, 20, 200)}
+    assert len(set(kept.values())) >= 3 and kept[1, 200] == ""
+
+
 def test_extraction_beside_an_article():
     body = " ".join(f"<p>Paragraph {i} of the body text, which is long enough to surge.</p>" for i in range(6))
     teaser = "<article><h2>Other story</h2><p>A teaser of a few words.</p></article>"
