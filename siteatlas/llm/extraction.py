@@ -13,7 +13,8 @@ outside still hold more text than those found inside, the element isn't the
 page's text, and lines outside count in full.
 
 Defined results: a null or empty page, and a page without such a surge, give
-empty text. Unclosed elements end with the element around them; an unclosed
+empty text; every row gives one row, repeated rows too, an empty table none;
+columns of `keep` named text or n_chars are an error. Unclosed elements end with the element around them; an unclosed
 comment or script runs to the end of the page, as in browsers.
 """
 
@@ -81,10 +82,16 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
     """(text, furniture, in an article or main element, share of link text) of each block, in page order."""
     out: list[tuple[str, bool, bool, float]] = []
     open_: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, main, link; each holds for what is inside
+    depth: dict[str, int] = {}  # how many of each tag are open
     text: list[str] = []
     linked = size = 0
     at = 0
 
+    def close_tag() -> str:
+        tag = open_.pop()[0]
+        depth[tag] -= 1
+        return tag
+
     def close_line():
         nonlocal text, linked, size
         if text:
@@ -116,14 +123,15 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         if tag in _VOID:
             continue
         if ending:
-            if any(x[0] == tag for x in open_):
-                while open_.pop()[0] != tag:
+            if depth.get(tag):
+                while close_tag() != tag:
                     pass
         else:
             if tag == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 while open_ and (open_[-1][0] == tag or (open_[-1][0] in _INLINE | {"p"} and any(x[0] == tag for x in open_[-2:]))):
-                    open_.pop()
+                    close_tag()
             flaw = _furniture(tag, attrs, main)
+            depth[tag] = depth.get(tag, 0) + 1
             open_.append((tag, bad or flaw, main or (tag in ("article", "main") and not flaw), link or tag == "a"))
         bad, main, link = open_[-1][1:] if open_ else (False, False, False)
     if at < len(page):
@@ -172,6 +180,8 @@ def extract_main_text(df: DataFrame, html_col: str = "html", keep: tuple[str, ..
     """The columns of `keep`, text, n_chars for each row of df."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    if clash := {"text", "n_chars"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} would come twice")
     tune(df.sparkSession)
     kept = df.select(*(df[c] for c in keep))
     schema = kept.select("*").schema.add("text", "string").add("n_chars", "long")
