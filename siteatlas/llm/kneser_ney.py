@@ -1,9 +1,10 @@
 """Interpolated modified Kneser-Ney model of any order from 2, counted in Spark and read by memory map.
 
 Words are counted by task and meet in shards of equal ranges of their 64-bit
-hash; each shard is written as a sorted array of hashes with counts, so a
-word's number is its place among all. N-grams of the full order are rows of
-such numbers, also counted by task; they meet in shards by a hash of the n-gram,
+hash; each shard is written as a sorted array of hashes with counts. Words are
+numbered by classes of frequency (powers of two), the most frequent first, so
+that n-grams, which are rows of such numbers, pack well: a number is the first
+one of the word's class and shard and its rank in them. N-grams of the full order are also counted by task; they meet in shards by a hash of the n-gram,
 so a frequent word or context fills no shard. Each shard is written as a sorted
 array of keys, with a code for each into the shard's distinct rows of numbers,
 and gives to the order below one continuation for the end of each n-gram and
@@ -38,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteatlas.llm.storage import new_path, table, tune
+from siteatlas.llm.storage import cleaned, new_path, table, tune
 from siteatlas.llm.textops import mix, word_hashes
 
 END = mix(np.array([0xE0D], dtype=np.uint64))[0]
@@ -174,18 +175,26 @@ class Arrays:
                 yield s, own, place, there
 
 
+def _frequency(count: np.ndarray) -> np.ndarray:
+    """Class of each count, 0 for the greatest."""
+    return 63 - np.frexp(count.astype(np.float64))[1]
+
+
 class Words(Arrays):
-    def __init__(self, folder: str, firsts: list[int]):
+    """offsets: the first number of each class and shard."""
+
+    def __init__(self, folder: str, offsets: np.ndarray, known: int):
         super().__init__(folder)
-        self.firsts, self.unknown = firsts, firsts[-1] + 1
+        self.offsets, self.unknown = offsets, known + 1
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and training count of each word."""
         keys, back = np.unique(hashes, return_inverse=True)
         number, count = np.full(len(keys), self.unknown, np.int64), np.zeros(len(keys), np.int64)
-        for s, own, place, there in self.find("words", len(self.firsts) - 1, keys, keys):
-            number[own[there]] = place[there] + self.firsts[s]
-            count[own[there]] = self.get(f"counts-{s}", np.int64)[place[there]]
+        for s, own, place, there in self.find("words", self.offsets.shape[1], keys, keys):
+            found = self.get(f"counts-{s}", np.int64)[place[there]]
+            count[own[there]] = found
+            number[own[there]] = self.offsets[_frequency(found), s] + self.get(f"ranks-{s}", np.uint32)[place[there]]
         return number[back], count[back]
 
 
@@ -227,7 +236,7 @@ def _packed(rows) -> bytes:
 
 
 def _dealt(grams: np.ndarray, values: np.ndarray, kind: int, shards: int) -> Iterator[tuple]:
-    """Rows of _PACKED, one for each shard that is reached, each sorted by its first words (by as many bits as one number holds)."""
+    """Rows of _PACKED, one for each shard that is reached, each sorted by its first words (by as many bits as one number holds), of which the first is packed as steps."""
     shard = _shard(mix(_key(grams)), shards)
     width = int(grams[:2].max(initial=0)).bit_length()
     spare = 64 - max(1, (shards - 1).bit_length())
@@ -239,13 +248,15 @@ def _dealt(grams: np.ndarray, values: np.ndarray, kind: int, shards: int) -> Ite
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
         if j > i:
             own = order[i:j]
-            yield int(shard[i]), kind, _packed(row[own] for row in grams), _packed(row[own] for row in values)
+            yield int(shard[i]), kind, _packed([np.diff(grams[0][own], prepend=np.uint32(0)), *(row[own] for row in grams[1:])]), _packed(row[own] for row in values)
 
 
 def _undealt(rows: list, width: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams and values of rows (keys, values)."""
     rows = [tuple(zstandard.ZstdDecompressor().decompress(x) for x in r) for r in rows]
     grams = [np.stack([_numbers(k[i * len(k) // order : (i + 1) * len(k) // order], np.uint32) for i in range(order)]) for k, _ in rows]
+    for g in grams:
+        g[0] = np.cumsum(g[0], dtype=np.uint32)
     values = [np.stack([_numbers(v[i * len(v) // width : (i + 1) * len(v) // width], np.int64) for i in range(width)]) for _, v in rows]
     return np.concatenate([np.empty((order, 0), np.uint32), *grams], axis=1), np.concatenate([np.empty((width, 0), np.int64), *values], axis=1)
 
@@ -309,21 +320,28 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
             key, count = _summed([_numbers(k, np.uint64) for k, _ in rows], [_numbers(c, np.uint32).astype(np.int64) for _, c in rows])
             _save(folder, f"words-{s}", key)
             _save(folder, f"counts-{s}", count)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(key)], pa.int64()), pa.array([int(count.sum())], pa.int64())], names=["shard", "words", "tokens"])
+            kind = _frequency(count)
+            order, sizes = np.argsort(kind, kind="stable"), np.bincount(kind, minlength=64)
+            rank = np.empty(len(key), np.uint32)
+            rank[order] = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            _save(folder, f"ranks-{s}", rank)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), pa.array([int(count.sum())], pa.int64())], names=["shard", "sizes", "tokens"])
 
     packed = "shard int, keys binary, counts binary"
     met = docs.mapInArrow(count_words, packed).repartition("shard").sortWithinPartitions("shard")
-    told = {r.shard: r for r in met.mapInArrow(write_words, "shard int, words long, tokens long").collect()}
-    firsts = [0]
-    for s in range(shards):
-        firsts.append(firsts[-1] + (told[s].words if s in told else 0))
-    known, tokens = firsts[-1], sum(r.tokens for r in told.values())
+    with cleaned(spark):
+        told = met.mapInArrow(write_words, "shard int, sizes binary, tokens long").collect()
+    sizes = np.zeros((64, shards), np.int64)
+    for r in told:
+        sizes[:, r.shard] = np.frombuffer(r.sizes, np.int64)
+    known, tokens = int(sizes.sum()), sum(r.tokens for r in told)
+    offsets = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
     if known >= 2**32 - 2:
         raise ValueError(f"{known} words; n-grams of numbers hold 2^32 - 2")
     gram_shards, blocks = max(1, -(-tokens // GRAMS_A_SHARD)), known // WORDS_A_BLOCK + 1
 
     def count_grams(batches):
-        words, held_, size = Words(folder, firsts), [], 0
+        words, held_, size = Words(folder, offsets, known), [], 0
 
         def close():
             _, grams, count = _met(*(np.concatenate(x, axis=1) for x in zip(*held_, strict=True)))
@@ -374,11 +392,13 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
             kinds.append((4, grams[1], np.ones(len(count), np.int64)))
             for kind, word, value in kinds:
                 word, value = _summed([word], [value])
-                block = word // np.uint32(WORDS_A_BLOCK)
+                turn = np.argsort(word % np.uint32(blocks), kind="stable")
+                word, value = word[turn], value[turn]
+                block = word % np.uint32(blocks)
                 cut = [0, *(np.flatnonzero(np.diff(block)) + 1), len(word)]
                 for i, j in zip(cut[:-1], cut[1:], strict=True):
                     if j > i:
-                        out.append((int(block[i]), kind, _planes((word[i:j] % np.uint32(WORDS_A_BLOCK)).astype(np.uint32)), _planes(value[i:j])))
+                        out.append((int(block[i]), kind, _planes((word[i:j] // np.uint32(blocks)).astype(np.uint32)), _planes(value[i:j])))
             if out:
                 yield _sent(out)
 
@@ -389,7 +409,7 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
                     n = sum(np.frombuffer(v, np.int64) for x, _, v in rows if x == level)
                     yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([0], pa.int64())], names=["kind", "n", "total"])
                 continue
-            total = np.zeros((5, min(WORDS_A_BLOCK, known + 1 - block * WORDS_A_BLOCK)), np.int64)
+            total = np.zeros((5, (known - block) // blocks + 1), np.int64)
             for kind, keys, values in rows:
                 total[kind, _numbers(keys, np.uint32)] += _numbers(values, np.int64)
             _save(folder, f"sums-{block}", total)
@@ -399,29 +419,29 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
     parts = docs.mapInArrow(count_grams, _PACKED_DDL)
     for level in range(order, 1, -1):
         parts = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it, level=level: write_grams(level, it), _PACKED_DDL)
-    told = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(write_blocks, "kind int, n binary, total long").collect()
+    with cleaned(spark):
+        told = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(write_blocks, "kind int, n binary, total long").collect()
     of = lambda kind, size: sum((np.frombuffer(r.n, np.int64) for r in told if r.kind == kind), np.zeros(size, np.int64))
     lower = of(1, 7)
     d_low = discounts(lower[:4])
     kinds = sum(r.total for r in told if r.kind == 1)
-    return {"folder": folder, "firsts": firsts, "order": order, "gram_shards": gram_shards, "blocks": blocks, "words": known, "tokens": tokens, "d": {k: discounts(of(k, 4)) for k in range(2, order + 1)}, "d_low": d_low, "pair_kinds": kinds, "spare": float((d_low * lower[4:]).sum() / kinds) if kinds else 1.0}
+    return {"folder": folder, "offsets": offsets, "order": order, "gram_shards": gram_shards, "blocks": blocks, "words": known, "tokens": tokens, "d": {k: discounts(of(k, 4)) for k in range(2, order + 1)}, "d_low": d_low, "pair_kinds": kinds, "spare": float((d_low * lower[4:]).sum() / kinds) if kinds else 1.0}
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.m, self.words, self.files = model, Words(model["folder"], model["firsts"]), Arrays(model["folder"])
+        self.m, self.words, self.files = model, Words(model["folder"], model["offsets"], model["words"]), Arrays(model["folder"])
 
     def _sums(self, number: np.ndarray) -> np.ndarray:
         """Rows total, n1, n2, n3+, continuations of each word number; zeros for unknown ones."""
         out = np.zeros((5, len(number)), np.int64)
-        block = number // WORDS_A_BLOCK
+        block = number % self.m["blocks"]
         known = np.flatnonzero(number <= self.m["words"])
         for b in np.unique(block[known]):
             own = known[block[known] == b]
-            width = min(WORDS_A_BLOCK, self.m["words"] + 1 - int(b) * WORDS_A_BLOCK)
             raw = self.files.get(f"sums-{b}", np.int64)
             if len(raw):
-                out[:, own] = raw.reshape(5, width)[:, number[own] % WORDS_A_BLOCK]
+                out[:, own] = raw.reshape(5, -1)[:, number[own] // self.m["blocks"]]
         return out
 
     def _rows(self, level: int, keys: np.ndarray) -> np.ndarray:

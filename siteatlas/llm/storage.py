@@ -58,6 +58,18 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the executions inside go when each ends: for results that aren't computed twice."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tune(spark: SparkSession) -> None:
     """Bounded Arrow batches, so that very long texts don't meet in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
