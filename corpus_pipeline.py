@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which are
 what the stage before kept, stored as Parquet. All but the last return the
 columns of documents. Null, empty and repeated rows are treated as the stages'
-operators say; a row without an identifier stays where no decision is against
-it.
+operators say. The first three stages decide row by row; in the mix, rows of one
+identifier stay or go together. One run over one folder at a time: a stage that
+starts deletes the tables of the stage before over the same folder.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from siteatlas.llm.exact_dedup import deduplicated
 from siteatlas.llm.jaccard_join import jaccard_components
 from siteatlas.llm.mixing import mix_sources
 from siteatlas.llm.packing import pack_documents, vocabulary_path
-from siteatlas.llm.storage import release, scope, shared_dir, table
+from siteatlas.llm.storage import durable, release, scope, shared_dir, table
 from siteatlas.llm.toxicity import toxicity, train
 
 MIX_PERCENT, MIX_EPOCHS = 90, 1
-_tables: dict[str, list[str]] = {}
+ROW = "_pipeline_row"
+_tables: dict[tuple[str, str], list[str]] = {}
 
 
 def _stage(after: str | None):
@@ -28,10 +30,10 @@ def _stage(after: str | None):
 
     def wrap(f):
         def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            release(spark, _tables.pop(after, []))
+            release(spark, _tables.pop((after, sf_dir), []))
             with scope() as written:
                 out = f(spark, docs, sf_dir)
-                _tables[f.__name__] = list(written)
+                _tables[f.__name__, sf_dir] = list(written)
             return out
 
         stage.__name__, stage.__doc__ = f.__name__, f.__doc__
@@ -61,9 +63,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage("drop_copies")
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts alike the one with the smallest identifier stays."""
-    found = jaccard_components(docs)
-    return _only(docs, found.where("component_id is null or doc_id = component_id"))
+    """Of each component of texts alike the row with the smallest identifier stays; a null one counts as greatest."""
+    rows = durable(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows, id_col=ROW).join(rows.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select(F.col("first")[ROW].alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 @_stage("drop_near_copies")
