@@ -93,6 +93,12 @@ def sections_of_lines(lines: DataFrame, headings: DataFrame) -> DataFrame:
     return both.withColumn("heading", last).where("_k = 1").select("guide", "line", "heading")
 
 
+def snapshot_status(rows: DataFrame) -> DataFrame:
+    """rows: site, usable, missed (unavailable, cut off or warned of). By site: status and fresh, its usable pages."""
+    n = rows.groupBy("site").agg(F.count_if("usable").alias("fresh"), F.bool_or("missed").alias("missed"))
+    return n.select("site", F.when(F.col("fresh") == 0, "failed").when(F.col("missed"), "partial").otherwise("complete").alias("status"), "fresh")
+
+
 def recent_sessions(visits: DataFrame, k: int = 10) -> DataFrame:
     """visits: user, project, name, visited_at. The k projects that each user saw last, once each; visits without identifier, name or time don't count."""
     good = visits.where("project is not null and trim(name) <> '' and visited_at is not null")

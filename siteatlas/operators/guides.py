@@ -31,6 +31,13 @@ def folders(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.concat(F.lit("/"), F.array_join(F.transform(F.slice(parts, F.lit(1), n), lambda x: F.concat(x, F.lit("/"))), "")))
 
 
+def path_of(url: Column) -> Column:
+    """The guide path that a URL stands for: a file's folder, else the path with one slash at the end."""
+    path = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(url, "^https?://[^/]+(.*)$", 1), F.lit("")), F.lit("/")), "[?#].*$", "")
+    last = F.regexp_replace(path, "^.*/", "")
+    return F.when(F.split_part(last, F.lit("."), F.lit(2)) != "", F.regexp_replace(path, "[^/]*$", "")).otherwise(F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/")))
+
+
 def suggestions(pages: DataFrame, guides: DataFrame, eligible: list[str] = urls.ELIGIBLE) -> DataFrame:
     """pages: site, page, url; guides: site, path. Sections of three pages or more that have no guide, the three largest of each site; ties go to the one whose page comes first."""
     parts = F.split(F.regexp_replace(urls.part(F.col("url"), 3), "^/+|/+$", ""), "/")

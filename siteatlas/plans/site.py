@@ -368,11 +368,69 @@ def url_normalize_exact(q):
     return u.select("site", "page_id", urls_exact.normalized("url").alias("normalized"), urls_exact.resolved("url", F.lit("../x?b=2&a=1#f")).alias("resolved"), urls_exact.safe_destination(F.concat("url", F.lit("/ü x"))).alias("destination"))
 
 
-@query("project_paths", "select page_id, case when seg = 'login' then '/' else '/' || split_part(regexp_extract(rtrim(url, '/'), '//[^/]*(/.*)$', 1), '/', 2) || '/' end as path from site_pages")
+@query("project_paths", """select page_id, case when contains(last, '.') and string_split(last, '.')[2] <> '' then regexp_replace(path, '[^/]*$', '') else rtrim(path, '/') || '/' end as path from (select page_id, path, regexp_replace(path, '^.*/', '') as last from (select page_id, regexp_replace(coalesce(nullif(regexp_extract(url, '^https?://[^/]+(.*)$', 1), ''), '/'), '[?#].*$', '') as path from pages))""")
 def project_paths(q):
-    """The guide path that a project's URL stands for: its first segment, the root for a page to log in."""
-    path = F.regexp_extract(F.regexp_replace("url", "/+$", ""), "//[^/]*(/.*)$", 1)
-    return q("site_pages").select("page_id", F.when(F.col("seg") == "login", "/").otherwise(F.concat(F.lit("/"), F.split_part(path, F.lit("/"), F.lit(2)), F.lit("/"))).alias("path"))
+    return q("select page_id, url from pages").select("page_id", guides.path_of(F.col("url")).alias("path"))
+
+
+@query("public_hosts", "select h as host, h in ('8.8.8.8', '172.32.0.1', '2606:4700::1111') as public from (select unnest(['8.8.8.8', '10.0.0.1', '127.0.0.1', '172.16.9.9', '172.32.0.1', '192.168.0.1', '169.254.1.1', '224.0.0.5', '240.0.0.1', '0.0.0.0', '::1', 'fe80::1', '2606:4700::1111', '::ffff:8.8.8.8', 'host']) as h)")
+def public_hosts(q):
+    hosts = ["8.8.8.8", "10.0.0.1", "127.0.0.1", "172.16.9.9", "172.32.0.1", "192.168.0.1", "169.254.1.1", "224.0.0.5", "240.0.0.1", "0.0.0.0", "::1", "fe80::1", "2606:4700::1111", "::ffff:8.8.8.8", "host"]
+    return q("select explode(array(" + ", ".join(map(repr, hosts)) + ")) as host").select("host", urls_exact.is_public("host").alias("public"))
+
+
+@query("accepted_downloads", "select page_id, status = 200 and page_id % 6 <> 3 and page_id % 5 > 0 as accepted from responses")
+def accepted_downloads(q):
+    body = "case when page_id % 6 = 3 then '<HTML><p>x' when page_id % 5 = 0 then ' \\n ' else '# A guide' end"
+    r = q(f"select page_id, status, url, {body} as text from responses").withColumn("p", markdown.parsed("text", "url"))
+    return r.select("page_id", ((F.col("status") == 200) & ~F.array_contains("p.flags", "html-instead-of-markdown") & (text.collapsed(F.col("text")) != "")).alias("accepted"))
+
+
+@query("corpus_counts", "select category, count(*) as files, count(*) filter (where status = 200) as accepted, round(count(*) filter (where status = 200) / count(*), 6) as ratio from (select split_part(seg, '/', 1) as category, status from responses join site_pages using (page_id)) group by 1")
+def corpus_counts(q):
+    r = q("select split_part(s.seg, '/', 1) as category, r.status from responses r join site_pages s on s.page_id = r.page_id").withColumn("ok", F.col("status") == 200)
+    return r.groupBy("category").agg(F.count("*").alias("files"), F.count_if("ok").alias("accepted"), F.round(F.count_if("ok") / F.count("*"), 6).alias("ratio"))
+
+
+@query("unsupported_links", """, l as (select site, page_id, unnest([url, origin || '/gone/' || page_id, 'https://else.test/']) as link from site_pages) select distinct site, link from l where not exists (select 1 from site_pages p where p.url = l.link and p.page_id % 4 > 0) and page_id % 3 = 0""")
+def unsupported_links(q):
+    linked = q("select site, explode(array(url, concat(origin, '/gone/', cast(page_id as string)), 'https://else.test/')) as link from site_pages where page_id % 3 = 0")
+    return linked.distinct().join(q("select url as link from site_pages where page_id % 4 > 0"), "link", "left_anti").select("site", "link")
+
+
+@query("snapshot_finished", """, r as (select site, count(*) filter (where page_id % 4 > 0) as fresh, count(*) filter (where page_id % 7 = 3) as missed from site_pages where site < 4 group by 1) select site, case when fresh = 0 then 'failed' when missed > 0 and site > 0 then 'partial' else 'complete' end as status, fresh from r""")
+def snapshot_finished(q):
+    """A site's snapshot: failed without a usable page, partial where something is missing or was cut, else complete."""
+    r = q("select site, page_id % 4 > 0 as usable, page_id % 7 = 3 and site > 0 as missed from site_pages where site < 4")
+    return changes.snapshot_status(r)
+
+
+@query("review_counts", """select c_custkey as project, (select count(*) from answered a where a.project = c_custkey and active and needs_review) as reviews, coalesce((select arg_max(status, (available_at, job)) from jobs j where j.project = c_custkey), 'none') as job from customer""".replace("arg_max(status, (available_at, job))", "(list(status order by available_at desc, job desc))[1]"))
+def review_counts(q):
+    reviews = q("answered").where("active and needs_review").groupBy("project").agg(F.count("*").alias("reviews"))
+    last = q("jobs").groupBy("project").agg(F.max_by("status", F.struct("available_at", "job")).alias("job"))
+    out = q("projects").select("project").join(reviews, "project", "left").join(last, "project", "left")
+    return out.select("project", F.coalesce("reviews", F.lit(0)).alias("reviews"), F.coalesce("job", F.lit("none")).alias("job"))
+
+
+@query("test_context", "select r.run, g.guide, g.path, g.origin, 'text of ' || g.draft as markdown from runs r join site_guides g on g.site = r.suite where g.path = '/' and r.model = 1 and r.run % 20 = 1")
+def test_context(q):
+    """Run, suite, guide, site and version in one row."""
+    runs = q("select run, suite from runs where model = 1 and run % 20 = 1")
+    g = q("select guide, path, site, draft as version from site_guides where path = '/'")
+    versions = q("select draft as version, concat('text of ', draft) as markdown from site_guides")
+    return runs.join(g.withColumnRenamed("site", "suite"), "suite").join(q("select site as suite, origin from site_roots"), "suite").join(versions, "version").select("run", "guide", "path", "origin", "markdown")
+
+
+@query("recent_entries", "select event_id, array_to_string(list_transform(list(event_id) over (partition by user_id order by ts, event_id rows between 5 preceding and current row), lambda x: x::varchar), '|') as entries from events")
+def recent_entries(q):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-5, 0)
+    return q("select event_id, user_id, ts from events").select("event_id", flat(F.collect_list("event_id").over(w)).alias("entries"))
+
+
+@query("json_paths", "select event_id, coalesce(json_extract_string(props, '$.k'), '') as k from events")
+def json_paths(q):
+    return q("select event_id, props from events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"))
 
 
 # text
@@ -407,6 +465,12 @@ def evidence_lines(q):
     return q("select doc_id, text from documents where text is not null").select("doc_id", flat(text.evidence_lines(F.col("text"), F.lit("the"))).alias("lines"))
 
 
+@query("passage_ids", "select doc_id, 'p' || row_number() over (partition by doc_id order by pos) as id, line from (select doc_id, unnest(string_split(substr(text, 1, 12000), chr(10))) as line, unnest(range(len(string_split(substr(text, 1, 12000), chr(10))))) as pos from documents where text is not null and not regexp_matches(text, '[\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')) where trim(line, ' ' || chr(9)) <> ''")
+def passage_ids(q):
+    d = q("select doc_id, text from documents where text is not null").where(~F.col("text").rlike(r"[\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"))
+    return d.select("doc_id", F.explode(text.passages(F.col("text"))).alias("p")).select("doc_id", "p.id", F.col("p.text").alias("line"))
+
+
 # jobs
 
 
