@@ -502,6 +502,20 @@ def test_pipeline_stages(spark):
     assert p.run(spark, sf).count() > 0
 
 
+def test_near_copies_by_row(spark):
+    """Rows that share an identifier, lack one or are the same are judged by themselves."""
+    import corpus_pipeline as p
+
+    base = words(60)
+    rows = [(5, base), (5, base + " more"), (5, words(60)), (None, base), (None, words(50)), (None, None), (7, "same"), (7, "same"), (8, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")
+    out = p.drop_near_copies(spark, df, "none")
+    assert out.columns == df.columns
+    kept = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert kept[7, "same"] == 1 and kept[5, base] + kept[5, base + " more"] == 1 and kept[None, base] == 0
+    assert kept[5, rows[2][1]] == kept[None, rows[4][1]] == kept[None, None] == kept[8, ""] == 1
+
+
 def plain_toxicity(net, text):
     read, best, H = toxicity.words_of(text or ""), 0.0, toxicity.HIDDEN
     sig = lambda x: 1 / (1 + np.exp(-x))
