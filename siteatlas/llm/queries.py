@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from siteatlas.llm.alignment import op13_tokenizer_alignment
 from siteatlas.llm.divergence import OP11_SQL, op11_source_divergence
 from siteatlas.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from siteatlas.llm.extraction import op1_html_extraction
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 SQL = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_mix_sources": OP8_SQL, "op11_source_divergence": OP11_SQL}
