@@ -35,7 +35,7 @@ from siteatlas.llm.storage import durable, table, tune
 
 MIN_DOCS, SCALE_STEP, TOP_TERMS = 3, 1000, 200
 #: Bytes of text that are counted together; pairs that are tallied together.
-BLOCK, PAIRS = 24 << 20, 1 << 19
+BLOCK, PAIRS = 14 << 20, 1 << 19
 #: A-Z to a-z, other letters and all bytes of other characters as they are, the rest to spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
