@@ -22,26 +22,6 @@ def placed(rows: DataFrame, key: str, order: str, buckets: int = 256) -> DataFra
     return rows.withColumn("_k", within).join(n.drop("_n"), [key, "_b"]).withColumn("place", F.col("_before") + F.col("_k")).drop("_low", "_high", "_b", "_before", "_k")
 
 
-def matched_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str) -> DataFrame:
-    """quotes: quote_id, quote; documents: doc_id, text. Pairs where the text holds the quote as it stands.
-
-    A quote of four words or more has two neighbours that are whole words of every text that holds it; texts meet
-    quotes at such a pair and are then searched. Quotes without are searched in every text, as few as they are.
-    """
-    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    pair = lambda w, i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
-    w = F.split(F.col("quote"), " ")
-    inner = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.when((i + 1 < F.size(w) - 1) & (F.get(w, i) != "") & (F.get(w, i + 1) != ""), pair(w, i))), lambda x: x.isNotNull())
-    keyed = quotes.withColumn("_key", F.get(F.array_sort(inner), F.lit(0)))
-    own = words(F.col("text"))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(own) - 2, F.lit(0))), lambda i: pair(own, i)))
-    wanted = keyed.where("_key is not null").select("_key").distinct()
-    near = documents.select(doc_id, F.explode(pairs).alias("_key")).join(wanted, "_key", "left_semi").join(keyed, "_key").select(quote_id, doc_id, "quote").distinct()
-    found = near.join(documents, doc_id).where(F.contains("text", F.col("quote"))).select(quote_id, doc_id)
-    rest = keyed.where("_key is null").select(quote_id, "quote").join(documents.select(doc_id, "text"), F.contains("text", F.col("quote"))).select(quote_id, doc_id)
-    return found.unionByName(rest)
-
-
 def bm25(queries: DataFrame, documents: DataFrame, k: int = 3, url: str | None = None) -> DataFrame:
     """queries: query_id, text; documents: doc_id, text. The k best documents of each query (score over 0, ties to the smaller identifier); with `url`, the best document of each URL only.
 

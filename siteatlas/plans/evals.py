@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions import text
 from siteatlas.operators import grading, validation
-from siteatlas.operators.ranking import bm25, matched_quotes, placed
+from siteatlas.operators.quotes import matched_quotes
+from siteatlas.operators.ranking import bm25, placed
 from siteatlas.plans.catalogue import _BM25
 from siteatlas.plans.site import flat, query
 

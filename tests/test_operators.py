@@ -4,13 +4,16 @@ import collections
 import datetime as dt
 import json
 import random
+import time
 import urllib.robotparser
 
+import pytest
 from pyspark.sql import functions as F
 
 from siteatlas.engine import Engine
 from siteatlas.operators import changes, crawl, grading, guides, jobs
-from siteatlas.operators.ranking import matched_quotes, placed
+from siteatlas.operators.quotes import GRAM, Quotes, Wanted, all_grams, matched_quotes
+from siteatlas.operators.ranking import placed
 from siteatlas.operators.reconcile import reconcile
 from siteatlas.sources import stores
 
@@ -119,18 +122,40 @@ def test_reconcile_by_the_table(spark):
     assert {r.url: (r.change, r.hash, r.not_found_count) for r in reconcile(a, b).collect()} == want
 
 
-def test_places_and_quotes(spark):
+def test_places(spark):
     rows = [(rng.choice("abc") if rng.random() < 0.5 else "hot", i * i) for i in range(400)]
     got = sorted(map(tuple, placed(spark.createDataFrame(rows, "k string, o long"), "k", "o", 8).select("k", "o", "place", "n").collect()))
     by = collections.defaultdict(list)
     for k, o in rows:
         by[k].append(o)
     assert got == sorted((k, o, i, len(os)) for k, os in by.items() for i, o in enumerate(sorted(os)))
-    say = lambda n: " ".join(rng.choice("abcde") for _ in range(n))
-    texts = [(i, say(60)) for i in range(40)] + [(99, None)]
-    quotes = [(i, (t := rng.choice(texts[:40])[1])[(b := rng.randint(0, 80)) : b + rng.randint(1, 30)]) for i in range(60)] + [(900, "zz zz zz zz zz"), (901, ""), (902, "a  b c d e")]
-    got = matched_quotes(spark.createDataFrame(quotes, "q long, quote string"), spark.createDataFrame(texts, "d long, text string"), "q", "d")
-    assert sorted(map(tuple, got.collect())) == sorted((q, d) for q, s in quotes for d, t in texts if t is not None and s in t)
+
+
+@pytest.mark.parametrize(("broadcast", "bits"), [(1 << 20, 20), (0, 20), (0, 16)])
+def test_quotes_in_texts(spark, broadcast, bits):
+    say = lambda n: " ".join(rng.choice(["a", "b", "ß", "日本", "the", "\x00"]) for _ in range(n))
+    texts = [(i, say(rng.randint(0, 60))) for i in range(60)] + [(99, None), (98, ""), (97, "aaaaaaaaaaaaaaaaaaaaaaaa"), (3, "a second row of three"), (96, "ab")]
+    quotes = [(i, (t := rng.choice(texts[:60])[1])[(b := rng.randint(0, 80)) : b + rng.randint(0, 30)]) for i in range(80)]
+    quotes += [(900, "zz zz zz zz zz"), (901, ""), (902, "a  b c d e"), (903, None), (904, "a" * 9), (904, "a" * 24), (905, "a" * 25), (906, "second"), (906, "second row of three"), (907, "b")]
+    got = matched_quotes(spark.createDataFrame(quotes, "q long, quote string"), spark.createDataFrame(texts, "d long, text string").repartition(3), "q", "d", broadcast, bits)
+    want = collections.Counter((q, d) for q, s in quotes if s is not None for d in {d for d, t in texts if t is not None and s in t})
+    assert collections.Counter(map(tuple, got.collect())) == want
+
+
+def test_quotes_take_linear_time():
+    words = [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(200_000)]
+    text = " ".join(words).encode()
+    quotes = [" ".join(words[i : i + 7]).encode() for i in range(0, 20_000, 40)] + [b"abc", b"h h"]
+    took = []
+    for n in (1, 4):
+        texts, began = [text * n], time.process_time()
+        counts = collections.Counter()
+        for _, number in Wanted(all_grams(quotes), GRAM).found(texts[0] + bytes(GRAM - 1)):
+            counts.update(all_grams(quotes)[number].tolist())
+        found = Quotes(quotes, counts).matches(texts)
+        took.append(time.process_time() - began)
+        assert found == [(0, i) for i, q in enumerate(quotes) if q in texts[0]]
+    assert took[1] < 8 * took[0] + 0.5
 
 
 def test_guides_end_to_end(spark):
