@@ -1,150 +1,185 @@
 """Web pages as records: links, title, description, content, anchor texts; sanitised markup; template blocks.
 
-A page is read once by the standard library's parser, in Arrow batches. Content
-is a heuristic of our own: text of blocks outside page furniture, within the
-article or main element where it holds text; where that gives little on a page
-full of links, all blocks count. Null, empty and broken pages give a record
-without content, which isn't usable evidence.
+The standard library's parser reads a page once, in Arrow batches, into a tree
+of elements (`content` picks the text from it), the raw links with their labels
+and the raw titles. What follows from these by rules, the normalised links in
+order, labels, title and description, is made of columns. Null, empty and broken
+pages give a record without content, which isn't usable evidence.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteatlas.functions import content, urls
 from siteatlas.functions.arrow import arrow
-from siteatlas.functions.urls_exact import normalize, resolve
+from siteatlas.functions.text import collapsed
 
 TITLE, DESCRIPTION, CONTENT, LABEL, HREFS = 500, 1500, 12_000, 160, 1000
 LEAST_CONTENT, LEAST_LETTERS, LEAST_LINKS = 40, 150, 5
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template svg canvas select textarea iframe object".split())
 _AROUND = frozenset("nav header footer aside form menu dialog".split())
-_BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+_BLOCK = frozenset("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+#: An element that ends where one of these begins in it.
+_ENDED_BY = {"p": _BLOCK - {"br", "caption", "figcaption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 _AD = re.compile(r"(^|[\s_-])(ad|ads|advert|advertisement|sponsored|promo|cookie|banner)([\s_-]|$)", re.IGNORECASE)
-PAGE = "title string, description string, content string, links array<string>, anchors array<struct<url:string,label:string>>, usable boolean"
+_COMMENT = re.compile(r"(^|[\s_-])(comment|comments|commentlist|disqus|replies|respond)([\s_-]|$)", re.IGNORECASE)
+RAW = "titles array<string>, headings array<string>, description string, card string, content string, loose string, hrefs array<struct<href:string,label:string,main:boolean>>"
 
 
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, furniture, main
-        self.titles: list[str] = []
-        self.h1: list[str] = []
+        self.tree = content.Tree()
+        self.at, self.block, self.silent = 0, 0, 0
+        self.line: list | None = None
         self.meta: dict[str, str] = {}
-        self.hrefs: tuple[list[str], list[str]] = ([], [])
-        self.anchors: list[list] = []
-        self.lines: list[list] = [["", False, False]]  # text, furniture, main
-        self.anchor: list | None = None
-
-    @property
-    def state(self):
-        return self.open[-1][1:] if self.open else (False, False, False)
-
-    def _line(self):
-        if self.lines[-1][0]:
-            self.lines.append(["", False, False])
+        self.heads: dict[str, list[str]] = {"title": [], "h1": []}
+        self.head: str | None = None
+        self.links: list[list] = []
+        self.link: list | None = None
+
+    def _flush(self) -> None:
+        """A line ends: its text goes to the element that it stands in."""
+        if self.line and (text := " ".join(self.line[1].split())):
+            self.tree.lines.append((self.line[0], text, self.line[2]))
+        self.line = None
+
+    def _leave(self, to: int) -> None:
+        """Everything inside element `to`, and itself, ends."""
+        while self.at >= to > 0:
+            tag = self.tree.tag[self.at]
+            if tag in _BLOCK:
+                self._flush()
+            self.silent -= tag in _SILENT
+            if tag == self.head:
+                self.head = None
+            if tag == "a":
+                self.link = None
+            self.at = self.tree.up[self.at]
 
     def handle_starttag(self, tag, attrs):
         own = {k: v or "" for k, v in attrs}
-        silent, around, main = self.state
-        if tag == "meta":
-            name = "description" if own.get("name", "").lower() == "description" else own.get("property") if own.get("property") == "og:description" else None
-            if name and "content" in own:
-                self.meta.setdefault(name, own["content"])
+        if tag == "meta" and "content" in own:
+            if own.get("name", "").lower() == "description":
+                self.meta.setdefault("description", own["content"])
+            if own.get("property") == "og:description":
+                self.meta.setdefault("card", own["content"])
         if tag in _BLOCK:
-            self._line()
+            self._flush()
         if tag in _VOID:
             return
-        main = main or tag in ("main", "article") or own.get("role") == "main"
-        around = around or tag in _AROUND or bool(_AD.search(own.get("class", "")))
-        self.open.append((tag, silent or tag in _SILENT, around, main))
+        while tag in _ENDED_BY.get(self.tree.tag[self.at], ()):
+            self._leave(self.at)
+        names = f"{own.get('class', '')} {own.get('id', '')}"
+        main = tag in ("main", "article") or own.get("role") == "main"
+        self.at = self.tree.add(tag, self.at, tag in _AROUND or bool(_AD.search(own.get("class", ""))), bool(_COMMENT.search(names)), main)
+        self.silent += tag in _SILENT
+        if tag in self.heads and not self.silent:
+            self.head = tag
         if tag == "a" and "href" in own:
-            self.hrefs[0 if main else 1].append(own["href"])
-            self.anchor = [own["href"], "", main]
-            self.anchors.append(self.anchor)
+            self.link = [own["href"], "", self.tree.main[self.at]]
+            self.links.append(self.link)
 
     def handle_startendtag(self, tag, attrs):
+        before = self.at
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
+        if self.at != before and tag not in _VOID and self.tree.tag[self.at] == tag:
+            self._leave(self.at)
 
     def handle_endtag(self, tag):
-        if tag in _BLOCK:
-            self._line()
-        if tag == "a":
-            self.anchor = None
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+        at = self.at
+        for _ in range(200):
+            if at <= 0:
+                return
+            if self.tree.tag[at] == tag:
+                self._leave(at)
                 return
+            at = self.tree.up[at]
 
     def handle_data(self, data):
-        silent, around, main = self.state
-        tags = [x[0] for x in self.open[-8:]]
-        if "title" in tags and "svg" not in tags:
-            self.titles.append(data)
+        if self.silent:
             return
-        if silent:
-            return
-        if "h1" in tags:
-            self.h1.append(data)
-        if self.anchor is not None:
-            self.anchor[1] += data
-        if not self.lines[-1][0]:
-            self.lines[-1][1:] = [around, main]
-        self.lines[-1][0] += data
-
-
-def _squeezed(parts) -> str:
-    return " ".join(" ".join(parts).split())
+        if self.head:
+            self.heads[self.head].append(data)
+            if self.head == "title":
+                return
+        if self.link is not None:
+            self.link[1] += data
+        if self.line is None:
+            if not data.strip():
+                return
+            at = self.at
+            while at > 0 and self.tree.tag[at] not in _BLOCK:
+                at = self.tree.up[at]
+            self.line = [at, "", 0]
+        self.line[1] += data
+        if self.link is not None:
+            self.line[2] += sum(map(str.isalnum, data))
 
 
-def read_page(body: str | bytes | None, url: str | None) -> dict:
-    text = body.decode("utf-8", "replace") if isinstance(body, bytes) else body or ""
+def read_page(body: str | bytes | None) -> dict:
+    """What the page says, before any rule on URLs and lengths."""
     reader = _Reader()
-    reader.feed(text)
+    reader.feed(body.decode("utf-8", "replace") if isinstance(body, bytes) else body or "")
     reader.close()
-    links: dict[str, None] = {}
-    for href in (reader.hrefs[0] + [a[0] for a in reader.anchors])[:HREFS]:
-        if link := normalize(resolve(url, href)):
-            links.setdefault(link)
-    labels: dict[str, str] = {}
-    for href, label, _ in reader.anchors:
-        label = _squeezed([label])[:LABEL]
-        if label and (link := normalize(resolve(url, href))):
-            labels.setdefault(link, label)
-    lines = [(_squeezed([t]), around, main) for t, around, main in reader.lines]
-    lines = [x for x in lines if x[0]]
-    inside = [t for t, around, main in lines if main and not around]
-    content = "\n".join(inside or [t for t, around, _ in lines if not around])
-    if sum(c.isalpha() for c in content) < LEAST_LETTERS and len(links) >= LEAST_LINKS:
-        content = max(content, "\n".join(t for t, _, _ in lines), key=len)
-    usable = len(content.strip()) >= LEAST_CONTENT
+    reader._flush()
+    strict, loose = content.content(reader.tree)
+    hrefs = [{"href": urls.ascii_host(h), "label": label, "main": main} for h, label, main in reader.links]
     return {
-        "title": (_squeezed(reader.titles) or _squeezed(reader.h1) or url or "")[:TITLE],
-        "description": _squeezed([reader.meta.get("description", reader.meta.get("og:description", ""))])[:DESCRIPTION],
-        "content": content.strip()[:CONTENT] if usable else "",
-        "links": list(links),
-        "anchors": [{"url": k, "label": v} for k, v in labels.items()],
-        "usable": usable,
+        "titles": reader.heads["title"],
+        "headings": reader.heads["h1"],
+        "description": reader.meta.get("description"),
+        "card": reader.meta.get("card"),
+        "content": strict,
+        "loose": loose,
+        "hrefs": hrefs,
     }
 
 
-def page_records(pages: DataFrame, body_col: str = "html", url_col: str = "url") -> DataFrame:
-    """pages with the column `page`: what read_page finds. The record keeps the URL that was asked for, whatever it redirected to."""
+@arrow(RAW)
+def raw_page(body: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read_page(b) for b in body], columns=["titles", "headings", "description", "card", "content", "loose", "hrefs"])
+
+
+def _links(hrefs: Column, base: Column) -> Column:
+    """Normalised links: those of main parts first, the first HREFS read."""
+    first = F.concat(F.filter(hrefs, lambda h: h["main"]), hrefs)
+    known = F.transform(F.slice(first, 1, HREFS), lambda h: urls.normalized(urls.resolved(base, h["href"])))
+    return F.array_distinct(F.array_compact(known))
 
-    @arrow(PAGE)
-    def read(body: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_page(b, u) for b, u in zip(body, url, strict=True)], columns=["title", "description", "content", "links", "anchors", "usable"])
 
-    return pages.withColumn("page", read(F.col(body_col), F.col(url_col)))
+def _labels(hrefs: Column, base: Column) -> Column:
+    """(url, label): of each normalised link the first label that isn't blank."""
+    said = F.filter(F.transform(hrefs, lambda h: F.struct(urls.normalized(urls.resolved(base, h["href"])).alias("url"), F.left(collapsed(h["label"]), F.lit(LABEL)).alias("label"))), lambda a: a["url"].isNotNull() & (a["label"] != ""))
+    names = lambda own: F.array_distinct(F.transform(own, lambda a: a["url"]))
+    return urls.let(said, lambda own: F.transform(names(own), lambda url: F.get(F.filter(own, lambda a: a["url"] == url), F.lit(0))))
+
+
+def page_records(pages: DataFrame, body_col: str = "html", url_col: str = "url") -> DataFrame:
+    """pages with the column `page`: title, description, content, links, anchors, usable. The record keeps the URL that was asked for, whatever it redirected to."""
+    raw, url = F.col("_raw"), F.col(url_col)
+    few = (F.length(F.regexp_replace(raw["content"], r"[^\p{L}]", "")) < LEAST_LETTERS) & (F.size("_links") >= LEAST_LINKS) & (F.length(raw["loose"]) > F.length(raw["content"]))
+    said = F.when(few, raw["loose"]).otherwise(raw["content"])
+    usable = F.length(F.col("_said")) >= LEAST_CONTENT
+    joined = lambda parts: F.nullif(collapsed(F.array_join(parts, " ")), F.lit(""))
+    page = F.struct(
+        F.left(F.coalesce(joined(raw["titles"]), joined(raw["headings"]), url, F.lit("")), F.lit(TITLE)).alias("title"),
+        F.left(collapsed(F.coalesce(raw["description"], raw["card"], F.lit(""))), F.lit(DESCRIPTION)).alias("description"),
+        F.when(usable, F.left(F.col("_said"), F.lit(CONTENT))).otherwise("").alias("content"),
+        F.col("_links").alias("links"),
+        _labels(raw["hrefs"], url).alias("anchors"),
+        usable.alias("usable"),
+    )
+    read = pages.withColumn("_raw", raw_page(body_col)).withColumn("_links", _links(raw["hrefs"], url))
+    return read.withColumn("_said", said).withColumn("page", page).drop("_raw", "_links", "_said")
 
 
 class _Cleaner(HTMLParser):
@@ -164,7 +199,7 @@ class _Cleaner(HTMLParser):
             return
         if self.inside:
             return
-        kept = [(k, (resolve(self.base, v) or "") if k == "href" and v else v) for k, v in attrs if not k.startswith("on")]
+        kept = [(k, (urls.joined(self.base, v) or "") if k == "href" and v else v) for k, v in attrs if not k.startswith("on")]
         self.out.append(f"<{tag}" + "".join(f" {k}" if v is None else f' {k}="{escape(v)}"' for k, v in kept) + ">")
 
     def handle_startendtag(self, tag, attrs):

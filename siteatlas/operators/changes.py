@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteatlas.functions.markdown import unified_diff
+from siteatlas.functions.diff import unified_diff
 
 KINDS = ["added", "modified", "removed"]
 

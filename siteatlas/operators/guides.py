@@ -10,15 +10,11 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteatlas.functions.arrow import arrow
-from siteatlas.functions import urls
-from siteatlas.functions.markdown import consolidate, parse_guide
-from siteatlas.functions.text import escaped
-from siteatlas.functions.urls_exact import relative, safe_destination
+from siteatlas.functions import markdown, urls
+from siteatlas.functions.text import collapsed, escaped
 
 # First segments that make automatic children.
 AUTOMATIC = "docs help support developers learn".split()
@@ -86,7 +82,7 @@ def retained(shortcuts: DataFrame, sources: DataFrame, decisions: DataFrame) ->
     active = decisions.where("active").groupBy("guide").agg(F.collect_set("decision_id").alias("active"))
     met = shortcuts.join(sources.select("guide", "source_id", F.coalesce("markdown_url", "url").alias("url")), ["guide", "source_id"]).join(active, "guide", "left")
     met = met.where(F.size(F.array_except("decision_ids", F.coalesce("active", F.array().cast("array<string>")))) == 0)
-    return met.select("guide", urls.canonical(safe_destination("url")).alias("canonical")).where("canonical is not null").distinct()
+    return met.select("guide", urls.canonical(urls.destination(F.col("url"))).alias("canonical")).where("canonical is not null").distinct()
 
 
 def rendered(guides: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
@@ -95,7 +91,7 @@ def rendered(guides: DataFrame, links: DataFrame, sources: DataFrame) -> DataFra
     Rows guide, markdown, missing (links whose source isn't there; the guide is an error then).
     """
     met = links.join(sources.select("guide", "source_id", F.coalesce("markdown_url", "url").alias("url")), ["guide", "source_id"], "left")
-    line = F.concat(F.lit("- ["), escaped(F.col("label")), F.lit("](<"), safe_destination("url"), F.lit(">)"), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), escaped(F.col("description")))).otherwise(""))
+    line = F.concat(F.lit("- ["), escaped(F.col("label")), F.lit("](<"), urls.destination(F.col("url")), F.lit(">)"), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), escaped(F.col("description")))).otherwise(""))
     met = met.withColumn("line", line).groupBy("guide", "section_pos", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"), F.count_if(F.col("line").isNull()).alias("lost"))
     body = F.concat(F.lit("## "), escaped(F.col("section")), F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), ""), F.lit("\n"))
     parts = met.select("guide", "section_pos", body.alias("body"), "lost").groupBy("guide").agg(F.array_sort(F.collect_list(F.struct("section_pos", "body"))).alias("parts"), F.sum("lost").alias("lost"))
@@ -115,16 +111,37 @@ def baseline(sources: DataFrame) -> DataFrame:
     return sources.groupBy("guide").agg(F.coalesce(first, F.lit("Website")).alias("title"), F.array(F.struct(F.lit("Resources").alias("title"), links.alias("links"))).alias("sections"))
 
 
-_CHILDREN = "array<struct<path:string,name:string,markdown:string>>"
-
-
-@arrow("string")
-def _consolidated(markdown: pd.Series, base: pd.Series, children: pd.Series, kept: pd.Series) -> pd.Series:
-    out = []
-    for text, url, below, own in zip(markdown, base, children, kept, strict=True):
-        below = [(c["path"], c["markdown"] or "") for c in (below if below is not None else ())]
-        out.append(None if text is None else consolidate(text, url or "", below, set(own if own is not None else ())))
-    return pd.Series(out, dtype=object)
+def delegated(guides: DataFrame, children: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows guide, canonical: links that some child of the guide lists below its own path (not its root or another guide's file), unless they are kept."""
+    home = lambda url: F.concat(urls.part(url, 1), F.lit("://"), urls.part(url, 2))
+    below = children.join(guides.select(F.col("guide").alias("parent"), home(F.col("url")).alias("_home")), "parent")
+    below = below.withColumn("_p", markdown.parsed(F.col("markdown"), F.concat("_home", "path", F.lit("llms.txt"))))
+    listed = below.select(F.col("parent").alias("guide"), "path", F.lower("_home").alias("_home"), F.explode("_p.links").alias("x")).select("guide", "path", "_home", "x.canonical")
+    page = F.regexp_replace(urls.part(F.col("canonical"), 3), "/+$", "")
+    own = (home(F.col("canonical")) == F.col("_home")) & F.startswith(urls.part(F.col("canonical"), 3), F.col("path")) & (page != F.regexp_replace("path", "/+$", "")) & ~F.endswith(page, F.lit("/llms.txt"))
+    return listed.where(own).select("guide", "canonical").distinct().join(kept.select("guide", "canonical").distinct(), ["guide", "canonical"], "left_anti")
+
+
+def consolidated(guides: DataFrame, children: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows guide, text: the guide without list lines whose link goes to a child, and without the second-level sections that this leaves empty."""
+    read = guides.where("markdown is not null").select("guide", "markdown", markdown.parsed(F.col("markdown"), F.coalesce("url", F.lit(""))).alias("p"))
+    links = read.select("guide", F.explode("p.links").alias("x")).select("guide", "x.canonical", F.col("x.line").alias("n"))
+    gone = links.join(delegated(guides, children, kept), ["guide", "canonical"], "left_semi").select("guide", "n", F.lit(True).alias("goes")).distinct()
+    rows = read.select("guide", F.posexplode(markdown.lines(F.col("markdown"))).alias("n", "line")).select("guide", (F.col("n") + 1).alias("n"), "line")
+    heads = read.select("guide", F.explode("p.headings").alias("h")).select("guide", F.col("h.line").alias("n"), F.col("h.level").alias("level"))
+    met = rows.join(gone, ["guide", "n"], "left").join(heads, ["guide", "n"], "left")
+    met = met.withColumn("goes", F.coalesce(F.col("goes") & F.startswith("line", F.lit("- [")), F.lit(False)))
+    # A line's section is the last heading at or before it.
+    section = F.last(F.when(F.col("level").isNotNull(), F.col("n")), ignorenulls=True).over(Window.partitionBy("guide").orderBy("n"))
+    met = met.withColumn("section", F.coalesce(section, F.lit(0)))
+    stays = F.col("level").isNull() & ~F.col("goes") & (F.trim(collapsed(F.col("line"))) != "")
+    sections = met.groupBy("guide", "section").agg(F.max("level").alias("of"), F.count_if(stays).alias("left"))
+    touched = met.where("goes").select("guide").distinct().withColumn("touched", F.lit(True))
+    met = met.join(sections, ["guide", "section"]).join(touched, "guide", "left")
+    kept_line = F.coalesce(F.col("touched"), F.lit(False)) & (F.col("goes") | ((F.col("of") == 2) & (F.col("left") == 0)))
+    said = met.where(~F.coalesce(kept_line, F.lit(False))).groupBy("guide").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("own"))
+    text = F.array_join(F.transform("own", lambda x: x["line"]), "")
+    return guides.select("guide", "markdown").join(said.select("guide", text.alias("_said")), "guide", "left").select("guide", F.when(F.col("markdown").isNotNull(), F.coalesce("_said", F.lit(""))).alias("text"))
 
 
 def related(markdown: Column, origin: Column, children: Column) -> Column:
@@ -138,12 +155,12 @@ def related(markdown: Column, origin: Column, children: Column) -> Column:
 
 def linked(guides: DataFrame, children: DataFrame, kept: DataFrame) -> DataFrame:
     """guides: guide, url, markdown, manually_edited; children as ready_children(); kept as retained(). Rows guide, markdown: links that children list go to them, and children are named. A guide edited by hand keeps its lines."""
-    below = children.groupBy(F.col("parent").alias("guide")).agg(F.array_sort(F.collect_list(F.struct("path", "name", "markdown"))).alias("children"))
-    own = kept.groupBy("guide").agg(F.collect_set("canonical").alias("kept"))
-    met = guides.join(below, "guide", "left").join(own, "guide", "left").withColumn("children", F.coalesce("children", F.array().cast(_CHILDREN)))
-    text = F.when(F.col("manually_edited"), F.col("markdown")).otherwise(_consolidated("markdown", "url", "children", "kept"))
+    below = children.groupBy(F.col("parent").alias("guide")).agg(F.array_sort(F.collect_list(F.struct("path", "name"))).alias("children"))
+    met = guides.join(below, "guide", "left").join(consolidated(guides, children, kept), "guide", "left")
+    none = F.array().cast("array<struct<path:string,name:string>>")
     origin = F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2))
-    return met.withColumn("_text", text).select("guide", related(F.col("_text"), origin, F.col("children")).alias("markdown"))
+    said = F.when(F.col("manually_edited"), F.col("markdown")).otherwise(F.col("text"))
+    return met.select("guide", said.alias("_said"), origin.alias("_origin"), F.coalesce("children", none).alias("children")).select("guide", related(F.col("_said"), F.col("_origin"), F.col("children")).alias("markdown"))
 
 
 def parent_updates(changed: DataFrame, guides: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -153,21 +170,21 @@ def parent_updates(changed: DataFrame, guides: DataFrame, before: DataFrame, aft
     return met.where(~F.col("markdown").eqNullSafe(F.col("old"))).select("site", "parent", "depth", "markdown").orderBy("site", "depth", "parent")
 
 
+def relative(folder: Column, file: Column) -> Column:
+    """Path from a folder like /a/b/ to a file."""
+    steps = lambda p: F.filter(F.split(p, "/"), lambda x: x != "")
+    a, b = steps(folder), steps(file)
+    most = F.least(F.size(a), F.size(b) - 1)
+    same = F.size(F.filter(F.sequence(F.lit(0), most), lambda n: F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n))) - 1
+    return F.concat(F.repeat(F.lit("../"), F.size(a) - same), F.array_join(F.slice(b, same + 1, F.size(b) - same), "/"))
+
+
 def bundle(guides: DataFrame) -> DataFrame:
     """guides: site, path, markdown, origin. Rows site, file, text, with links to the site's other guides relative to each."""
     files = guides.groupBy("site").agg(F.collect_set(F.concat("path", F.lit("llms.txt"))).alias("files"))
-
-    @arrow("string")
-    def local(text: pd.Series, path: pd.Series, origin: pd.Series, files: pd.Series) -> pd.Series:
-        out = []
-        for t, p, o, fs in zip(text, path, origin, files, strict=True):
-            for f in sorted(fs, key=len, reverse=True):
-                t = t.replace(f"(<{o}{f}>)", f"(<{relative(p + 'llms.txt', f)}>)")
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
+    local = F.aggregate("files", F.col("markdown"), lambda text, f: F.replace(text, F.concat(F.lit("(<"), F.col("origin"), f, F.lit(">)")), F.concat(F.lit("(<"), relative(F.col("path"), f), F.lit(">)"))))
     file = F.regexp_replace(F.concat("path", F.lit("llms.txt")), "^/", "")
-    return guides.where("markdown is not null").join(files, "site").select("site", file.alias("file"), local("markdown", "path", "origin", "files").alias("text"))
+    return guides.where("markdown is not null").join(files, "site").select("site", file.alias("file"), local.alias("text"))
 
 
 def zipped(files: DataFrame) -> bytes:
@@ -193,8 +210,3 @@ def audit_lines(guides: DataFrame, cut: int = 80) -> DataFrame:
     head = guides.sparkSession.range(2).select(F.col("id").cast("int").alias("part"), F.lit(None).cast(dict(guides.dtypes)["id"]).alias("id"), F.when(F.col("id") == 0, row([F.lit(n) for n in names])).otherwise(F.lit("|" + "---|" * len(names))).alias("line"))
     return head.unionByName(guides.select(F.lit(2).alias("part"), "id", row(cells).alias("line")))
 
-
-@arrow("boolean")
-def links_resolve(text: pd.Series, base: pd.Series) -> pd.Series:
-    """Whether every link of a guide leads to http or https."""
-    return pd.Series([all(x["url"].startswith(("http://", "https://")) for x in parse_guide(t, b)["links"]) for t, b in zip(text, base, strict=True)])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteatlas.functions.arrow import arrow
-from siteatlas.functions import html, markdown, text, urls, urls_exact
+from siteatlas.functions import diff, html, markdown, text, urls
 from siteatlas.operators import changes, crawl, decisions, guides, jobs
 from siteatlas.plans.catalogue import QUERIES, SQL, TABLES, Duck, Spark
 from siteatlas.sources import derived, stores
@@ -359,13 +359,13 @@ def published_text(q):
 @query("guide_paths", "select p as path, case when p in ('/a', '/a/', 'x') then case when p = 'x' then '' else '/a/' end when p = '/' then '/' when p = '/caf%C3%A9/b' then '/caf%C3%A9/b/' else '' end as scope from (select unnest(['/a', '/a/', 'x', '/', '//a', '/a?b', '/a%2fb', '/a/../b', '/a//b', '/a b', '/caf%C3%A9/b', '/a#b', '/a\\b']) as p)")
 def guide_paths(q):
     paths = ["/a", "/a/", "x", "/", "//a", "/a?b", "/a%2fb", "/a/../b", "/a//b", "/a b", "/caf%C3%A9/b", "/a#b", "/a\\\\b"]
-    return q("select " + "explode(array(" + ", ".join(map(repr, paths)).replace("\\\\\\\\", "\\\\") + ")) as path").select("path", F.coalesce(urls_exact.guide_scope("path"), F.lit("")).alias("scope"))
+    return q("select " + "explode(array(" + ", ".join(map(repr, paths)).replace("\\\\\\\\", "\\\\") + ")) as path").select("path", F.coalesce(urls.guide_scope(F.col("path")), F.lit("")).alias("scope"))
 
 
 @query("url_normalize_exact")
 def url_normalize_exact(q):
     u = q("odd_pages")
-    return u.select("site", "page_id", urls_exact.normalized("url").alias("normalized"), urls_exact.resolved("url", F.lit("../x?b=2&a=1#f")).alias("resolved"), urls_exact.safe_destination(F.concat("url", F.lit("/ü x"))).alias("destination"))
+    return u.select("site", "page_id", urls.normalized(F.col("url")).alias("normalized"), urls.resolved(F.col("url"), F.lit("../x?b=2&a=1#f")).alias("resolved"), urls.destination(F.concat("url", F.lit("/ü x"))).alias("destination"))
 
 
 @query("project_paths", """select page_id, case when contains(last, '.') and string_split(last, '.')[2] <> '' then regexp_replace(path, '[^/]*$', '') else rtrim(path, '/') || '/' end as path from (select page_id, path, regexp_replace(path, '^.*/', '') as last from (select page_id, regexp_replace(coalesce(nullif(regexp_extract(url, '^https?://[^/]+(.*)$', 1), ''), '/'), '[?#].*$', '') as path from pages))""")
@@ -376,7 +376,7 @@ def project_paths(q):
 @query("public_hosts", "select h as host, h in ('8.8.8.8', '172.32.0.1', '2606:4700::1111') as public from (select unnest(['8.8.8.8', '10.0.0.1', '127.0.0.1', '172.16.9.9', '172.32.0.1', '192.168.0.1', '169.254.1.1', '224.0.0.5', '240.0.0.1', '0.0.0.0', '::1', 'fe80::1', '2606:4700::1111', '::ffff:8.8.8.8', 'host']) as h)")
 def public_hosts(q):
     hosts = ["8.8.8.8", "10.0.0.1", "127.0.0.1", "172.16.9.9", "172.32.0.1", "192.168.0.1", "169.254.1.1", "224.0.0.5", "240.0.0.1", "0.0.0.0", "::1", "fe80::1", "2606:4700::1111", "::ffff:8.8.8.8", "host"]
-    return q("select explode(array(" + ", ".join(map(repr, hosts)) + ")) as host").select("host", urls_exact.is_public("host").alias("public"))
+    return q("select explode(array(" + ", ".join(map(repr, hosts)) + ")) as host").select("host", urls.public(F.col("host")).alias("public"))
 
 
 @query("accepted_downloads", "select page_id, status = 200 and page_id % 6 <> 3 and page_id % 5 > 0 as accepted from responses")
@@ -446,7 +446,7 @@ def content_hash(q):
 def unified_diff_counts(q):
     """Every page's text against one with a line changed, another added."""
     p = q("select site, page_id, 'a\\nb\\nc\\nd' as old, concat('a\\n', case when page_id % 3 <> 0 then 'X' else 'b' end, '\\nc\\nd', case when page_id % 4 = 0 then '\\ne' else '' end) as new from site_pages")
-    n = p.withColumn("d", text.diff_counts(markdown.unified_diff("old", "new"))).where("d.added + d.removed > 0")
+    n = p.withColumn("d", text.diff_counts(diff.unified_diff("old", "new"))).where("d.added + d.removed > 0")
     return n.groupBy("site").agg(F.count("*").alias("changed"), F.sum("d.added").alias("added"), F.sum("d.removed").alias("removed"))
 
 
