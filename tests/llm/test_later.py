@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from siteatlas.llm import alignment, divergence, nearest, queries
+from siteatlas.llm import alignment, divergence, extraction, nearest, queries
 
 rng = random.Random(5)
 SF = "/root/testdata/sf0.001"
@@ -210,3 +210,116 @@ def test_empty_tables(spark):
     assert alignment.align_tokenizers(docs, *alignment.tokenizer_paths()).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest.top_k(vectors).count() == 0
+
+
+# Extraction.
+
+
+def slow_text(page):
+    """Lines by the standard library's parser, windows by their definition."""
+    from html.parser import HTMLParser
+
+    blocks: list[list] = [["", False, False, 0, 0]]  # text, furniture, main, characters, of links
+
+    class Reader(HTMLParser):
+        stack: list = []
+
+        def state(self):
+            return (any(f for _, f, _ in self.stack), any(m for _, _, m in self.stack), any(t == "a" for t, _, _ in self.stack))
+
+        def cut(self, tag):
+            if tag in extraction._INLINE or tag == "br":
+                return
+            blocks.append(["", *self.state()[:2], 0, 0])
+            if tag in extraction._CONTAINERS and not self.state()[1]:
+                blocks.append([None])
+                blocks.append(["", *self.state()[:2], 0, 0])
+
+        def handle_starttag(self, tag, attrs):
+            self.cut(tag)
+            if tag == "br":
+                blocks[-1][0] += " "
+            if tag in extraction._VOID:
+                return
+            while self.stack and tag in ("p", "li") and any(t == tag for t, _, _ in self.stack[-2:]):
+                self.stack.pop()
+            known = dict(attrs).get("class", "")
+            inside = self.state()[1]
+            bad = tag in ("nav", "footer", "aside", "form", "head", "script", "style", "title") or (tag == "header" and not inside) or known in ("ad", "comments")
+            self.stack.append((tag, bad, tag in ("article", "main") and not bad))
+            if tag not in extraction._INLINE:
+                blocks[-1][1:3] = self.state()[:2]
+
+        def handle_endtag(self, tag):
+            self.cut(tag)
+            if any(t == tag for t, _, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+            if tag not in extraction._INLINE:
+                blocks[-1][1:3] = self.state()[:2]
+
+        def handle_data(self, data):
+            blocks[-1][0] += data
+            blocks[-1][3] += len(data.strip())
+            blocks[-1][4] += len(data.strip()) if self.state()[2] else 0
+
+    reader = Reader()
+    reader.stack = []
+    reader.feed(page)
+    reader.close()
+    lines = [("", False, False, 0.0) if b == [None] else (" ".join(b[0].split()), b[1], b[2], b[4] / b[3] if b[3] else 0.0) for b in blocks if b == [None] or b[0].split()]
+    size = [0 if bad or (linked > 0.6 and not m) else len(t) for t, bad, m, linked in lines]
+
+    def read(weights, share):
+        n, spans = len(lines), []
+        while sum(len(s) for s in spans) < n:
+            at = sum(len(s) for s in spans)
+            end = next((j for j in range(at, n) if lines[j][2] != lines[at][2]), n)
+            spans.append(range(at, end))
+        window = {i: sum(weights[j] for j in s if i <= j < i + extraction.WINDOW) for s in spans for i in s}
+        least = max(extraction.SURGE, min(extraction.SURGE_MOST, share * max(window.values(), default=0)))
+        kept = set()
+        for s in spans:
+            for i in s:
+                if weights[i] and window[i] >= least and i not in kept:
+                    dive = next((j for j in s if j > i and not window[j]), s[-1] + 1)
+                    rise = next((j for j in reversed(s) if j < i and (not weights[j] or j in kept)), s[0] - 1)
+                    kept |= {j for j in range(rise + 1, dive) if weights[j]}
+        return sorted(kept)
+
+    own = read([n * extraction.INSIDE if x[2] else 0 for n, x in zip(size, lines, strict=True)], 0)
+    if not own:
+        own = read([0 if x[2] else n for n, x in zip(size, lines, strict=True)], extraction.SURGE_SHARE)
+    return " ".join(lines[i][0] for i in own)
+
+
+def test_extraction_against_plain_version(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    pages += [re.sub(r"<(/?)article\b", r"<\1div", p) for p in pages]
+    pages += [re.sub(r"<(/?)(article|nav)\b", r"<\1section", p).replace('class="ad"', "").replace("<p>", "<div><p>", 2) for p in pages[:20]]
+    assert [extraction.main_text(p) for p in pages] == [slow_text(p) for p in pages]
+
+
+def test_windows_decide_without_names(spark):
+    pages = [re.sub(r"<(/?)article\b", r"<\1div", r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    plain = [extraction.main_text(p, names=False) for p in pages]
+    for window, surge in ((1, 40), (8, 40), (3, 1), (3, 200)):
+        assert sum(extraction.main_text(p, window, surge, names=False) != x for p, x in zip(pages, plain, strict=True)) >= len(pages) // 10
+
+
+def test_comments_and_notices_beside_an_article():
+    comments = "".join(f'<div class="entry"><p>Entry number {i}, which says a good many things about the text above.</p></div>' for i in range(6))
+    page = f'<article><h1>Head.</h1><p>{"A short article, some words of it. " * 4}</p></article><div class="thread">{comments}</div><div><p>Legal. {"All rights are reserved, and so on. " * 12}</p></div>'
+    assert extraction.main_text(page) == " ".join(("Head. " + "A short article, some words of it. " * 4).split())
+
+
+@pytest.mark.parametrize("part", ["<p ", '<a "', "<!", "<a '\">", '<a href="x>', "<script", "</", "<div class=a>", "<", "<p>x", "<b a='>", "<!--", "&amp"])
+def test_malformed_pages_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (300_000, 1_200_000):
+        began = time.process_time()
+        extraction.main_text(part * (n // len(part)))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.3
