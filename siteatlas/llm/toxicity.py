@@ -4,9 +4,13 @@ A word's input is the mean of learnt vectors of the word and of its character
 2- to 5-grams with its borders (hashed to 2^15 rows), so unseen words are read
 by their characters. A run without white space of more than LONG code points is
 no word: its runs of letters and digits are read as words, and those that are
-still longer as overlapping pieces, so no part of a text is left out. Windows of WINDOW words overlap by half; each is read in
-both directions, pooled by attention and scored; a text's score is its highest
-window's, and all windows of the whole text are scored.
+still longer as overlapping pieces, so no part of a text is left out. Windows of
+WINDOW words begin every STRIDE words, and one more ends with the text, so every
+word is in a window and every passage of up to WINDOW - STRIDE + 1 words is whole
+in one; windows that begin at other words aren't scored. They are as long as they
+are since marks of a toxic text may stand some dozen words apart. Each window is
+read in both directions, pooled by attention and scored; a text's score is its
+highest window's.
 
 Training takes a bounded sample of labelled rows, whole texts of any length: for
 each label, in order of a hash of their identifier, SAMPLE rows outside the held
@@ -32,8 +36,9 @@ from pyspark.sql import functions as F
 from siteatlas.llm.storage import table, tune
 
 ROWS, SIZE, HIDDEN, ATTEND = 1 << 15, 16, 8, 8
-WINDOW, STRIDE = 32, 16
-SAMPLE, SAMPLE_TOTAL, PASSES, SEED, THRESHOLD = 1500, 4_000_000, 8, 7, 0.7
+#: FRESH: random clean windows in training for each toxic one, besides the hardest ones.
+WINDOW, STRIDE, FRESH = 192, 144, 1
+SAMPLE, SAMPLE_TOTAL, PASSES, SEED, THRESHOLD = 1500, 4_000_000, 7, 7, 0.7
 CACHED_WORDS, BLOCK = 300_000, 10_000
 LONG, PIECE, STEP = 64, 24, 12
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -199,6 +204,15 @@ def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words[np.minimum(place, len(words) - 1)], there
 
 
+def _alike(there: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Numbers of windows of like length, `size` at a time, and the words of the longest."""
+    many = there.sum(axis=1)
+    order = np.argsort(many, kind="stable")
+    for i in range(0, len(order), size):
+        own = order[i : i + size]
+        yield own, int(many[own[-1]])
+
+
 def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PASSES) -> Network | None:
     """A network from whole texts and their labels; none without both labels."""
     split = [(words_of(t), y) for t, y in zip(texts, labels, strict=True)]
@@ -223,7 +237,10 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PAS
 
     def scores() -> np.ndarray:
         x = net.project(_vectors_by_block(net.p["emb"], row, at))
-        return np.concatenate([net.forward(x[words[i : i + 1000].T], there[i : i + 1000].T) for i in range(0, len(words), 1000)])
+        out = np.empty(len(words), np.float32)
+        for own, n in _alike(there, 1000):
+            out[own] = net.forward(x[words[own, :n].T], there[own, :n].T)
+        return out
 
     for k in range(passes):
         score = scores() if k else r.random(len(words))
@@ -235,7 +252,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PAS
             good = best[toxic]
         clean = np.flatnonzero(~toxic[doc])
         hard = clean[np.argsort(-score[clean])[: len(good)]] if k else clean[:0]
-        chosen = np.concatenate([good, hard, r.choice(clean, min(len(clean), 3 * len(good) + 200), replace=False)])
+        chosen = np.concatenate([good, hard, r.choice(clean, min(len(clean), FRESH * len(good) + 200), replace=False)])
         chosen = np.concatenate([r.permutation(chosen) for _ in range(max(1, min(8, 4000 // len(chosen))))])
         for i in range(0, len(chosen), 128):
             own = chosen[i : i + 128]
@@ -291,9 +308,10 @@ class Scorer:
             nonlocal blocks, held, size
             if blocks:
                 words, there = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
-                for i in range(0, len(words), 1024):
-                    y = self.net.forward(self.rows[words[i : i + 1024].T], there[i : i + 1024].T)
-                    np.maximum.at(out, np.array(held[i : i + 1024]), y)
+                of = np.array(held)
+                for own, n in _alike(there, 512):
+                    y = self.net.forward(self.rows[words[own, :n].T], there[own, :n].T)
+                    np.maximum.at(out, of[own], y)
             blocks, held, size = [], [], 0
 
         for i, ws in enumerate(split):
@@ -301,7 +319,7 @@ class Scorer:
                 block = _windows(np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws)))
                 blocks.append(block)
                 held += [i] * len(block[0])
-                if len(held) >= 8192:
+                if len(held) >= 2048:
                     close()
         close()
         return out.astype(float)

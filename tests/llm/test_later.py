@@ -323,3 +323,21 @@ def test_malformed_pages_take_linear_time(part):
         extraction.main_text(part * (n // len(part)))
         took.append(time.process_time() - began)
     assert took[1] < 8 * took[0] + 0.3
+
+
+# Toxicity.
+
+
+def test_held_out_recall(spark):
+    """Rows labelled toxic whose identifiers training never sees; nine of them hold no mark that any other toxic row holds."""
+    from pyspark.sql import functions as F
+
+    from siteatlas.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    net = toxicity.train(docs, labels)
+    held = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+    rows = [(r.src.toxic, r.predicted) for r in toxicity.toxicity(held, net).collect()]
+    caught, toxic = sum(p for y, p in rows if y), sum(y for y, _ in rows)
+    assert toxic == 144 and caught >= 0.88 * toxic and sum(p for y, p in rows if not y) <= 0.015 * (len(rows) - toxic)
+    assert toxicity.toxicity(docs.limit(0), net).count() == 0
