@@ -17,8 +17,9 @@ The driver sees sums of each shard only: tokens, words and counts of counts.
 
 Texts begin with order - 1 begin symbols. Each order is interpolated with the
 one below, the lowest with the uniform distribution over the known words and one
-unknown word, so every text has a probability. Keys of pairs are exact, those of
-longer n-grams 64-bit hashes.
+unknown word, so every text has a probability. Keys of pairs are exact; longer
+n-grams are hashes, of which an array tells the shard, the bucket in it and 32
+bits more: one in 500 million n-grams that don't occur is taken for one that does.
 
 Defined results: a null or empty text is the end token alone; with no training
 rows every token has probability 1; a null identifier counts as empty text in
@@ -160,13 +161,31 @@ class Arrays:
             self.maps[name] = np.memmap(path, dtype=kind, mode="r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, kind)
         return self.maps[name]
 
-    def find(self, stem: str, shards: int, keys: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def _place(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where hashed keys stand in an array that is kept in buckets, and whether they do."""
+        ends, known = self.get(f"tops{name}", np.uint32), self.get(f"lows{name}", np.uint32)
+        if not len(known):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        bits = (len(ends) - 1).bit_length() - 1  # 2^bits buckets and one more end
+        bucket, low = _cut_key(keys, bits)
+        at, to = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
+        last = to - 1
+        while len(open_ := np.flatnonzero(at < to)):
+            mid = (at[open_] + to[open_]) // 2
+            less = known[mid] < low[open_]
+            at[open_[less]], to[open_[~less]] = mid[less] + 1, mid[~less]
+        return at, (at <= last) & (known[np.minimum(at, len(known) - 1)] == low)
+
+    def find(self, stem: str, shards: int, keys: np.ndarray, high: np.ndarray, hashed: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each shard that keys reach: its number, which keys, their places, whether they are there."""
         shard = _shard(high, shards)
         order = np.argsort(shard, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
             if len(own):
                 s = int(shard[own[0]])
+                if hashed:
+                    yield s, own, *self._place(f"{stem}-{s}", keys[own])
+                    continue
                 known = self.get(f"{stem}-{s}", np.uint64)
                 place = np.searchsorted(known, keys[own])
                 there = np.zeros(len(own), bool)
@@ -175,6 +194,12 @@ class Arrays:
                 yield s, own, place, there
 
 
+def _cut_key(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's first bits, and the 32 after them."""
+    first = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+    return first, (keys >> np.uint64(32 - bits)).astype(np.uint32)
+
+
 def _frequency(count: np.ndarray) -> np.ndarray:
     """Class of each count, 0 for the greatest."""
     return 63 - np.frexp(count.astype(np.float64))[1]
@@ -232,7 +257,7 @@ _PACKED_DDL = "shard int, kind int, keys binary, values binary"
 
 def _packed(rows) -> bytes:
     """Planes of rows of numbers, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(_planes(row) for row in rows))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(_planes(row) for row in rows))
 
 
 def _dealt(grams: np.ndarray, values: np.ndarray, kind: int, shards: int) -> Iterator[tuple]:
@@ -269,15 +294,22 @@ def _code_kind(rows: int) -> type:
     return np.uint8 if rows <= 1 << 8 else np.uint16 if rows <= 1 << 16 else np.uint32
 
 
-def _save_rows(folder: str, stem: str, key: np.ndarray, values: np.ndarray) -> None:
-    """Keys, the distinct columns of values and a code for each key."""
+def _save_rows(folder: str, level: int, shard: int, key: np.ndarray, values: np.ndarray) -> None:
+    """Keys, the distinct columns of values and a code for each key. Hashed keys are kept in buckets of eight or so: the ends of the buckets by their first bits, and the 32 bits after these."""
+    stem = f"{level}-{shard}"
     like = np.zeros(len(key), np.uint64)
     for row in values:
         like = mix(like * _STEP + row.astype(np.uint64) + np.uint64(1))
     kinds, code = np.unique(like, return_inverse=True)
     first = np.empty(len(kinds), np.int64)
     first[code] = np.arange(len(code))
-    _save(folder, f"keys{stem}", key)
+    if level > 2:
+        bits = min(max(len(key).bit_length() - 3, 0), 32)
+        bucket, low = _cut_key(key, bits)
+        _save(folder, f"tops{stem}", np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype(np.uint32))
+        _save(folder, f"lows{stem}", low)
+    else:
+        _save(folder, f"keys{stem}", key)
     _save(folder, f"rows{stem}", np.ascontiguousarray(values[:, first]))
     _save(folder, f"codes{stem}", code.astype(_code_kind(len(first))))
 
@@ -376,7 +408,7 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
                 values = np.zeros((5, ends.shape[1] + before.shape[1]), np.int64)
                 values[0, : ends.shape[1]], values[1:, ends.shape[1] :] = times[0], sums_
                 key, grams, values = _met(np.concatenate([ends, before], axis=1), values)
-            _save_rows(folder, f"{level}-{s}", key, values)
+            _save_rows(folder, level, s, key, values)
             seen = np.flatnonzero(values[0])
             grams, count = grams[:, seen], values[0, seen]
             yield _sent([(-1, level, b"", np.array([(count == i).sum() for i in (1, 2, 3, 4)], np.int64).tobytes())])
@@ -448,7 +480,7 @@ class Scorer:
         """Rows times, and below the highest order total, n1, n2, n3+ as a context, of each n-gram; zeros for unknown ones."""
         keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros((1 if level == self.m["order"] else 5, len(keys)), np.int64)
-        for s, own, place, there in self.files.find(f"keys{level}", self.m["gram_shards"], keys, mix(keys)):
+        for s, own, place, there in self.files.find(f"{'' if level > 2 else 'keys'}{level}", self.m["gram_shards"], keys, mix(keys), level > 2):
             rows = self.files.get(f"rows{level}-{s}", np.int64).reshape(len(out), -1)
             code = self.files.get(f"codes{level}-{s}", _code_kind(rows.shape[1]))
             out[:, own[there]] = rows[:, code[place[there]]]
