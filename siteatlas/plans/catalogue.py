@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siteatlas.functions import urls
 from siteatlas.operators.ranking import STOP, bm25
 from siteatlas.operators.reconcile import reconcile
-from siteatlas.streaming.progress import run_stage_changes
+from siteatlas.streaming.progress import run_feed, run_stage_changes
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
@@ -233,3 +233,17 @@ plan("progress_recent", lambda d: "select event_id, count(*) over w as n, round(
 @built("progress_stream")
 def progress_stream(spark, sf_dir):
     return run_stage_changes(spark, sf_dir)
+
+
+@built(
+    "progress_feed",
+    """with e as (select user_id, event_id, event_type, epoch_us(ts) // 1000 as t from events), l as (select max(t) as last from e),
+k as (select *, lag(event_type) over w as before, row_number() over w as n, min(t) over (partition by user_id) + 216000000 as ends from e window w as (partition by user_id order by t, event_id)),
+p as (select *, lead(t, 1, ends) over (partition by user_id order by t, event_id) as until from k where (n = 1 or event_type is distinct from before) and t < ends),
+b as (select user_id, unnest(range(t + 36000000, least(until, case when until = ends then until - 1 else until end, last) + 1, 36000000)) as at_ms from p, l)
+select user_id, t as at_ms, 'payload' as kind, event_type from p union all select user_id, at_ms, 'heartbeat', '' from b union all select distinct user_id, ends, 'end', '' from k, l where ends <= last""",
+)
+def progress_feed(spark, sf_dir):
+    """Feeds of an hour's ticks: a heartbeat after ten of them without a change, an end after sixty."""
+    f = run_feed(spark, sf_dir, 3600)
+    return f.select("user_id", F.unix_millis("at").alias("at_ms"), "kind", F.coalesce("event_type", F.lit("")).alias("event_type"))

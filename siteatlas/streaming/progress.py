@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteatlas.streaming.timers import feed
+
 CHANGES = "user_id long, event_id long, event_type string"
 _LAST = "ts timestamp, event_id long, event_type string, late long"
-HEARTBEAT_TICKS, LIFETIME_TICKS = 10, 60
 
 
 def _changes(key, frames, state) -> Iterator[pd.DataFrame]:
@@ -52,33 +53,6 @@ def latest(batch: DataFrame) -> DataFrame:
     return batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max(F.struct("ts", "event_id")).alias("at")).select("user_id", "at.event_id", "event_type")
 
 
-def ticks(changed: list[bool], heartbeat: int = HEARTBEAT_TICKS, lifetime: int = LIFETIME_TICKS) -> list[str]:
-    """What a feed sends at each tick: a payload where it changed, a heartbeat after so many idle ticks, and an end after its lifetime."""
-    out, idle = [], 0
-    for tick in changed[:lifetime]:
-        idle = 0 if tick else idle + 1
-        out.append("payload" if tick else "heartbeat" if idle and idle % heartbeat == 0 else "")
-    return [*out, "end"] if len(changed) >= lifetime else out
-
-
-def _leases(key, frames, state) -> Iterator[pd.DataFrame]:
-    token, until = state.get if state.exists else (None, None)
-    out = []
-    for r in pd.concat(list(frames)).sort_values(["at", "worker"], kind="stable").itertuples():
-        held = until is not None and r.at < until
-        ok = not held or r.worker == token
-        if ok:
-            token, until = r.worker, (r.at + pd.Timedelta(seconds=r.ttl)).to_pydatetime()
-        out.append((key[0], r.worker, r.at, ("renewed" if held else "claimed") if ok else "refused"))
-    state.update((token, until))
-    yield pd.DataFrame(out, columns=["job", "worker", "at", "result"])
-
-
-def leases(beats: DataFrame) -> DataFrame:
-    """beats: job, worker, at, ttl (seconds). Claims and renewals of leases: one worker holds a job until its lease ends, then any may."""
-    return beats.groupBy("job").applyInPandasWithState(_leases, "job long, worker string, at timestamp, result string", "token string, until timestamp", "append", "NoTimeout")
-
-
 def folder(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only in local mode."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
@@ -95,11 +69,15 @@ def _source(spark: SparkSession, path: str) -> tuple[str, str]:
     return (path, "*") if system.getFileStatus(own).isDirectory() else (path.rsplit("/", 1)[0], own.getName())
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drained(spark: SparkSession, path: str, stream: Callable[[DataFrame], DataFrame], out: str, files: int = 1000) -> DataFrame:
     """All files of a table once through the stream, so many in a micro-batch; what a run before has read isn't read again."""
     table = spark.read.parquet(path)
     folder_, pattern = _source(spark, path)
     events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(folder_)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # timers need it
     made = stream(events)
     made.writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-log").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(made.schema).parquet(out)
@@ -114,6 +92,12 @@ def audited(spark: SparkSession, events: DataFrame, out: str, epoch: Callable[[]
     events.writeStream.foreachBatch(write).option("checkpointLocation", out + "-log").trigger(availableNow=True).start().awaitTermination()
 
 
+def run_feed(spark: SparkSession, sf_dir: str, tick: int) -> DataFrame:
+    """All events once through the feed with its heartbeats."""
+    stream = lambda events: feed(events.select("user_id", "event_id", F.col("ts").cast("timestamp"), "event_type"), tick)
+    return drained(spark, f"{sf_dir}/events.parquet", stream, f"{folder(spark)}/feed-{uuid.uuid4().hex}")
+
+
 def run_stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events once through the stream; the sink is a table in the shared folder."""
     stream = lambda events: stage_changes(events.select("user_id", "event_id", F.col("ts").cast("timestamp"), "event_type"))
