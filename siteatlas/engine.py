@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteatlas.functions.html import page_records
 from siteatlas.functions.markdown import parsed
@@ -21,6 +22,12 @@ class Fetcher(Protocol):
     def __call__(self, wanted: DataFrame) -> DataFrame: ...
 
 
+class Assessor(Protocol):
+    """Gives a plan (site, url, step) for candidates (site, url); what isn't fit is refused by site, and the ranked order stands in."""
+
+    def __call__(self, candidates: DataFrame) -> DataFrame: ...
+
+
 class Completer(Protocol):
     """Gives results for requests, one Arrow batch at a time; the default is the baseline that needs no model."""
 
@@ -28,8 +35,8 @@ class Completer(Protocol):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, fetcher: Fetcher | None = None, completer: Completer | None = None):
-        self.spark, self.fetcher, self.completer = spark, fetcher, completer
+    def __init__(self, spark: SparkSession, fetcher: Fetcher | None = None, completer: Completer | None = None, assessor: Assessor | None = None):
+        self.spark, self.fetcher, self.completer, self.assessor = spark, fetcher, completer, assessor
 
     def fetch(self, wanted: DataFrame, captures: DataFrame | None = None) -> DataFrame:
         if self.fetcher:
@@ -44,6 +51,12 @@ class Engine:
     def crawl(self, pages: DataFrame, max_pages: int, text_budget: int, plan: DataFrame | None = None) -> DataFrame:
         return crawl.crawled(pages, max_pages, text_budget, plan)
 
+    def plan(self, pages: DataFrame, candidates: DataFrame) -> DataFrame:
+        """The assessor's plan for each site where it is fit, else the ranked order."""
+        ranked = crawl.read_order(pages)
+        plan = self.assessor(candidates) if self.assessor else ranked.select("site", "url", F.col("place").alias("step")).limit(0)
+        return crawl.checked_plan(plan, candidates, ranked)
+
     def reconcile(self, stored: DataFrame, observed: DataFrame) -> DataFrame:
         return reconcile(stored, observed)
 

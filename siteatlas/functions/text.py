@@ -61,9 +61,14 @@ def diff_counts(diff: Column) -> Column:
     return F.struct(count("+").alias("added"), count("-").alias("removed"))
 
 
+def canonical_json(value: Column) -> Column:
+    """JSON with the fields of every object in order of their names, so that equal values are equal texts; as it stands where it can't be read."""
+    return F.coalesce(F.to_json(F.try_parse_json(value)), value)
+
+
 def fingerprint(value: Column) -> Column:
-    """SHA-256 of a struct as JSON; its fields must stand in order of their names."""
-    return F.sha2(F.to_json(value), 256)
+    """SHA-256 of a struct as JSON, whatever the order of its fields."""
+    return F.sha2(canonical_json(F.to_json(value)), 256)
 
 
 def content_hash(*parts: Column) -> Column:

@@ -265,6 +265,21 @@ def read_order(pages: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     return met.where(keep).withColumn("place", F.row_number().over(order).cast("long")).drop("_planned", "step", "entry")
 
 
+def checked_plan(plan: DataFrame, candidates: DataFrame, ranked: DataFrame) -> DataFrame:
+    """plan: site, url, step, as a planner gave it; candidates: site, url, what it was offered; ranked: site, url, place. Rows site, url, step, planned.
+
+    A site's plan holds if it isn't empty, names no page twice and none that wasn't offered; every other
+    site that was offered pages keeps the ranked order of these.
+    """
+    offered = candidates.select("site", "url").distinct()
+    met = plan.join(offered.withColumn("_offered", F.lit(True)), ["site", "url"], "left")
+    fair = met.groupBy("site").agg(F.count("*").alias("n"), F.countDistinct("url").alias("kinds"), F.count("_offered").alias("offered"))
+    fair = fair.where("n = kinds and n = offered").select("site")
+    taken = plan.join(fair, "site", "left_semi").select("site", "url", "step", F.lit(True).alias("planned"))
+    rest = ranked.join(offered, ["site", "url"], "left_semi").join(fair, "site", "left_anti")
+    return taken.unionByName(rest.select("site", "url", F.col("place").cast(dict(plan.dtypes)["step"]).alias("step"), F.lit(False).alias("planned")))
+
+
 def shortlist(pages: DataFrame, budget: int = 24_000, slack: int = 2051) -> DataFrame:
     """pages: site, root, url, known. Rows site, url, pos: sections take turns, the one with the best head first; a page goes in if its JSON string fits the bytes left, and a full round ends the list once it is within `slack` of the budget. One site's candidates are one row."""
     url = F.col("url")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteatlas.functions.text import fingerprint
+
 from siteatlas.operators.jobs import ACTIVE
 
 
@@ -158,6 +160,6 @@ def guide_transition(guides: DataFrame, requests: DataFrame) -> DataFrame:
 
 def model_cache(requests: DataFrame, cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """requests: request, payload (struct); cache: key, result, valid, created_at. Hits are exact by the hash of the request, at most `days` old and valid still."""
-    met = requests.withColumn("key", F.sha2(F.to_json("payload"), 256)).join(cache, "key", "left")
+    met = requests.withColumn("key", fingerprint(F.col("payload"))).join(cache, "key", "left")
     hit = F.col("created_at").isNotNull() & (F.col("created_at") > now - F.make_dt_interval(days=F.lit(days))) & F.col("valid")
     return met.select("request", "key", F.coalesce(hit, F.lit(False)).alias("hit"), F.when(hit, F.col("result")).alias("result"))

@@ -6,13 +6,9 @@ patterns are regular expressions that ignore case.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteatlas.functions.arrow import arrow
 from siteatlas.functions.text import folded, has_pattern, has_phrase, quote_matches, word_count
 
 _STRINGS = "array<string>"
@@ -153,30 +149,55 @@ def trials(runs: DataFrame, opened: DataFrame) -> DataFrame:
     return out.select("trial", outcome.alias("outcome"), F.when(expected, F.col("_reached").isNotNull()).alias("expected_reached"), F.when(expected, hit).alias("expected_cited"), F.coalesce("verified", F.lit(0)).alias("verified"))
 
 
-def strings_of(value) -> list[str]:
-    """Every string in a JSON value, keys left out."""
-    out, todo = [], [value]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif isinstance(x, (dict, list)):
-            todo += x.values() if isinstance(x, dict) else x
-    return out
-
-
-@arrow("array<string>")
-def _unanchored(payload: pd.Series, quotes: pd.Series) -> pd.Series:
-    out = []
-    for text, own in zip(payload, quotes, strict=True):
-        held = strings_of(json.loads(text)) if text else []
-        out.append([q for q in (own if own is not None else ()) if not any(q in x for x in held)])
-    return pd.Series(out, dtype=object)
+def strings_of(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """rows: key, json (any JSON as text). Rows key, path, text: every string in it, names of fields left out. Objects and arrays are taken apart a level at a time."""
+    level = rows.select(key, F.lit("$").alias("path"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
+    kind = F.schema_of_variant(F.col("v"))
+    found = None
+    while True:
+        here = level.where(kind == "STRING").select(key, "path", F.col("v").cast("string").alias("text"))
+        found = here if found is None else found.unionByName(here)
+        nested = level.where(kind.rlike("^(ARRAY|OBJECT)<."))
+        if nested.isEmpty():
+            return found
+        inner = nested.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        level = inner.select(key, F.concat("path", F.coalesce(F.concat(F.lit("."), inner["key"]), F.concat(F.lit("["), inner["pos"].cast("string"), F.lit("]")))).alias("path"), F.col("value").alias("v"))
 
 
 def anchored(reviews: DataFrame) -> DataFrame:
-    """reviews: review, payload (any JSON as text), quotes. Quotes that no string of the payload holds are invalid anchors."""
-    return reviews.withColumn("invalid", _unanchored("payload", "quotes"))
+    """reviews: review, payload (any JSON as text), quotes. With invalid: quotes that no string of the payload holds."""
+    asked = reviews.select("review", F.explode("quotes").alias("quote")).distinct()
+    held = strings_of(reviews, "review", "payload").select("review", "text")
+    there = asked.join(held, "review").where(F.contains("text", F.col("quote"))).groupBy("review").agg(F.collect_set("quote").alias("_there"))
+    none = F.array().cast(_STRINGS)
+    return reviews.join(there, "review", "left").withColumn("invalid", F.filter(F.coalesce("quotes", none), lambda q: ~F.array_contains(F.coalesce("_there", none), q))).drop("_there")
+
+
+def replayed_reads(steps: DataFrame, entries: DataFrame, pages: DataFrame, links: DataFrame, max_opens: int = 3) -> tuple[DataFrame, DataFrame]:
+    """A reader's recorded steps run again: steps: trial, step (from 0), action, url; entries: trial, url (links of what was shown first); pages: url, kind (guide or source); links: url, link (of guides).
+
+    Rows trial, step, url, result of each page that was asked for before the first other action: a
+    reader may only open what was linked so far, a guide that is opened shows its links, and after max_opens pages asking for another
+    ends the trial. And rows trial, outcome, opens: the action that ended it, exhausted, or none.
+    """
+    end = steps.where("action <> 'open'").groupBy("trial").agg(F.min("step").alias("end"))
+    told = steps.join(end, "trial", "left").where((F.col("end").isNull() | (F.col("step") <= F.col("end"))) & (F.col("step") <= max_opens))
+    allowed = entries.select("trial", "url").distinct()
+    asked = told.where("action = 'open'").select("trial", "step", "url")
+    reads = None
+    for k in range(max_opens):
+        here = asked.where(F.col("step") == k).join(allowed.distinct().withColumn("_linked", F.lit(True)), ["trial", "url"], "left").join(pages.select("url", "kind"), "url", "left")
+        result = F.when(F.col("_linked").isNull(), "refused: not linked").when(F.col("kind").isNull(), "refused: not captured").when(F.col("kind") == "guide", "guide").otherwise("source")
+        here = here.select("trial", "step", "url", result.alias("result"))
+        reads = here if reads is None else reads.unionByName(here)
+        shown = here.where("result = 'guide'").join(links, "url").select("trial", F.col("link").alias("url"))
+        allowed = allowed.unionByName(shown)
+    last = told.where(F.col("step") == F.col("end")).select("trial", F.col("action").alias("_last"))
+    spent = asked.where(F.col("step") == max_opens).select("trial").distinct().withColumn("_spent", F.lit(True))
+    opens = asked.where(F.col("step") < max_opens).groupBy("trial").agg(F.count("*").alias("opens"))
+    trials_ = steps.select("trial").distinct().join(last, "trial", "left").join(spent, "trial", "left").join(opens, "trial", "left")
+    outcome = F.when(F.col("_spent"), "exhausted").otherwise(F.coalesce("_last", F.lit("none")))
+    return reads, trials_.select("trial", outcome.alias("outcome"), F.coalesce("opens", F.lit(0)).alias("opens"))
 
 
 def review_status(reviews: DataFrame, labels: DataFrame) -> DataFrame:

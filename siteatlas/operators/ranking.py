@@ -42,3 +42,23 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int = 3, url: str | None =
         ranked = ranked.join(documents.select("doc_id", url), "doc_id").withColumn("_own", own).where("_own = 1").drop("_own")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return ranked.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+
+
+def nth_row(rows: DataFrame, value: str, share: float, buckets: int = 1024, few: int = 10_000) -> DataFrame:
+    """One row: the number at place min(n - 1, floor(share n)) of the sorted values, as `value`; null without any.
+
+    Histograms of the values' range narrow it down, `buckets` counts at a time, until few rows are left
+    or all are equal; only these are sorted. Null values don't count.
+    """
+    left = rows.where(F.col(value).isNotNull()).select(value)
+    n, low, high = left.agg(F.count("*"), F.min(value), F.max(value)).first()
+    place = min(n - 1, int(n * share)) if n else 0
+    while n > few and low < high:
+        own = left.where(F.col(value).between(F.lit(low), F.lit(high)))
+        at = F.least(F.floor((F.col(value) - F.lit(low)).cast("double") / F.lit(float(high - low)) * buckets), F.lit(buckets - 1))
+        for r in own.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy("b").collect():  # `buckets` at most
+            if place < r.n:
+                n, low, high = r.n, r.low, r.high
+                break
+            place -= r.n
+    return left.where(F.col(value).between(F.lit(low), F.lit(high))).orderBy(value).limit(1 if low == high else place + 1).agg(F.max(value).alias(value))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteatlas.functions import text
 from siteatlas.operators import grading, validation
 from siteatlas.operators.quotes import matched_quotes
-from siteatlas.operators.ranking import bm25, placed
+from siteatlas.operators.ranking import bm25, nth_row, placed
 from siteatlas.plans.catalogue import _BM25
 from siteatlas.plans.site import flat, query
 
@@ -23,20 +23,11 @@ def _summary(trials: DataFrame, *by: str) -> DataFrame:
     return counts.join(took, list(by)) if by else counts.crossJoin(took)  # one row each
 
 
-def p95(rows: DataFrame, value: str) -> DataFrame:
-    """One row: the value at place min(n - 1, floor(0.95 n)) of the sorted values. Only distinct values, with their counts, meet in one task."""
-    n = rows.groupBy(value).agg(F.count("*").alias("f"))
-    upto = F.sum("f").over(Window.orderBy(value))
-    whole = F.sum("f").over(Window.partitionBy(F.lit(1)))
-    at = n.select(value, upto.alias("upto"), whole.alias("n")).where("upto > least(n - 1, floor(n * 0.95))")
-    return at.agg(F.min(value).alias("p95"))
-
-
 @query("run_summary", f""", t as ({_TRIALS}), c as (select case_id, bool_and(passed) as ok from t group by 1), o as (select took, row_number() over (order by took) as k, count(*) over () as n from t)
 select count(*) as attempts, count(*) filter (where passed) as passed, count(distinct case_id) as cases, (select count(*) from c where ok) as consistent, sum(input_tokens)::bigint as input_tokens, round(median(took), 6) as median_took, (select min(took) from o where k = least(n - 1, cast(floor(n * 0.95) as bigint)) + 1) as p95_took from t""")
 def run_summary(q):
     t = q(_TRIALS)
-    return _summary(t).crossJoin(p95(t, "took").withColumnRenamed("p95", "p95_took"))  # one row each
+    return _summary(t).crossJoin(nth_row(t, "took", 0.95).withColumnRenamed("took", "p95_took"))  # one row each
 
 
 @query("run_summary_groups", f""", t as ({_TRIALS}), g as (select 'category' as dim, category as value, * from t union all select 'split', split, * from t union all select 'kind', kind, * from t), c as (select dim, value, case_id, bool_and(passed) as ok from g group by 1, 2, 3)
@@ -187,12 +178,48 @@ def dialogue_branches(q):
     return b.select("case_id", F.col("pos").cast("long").alias("pos"), "stage")
 
 
-@query("anchored_quotes", "select doc_id as review, case when doc_id % 2 = 0 then 'not there at all' else '' end as invalid from documents where text is not null and length(text) > 20")
+_ANCHORS = "select doc_id as review, lang, source, text, substr(text, 3, 12) as q1, case doc_id % 3 when 0 then lower(substr(text, 1, 9)) when 1 then substr(text, 1, 5) else concat(source, '.') end as q2 from documents where text is not null and length(text) > 20"
+
+
+@query("anchored_quotes", f"select review, case when contains(text, q2) or contains(lang, q2) or contains(source, q2) then '' else q2 end as invalid from ({_ANCHORS})")
 def anchored_quotes(q):
-    r = q("select doc_id as review, to_json(named_struct('a', named_struct('b', array(text)))) as payload, array(substr(text, 3, 12), case when doc_id % 2 = 0 then 'not there at all' else substr(text, 1, 5) end) as quotes from documents where text is not null and length(text) > 20")
+    r = q(f"select review, to_json(named_struct('b', named_struct('c', array(named_struct('t', text), named_struct('t', ''))), 'a', array(array(lang), array(source)))) as payload, array(q1, q2) as quotes from ({_ANCHORS})")
     return grading.anchored(r).select("review", flat(F.col("invalid")).alias("invalid"))
 
 
+_WEB = """, s as (select conv_id as trial, turn as step, case when turn > 0 and turn % 4 = conv_id % 4 then case when conv_id % 2 = 0 then 'answer' else 'abstain' end else 'open' end as action, 'u' || (length(text) * 7 + turn) % 9 as url from (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as turn, text from conversations)),
+p as (select 'u' || i as url, case when i < 3 then 'guide' else 'source' end as kind from range(8) r(i)), l as (select 'u' || i as url, 'u' || (i * 2 + 3 + k) as link from range(3) r(i), range(3) t(k)),
+e as (select trial, min(step) filter (where action <> 'open') as fin from s group by 1),
+t as (select s.* from s join e using (trial) where step <= coalesce(fin, step) and step <= 3),
+a as (select distinct trial, unnest(['u0', 'u1', 'u2', 'u3']) as url from s),
+r0 as (select t.trial, t.step, t.url, case when a.url is null then 'refused: not linked' when p.url is null then 'refused: not captured' else kind end as result from t left join a on a.trial = t.trial and a.url = t.url left join p on p.url = t.url where step = 0 and action = 'open'),
+a1 as (select * from a union select trial, link from r0 join l on l.url = r0.url where result = 'guide'),
+r1 as (select t.trial, t.step, t.url, case when a.url is null then 'refused: not linked' when p.url is null then 'refused: not captured' else kind end as result from t left join a1 a on a.trial = t.trial and a.url = t.url left join p on p.url = t.url where step = 1 and action = 'open'),
+a2 as (select * from a1 union select trial, link from r1 join l on l.url = r1.url where result = 'guide'),
+r2 as (select t.trial, t.step, t.url, case when a.url is null then 'refused: not linked' when p.url is null then 'refused: not captured' else kind end as result from t left join a2 a on a.trial = t.trial and a.url = t.url left join p on p.url = t.url where step = 2 and action = 'open')"""
+
+
+def _replay(q):
+    steps = q("select conv_id as trial, turn as step, case when turn > 0 and turn % 4 = conv_id % 4 then case when conv_id % 2 = 0 then 'answer' else 'abstain' end else 'open' end as action, concat('u', cast((length(text) * 7 + turn) % 9 as string)) as url from (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as turn, text from conversations)")
+    entries = steps.select("trial", F.explode(F.array(*map(F.lit, ("u0", "u1", "u2", "u3")))).alias("url")).distinct()
+    spark = steps.sparkSession
+    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    pages = spark.range(8).select(name(F.col("id")).alias("url"), F.when(F.col("id") < 3, "guide").otherwise("source").alias("kind"))
+    links = spark.range(9).select(F.floor(F.col("id") / 3).alias("i"), (F.col("id") % 3).alias("k")).select(name(F.col("i")).alias("url"), name(F.col("i") * 2 + 3 + F.col("k")).alias("link"))
+    return grading.replayed_reads(steps, entries, pages, links)
+
+
+@query("reader_replay", _WEB + " select * from r0 union all select * from r1 union all select * from r2")
+def reader_replay(q):
+    """Recorded steps run again: who may open what, after which guide."""
+    return _replay(q)[0].select("trial", F.col("step").cast("long").alias("step"), "url", "result")
+
+
+@query("reader_outcomes", _WEB + " select e.trial, case when exists (select 1 from t where t.trial = e.trial and step = 3 and action = 'open') then 'exhausted' else coalesce((select action from t where t.trial = e.trial and t.step = e.fin), 'none') end as outcome, (select count(*) from t where t.trial = e.trial and action = 'open' and step < 3) as opens from e")
+def reader_outcomes(q):
+    return _replay(q)[1]
+
+
 @query("review_status", "select count(*) as reviewed, count(*) filter (where issues > 0) as with_issues, sum(invalid_anchors)::bigint as invalid_anchors, count(has_known_defect) as judged, count(*) filter (where (issues > 0) = has_known_defect) as judge_right from reviews left join defects using (id)")
 def review_status(q):
     return grading.review_status(q("reviews"), q("defects"))

@@ -176,6 +176,15 @@ def read_planned(q):
     return crawl.read_order(q("reading"), plan).select("site", "url", "place")
 
 
+@query("checked_plans", _ORDER + """, c as (select site, url, page_id from site_pages where page_id % 2 = 0), l as (select site, url, page_id as step from site_pages where page_id % 3 = 0 and (site <> 1 or page_id % 2 = 0) and site < 3 union all select site, url, page_id + 1 from site_pages where site = 2 and page_id % 6 = 0),
+f as (select l.site from l group by 1 having count(*) = count(distinct url) and count(*) = count(*) filter (where exists (select 1 from c where c.site = l.site and c.url = l.url)))
+select site, url, step::bigint as step, true as planned from l where site in (select site from f) union all select o.site, o.url, o.place, false from o join c on c.site = o.site and c.url = o.url where o.site not in (select site from f)""")
+def checked_plans(q):
+    """One plan that was offered all of its pages, one that wasn't, one that names pages twice, and sites without a plan."""
+    plan = q("select site, url, cast(page_id as bigint) as step from site_pages where page_id % 3 = 0 and (site <> 1 or page_id % 2 = 0) and site < 3 union all select site, url, page_id + 1 from site_pages where site = 2 and page_id % 6 = 0")
+    return crawl.checked_plan(plan, q("select site, url from site_pages where page_id % 2 = 0"), crawl.read_order(q("reading"))).select("site", "url", "step", "planned")
+
+
 @query("crawl_stops", _ORDER + """, b as (select *, sum(case when page_id < 0 then 500 else 400 + page_id % 7 * 100 end) over (partition by site order by place) as total, count(*) over (partition by site) as n from o),
 g as (select site, url, place, total, n from b where place <= 8 and total <= 4000)
 select site, url, place, total::bigint as total, case when max(place) over (partition by site) < least(n, 8) then 'text_budget' when max(place) over (partition by site) < n then 'explicit_page_budget' else 'exhausted' end as stopped from g""")
@@ -617,7 +626,8 @@ def guide_transitions(q):
 @query("model_cache", "select page_id as request, page_id % 2 = 0 and page_id % 3 <> 0 and page_id % 5 <> 0 as hit, case when page_id % 2 = 0 and page_id % 3 <> 0 and page_id % 5 <> 0 then url else '' end as result from site_pages")
 def model_cache(q):
     asks = q("select page_id as request, named_struct('prompt', 'v2', 'url', url) as payload, url from site_pages")
-    kept = asks.where("request % 2 = 0").select(F.sha2(F.to_json("payload"), 256).alias("key"), F.col("url").alias("result"), (F.col("request") % 3 != 0).alias("valid"), F.expr(f"case when request % 5 = 0 then {NOW} - interval 8 day else {NOW} - interval 1 day end").alias("created_at"))
+    saved = asks.where("request % 2 = 0").withColumn("payload", F.struct(F.col("payload.url").alias("url"), F.col("payload.prompt").alias("prompt")))  # its fields in another order
+    kept = saved.select(text.fingerprint(F.col("payload")).alias("key"), F.col("url").alias("result"), (F.col("request") % 3 != 0).alias("valid"), F.expr(f"case when request % 5 = 0 then {NOW} - interval 8 day else {NOW} - interval 1 day end").alias("created_at"))
     return decisions.model_cache(asks.drop("url"), kept, _now()).select("request", "hit", F.coalesce("result", F.lit("")).alias("result"))
 
 

@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteatlas.engine import Engine
+from siteatlas.functions import text
 from siteatlas.operators import changes, crawl, grading, guides, jobs
 from siteatlas.operators.quotes import GRAM, Quotes, Wanted, all_grams, matched_quotes
-from siteatlas.operators.ranking import placed
+from siteatlas.operators.ranking import nth_row, placed
 from siteatlas.operators.reconcile import reconcile
 from siteatlas.sources import stores
 
@@ -221,3 +222,56 @@ def test_empty_tables(spark):
     assert guides.suggestions(none("site long, page long, url string"), none("site long, path string")).count() == 0
     assert changes.source_changes(*[none("project long, source_id string, url string, title string, content string")] * 2).count() == 0
     assert placed(none("k string, o long"), "k", "o").count() == 0
+
+
+def test_row_at_a_share(spark):
+    for n, share, kind in ((0, 0.95, "double"), (1, 0.95, "double"), (37, 0.95, "long"), (5000, 0.95, "double"), (5000, 0.5, "long"), (5000, 0.0, "double")):
+        values = [rng.choice([rng.gauss(0, 1e6), 5.0, -3.25]) if kind == "double" else rng.randint(0, 40) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in [*values, None]], f"took {kind}")
+        got = nth_row(df, "took", share, buckets=8, few=20).first().took
+        assert got == (sorted(values)[min(n - 1, int(n * share))] if n else None)
+
+
+def test_strings_and_anchors(spark):
+    payloads = ['{"b": [1, {"c": "x y", "a": [["deep"], null, ""]}], "name": "z"}', '"alone"', "[]", "{}", "not json", None, '{"k": {"k": {"k": {"k": "four"}}}}']
+    df = spark.createDataFrame([(i, p, ["deep", "name", "x", "four", "alone"]) for i, p in enumerate(payloads)], "review int, payload string, quotes array<string>")
+    got = collections.Counter((r.review, r.path, r.text) for r in grading.strings_of(df, "review", "payload").collect())
+    assert got == collections.Counter([(0, "$.b[1].c", "x y"), (0, "$.b[1].a[0][0]", "deep"), (0, "$.b[1].a[2]", ""), (0, "$.name", "z"), (1, "$", "alone"), (6, "$.k.k.k.k", "four")])
+    invalid = {r.review: r.invalid for r in grading.anchored(df).collect()}
+    assert invalid[0] == ["name", "four", "alone"] and invalid[1] == ["deep", "name", "x", "four"] and len(invalid[4]) == len(invalid[5]) == 5
+
+
+def test_fingerprints_without_order(spark):
+    one = spark.sql("select named_struct('a', 1, 'b', named_struct('x', 'é', 'y', array(named_struct('p', 1, 'q', 2)))) as v")
+    two = spark.sql("select named_struct('b', named_struct('y', array(named_struct('q', 2, 'p', 1)), 'x', 'é'), 'a', 1) as v")
+    other = spark.sql("select named_struct('b', named_struct('y', array(named_struct('q', 1, 'p', 2)), 'x', 'é'), 'a', 1) as v")
+    a, b, c = (f.select(text.fingerprint(F.col("v")).alias("x")).first().x for f in (one, two, other))
+    assert a == b != c
+
+
+def test_reader_opens_what_was_linked(spark):
+    steps = [(1, 0, "open", "g"), (1, 1, "open", "s"), (1, 2, "answer", None), (1, 3, "open", "s"), (2, 0, "open", "s"), (2, 1, "open", "g"), (2, 2, "open", "s"), (2, 3, "open", "g"), (3, 0, "abstain", None), (4, 0, "open", "gone"), (5, 0, "open", "x")]
+    entries = [(t, u) for t in range(1, 6) for u in ("g", "gone")]
+    reads, ends = grading.replayed_reads(
+        spark.createDataFrame(steps, "trial int, step int, action string, url string"),
+        spark.createDataFrame(entries, "trial int, url string"),
+        spark.createDataFrame([("g", "guide"), ("s", "source")], "url string, kind string"),
+        spark.createDataFrame([("g", "s"), ("g", "g")], "url string, link string"),
+    )
+    assert {(r.trial, r.step): r.result for r in reads.collect()} == {(1, 0): "guide", (1, 1): "source", (2, 0): "refused: not linked", (2, 1): "guide", (2, 2): "source", (4, 0): "refused: not captured", (5, 0): "refused: not linked"}
+    assert {r.trial: (r.outcome, r.opens) for r in ends.collect()} == {1: ("answer", 2), 2: ("exhausted", 3), 3: ("abstain", 0), 4: ("none", 1), 5: ("none", 1)}
+
+
+def test_plans_are_checked(spark):
+    pages = spark.createDataFrame([(s, "https://x.test/", f"https://x.test/{p}", False) for s in range(4) for p in ("a", "b/c", "d")], "site long, root string, url string, known boolean")
+    offered = pages.where("url <> 'https://x.test/d'").select("site", "url")
+
+    def assess(candidates):
+        assert candidates.columns == ["site", "url"]
+        rows = [(0, "b/c", 0), (0, "a", 1), (1, "a", 0), (1, "d", 1), (2, "a", 0), (2, "a", 1)]
+        return spark.createDataFrame([(s, f"https://x.test/{p}", k) for s, p, k in rows], "site long, url string, step long")
+
+    got = Engine(spark, assessor=assess).plan(pages, offered)
+    assert sorted((r.site, r.url[-1], r.planned) for r in got.orderBy("site", "step").collect()) == sorted([(0, "c", True), (0, "a", True), *((s, u, False) for s in (1, 2, 3) for u in "ac")])
+    assert [r.url[-1] for r in got.where("site = 0").orderBy("step").collect()] == ["c", "a"]
+    assert Engine(spark).plan(pages, offered).where("planned").isEmpty()
