@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteatlas.functions.arrow import arrow
 from siteatlas.functions import urls
+from siteatlas.functions.arrow import arrow
 from siteatlas.functions.text import collapsed
+from siteatlas.sources.stores import stored
 
 # Endings of files that aren't pages, headers of a response that a cache may vary by, MIME types of guides that are refused.
 FILES = ".pdf .png .jpg .jpeg .svg .gif .zip .css .js .xml .mp4".split()
@@ -131,17 +132,44 @@ def readable(pages: DataFrame, scopes: DataFrame, policies: DataFrame, agent: st
 # sitemaps
 
 
+SITEMAP = "sitemap array<struct<loc:string>>, url array<struct<loc:string>>, _corrupt_record string"
+
+
 def sitemap_locations(captures: DataFrame, offsets: DataFrame) -> DataFrame:
     """captures: sitemap, status, body; offsets: sitemap, resume_at. Rows sitemap, is_index, pos, location from the saved offset on; files with a DTD, other statuses and broken XML give none."""
-    fit = (F.col("status") == 200) & ~F.col("body").rlike(r"(?i)<!(doctype|entity)")
-    body = F.regexp_replace(F.when(fit, F.col("body")), r"(?s)<!--.*?-->", "")
-    root = F.regexp_extract(body, r"<(?:[\w.-]+:)?(sitemapindex|urlset)[\s>]", 1)
-    raw = F.regexp_extract_all(body, F.lit(r"<(?:[\w.-]+:)?loc(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?([^<\]]*?)(?:\]\]>)?\s*</(?:[\w.-]+:)?loc>"), F.lit(1))
-    clean = lambda x: F.trim(F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")))
-    found = captures.where(fit).select("sitemap", (root == "sitemapindex").alias("is_index"), F.posexplode(F.filter(F.transform(raw, clean), lambda x: x != "")).alias("pos", "location"))
+    fit = (F.col("status") == 200) & F.col("body").isNotNull() & ~F.col("body").rlike(r"(?i)<!(doctype|entity)")
+    read = captures.where(fit).select("sitemap", F.from_xml("body", SITEMAP, {"ignoreNamespace": "true"}).alias("x")).where("x._corrupt_record is null")
+    index = F.col("x.sitemap").isNotNull()
+    own = F.filter(F.transform(F.coalesce("x.sitemap", "x.url"), lambda e: F.trim(F.coalesce(e["loc"], F.lit("")))), lambda u: u != "")
+    found = read.select("sitemap", index.alias("is_index"), F.posexplode(own).alias("pos", "location"))
     return found.join(offsets, "sitemap", "left").where(F.col("pos") >= F.coalesce("resume_at", F.lit(0))).drop("resume_at")
 
 
+def discovered(roots: DataFrame, captures: DataFrame, offsets: DataFrame, url_bytes: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+    """Pages that sitemaps name, indexes followed to their maps at any depth: roots: site, sitemap; captures and offsets as above.
+
+    Rows site, sitemap, depth, pos, location, up to the page whose URL brings its site over url_bytes, in
+    order of depth, map and place; and rows sitemap, resume_at for the next run: where a map was cut, and 0 for maps behind. Each
+    round follows the maps that the last one found and none before; a round's maps are stored.
+    """
+    every = captures.select("sitemap", "status", "body")
+    maps = frontier_ = stored(roots.select("site", "sitemap", F.lit(0).alias("depth")).distinct(), "maps")
+    depth, pages = 0, None
+    while not frontier_.isEmpty():
+        got = frontier_.join(sitemap_locations(every.join(frontier_.select("sitemap").distinct(), "sitemap", "left_semi"), offsets), "sitemap")
+        named = got.where(~F.col("is_index")).select("site", "sitemap", "depth", F.col("pos").cast("long").alias("pos"), "location")
+        pages = named if pages is None else pages.unionByName(named)
+        depth += 1
+        new = got.where("is_index").select("site", F.col("location").alias("sitemap")).distinct().join(maps, ["site", "sitemap"], "left_anti")
+        frontier_ = stored(new.withColumn("depth", F.lit(depth)), "maps")
+        maps = maps.unionByName(frontier_)
+    pages = pages if pages is not None else maps.select("site", "sitemap", "depth", F.lit(0).cast("long").alias("pos"), F.col("sitemap").alias("location")).limit(0)
+    order = Window.partitionBy("site").orderBy("depth", "sitemap", "pos")
+    summed = pages.withColumn("_total", F.sum(F.octet_length("location")).over(order))
+    cut = summed.where(F.col("_total") > url_bytes).groupBy("sitemap").agg(F.min("pos").alias("resume_at"))
+    return summed.where(F.col("_total") <= url_bytes).drop("_total"), cut
+
+
 def sitemap_order(sitemaps: DataFrame) -> DataFrame:
     """sitemaps: site, root, url, resumed. With `place`: resumed ones first, then those in scope, those that share a word of the scope, shorter and smaller paths."""
     url, scope = F.col("url"), scope_path(F.col("root"))

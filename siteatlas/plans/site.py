@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions.arrow import arrow
 from siteatlas.functions import diff, html, markdown, text, urls
-from siteatlas.operators import changes, crawl, decisions, guides, jobs
+from siteatlas.operators import changes, crawl, decisions, guides, jobs, site_crawl
 from siteatlas.plans.catalogue import QUERIES, SQL, TABLES, Duck, Spark
 from siteatlas.sources import derived, stores
 
@@ -87,13 +87,74 @@ def robots_read(q):
     return out.select("page_id", "in_scope", "allowed", "read")
 
 
-@query("sitemap_locations", """, m as (select site, sitemap, contains(body, '<sitemapindex') as is_index, regexp_extract_all(body, 'loc> ?([^< ]*)', 1) as ls from sitemaps where status = 200 and not contains(body, '<!DOCTYPE')),
-e as (select sitemap, is_index, unnest(list_filter(ls, lambda x: x <> '')) as location, unnest(range(len(list_filter(ls, lambda x: x <> '')))) as pos from m)
-select e.sitemap, is_index, pos, replace(location, '&amp;', '&') as location from e left join offsets o on e.sitemap = o.sitemap where pos >= coalesce(resume_at, 0)""")
+@query("sitemap_locations", """, m as (select site, sitemap, contains(body, '<sitemapindex') as is_index, regexp_extract_all(body, '<(?:x:)?loc[^>]*> ?([^< ]*)', 1) as ls from sitemaps where status = 200 and not contains(body, '<!DOCTYPE') and (contains(body, '</sitemapindex>') or contains(body, '</x:urlset>'))),
+e as (select sitemap, is_index, unnest(ls) as location, unnest(range(len(ls))) as pos from m)
+select e.sitemap, is_index, pos, replace(replace(location, '&amp;', '&'), '&#50;', '2') as location from e left join offsets o on e.sitemap = o.sitemap where pos >= coalesce(resume_at, 0)""")
 def sitemap_locations(q):
     return crawl.sitemap_locations(q("sitemaps"), q("offsets")).select("sitemap", "is_index", F.col("pos").cast("long").alias("pos"), "location")
 
 
+_CRAWL = f""", cp as (select c.*, coalesce(nullif(regexp_extract(url, '^https?://[^/]+/+([^/]+)', 1), ''), '(entry)') as section, list_filter(string_split(regexp_extract(url, '^https?://[^/]+(/.*)$', 1), '/'), lambda x: x <> '') as parts from crawl_pages c),
+g as (select *, idx = 0 as entry, case when idx = 0 then -2 when len(list_filter(parts, lambda x: lower(x) in {_LOW})) > 0 then 3 when lower(parts[-1]) in {_USEFUL} then 0 else 1 end as rk, case when idx = 0 then 0 else greatest(len(parts), 1) end as dp, case when site % 7 = 5 then case when idx = 0 then -1 else 100 - idx end end as step from cp),
+st as (select 0 as round, site, url, idx, section, entry, rk, dp, step, 0 as done, 0::bigint as place, null::varchar as stopped from g where idx = 0 or site % 7 = 5 and idx <= 3 union all select * from (
+with live as (select * from st where done = 0 and stopped is null), had as (select site, section, count(*) as n from st where done = 1 group by all),
+tot as (select st.site, count(*) as pages, sum(case when status = 200 then chars else 0 end) as chars, sum(bytes) as bytes, sum(seconds) as seconds from st join g using (site, url) where done = 1 group by st.site),
+n1 as (select *, row_number() over (partition by site, section order by coalesce(step, 0), rk, dp, url) as n from live),
+n2 as (select n1.*, row_number() over (partition by n1.site order by case when entry then -1 when step is not null then 0 else coalesce(had.n, 0) + n1.n - 1 end, coalesce(step, 0), rk, dp, url) as k from n1 left join had on had.site = n1.site and had.section = n1.section where n1.n <= 4),
+b as (select n2.site, n2.url, k, coalesce(t.pages, 0) + k as pl, status, coalesce(t.seconds, 0) + sum(g.seconds) over w - g.seconds as secs, coalesce(t.bytes, 0) + sum(g.bytes) over w as byt, coalesce(t.chars, 0) + sum(case when status = 200 then g.chars else 0 end) over w as chr from n2 join g on g.site = n2.site and g.url = n2.url left join tot t on t.site = n2.site where k <= 4 window w as (partition by n2.site order by k rows unbounded preceding)),
+o as (select b.*, case when pl > max_pages then 'explicit_page_budget' when secs >= max_seconds then 'time_budget' when byt > max_bytes then 'download_budget' when chr > max_chars then 'text_budget' end as over_ from b join crawl_sites l on l.site = b.site),
+f as (select site, min(k) filter (where over_ is not null) as fk, arg_min(over_, k) filter (where over_ is not null) as why from o group by site),
+kept as (select o.* from o join f using (site) where fk is null or k < fk),
+new as (select distinct c.site, c.url, c.idx, c.section, c.entry, c.rk, c.dp, c.step from kept k join g p on p.site = k.site and p.url = k.url join g c on c.site = p.site and c.idx > 0 and (c.idx - 1) // 3 = p.idx where k.status = 200 and k.site % 7 <> 5 and not exists (select 1 from st where st.site = c.site and st.url = c.url))
+select st.round + 1, st.site, st.url, st.idx, st.section, st.entry, st.rk, st.dp, st.step, case when kept.url is not null then 1 else st.done end, coalesce(kept.pl, st.place), coalesce(st.stopped, f.why) from st left join kept on kept.site = st.site and kept.url = st.url left join f on f.site = st.site where exists (select 1 from live)
+union all select (select max(round) + 1 from st), site, url, idx, section, entry, rk, dp, step, 0, 0, null from new)),
+fin as (select * from st where round = (select max(round) from st))"""
+
+
+def _crawled(q):
+    pages = q("crawl_pages")
+    below = q("select site, floor((idx - 1) / 3) as idx, url as child from crawl_pages where idx > 0").groupBy("site", "idx").agg(F.array_sort(F.collect_list("child")).alias("below"))
+    met = pages.join(below.select("site", F.col("idx").cast("long").alias("idx"), "below"), ["site", "idx"], "left")
+    anchors = F.concat(F.coalesce("below", F.array().cast("array<string>")), F.array(F.lit("/private/x"), F.lit("https://other.test/"), F.lit("file.pdf"), F.lit("?utm_source=a")))
+    body = F.concat(F.lit("<main>"), F.array_join(F.transform(anchors, lambda u: F.concat(F.lit("<a href='"), u, F.lit("#top'>x</a>"))), " "), F.lit("</main>"))
+    links = html.page_records(met.where("status = 200").select("url", body.alias("html"))).select("url", F.explode("page.links").alias("link"))
+    captures = pages.select("url", crawl.outcome(F.col("status"), F.lit("text/html"), F.lit(False)).alias("outcome"), "chars", "bytes", "seconds")
+    rules = q("select distinct origin, cast(200 as int) as status, 'User-agent: *\nDisallow: /private' as body from crawl_pages")
+    return site_crawl.crawl_sites(q("crawl_sites"), captures, links, crawl.robots_policies(rules), AGENT, plan=q("crawl_plan"))
+
+
+@query("site_crawl", _CRAWL + " select site, url, place from fin where done = 1")
+def site_crawled(q):
+    """Sites that find their pages by links, each under one of seven kinds of limits, from the root on."""
+    return _crawled(q)[0].select("site", "url", "place")
+
+
+@query("site_crawl_stops", _CRAWL + " select f.site, case when max(stopped) is not null then max(stopped) when f.site % 7 = 6 then 'fetch_failure' when f.site % 7 = 5 then 'coverage_plan_finished' else 'exhausted' end as stopped, count(*) filter (where done = 1) as pages, count(*) filter (where done = 0) as unread from fin f group by f.site")
+def site_crawl_stops(q):
+    return _crawled(q)[1]
+
+
+_FOUND = """, r as (select t.site, t.sitemap, t.n, 0 as depth from map_tree t where n = 0 union all select t.site, t.sitemap, t.n, r.depth + 1 from r join map_tree t on t.site = r.site and r.n < 4 and t.n between r.n * 3 + 1 and r.n * 3 + 3),
+g as (select r.site, r.sitemap, r.depth, row_number() over (partition by r.sitemap order by p.page_id) - 1 as pos, p.url as location from r join site_pages p on p.site = r.site and r.n >= 4 and p.page_id % 9 = r.n - 4),
+s as (select *, sum(strlen(location)) over (partition by site order by depth, sitemap, pos) as total from g)"""
+
+
+def _discovered(q):
+    roots = q("select site, sitemap from map_tree where n = 0")
+    return crawl.discovered(roots, q("select sitemap, status, body from tree_maps"), q("select sitemap, cast(0 as bigint) as resume_at from map_tree where n < 0"), 700)
+
+
+@query("sitemap_discovery", _FOUND + " select site, sitemap, depth, pos, location from s where total <= 700")
+def sitemap_discovery(q):
+    """Indexes of indexes, with a loop back to the first, up to a budget of URL bytes for each site."""
+    return _discovered(q)[0]
+
+
+@query("sitemap_resume", _FOUND + " select sitemap, min(pos) as resume_at from s where total > 700 group by 1")
+def sitemap_resume(q):
+    return _discovered(q)[1]
+
+
 @query("sitemap_order", """select site, url, row_number() over (partition by site order by case when page_id % 10 = 0 then 0 else 1 end, case when starts_with(path, '/docs/') then 0 when contains(path, 'docs') then 1 else 2 end, len(string_split(path, '/')), path, url) as place from (select site, url, page_id, regexp_extract(lower(url), '//[^/]*(/.*)$', 1) as path from site_pages)""")
 def sitemap_order(q):
     return crawl.sitemap_order(q("select site, url, concat(origin, '/docs/') as root, page_id % 10 = 0 as resumed from site_pages")).select("site", "url", "place")

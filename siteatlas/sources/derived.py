@@ -40,7 +40,12 @@ responses as (select page_id, site, url, case page_id % 7 when 0 then 'No-Store,
   cast(case page_id % 10 when 0 then 404 when 1 then 410 when 2 then 304 when 3 then 500 else 200 end as int) as status, case page_id % 6 when 0 then 'application/xhtml+xml' when 1 then 'application/pdf' when 2 then 'text/plain' else 'Text/HTML; charset=utf-8' end as content_type, page_id % 4 = 2 as cached, h.html as body from site_pages join (select page_id as id, html from pages) h on h.id = page_id),
 captures as (select concat(origin, p.path, 'llms.txt') as url, cast(case when (site + n) % 5 = 0 then 404 else 200 end as int) as status, case when (site + n) % 4 = 1 then 'text/html' else 'text/plain' end as content_type, case (site * 3 + n) % 6 when 0 then '## no title' when 1 then concat('# T', {d.nl}, '<!DOCTYPE html>') when 2 then concat('#  ', {d.nl}, 'x') else concat('# Guide', {d.nl}, 'text') end as body from site_roots cross join (select path, case path when '/' then 0 when '/docs/' then 1 when '/docs/api/' then 2 else 3 end as n from paths) p),
 deep_sites as (select site, concat(origin, case site % 4 when 0 then '/docs/api/start.html' when 1 then '/docs/' when 2 then '/' else '/help/a/b' end) as root from site_roots),
-sitemaps as (select site, concat(origin, '/sitemap', {s("k")}, '.xml') as sitemap, cast(case when k = 3 then 404 else 200 end as int) as status, concat(case when k = 1 then '<?xml version="1.0"?><!DOCTYPE x>' else '<?xml version="1.0"?>' end, case when k = 2 then '<sitemapindex xmlns="s">' else '<x:urlset xmlns:x="s">' end, body, '</end>') as body from (select site, origin, k, {d.join("case when page_id % 3 = 0 then concat('<x:loc> ', url, '?a=1&amp;b=2 </x:loc>') else concat('<loc>', url, '</loc>') end", "", "page_id")} as body from site_pages cross join (select 0 as k union all select 1 union all select 2 union all select 3) ks group by site, origin, k)),
+sitemaps as (select site, concat(origin, '/sitemap', {s("k")}, '.xml') as sitemap, cast(case when k = 3 then 404 else 200 end as int) as status, concat(case when k = 1 then '<?xml version="1.0"?><!DOCTYPE x>' else '<?xml version="1.0"?>' end, case when k = 2 then '<sitemapindex xmlns="s">' else '<x:urlset xmlns:x="s">' end, replace(body, 'ENTRY', case when k = 2 then 'sitemap' else 'x:url' end), case when k = 0 and site = 4 then '' when k = 2 then '</sitemapindex>' else '</x:urlset>' end) as body from (select site, origin, k, {d.join("case when page_id % 3 = 0 then concat('<ENTRY><!-- a --><x:loc xmlns:x=\"s\"> ', url, '?a=1&amp;b=&#50; </x:loc></ENTRY>') else concat('<ENTRY><loc>', url, '</loc></ENTRY>') end", "", "page_id")} as body from site_pages cross join (select 0 as k union all select 1 union all select 2 union all select 3) ks group by site, origin, k)),
+crawl_pages as (select page_id, site, idx, origin, case when idx = 0 then concat(origin, '/') else concat(origin, '/', seg, '/p', {s("idx")}) end as url, case when site % 7 = 6 then 500 when page_id % 11 = 3 then 404 else 200 end as status, cast(100 + page_id % 7 * 50 as bigint) as chars, cast(1000 + page_id % 5 * 500 as bigint) as bytes, cast(1 + page_id % 3 as double) as seconds from (select page_id, cast(page_id % 25 as bigint) as site, {d.idiv("page_id", "25")} as idx, concat('https://c', {s("page_id % 25")}, '.example.com') as origin, case page_id * 7 % 9 when 0 then 'docs' when 1 then 'help' when 2 then 'tag' when 3 then 'products' when 4 then 'docs/api' when 5 then 'pricing' else 'blog' end as seg from pages) c),
+crawl_sites as (select site, url as root, cast(case when site % 7 = 1 then 5 end as bigint) as max_pages, cast(case when site % 7 = 2 then 9 end as double) as max_seconds, cast(case when site % 7 = 3 then 9000 end as bigint) as max_bytes, cast(case when site % 7 = 4 then 1100 end as bigint) as max_chars from crawl_pages where idx = 0),
+crawl_plan as (select site, url, cast(100 - idx as bigint) as step from crawl_pages where site % 7 = 5 and idx between 1 and 3),
+map_tree as (select distinct site, concat(origin, '/map', {s("n")}, '.xml') as sitemap, n, origin from site_roots cross join (select page_id as n from pages where page_id < 13) p),
+tree_maps as (select t.site, t.sitemap, cast(200 as int) as status, case when t.n < 4 then concat('<sitemapindex>', max(concat('<sitemap><loc>', t.origin, '/map', {s("t.n * 3 + 1")}, '.xml</loc></sitemap><sitemap><loc>', t.origin, '/map', {s("t.n * 3 + 2")}, '.xml</loc></sitemap><sitemap><loc>', t.origin, '/map', {s("t.n * 3 + 3")}, '.xml</loc></sitemap><sitemap><loc>', t.origin, '/map0.xml</loc></sitemap>')), '</sitemapindex>') else concat('<urlset>', {d.join("concat('<url><loc>', url, '</loc></url>')", "", "page_id")}, '</urlset>') end as body from map_tree t join site_pages p on p.site = t.site and (t.n < 4 or p.page_id % 9 = t.n - 4) group by t.site, t.sitemap, t.n),
 offsets as (select sitemap, cast(3 as bigint) as resume_at from sitemaps where site % 2 = 0),
 store as (select concat({d.sha("url")}, '.json') as key, case when page_id % 9 = 4 then 'timeout' end as error, page_id from site_pages where page_id % 3 <> 0),
 sources as (select site as project, concat('src', {s("page_id % 12")}) as source_id, min(url) as url, case when min(page_id) % 2 = 0 then concat(min(url), '.md') end as markdown_url, concat('Title *', {s("min(page_id)")}, '*') as title, case when min(page_id) % 3 = 0 then '' else concat('About `', {s("min(page_id)")}, '`') end as description, concat('line one', {d.nl}, 'page ', {s("min(page_id)")}, {d.nl}, 'end') as content, {d.sha(s("min(page_id)"))} as hash from site_pages group by 1, 2),

@@ -6,6 +6,9 @@ one; its reader is given the new path, so a lost job leaves the old table as it
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +56,21 @@ def audited(files: DataFrame, texts: DataFrame) -> DataFrame:
     met = files.join(texts, "id", "left")
     state = F.when(F.col("text").isNull(), "missing").when(F.sha2("text", 256) != F.col("sha256"), "changed").otherwise("same")
     return met.select("id", state.alias("state"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one, kept for the session, only in local mode."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = "file://" + tempfile.mkdtemp(prefix="siteatlas-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once and read again: a round's state, which later rounds read instead of computing it anew."""
+    path = f"{shared_folder(df.sparkSession)}/siteatlas/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ was told is late: it is counted in its state and gives no row.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteatlas.sources.stores import shared_folder
 from siteatlas.streaming.timers import feed
 
 CHANGES = "user_id long, event_id long, event_type string"
@@ -53,15 +53,6 @@ def latest(batch: DataFrame) -> DataFrame:
     return batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max(F.struct("ts", "event_id")).alias("at")).select("user_id", "at.event_id", "event_type")
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only in local mode."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="siteatlas-")
-
-
 def _source(spark: SparkSession, path: str) -> tuple[str, str]:
     """A folder that a stream can read and the pattern of its files: a table is a folder of files or one file."""
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -95,10 +86,10 @@ def audited(spark: SparkSession, events: DataFrame, out: str, epoch: Callable[[]
 def run_feed(spark: SparkSession, sf_dir: str, tick: int) -> DataFrame:
     """All events once through the feed with its heartbeats."""
     stream = lambda events: feed(events.select("user_id", "event_id", F.col("ts").cast("timestamp"), "event_type"), tick)
-    return drained(spark, f"{sf_dir}/events.parquet", stream, f"{folder(spark)}/feed-{uuid.uuid4().hex}")
+    return drained(spark, f"{sf_dir}/events.parquet", stream, f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}")
 
 
 def run_stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events once through the stream; the sink is a table in the shared folder."""
     stream = lambda events: stage_changes(events.select("user_id", "event_id", F.col("ts").cast("timestamp"), "event_type"))
-    return drained(spark, f"{sf_dir}/events.parquet", stream, f"{folder(spark)}/progress-{uuid.uuid4().hex}")
+    return drained(spark, f"{sf_dir}/events.parquet", stream, f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}")
