@@ -176,17 +176,17 @@ class Arrays:
             at[open_[less]], to[open_[~less]] = mid[less] + 1, mid[~less]
         return at, (at <= last) & (known[np.minimum(at, len(known) - 1)] == low)
 
-    def find(self, stem: str, shards: int, keys: np.ndarray, high: np.ndarray, hashed: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each shard that keys reach: its number, which keys, their places, whether they are there."""
+    def find(self, stem: str, shards: int, keys: np.ndarray, high: np.ndarray, width: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each shard that keys reach: its number, which keys, their places, whether they are there. Kept in buckets where width is given: that of the words of pairs, 0 for hashes."""
         shard = _shard(high, shards)
         order = np.argsort(shard, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
             if len(own):
                 s = int(shard[own[0]])
-                if hashed:
-                    yield s, own, *self._place(f"{stem}-{s}", keys[own])
+                if width is not None and len(self.get(f"tops{stem}-{s}", np.uint32)):
+                    yield s, own, *self._place(f"{stem}-{s}", _scrambled(keys[own], width) if width else keys[own])
                     continue
-                known = self.get(f"{stem}-{s}", np.uint64)
+                known = self.get(f"{stem if width is None else f'keys{stem}'}-{s}", np.uint64)
                 place = np.searchsorted(known, keys[own])
                 there = np.zeros(len(own), bool)
                 inside = place < len(known)
@@ -194,6 +194,15 @@ class Arrays:
                 yield s, own, place, there
 
 
+def _scrambled(pairs: np.ndarray, width: int) -> np.ndarray:
+    """Keys of pairs of words of `width` bits, one to one as numbers whose first bits are evenly spread."""
+    line = pairs >> np.uint64(32) << np.uint64(width) | pairs & np.uint64(0xFFFFFFFF)
+    for _ in range(2):  # a product with an odd number and a shift are one to one on 2 width bits
+        line = line * _STEP & np.uint64((1 << 2 * width) - 1)
+        line = line ^ line >> np.uint64(width)
+    return line << np.uint64(64 - 2 * width)
+
+
 def _cut_key(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash's first bits, and the 32 after them."""
     first = (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
@@ -257,7 +266,7 @@ _PACKED_DDL = "shard int, kind int, keys binary, values binary"
 
 def _packed(rows) -> bytes:
     """Planes of rows of numbers, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(_planes(row) for row in rows))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(_planes(row) for row in rows))
 
 
 def _dealt(grams: np.ndarray, values: np.ndarray, kind: int, shards: int) -> Iterator[tuple]:
@@ -294,17 +303,28 @@ def _code_kind(rows: int) -> type:
     return np.uint8 if rows <= 1 << 8 else np.uint16 if rows <= 1 << 16 else np.uint32
 
 
-def _save_rows(folder: str, level: int, shard: int, key: np.ndarray, values: np.ndarray) -> None:
-    """Keys, the distinct columns of values and a code for each key. Hashed keys are kept in buckets of eight or so: the ends of the buckets by their first bits, and the 32 bits after these."""
-    stem = f"{level}-{shard}"
+def _save_rows(folder: str, level: int, shard: int, key: np.ndarray, values: np.ndarray, width: int) -> None:
+    """Keys, the distinct columns of values and a code for each key.
+
+    Keys are kept in buckets of eight or so: the ends of the buckets by the keys' first bits, and the 32 bits after these. Of
+    pairs that is the whole key, with more buckets if need be; where these would take more room than they spare, whole keys are kept.
+    """
+    stem, bits = f"{level}-{shard}", max(len(key).bit_length() - 3, 0)
+    if level == 2:
+        spread = _scrambled(key, width) if 2 * width <= 64 else key
+        bits = max(bits, 2 * width - 32)
+        if bits < max(len(key).bit_length(), 4) and 2 * width <= 64:
+            order = np.argsort(spread)
+            key, values = spread[order], values[:, order]
+        else:
+            bits = -1
     like = np.zeros(len(key), np.uint64)
     for row in values:
         like = mix(like * _STEP + row.astype(np.uint64) + np.uint64(1))
     kinds, code = np.unique(like, return_inverse=True)
     first = np.empty(len(kinds), np.int64)
     first[code] = np.arange(len(code))
-    if level > 2:
-        bits = min(max(len(key).bit_length() - 3, 0), 32)
+    if bits >= 0:
         bucket, low = _cut_key(key, bits)
         _save(folder, f"tops{stem}", np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype(np.uint32))
         _save(folder, f"lows{stem}", low)
@@ -370,6 +390,7 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
     offsets = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
     if known >= 2**32 - 2:
         raise ValueError(f"{known} words; n-grams of numbers hold 2^32 - 2")
+    width = max(int(known + 1).bit_length(), 1)
     gram_shards, blocks = max(1, -(-tokens // GRAMS_A_SHARD)), known // WORDS_A_BLOCK + 1
 
     def count_grams(batches):
@@ -408,7 +429,7 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
                 values = np.zeros((5, ends.shape[1] + before.shape[1]), np.int64)
                 values[0, : ends.shape[1]], values[1:, ends.shape[1] :] = times[0], sums_
                 key, grams, values = _met(np.concatenate([ends, before], axis=1), values)
-            _save_rows(folder, level, s, key, values)
+            _save_rows(folder, level, s, key, values, width)
             seen = np.flatnonzero(values[0])
             grams, count = grams[:, seen], values[0, seen]
             yield _sent([(-1, level, b"", np.array([(count == i).sum() for i in (1, 2, 3, 4)], np.int64).tobytes())])
@@ -457,7 +478,7 @@ def train(df: DataFrame, id_col: str, text_col: str, modulus: int, held: int, or
     lower = of(1, 7)
     d_low = discounts(lower[:4])
     kinds = sum(r.total for r in told if r.kind == 1)
-    return {"folder": folder, "offsets": offsets, "order": order, "gram_shards": gram_shards, "blocks": blocks, "words": known, "tokens": tokens, "d": {k: discounts(of(k, 4)) for k in range(2, order + 1)}, "d_low": d_low, "pair_kinds": kinds, "spare": float((d_low * lower[4:]).sum() / kinds) if kinds else 1.0}
+    return {"folder": folder, "offsets": offsets, "order": order, "gram_shards": gram_shards, "blocks": blocks, "width": width, "words": known, "tokens": tokens, "d": {k: discounts(of(k, 4)) for k in range(2, order + 1)}, "d_low": d_low, "pair_kinds": kinds, "spare": float((d_low * lower[4:]).sum() / kinds) if kinds else 1.0}
 
 
 class Scorer:
@@ -480,7 +501,7 @@ class Scorer:
         """Rows times, and below the highest order total, n1, n2, n3+ as a context, of each n-gram; zeros for unknown ones."""
         keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros((1 if level == self.m["order"] else 5, len(keys)), np.int64)
-        for s, own, place, there in self.files.find(f"{'' if level > 2 else 'keys'}{level}", self.m["gram_shards"], keys, mix(keys), level > 2):
+        for s, own, place, there in self.files.find(str(level), self.m["gram_shards"], keys, mix(keys), 0 if level > 2 else self.m["width"]):
             rows = self.files.get(f"rows{level}-{s}", np.int64).reshape(len(out), -1)
             code = self.files.get(f"codes{level}-{s}", _code_kind(rows.shape[1]))
             out[:, own[there]] = rows[:, code[place[there]]]

@@ -341,3 +341,26 @@ def test_held_out_recall(spark):
     caught, toxic = sum(p for y, p in rows if y), sum(y for y, _ in rows)
     assert toxic == 144 and caught >= 0.88 * toxic and sum(p for y, p in rows if not y) <= 0.015 * (len(rows) - toxic)
     assert toxicity.toxicity(docs.limit(0), net).count() == 0
+
+
+# Language model.
+
+
+def test_keys_of_pairs_are_one_to_one(tmp_path):
+    from siteatlas.llm import kneser_ney as kn
+
+    every = np.array([a << 32 | b for a in range(32) for b in range(32)], np.uint64)
+    assert len(np.unique(kn._scrambled(every, 5))) == 1024
+    r = np.random.default_rng(1)
+    for width, n in ((5, 700), (17, 5000), (24, 5000), (32, 5000)):
+        pairs = np.unique(r.integers(0, 1 << width, n, dtype=np.uint64) << np.uint64(32) | r.integers(0, 1 << width, n, dtype=np.uint64))
+        known, rest = pairs[::2], pairs[1::2]
+        kn._save_rows(str(tmp_path / str(width)), 2, 0, known, np.arange(len(known))[None, :], width)
+        files = kn.Arrays(str(tmp_path / str(width)))
+        for keys, there in ((known, True), (rest, False)):
+            (_, own, place, found), *more = files.find("2", 1, keys, keys, width)
+            assert not more and (found == there).all() and len(own) == len(keys)
+            if there:
+                rows, codes = files.get("rows2-0", np.int64), files.get("codes2-0", kn._code_kind(len(known)))
+                assert (rows[codes[place]] == own).all()
+        assert (tmp_path / str(width) / "keys2-0").exists() == (width == 32)
