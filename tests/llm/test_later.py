@@ -363,4 +363,4 @@ def test_keys_of_pairs_are_one_to_one(tmp_path):
             if there:
                 rows, codes = files.get("rows2-0", np.int64), files.get("codes2-0", kn._code_kind(len(known)))
                 assert (rows[codes[place]] == own).all()
-        assert (tmp_path / str(width) / "keys2-0").exists() == (width == 32)
+        assert (tmp_path / str(width) / "keys2-0").exists() == (width >= 24)  # too few keys for so many buckets
