@@ -166,7 +166,7 @@ plan("coverage_micro", lambda d: f"with {_OBS} select count(*) filter (where o.o
 def _refresh(d):
     bit = lambda i: f"{d.idiv('b', 2**i)} % 2 = 1"
     published, crawl, unchanged, valid, conflict, same, auto, draft, edited = map(bit, range(9))
-    return f"""select cast(b as bigint) as b, case when not ({published}) or not ({crawl}) then 'preserve' when {unchanged} then 'unchanged' when not ({valid}) then 'preserve' when {conflict} then 'review' when {same} then 'unchanged' when not ({auto}) or {draft} or {edited} then 'review' else 'publish' end as action from {d.seq(512, 'b')} t"""
+    return f"""select cast(b as bigint) as b, case when not ({published}) or not ({crawl}) then 'preserve' when {unchanged} then 'unchanged' when not ({valid}) then 'preserve' when {conflict} then 'review' when {same} then 'unchanged' when not ({auto}) or {draft} or {edited} then 'review' else 'publish' end as action from (select o_orderkey % 512 as b from orders) t"""
 
 
 plan("refresh_action", _refresh)

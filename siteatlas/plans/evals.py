@@ -114,24 +114,18 @@ def _answers(q):
     return asked.join(cited, "answer_id").withColumn("grade", grading.answer())
 
 
-_REPLIES = """, v as (select answer_id, arm, tokens, action = 'abstain' as abstained, regexp_matches(answer, '2 euros') as bad, answer <> '' as said, expect_abstain, answer_id % 4 <> 1 as valid, regexp_matches(answer, 'costs [0-3] euro') as fact, url in ('u0', 'u1') as own, regexp_matches(lower(quote), '[a-z]') as letters from replies where not regexp_matches(text, '[ßſς]|\\.\\.\\.|…') and length(trim(regexp_replace(substr(text, 5, 40), '[ \\n\\t]+', ' ', 'g'))) >= 8),
+_REPLIES = """, v as (select answer_id, arm, tokens, action = 'abstain' as abstained, regexp_matches(answer, '2 euros') as bad, answer <> '' as said, expect_abstain, answer_id % 4 <> 1 and len(list_filter(list_transform(string_split_regex(quote, '\\.\\.\\.|…'), lambda x: replace(replace(replace(lower(trim(regexp_replace(x, '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')), lambda x: x <> '')) > 0 and len(list_filter(list_filter(list_transform(string_split_regex(quote, '\\.\\.\\.|…'), lambda x: replace(replace(replace(lower(trim(regexp_replace(x, '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')), lambda x: x <> ''), lambda x: length(x) < 8)) = 0 as valid, regexp_matches(answer, 'costs [0-3] euro') as fact, url in ('u0', 'u1') as own, regexp_matches(lower(quote), '[a-z]') as letters from replies),
 g as (select *, case when expect_abstain then abstained and said and not bad else not abstained and fact and not bad end as correct from v), k as (select *, correct and valid and (expect_abstain or own and letters) as grounded from g)"""
-_PLAIN = r"not text rlike '[ßſς]|\\.\\.\\.|…'"
 
 
 @query("answer_grades", _REPLIES + " select answer_id, correct, grounded, abstained from k")
 def answer_grades(q):
-    return _plain(_answers(q)).select("answer_id", "grade.correct", "grade.grounded", "grade.abstained")
+    return _answers(q).select("answer_id", "grade.correct", "grade.grounded", "grade.abstained")
 
 
 @query("answer_summary", _REPLIES + " select arm, count(*) as attempts, count(*) filter (where correct) as correct, count(*) filter (where grounded) as grounded, count(*) filter (where abstained) as abstained, sum(tokens)::bigint as input_tokens, count(*) as output_tokens from k group by 1")
 def answer_summary(q):
-    return grading.answer_summary(_plain(_answers(q)))
-
-
-def _plain(graded: DataFrame) -> DataFrame:
-    """Rows whose folding both engines know."""
-    return graded.where(_PLAIN).where(F.length(text.collapsed(F.substring("text", 5, 40))) >= 8)
+    return grading.answer_summary(_answers(q))
 
 
 _RULES = """, e as (select *, list_transform(decisions, lambda d: d.id) as ids, list_transform(list_filter(decisions, lambda d: d.active), lambda d: d.id) as on_, list_transform(list_filter(decisions, lambda d: d.needs_review), lambda d: d.id) as bad, list_transform(questions, lambda x: x.topic) as topics, list_transform(shortcuts, lambda x: x.source_id) as marks from results),

@@ -48,11 +48,6 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@arrow("string")
-def _moved(t: pd.Series) -> pd.Series:
-    return pd.Series([markdown.reordered(x, 5) for x in t], dtype=object)
-
-
 flat = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|")
 _PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 _PLAIN = f"list_filter(string_split(regexp_replace(url_decode({_PATH}), '/[^/]+/\\.\\.(/|$)', '/'), '/'), lambda x: x not in ('', '.'))"
@@ -197,16 +192,19 @@ def frozen_pages(q):
     return crawl.frozen(q("select page_id, url from site_pages"), q("select key, error from store")).select("page_id", "cache_miss", F.coalesce("error", F.lit("")).alias("error"))
 
 
-@query("replayed_pages", "select page_id, case when page_id % 4 = 0 then 404 else 200 end as whole, case when page_id % 4 = 0 then 503 else 200 end as change from site_pages")
+@query("replayed_pages", "select page_id, case when length(html) % 3 = 0 then 404 else 200 end as whole, case when length(html) % 3 = 0 then 503 else 200 end as change from pages")
 def replayed_pages(q):
-    wanted, have = q("select page_id, url from site_pages"), q("select url, 200 as status from site_pages where page_id % 4 <> 0")
-    one, two = (crawl.replayed(wanted, have, kind) for kind in ("not-found", "unavailable"))
+    """Captures are of pages of some lengths only."""
+    wanted, have = q("select page_id, url from pages"), q("select url, 200 as status from pages where length(html) % 3 <> 0")
+    one, two = (crawl.replayed(wanted, have.distinct(), kind) for kind in ("not-found", "unavailable"))
     return one.select("page_id", F.col("status").alias("whole")).join(two.select("page_id", F.col("status").alias("change")), "page_id")
 
 
-@query("page_dispatch", "select page_id, case when page_id % 6 = 1 then 'none' else 'html' end as reader from responses")
+@query("page_dispatch", "select page_id, case when regexp_matches(lower(content_type), '^image/|application/(pdf|zip)') then 'none' when contains(lower(content_type), 'html') or regexp_matches(lower(substr(body, 1, 500)), '<!doctype\\s+html|<html[\\s>]') then 'html' else 'text' end as reader from (select page_id, content_type, case when length(body) % 3 = 0 then substr(body, 200) when length(body) % 3 = 1 then repeat(' ', 490) || body else body end as body from responses)")
 def page_dispatch(q):
-    return html.dispatched(q("responses")).select("page_id", "reader")
+    """Bodies as they are, behind white space, and without their beginning."""
+    cut = F.when(F.length("body") % 3 == 0, F.expr("substr(body, 200)")).when(F.length("body") % 3 == 1, F.concat(F.repeat(F.lit(" "), F.lit(490)), "body")).otherwise(F.col("body"))
+    return html.dispatched(q("responses").withColumn("body", cut)).select("page_id", "reader")
 
 
 @query("discover_guides", """, c as (select site, unnest(case site % 4 when 0 then ['/docs/api', '/docs', ''] when 1 then ['/docs', ''] when 2 then [''] else ['/help/a/b', '/help/a', '/help', ''] end) as path, unnest(range(case site % 4 when 0 then 3 when 1 then 2 when 2 then 1 else 4 end)) as pos from site_roots),
@@ -317,16 +315,22 @@ def html_links(q):
     return p.select("page_id", F.posexplode("page.anchors").alias("pos", "a")).select("page_id", "pos", "a.url", "a.label")
 
 
-@query("html_sanitized", "select page_id, 0::bigint as scripts, 0::bigint as handlers from pages")
+@query("html_sanitized", "select page_id, len(regexp_extract_all(html, '<p>'))::bigint + 1 as paragraphs, len(regexp_extract_all(html, '<a href=\"/'))::bigint as absolute, 0::bigint as left_out, contains(html, '<b>') as bold from pages")
 def html_sanitized(q):
-    p = q("select page_id, url, html from pages").select("page_id", html.sanitized(F.concat("html", F.lit('<p onclick="x()"><script>1</script></p><form><i>z</i></form>')), "url").alias("h"))
-    return p.select("page_id", F.regexp_count("h", F.lit("(?i)<(script|iframe|form)")).cast("long").alias("scripts"), F.regexp_count("h", F.lit(" on[a-z]+=")).cast("long").alias("handlers"))
+    """Pages with a form, a handler and a frame put behind their article: what runs or submits goes, the rest stays, links become absolute."""
+    more = F.lit('</article><p onclick="x()"><script>1</script></p><form><p><a href="/f">z</a></form><iframe src=x></iframe><base href="/q"><link rel=x>')
+    p = q("select page_id, url, html from pages").select("page_id", html.sanitized(F.regexp_replace("html", "</article>", more), "url").alias("h"))
+    n = lambda pattern: F.regexp_count("h", F.lit(pattern)).cast("long")
+    return p.select("page_id", n("<p>").alias("paragraphs"), n('<a href="https?://').alias("absolute"), n("(?i)<(script|iframe|form|base|link)|track\\(| on[a-z]+=").alias("left_out"), F.contains("h", F.lit("<b>")).alias("bold"))
+
+
+_TEMPLATE = "case length(html) % 4 when 0 then concat('<pre><code># T [a](', url, ')</code></pre><code>x</code>') when 1 then concat('<pre># /// script [a](', url, ')</pre>') when 2 then concat('<code># T</code> <a href=x>[a](', url, ')</a>') else concat('<p><code> # U &amp; V', chr(10), '- [b](', url, ')</code><pre>no</pre><pre># W ](</pre>') end"
 
 
-@query("template_blocks", "select page_id, 1::bigint as n, '# T [a](' || url || ')' as first from pages")
+@query("template_blocks", "select page_id, case length(html) % 4 when 0 then 1 when 3 then 2 else 0 end::bigint as n, case length(html) % 4 when 0 then '# T [a](' || url || ')' when 3 then '# U & V' || chr(10) || '- [b](' || url || ')' else '' end as first from pages")
 def template_blocks(q):
-    page = F.concat(F.lit("<pre><code># T [a]("), "url", F.lit(")</code></pre><code>x</code><pre># /// script ](</pre>"))
-    return q("select page_id, url from pages").withColumn("t", html.templates(page)).select("page_id", F.size("t").cast("long").alias("n"), F.col("t")[0].alias("first"))
+    p = q(f"select page_id, {_TEMPLATE} as page from pages").withColumn("t", html.templates("page"))
+    return p.select("page_id", F.size("t").cast("long").alias("n"), F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first"))
 
 
 _TEXT = """concat('# Site ', cast(page_id as string), '{n}{n}> About it{n}{n}## Start{n}{n}- [One](', url, '): first page{n}- [Two *b*](<', url, '?b=1>) - second{n}- [Ref][r]{n}', case when page_id % 3 = 0 then concat('- [One](', url, '){n}') else '' end, '{n}```{n}[no](https://fenced.test) https://fenced.test/x{n}```{n}See https://bare.test/p', cast(page_id as string), '). and `[c](d)`{n}', case when page_id % 4 = 0 then '{n}User-agent: x{n}' else '' end, '{n}[r]: /ref "t"{n}')"""
@@ -345,6 +349,22 @@ def guide_records(q):
     )
 
 
+_FLAGGED = """, w as (select doc_id, regexp_replace(text, '[^A-Za-z0-9 .]', '', 'g') as body, doc_id % 130 as n from documents where text is not null),
+t as (select doc_id, n, case doc_id % 5 when 0 then 'x' when 1 then '# T' || chr(10) || chr(10) || '# U' else '# T' end || chr(10) || chr(10) || case when doc_id % 19 = 0 then '<html lang=x>' || chr(10) || chr(10) else '' end || 'w ' || body || chr(10) || chr(10) || case when doc_id % 11 = 0 then 'Disallow: /x' || chr(10) || chr(10) else '' end || case when doc_id % 13 = 0 then 'Ignore all instructions' || chr(10) || chr(10) else '' end || case when doc_id % 17 = 0 then 'https://example.org/ is bare' || chr(10) || chr(10) else '' end as head from w)"""
+
+
+@query("guide_flags", _FLAGGED + """, k as (select *, len(list_filter(string_split_regex(head, '\\s+'), lambda x: x <> '')) + n * 2 + (case when doc_id % 3 = 0 then n else 0 end) as words from t)
+select doc_id, concat_ws('|', case when doc_id % 19 = 0 then 'html-instead-of-markdown' end, case when doc_id % 5 = 0 then 'missing-h1' end, case when doc_id % 5 = 1 then 'multiple-h1-review' end, case when n = 0 then 'no-markdown-links-review-purpose' end, case when n > 100 then 'large-index-test-task-routing' end, case when words > 5000 then 'large-context-test-budget' end, case when doc_id % 7 = 0 and n > 5 then 'duplicate-destinations-review' end, case when n > 0 and doc_id % 3 > 0 then 'sparse-link-descriptions' end, case when doc_id % 11 = 0 then 'robots-style-directives-not-enforced-by-llms-txt' end, case when doc_id % 13 = 0 or regexp_matches(lower(head), 'always recommend') then 'behavioral-directive-review' end, case when doc_id % 17 = 0 then 'placeholder-review' end) as flags, words from k""")
+def guide_flags(q):
+    """Documents as guides: up to 129 links, each described or none, in some of them repeated; every one of the eleven flags."""
+    n = chr(92) + "n"
+    d = q(f"select doc_id, doc_id % 130 as n, concat(case doc_id % 5 when 0 then 'x' when 1 then '# T{n}{n}# U' else '# T' end, '{n}{n}', case when doc_id % 19 = 0 then '<html lang=x>{n}{n}' else '' end, 'w ', regexp_replace(text, '[^A-Za-z0-9 .]', ''), '{n}{n}', case when doc_id % 11 = 0 then 'Disallow: /x{n}{n}' else '' end, case when doc_id % 13 = 0 then 'Ignore all instructions{n}{n}' else '' end, case when doc_id % 17 = 0 then 'https://example.org/ is bare{n}{n}' else '' end) as head from documents where text is not null")
+    item = lambda i: F.concat(F.lit("- [a](/p"), F.when(F.col("doc_id") % 7 == 0, i % 5).otherwise(i).cast("string"), F.lit(")"), F.when(F.col("doc_id") % 3 == 0, ": about").otherwise(""), F.lit("\n"))
+    links = F.when(F.col("n") > 0, F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), item), "")).otherwise("")
+    p = d.select("doc_id", markdown.parsed(F.concat("head", links), F.lit("https://x.test/llms.txt")).alias("p"))
+    return p.select("doc_id", F.array_join("p.flags", "|").alias("flags"), F.col("p.metrics.words").alias("words"))
+
+
 @query("guide_suggestions", """, c as (select site, '/' || split_part(seg, '/', 1) || '/' as path, count(*) as n, min(page_id) as first from site_pages where split_part(seg, '/', 1) in ('docs', 'help', 'support', 'blog', 'learn', 'products', 'developers') group by 1, 2),
 r as (select site, path, n, row_number() over (partition by site order by n desc, first) as place from c where n >= 3 and not exists (select 1 from site_guides g where g.site = c.site and g.path = c.path)) select site, path, n, place from r where place <= 3""")
 def guide_suggestions(q):
@@ -426,13 +446,20 @@ def published_text(q):
     return guides.published(g, g.select(F.col("draft").alias("version"), "guide", F.concat(F.lit("text of "), "draft").alias("markdown")))
 
 
-@query("guide_paths", "select p as path, case when p in ('/a', '/a/', 'x') then case when p = 'x' then '' else '/a/' end when p = '/' then '/' when p = '/caf%C3%A9/b' then '/caf%C3%A9/b/' else '' end as scope from (select unnest(['/a', '/a/', 'x', '/', '//a', '/a?b', '/a%2fb', '/a/../b', '/a//b', '/a b', '/caf%C3%A9/b', '/a#b', '/a\\b']) as p)")
+_PATHS = "select page_id, length(html) % 9 as kind, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as own from pages"
+
+
+@query("guide_paths", f"select page_id, case when kind in (0, 1, 2, 7, 8) and own <> '' then '/' || trim(own, '/') || case when trim(own, '/') = '' then '' else '/' end || case kind when 7 then 'caf%C3%A9/' when 8 then 'a+%zz/' else '' end else '' end as scope from ({_PATHS})")
 def guide_paths(q):
-    paths = ["/a", "/a/", "x", "/", "//a", "/a?b", "/a%2fb", "/a/../b", "/a//b", "/a b", "/caf%C3%A9/b", "/a#b", "/a\\\\b"]
-    return q("select " + "explode(array(" + ", ".join(map(repr, paths)).replace("\\\\\\\\", "\\\\") + ")) as path").select("path", F.coalesce(urls.guide_scope(F.col("path")), F.lit("")).alias("scope"))
+    """Paths of pages as they are, with and without slashes, and with what may lead elsewhere."""
+    kinds = ["own", "concat(own, '/')", "regexp_replace(own, '/$', '')", "concat('/', own)", "concat(own, '?a')", "concat(own, '/%2e%2e/x')", "concat(own, '%2Fx')", "concat(regexp_replace(own, '/$', ''), '/caf%C3%A9')", "concat(regexp_replace(own, '/$', ''), '/a+%zz/')"]
+    path = "case kind " + " ".join(f"when {i} then {k}" for i, k in enumerate(kinds)) + " end"
+    return q(f"select page_id, {path} as path from ({_PATHS})").select("page_id", F.coalesce(urls.guide_scope(F.col("path")), F.lit("")).alias("scope"))
 
 
-@query("url_normalize_exact")
+@query("url_normalize_exact", """, p as (select site, page_id, url, regexp_extract(url, '^https://([^/]*)', 1) as host, regexp_extract(url, '^https://[^/]*(.*)$', 1) as path from odd_pages),
+k as (select *, replace(replace(path, '//', '/'), '/./', '/') as plain, regexp_replace(replace(path, '/./', '/'), '[^/]*$', '') as folder from p)
+select site, page_id, 'https://' || lower(host) || regexp_replace(plain, '/[^/]*/\\.\\./', '/') as normalized, 'https://' || host || regexp_replace(folder, '[^/]*/$', '') || 'x?b=2&a=1#f' as resolved, url || '/%C3%BC%20x' as destination from k""")
 def url_normalize_exact(q):
     u = q("odd_pages")
     return u.select("site", "page_id", urls.normalized(F.col("url")).alias("normalized"), urls.resolved(F.col("url"), F.lit("../x?b=2&a=1#f")).alias("resolved"), urls.destination(F.concat("url", F.lit("/ü x"))).alias("destination"))
@@ -443,10 +470,17 @@ def project_paths(q):
     return q("select page_id, url from pages").select("page_id", guides.path_of(F.col("url")).alias("path"))
 
 
-@query("public_hosts", "select h as host, h in ('8.8.8.8', '172.32.0.1', '2606:4700::1111') as public from (select unnest(['8.8.8.8', '10.0.0.1', '127.0.0.1', '172.16.9.9', '172.32.0.1', '192.168.0.1', '169.254.1.1', '224.0.0.5', '240.0.0.1', '0.0.0.0', '::1', 'fe80::1', '2606:4700::1111', '::ffff:8.8.8.8', 'host']) as h)")
+_FIRST = "case o_custkey % 12 when 0 then 10 when 1 then 127 when 2 then 172 when 3 then 192 when 4 then 169 when 5 then 100 when 6 then 198 when 7 then 203 when 8 then 224 when 9 then 0 else 1 + o_orderkey * 31 % 255 end"
+_HOSTS = f"select o_orderkey as id, {_FIRST} as a, case o_custkey % 12 when 3 then case when o_orderkey % 2 = 0 then 168 else o_orderkey % 4 end when 4 then 253 + o_orderkey % 3 when 5 then 60 + o_orderkey % 80 when 6 then 15 + o_orderkey % 6 when 2 then 14 + o_orderkey % 20 else o_orderkey * 7 % 256 end as b, o_orderkey * 13 % 256 as c, o_custkey % 256 as d from orders"
+_SIXES = "select c_custkey as id, case c_custkey % 7 when 0 then '2001:db8' when 1 then '2002' when 2 then '2a00' when 3 then 'fe80' when 4 then '2001:20' when 5 then '2001:0' else substr(md5(c_name), 1, 4) end as first, substr(md5(c_name), 5, 4) as last from customer"
+
+
+@query("public_hosts", f"select id, 4 as kind, not (a in (0, 10, 127) or a >= 224 or a = 100 and b between 64 and 127 or a = 169 and b = 254 or a = 172 and b between 16 and 31 or a = 192 and b = 168 or a = 192 and b = 0 and c in (0, 2) or a = 198 and b in (18, 19) or a = 198 and b = 51 and c = 100 or a = 203 and b = 0 and c = 113) as public from ({_HOSTS}) union all select id, 6, first in ('2a00', '2001:20') or length(first) = 4 and first between '2000' and '3fff' and first not in ('2001', '2002', '3fff') from ({_SIXES}) where first not in ('2001', '3fff')")
 def public_hosts(q):
-    hosts = ["8.8.8.8", "10.0.0.1", "127.0.0.1", "172.16.9.9", "172.32.0.1", "192.168.0.1", "169.254.1.1", "224.0.0.5", "240.0.0.1", "0.0.0.0", "::1", "fe80::1", "2606:4700::1111", "::ffff:8.8.8.8", "host"]
-    return q("select explode(array(" + ", ".join(map(repr, hosts)) + ")) as host").select("host", urls.public(F.col("host")).alias("public"))
+    """Addresses made from orders and customers, many of them in blocks that aren't public."""
+    four = q(f"select id, 4 as kind, concat_ws('.', a, b, c, d) as host from ({_HOSTS})")
+    six = q(f"select id, 6 as kind, concat(first, '::', last) as host from ({_SIXES}) where first not in ('2001', '3fff')")
+    return four.unionByName(six).select("id", "kind", urls.public(F.col("host")).alias("public"))
 
 
 @query("accepted_downloads", "select page_id, status = 200 and page_id % 6 <> 3 and page_id % 5 > 0 as accepted from responses")
@@ -512,22 +546,27 @@ def content_hash(q):
     return h.agg(F.count("*").alias("n"), F.countDistinct("h").alias("kinds"))
 
 
-@query("unified_diff_counts", "select site, count(*) as changed, sum((page_id % 3 <> 0)::int + (page_id % 4 = 0)::int) as added, sum(case when page_id % 3 <> 0 then 1 else 0 end) as removed from site_pages where page_id % 3 <> 0 or page_id % 4 = 0 group by site")
+_LINED = "replace(replace(text, chr(13), ' '), '. ', concat('.', chr(10)))"
+
+
+@query("unified_diff_counts", f"select doc_id, len(list_filter(range(n), lambda i: i % 7 = 3)) as removed, len(list_filter(range(n), lambda i: i % 11 = 5 and i % 7 <> 3)) as added from (select doc_id, len(string_split({_LINED}, chr(10))) as n from documents where text is not null)")
 def unified_diff_counts(q):
-    """Every page's text against one with a line changed, another added."""
-    p = q("select site, page_id, 'a\\nb\\nc\\nd' as old, concat('a\\n', case when page_id % 3 <> 0 then 'X' else 'b' end, '\\nc\\nd', case when page_id % 4 = 0 then '\\ne' else '' end) as new from site_pages")
-    n = p.withColumn("d", text.diff_counts(diff.unified_diff("old", "new"))).where("d.added + d.removed > 0")
-    return n.groupBy("site").agg(F.count("*").alias("changed"), F.sum("d.added").alias("added"), F.sum("d.removed").alias("removed"))
+    """Every document, a sentence a line, against one without each seventh line and with another line behind each eleventh."""
+    d = q(f"select doc_id, transform(split({_LINED}, '\\n'), x -> concat('L', x)) as lines from documents where text is not null")
+    none = F.array().cast("array<string>")
+    edit = F.flatten(F.transform("lines", lambda x, i: F.when(i % 7 == 3, none).when(i % 11 == 5, F.array(x, F.concat(F.lit("NEW "), i.cast("string")))).otherwise(F.array(x))))
+    n = d.select("doc_id", text.diff_counts(diff.unified_diff(F.array_join("lines", "\n"), F.array_join(edit, "\n"))).alias("d"))
+    return n.select("doc_id", F.col("d.removed").cast("long").alias("removed"), F.col("d.added").cast("long").alias("added"))
 
 
 _QUOTED = "select doc_id, text, concat(substr(text, 3, 30), case when doc_id % 3 = 0 then '…' else '...' end, case when doc_id % 4 = 0 then substr(text, 10, 12) when doc_id % 5 = 0 then 'Short' else upper(substr(text, 60, 20)) end) as quote from documents where length(text) > 200"
 
 
-@query("quote_parts", f""", b as (select doc_id, lower(trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g'))) as t, list_filter(list_transform(string_split_regex(quote, '\\.\\.\\.|…'), lambda x: lower(trim(regexp_replace(x, '[ \\n\\t]+', ' ', 'g')))), lambda x: x <> '') as ps from ({_QUOTED}) where not regexp_matches(text, '[ßſς]')),
+@query("quote_parts", f""", b as (select doc_id, replace(replace(replace(lower(trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ') as t, list_filter(list_transform(string_split_regex(quote, '\\.\\.\\.|…'), lambda x: replace(replace(replace(lower(trim(regexp_replace(x, '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')), lambda x: x <> '') as ps from ({_QUOTED})),
 k as (select doc_id, ps, list_reduce(list_prepend(t, ps), lambda rest, p: case when rest is null or position(p in rest) = 0 then null else substr(rest, position(p in rest) + length(p)) end) as rest from b)
 select doc_id, len(ps) > 0 and len(list_filter(ps, lambda x: length(x) < 8)) = 0 and rest is not null as found from k""")
 def quote_parts(q):
-    return q(f"select * from ({_QUOTED}) where not text rlike '[ßſς]'").select("doc_id", text.quote_matches(F.col("quote"), F.col("text")).alias("found"))
+    return q(_QUOTED).select("doc_id", text.quote_matches(F.col("quote"), F.col("text")).alias("found"))
 
 
 @query("evidence_lines", "select doc_id, array_to_string(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: contains(string_split(text, chr(10))[i], 'the'))[:3], '|') as lines from documents where text is not null")
@@ -535,9 +574,9 @@ def evidence_lines(q):
     return q("select doc_id, text from documents where text is not null").select("doc_id", flat(text.evidence_lines(F.col("text"), F.lit("the"))).alias("lines"))
 
 
-@query("passage_ids", "select doc_id, 'p' || row_number() over (partition by doc_id order by pos) as id, line from (select doc_id, unnest(string_split(substr(text, 1, 12000), chr(10))) as line, unnest(range(len(string_split(substr(text, 1, 12000), chr(10))))) as pos from documents where text is not null and not regexp_matches(text, '[\\x0b\\x0c\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')) where trim(line, ' ' || chr(9)) <> ''")
+@query("passage_ids", "select doc_id, 'p' || row_number() over (partition by doc_id order by pos) as id, line from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from (select doc_id, string_split_regex(substr(text, 1, 12000), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') as ls from documents where text is not null)) where regexp_replace(line, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g') <> ''")
 def passage_ids(q):
-    d = q("select doc_id, text from documents where text is not null").where(~F.col("text").rlike(r"[\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"))
+    d = q("select doc_id, text from documents where text is not null")
     return d.select("doc_id", F.explode(text.passages(F.col("text"))).alias("p")).select("doc_id", "p.id", F.col("p.text").alias("line"))
 
 
@@ -758,12 +797,15 @@ def recent_runs(q):
     return out.select("run", "guide", F.col("job_status").alias("status"), "place")
 
 
-@query("heading_sections", """, h as (select page_id as guide, unnest([2, 5, 9]) as line, unnest(['a', 'b', 'c']) as text from site_pages), l as (select page_id as guide, unnest(range(1, 13)) as line from site_pages)
-select l.guide, l.line, coalesce((select arg_max(text, h.line) from h where h.guide = l.guide and h.line <= l.line), '') as heading from l""")
+_MARKED = "length(line) % 5 = 0 and line <> ''"
+
+
+@query("heading_sections", f", l as (select doc_id as guide, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) + 1 as n from documents where text is not null) select guide, n as line, coalesce(last_value(case when {_MARKED} then substr(line, 1, 30) end ignore nulls) over (partition by guide order by n), '') as heading from l")
 def heading_sections(q):
-    heads = q("select page_id as guide, explode(array(named_struct('line', 2L, 'level', 2, 'text', 'a'), named_struct('line', 5L, 'level', 2, 'text', 'b'), named_struct('line', 9L, 'level', 2, 'text', 'c'))) as h from site_pages").select("guide", "h.*")
-    lines = q("select page_id as guide, explode(sequence(1L, 12L)) as line from site_pages")
-    return changes.sections_of_lines(lines, heads).select("guide", "line", F.coalesce("heading.text", F.lit("")).alias("heading"))
+    """Lines of documents, of which those of some lengths head the others."""
+    l = q("select doc_id as guide, posexplode(split(text, '\\n')) as (n, line) from documents where text is not null").select("guide", (F.col("n") + 1).cast("long").alias("n"), F.col("line").alias("own"))
+    heads = l.where(F.expr(_MARKED.replace("line", "own"))).select("guide", F.col("n").alias("line"), F.lit(2).alias("level"), F.expr("substr(own, 1, 30)").alias("text"))
+    return changes.sections_of_lines(l.select("guide", F.col("n").alias("line")), heads).select("guide", "line", F.coalesce("heading.text", F.lit("")).alias("heading"))
 
 
 @query("recent_sessions", "select user_id, event_type, place from (select user_id, event_type, row_number() over (partition by user_id order by max(ts) desc, event_type) as place from events where value > 0 group by 1, 2) where place <= 3")
@@ -797,9 +839,9 @@ def store_clone(q):
     return stores.cloned(v, v.where("project % 3 = 0").select("version", (F.col("version") + 1000000).alias("new_version"), F.lit("clone").alias("status")), "version")
 
 
-@query("corpus_audit", "select page_id as id, case when page_id % 5 = 0 then 'missing' when page_id % 3 = 0 then 'changed' else 'same' end as state from site_pages")
+@query("corpus_audit", "select doc_id as id, case when text is null or lang = 'es' then 'missing' when lang = 'fr' and replace(text, 'de', 'DE') <> text then 'changed' else 'same' end as state from documents")
 def corpus_audit(q):
-    return stores.audited(q("select page_id as id, sha2(url, 256) as sha256 from site_pages"), q("select page_id as id, case when page_id % 3 = 0 then concat(url, 'x') else url end as text from site_pages where page_id % 5 <> 0"))
+    return stores.audited(q("select doc_id as id, sha2(text, 256) as sha256 from documents"), q("select doc_id as id, case when lang = 'fr' then replace(text, 'de', 'DE') else text end as text from documents where lang <> 'es'"))
 
 
 @query("audit_table")
@@ -808,11 +850,11 @@ def audit_table(q):
     return guides.audit_lines(g.select(F.col("page_id").alias("id"), F.lit("a|b").alias("category"), "url", F.lit(True).alias("accepted"), "parsed"))
 
 
-@query("reordered_guides", "select page_id, 'https://t' as first from site_pages where page_id % 2 = 0")
+@query("reordered_guides", f", g as ({_GUIDES.replace(chr(92) + chr(92) + 'n', chr(92) + 'n')}) select page_id, sha256(replace(replace(text, link, ''), '## Start' || chr(10), link || '## Start' || chr(10))) as hash from (select page_id, replace(text, '\\n', chr(10)) as text, '- [Two *b*](<' || url || '?b=1>) - second' || chr(10) as link from g)")
 def reordered_guides(q):
-    """One link line moved above the first section, as in a study of order."""
-    p = q("select page_id, '# a\\n\\n## b\\n\\n- [x](https://t)\\n' as text from site_pages where page_id % 2 = 0").select("page_id", _moved("text").alias("text"))
-    return p.select("page_id", F.regexp_extract("text", r"(?s)^# a\n\n- \[x\]\(([^)]*)\)\n## b", 1).alias("first"))
+    """The second link's line of each guide moved above its first section, as in a study of order."""
+    g = q(_GUIDES).withColumn("p", markdown.parsed("text", "url"))
+    return g.select("page_id", F.sha2(markdown.reordered(F.col("text"), F.get("p.links", F.lit(1))["line"]), 256).alias("hash"))
 
 
 @query("sitemap_strategies", """, p as (select site, url, page_id, regexp_extract(url, '//[^/]*(/.*)$', 1) as path from site_pages),
