@@ -232,3 +232,20 @@ def gold_links(tasks: DataFrame, links: DataFrame) -> DataFrame:
     met = tasks.join(links, "file", "left").where(F.coalesce(F.regexp_like("url", F.col("pattern")), F.lit(False)))
     found = met.groupBy("task").agg(F.array_sort(F.collect_set("url")).alias("acceptable"))
     return tasks.select("task").join(found, "task", "left").withColumn("acceptable", F.coalesce("acceptable", F.array().cast(_STRINGS)))
+
+
+METRICS = {"crawl_important_coverage": ("important", "usable"), "generated_important_coverage": ("important", "linked"), "generated_usable_source_coverage": ("usable", "linked"), "generated_link_precision": ("linked", "usable")}
+
+
+def end_to_end(important: DataFrame, usable: DataFrame, linked: DataFrame) -> DataFrame:
+    """All three: site, url. Rows site, metric, matched, total, ratio of the four shares of one set that another one holds; a site without any of them has no row."""
+    sets = {"important": important, "usable": usable, "linked": linked}
+    rows = None
+    for name, df in sets.items():
+        own = df.select("site", "url").distinct().withColumn("what", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own)
+    held = rows.groupBy("site", "url").agg(F.collect_set("what").alias("sets"))
+    of = lambda a, b: F.count_if(F.array_contains("sets", a) & F.array_contains("sets", b))
+    counts = held.groupBy("site").agg(*(of(a, x).alias(f"{m}_{k}") for m, (a, b) in METRICS.items() for k, x in (("matched", b), ("total", a))))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_matched").alias("matched"), F.col(f"{m}_total").alias("total")) for m in METRICS)))
+    return counts.select("site", each.alias("m")).select("site", "m.*", F.round(F.try_divide("m.matched", "m.total"), 6).alias("ratio"))

@@ -85,6 +85,8 @@ def crawl_sites(sites: DataFrame, captures: DataFrame, links: DataFrame, policie
     given = given.groupBy("site", "url").agg(F.max("entry").alias("entry"), F.max("known").alias("known"), F.max("step").alias("step"))
     has = planned.withColumn("_planned", F.lit(True))
     given = given.join(has, "site", "left").withColumn("step", F.when(F.col("_planned"), F.coalesce("step", F.lit(1 << 40)))).drop("_planned")
+    links = stored(links.select("url", "link").distinct(), "crawl-links")  # every round reads them
+    captures, policies = stored(captures.select("url", "outcome", "chars", "bytes", "seconds"), "crawl-captures"), stored(policies, "crawl-policies")
     queue = stored(_sections(given, sites).select(*_QUEUE), "crawl-queue")
     reads = stored(sites.sparkSession.createDataFrame([], READS.replace("site long", f"site {dict(sites.dtypes)['site']}")), "crawl-reads")
     stops = stored(sites.select("site", F.lit(None).cast("string").alias("stopped")).limit(0), "crawl-stops")
@@ -92,7 +94,7 @@ def crawl_sites(sites: DataFrame, captures: DataFrame, links: DataFrame, policie
     while not (going := queue.join(stops, "site", "left_anti")).isEmpty():
         sums = reads.groupBy("site").agg(F.count("*").alias("all_pages"), *(F.sum(c).alias(f"all_{c}") for c in ("chars", "bytes", "seconds")))
         state = sites.join(sums, "site", "left").na.fill(0, ["all_pages", "all_chars", "all_bytes"]).na.fill(0.0, ["all_seconds"]).drop("root")
-        kept, over = _within(_picked(going, reads, batch), captures.select("url", "outcome", "chars", "bytes", "seconds"), state)
+        kept, over = _within(_picked(going, reads, batch), captures, state)
         kept, over = stored(kept, "crawl-reads"), stored(over, "crawl-stops")
         seen = queue.select("site", "url").unionByName(reads.select("site", "url"))
         found = kept.where(F.col("outcome").isin("extract", "reuse")).join(planned, "site", "left_anti").join(links, "url").select("site", F.col("link").alias("url")).distinct().join(seen, ["site", "url"], "left_anti")

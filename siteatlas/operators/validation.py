@@ -7,7 +7,7 @@ ids in order), shortcuts (array of source_id, decision_ids), questions (array of
 topic, options, recommended, evidence_ids).
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The rules, in the order in which they are told.
@@ -57,3 +57,10 @@ def validated(results: DataFrame) -> DataFrame:
 def repeated_ids(rows: DataFrame, key: str, *within: str) -> DataFrame:
     """Identifiers that come more than once: an error wherever they must be unique."""
     return rows.groupBy(*within, key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def unique(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows as they are; a key that comes more than once fails the query that reads them, and is named in the error."""
+    own = Window.partitionBy(*keys)
+    message = F.concat(F.lit("repeated identifier: "), F.concat_ws(", ", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys)))
+    return rows.withColumn("_n", F.count(F.lit(1)).over(own)).where(F.assert_true(F.col("_n") == 1, message).isNull()).drop("_n")

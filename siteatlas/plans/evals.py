@@ -104,7 +104,8 @@ def trial_outcomes(q):
     return grading.trials(runs, q("opened")).select("trial", "outcome", "verified", F.coalesce(F.col("expected_reached").cast("string"), F.lit("")).alias("reached"))
 
 
-_FACTS = "array(named_struct('id', 'price', 'answer_patterns', array('COSTS [0-3]', 'euros?'), 'quote_patterns', array('[a-z]'), 'evidence_urls', array('u0', 'u1')))"
+#: Facts differ by row: one or two of them, with their own patterns and pages.
+_FACTS = "transform(sequence(1, 1 + cast(answer_id % 2 as int)), k -> named_struct('id', concat('f', cast(k as string)), 'answer_patterns', array(case when k = 1 then concat('COSTS [', cast(answer_id % 3 as string), '-4]') else 'month$' end, 'euros?'), 'quote_patterns', array(case when k = 1 then '[a-z]' else '[a-m]' end), 'evidence_urls', array('u0', case when answer_id % 5 = 0 then 'u2' else 'u1' end)))"
 
 
 def _answers(q):
@@ -114,7 +115,7 @@ def _answers(q):
     return asked.join(cited, "answer_id").withColumn("grade", grading.answer())
 
 
-_REPLIES = """, v as (select answer_id, arm, tokens, action = 'abstain' as abstained, regexp_matches(answer, '2 euros') as bad, answer <> '' as said, expect_abstain, answer_id % 4 <> 1 and len(list_filter(list_transform(string_split_regex(quote, '\\.\\.\\.|…'), lambda x: replace(replace(replace(lower(trim(regexp_replace(x, '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')), lambda x: x <> '')) > 0 and len(list_filter(list_filter(list_transform(string_split_regex(quote, '\\.\\.\\.|…'), lambda x: replace(replace(replace(lower(trim(regexp_replace(x, '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')), lambda x: x <> ''), lambda x: length(x) < 8)) = 0 as valid, regexp_matches(answer, 'costs [0-3] euro') as fact, url in ('u0', 'u1') as own, regexp_matches(lower(quote), '[a-z]') as letters from replies),
+_REPLIES = """, v as (select answer_id, arm, tokens, action = 'abstain' as abstained, regexp_matches(answer, '2 euros') as bad, answer <> '' as said, expect_abstain, answer_id % 4 <> 1 and len(list_filter(list_transform(string_split_regex(quote, '\\.\\.\\.|…'), lambda x: replace(replace(replace(lower(trim(regexp_replace(x, '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')), lambda x: x <> '')) > 0 and len(list_filter(list_filter(list_transform(string_split_regex(quote, '\\.\\.\\.|…'), lambda x: replace(replace(replace(lower(trim(regexp_replace(x, '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')), lambda x: x <> ''), lambda x: length(x) < 8)) = 0 as valid, regexp_matches(answer, 'costs [' || (answer_id % 3) || '-4] euro') as fact, url in ('u0', case when answer_id % 5 = 0 then 'u2' else 'u1' end) as own, regexp_matches(lower(quote), case when answer_id % 2 = 1 then '[a-m]' else '[a-z]' end) as letters from replies),
 g as (select *, case when expect_abstain then abstained and said and not bad else not abstained and fact and not bad end as correct from v), k as (select *, correct and valid and (expect_abstain or own and letters) as grounded from g)"""
 
 
@@ -172,6 +173,28 @@ def dialogue_branches(q):
     return b.select("case_id", F.col("pos").cast("long").alias("pos"), "stage")
 
 
+@query("unique_projects", "select c_custkey as project, c_nationkey as nation from customer")
+def unique_projects(q):
+    """Identifiers that must be unique; a repeated one fails the query."""
+    return validation.unique(q("select c_custkey as project, c_nationkey as nation from customer"), "project")
+
+
+@query("study_report", _GRADES + """, r as (select * from reviews left join defects using (id))
+select 'routing' as part, 'tasks' as name, count(*) as n from k union all select 'routing', 'passed', count(*) filter (where passed) from k union all select 'routing', 'top1', count(*) filter (where top1) from k union all select 'routing', 'top3', count(*) filter (where top3) from k
+union all select 'reviews', 'reviewed', count(*) from r union all select 'reviews', 'with_issues', count(*) filter (where issues > 0) from r union all select 'reviews', 'invalid_anchors', sum(invalid_anchors)::bigint from r union all select 'reviews', 'judge_right', count(*) filter (where (issues > 0) = has_known_defect) from r
+union all select 'runs', 'attempts', count(*) from runs union all select 'runs', 'suites', count(distinct suite) from runs""")
+def study_report(q):
+    """Totals of saved runs of every kind, as one table."""
+    routed = grading.routing_summary(q("tasks").withColumn("all", F.lit(1)).withColumn("grade", grading.routing()), "all")
+    reviewed = grading.review_status(q("reviews"), q("defects"))
+    runs = q("runs").agg(F.count("*").alias("attempts"), F.countDistinct("suite").alias("suites"))
+    out = None
+    for part, df, names in (("routing", routed, ["tasks", "passed", "top1", "top3"]), ("reviews", reviewed, ["reviewed", "with_issues", "invalid_anchors", "judge_right"]), ("runs", runs, ["attempts", "suites"])):
+        rows = df.select(F.explode(F.array(*(F.struct(F.lit(part).alias("part"), F.lit(n).alias("name"), F.col(n).cast("long").alias("n")) for n in names))).alias("x")).select("x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 _ANCHORS = "select doc_id as review, lang, source, text, substr(text, 3, 12) as q1, case doc_id % 3 when 0 then lower(substr(text, 1, 9)) when 1 then substr(text, 1, 5) else concat(source, '.') end as q2 from documents where text is not null and length(text) > 20"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.functions.arrow import arrow
 from siteatlas.functions import diff, html, markdown, text, urls
-from siteatlas.operators import changes, crawl, decisions, guides, jobs, site_crawl
+from siteatlas.operators import changes, crawl, decisions, grading, guides, jobs, site_crawl
 from siteatlas.plans.catalogue import QUERIES, SQL, TABLES, Duck, Spark
 from siteatlas.sources import derived, stores
 
@@ -129,6 +129,23 @@ def site_crawl_stops(q):
     return _crawled(q)[1]
 
 
+@query("end_to_end", _CRAWL + """, u as (select fin.site, fin.url, fin.place from fin join g using (site, url) where done = 1 and status = 200), l as (select site, url from u where place <= 4 union select site, origin || '/extra' from crawl_pages where idx = 0 and site % 2 = 0), i as (select site, url from crawl_pages where idx in (0, 1, 2, 5)),
+m as (select site, 'crawl_important_coverage' as metric, count(*) filter (where exists (select 1 from u where u.site = i.site and u.url = i.url)) as matched, count(*) as total from i group by 1 union all select site, 'generated_important_coverage', count(*) filter (where exists (select 1 from l where l.site = i.site and l.url = i.url)), count(*) from i group by 1
+union all select site, 'generated_usable_source_coverage', count(*) filter (where exists (select 1 from l where l.site = u.site and l.url = u.url)), count(*) from u group by 1 union all select site, 'generated_link_precision', count(*) filter (where exists (select 1 from u where u.site = l.site and u.url = l.url)), count(*) from l group by 1)
+select s.site, t.metric, coalesce(matched, 0) as matched, coalesce(total, 0) as total from crawl_sites s cross join (select unnest(['crawl_important_coverage', 'generated_important_coverage', 'generated_usable_source_coverage', 'generated_link_precision']) as metric) t left join m on m.site = s.site and m.metric = t.metric""")
+def end_to_end(q):
+    """Sites crawled, a guide of the first pages read rendered and read again, and what it holds of the pages that matter."""
+    reads, _ = _crawled(q)
+    usable = reads.where("outcome = 'extract'").select("site", "url", "place")
+    extra = q("select site, concat(origin, '/extra') as url, cast(99 as bigint) as place from crawl_pages where idx = 0 and site % 2 = 0")
+    made = usable.where("place <= 4").unionByName(extra).select(F.col("site").alias("guide"), "url", "place", F.concat(F.lit("s"), "place").alias("source_id"))
+    heads = made.select("guide").distinct().select("guide", F.lit("Site").alias("title"), F.lit(None).cast("string").alias("summary"), F.array().cast("array<string>").alias("context"))
+    links = made.select("guide", F.lit(0).alias("section_pos"), F.lit("Pages").alias("section"), F.col("place").alias("pos"), "source_id", F.lit("a page").alias("label"), F.lit(None).cast("string").alias("description"))
+    guide = guides.rendered(heads, links, made.select("guide", "source_id", "url", F.lit(None).cast("string").alias("markdown_url")))
+    linked = guide.select(F.col("guide").alias("site"), F.explode(markdown.parsed(F.col("markdown"), F.lit(""))["links"]).alias("x")).select("site", F.col("x.url").alias("url"))
+    return grading.end_to_end(q("select site, url from crawl_pages where idx in (0, 1, 2, 5)"), usable, linked).select("site", "metric", "matched", "total")
+
+
 _FOUND = """, r as (select t.site, t.sitemap, t.n, 0 as depth from map_tree t where n = 0 union all select t.site, t.sitemap, t.n, r.depth + 1 from r join map_tree t on t.site = r.site and r.n < 4 and t.n between r.n * 3 + 1 and r.n * 3 + 3),
 g as (select r.site, r.sitemap, r.depth, row_number() over (partition by r.sitemap order by p.page_id) - 1 as pos, p.url as location from r join site_pages p on p.site = r.site and r.n >= 4 and p.page_id % 9 = r.n - 4),
 s as (select *, sum(strlen(location)) over (partition by site order by depth, sitemap, pos) as total from g)"""
@@ -273,12 +290,13 @@ def coverage_counters(q):
     return crawl.coverage(part(2), part(3), part(5), part(7), part(4))
 
 
-@query("fitting_links", "select site, least(count(*), 3) as n, min(len) as shortest from (select site, page_id, length(url) as len, row_number() over (partition by site order by page_id) as k from site_pages) where k <= 3 group by site")
+@query("fitting_links", "select site, count(*) filter (where total <= 600) as n, max(case when total <= 600 then total end)::bigint as chars from (select site, 20 + sum(length(url) + 10 + case when k > 1 then 2 else 0 end) over (partition by site order by k) as total from (select site, url, row_number() over (partition by site order by page_id) as k from site_pages)) group by site")
 def fitting_links(q):
-    """Links of 40 to 60 characters as JSON, so that three of them fit."""
+    """Links of a site, in order, as JSON of 600 characters at most with the page around them."""
     pages = q("site_pages").groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("links")).withColumn("head", F.lit(20))
-    got = crawl.fitting_links(pages.withColumn("links", F.transform("links", lambda x: F.struct(x["url"].alias("url")))), 20 + 3 * 60)
-    return got.select("site", F.least(F.size("links"), F.lit(3)).cast("long").alias("n"), F.array_min(F.transform(F.slice("links", 1, 3), lambda x: F.length(x["url"]))).cast("long").alias("shortest"))
+    got = crawl.fitting_links(pages.withColumn("links", F.transform("links", lambda x: F.struct(x["url"].alias("url")))), 600)
+    chars = F.aggregate("links", F.lit(18).cast("long"), lambda a, x: a + F.length(F.to_json(x)) + 2)
+    return got.select("site", F.size("links").cast("long").alias("n"), chars.alias("chars"))
 
 
 # pages and guides
@@ -813,11 +831,23 @@ def recent_sessions(q):
     return changes.recent_sessions(q("select user_id as user, event_type as project, case when value > 0 then 'n' else ' ' end as name, ts as visited_at from events"), 3).select(F.col("user").alias("user_id"), F.col("project").alias("event_type"), "place")
 
 
-@query("project_read_model", "select p.project, (select count(*) from questions q where q.project = p.project) as questions, (select count(*) from decisions d where d.project = p.project) as decisions from (select distinct project from sources union select 99) p")
+_PARTS = {"sources": "source_id, url", "latest": "source_id", "decisions": "decision, active", "answers": "answer, kind", "questions": "question, status", "jobs": "job, status", "requests": "request", "versions": "version, status", "publications": "version", "edits": "edit, kind", "monitored": "monitored, next_check_at", "projects": "revision, draft"}
+
+
+@query("project_read_model", "select p.project, " + ", ".join(f"(select count(*) from {n} q where q.project = p.project) as {n}" for n in _PARTS) + " from (select distinct project from sources union select 99 union select 100000) p")
 def project_read_model(q):
-    parts = {"questions": q("select project, question, status from questions"), "decisions": q("select project, decision, active from decisions")}
-    out = changes.read_model(q("select distinct project from sources union select 99"), parts)
-    return out.select("project", F.size("questions").cast("long").alias("questions"), F.size("decisions").cast("long").alias("decisions"))
+    """Twelve parts of a project's page as arrays of one row."""
+    parts = {n: q(f"select cast(project as bigint) as project, {columns} from {n}") for n, columns in _PARTS.items()}
+    out = changes.read_model(q("select distinct project from sources union select 99 union select 100000"), parts)
+    return out.select("project", *(F.size(n).cast("long").alias(n) for n in _PARTS))
+
+
+@query("store_backfill", "select v.project, v.version, coalesce(case when exists (select 1 from answered a where a.project = v.project and a.active) then coalesce(v.at, (select min(p.revision) from publications p where p.project = v.project and p.version = v.version)) else v.at end, -1) as at from (select project, version, case when project % 4 = 0 then cast(7 as bigint) end as at from versions) v")
+def store_backfill(q):
+    """A new column of versions filled from publications, where an active decision is there."""
+    table = q("select project, version, case when project % 4 = 0 then cast(7 as bigint) end as at from versions")
+    out = stores.backfilled(table, q("select project, version, revision as at from publications"), ["project", "version"], "at", q("select project from answered where active"), ["project"])
+    return out.select("project", "version", F.coalesce("at", F.lit(-1)).alias("at"))
 
 
 @query("store_upsert", "select user_id, event_type, value from (select user_id, event_type, case when event_id % 2 = 1 then value else value end as value, row_number() over (partition by user_id, event_type order by event_id % 2 desc, case when event_id % 2 = 1 then event_id else -event_id end desc) as k from events where event_id % 2 = 1 or event_id in (select min(event_id) from events where event_id % 2 = 0 group by user_id, event_type)) where k = 1")

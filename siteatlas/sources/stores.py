@@ -51,6 +51,14 @@ def corpus(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def backfilled(table: DataFrame, source: DataFrame, keys: list[str], column: str, there: DataFrame, on: list[str]) -> DataFrame:
+    """table, in which the null values of `column` come from the source row of the same keys (the least value of several), wherever `there` has a row of the same `on`; a backfill of a changed schema."""
+    value = source.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.min(column).alias("_new"))
+    open_ = there.select(*on).distinct().withColumn("_there", F.lit(True))
+    met = table.join(value, keys, "left").join(open_, on, "left")
+    return met.withColumn(column, F.when(F.col(column).isNull() & F.col("_there"), F.col("_new")).otherwise(F.col(column))).select(*table.columns)
+
+
 def audited(files: DataFrame, texts: DataFrame) -> DataFrame:
     """files: id, sha256; texts: id, text. Whether each file's text is there and has its hash."""
     met = files.join(texts, "id", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siteatlas.engine import Engine
 from siteatlas.functions import text
-from siteatlas.operators import changes, crawl, grading, guides, jobs
+from siteatlas.operators import changes, crawl, grading, guides, jobs, validation
 from siteatlas.operators.quotes import GRAM, Quotes, Wanted, all_grams, matched_quotes
 from siteatlas.operators.ranking import nth_row, placed
 from siteatlas.operators.reconcile import reconcile
@@ -275,3 +275,18 @@ def test_plans_are_checked(spark):
     assert sorted((r.site, r.url[-1], r.planned) for r in got.orderBy("site", "step").collect()) == sorted([(0, "c", True), (0, "a", True), *((s, u, False) for s in (1, 2, 3) for u in "ac")])
     assert [r.url[-1] for r in got.where("site = 0").orderBy("step").collect()] == ["c", "a"]
     assert Engine(spark).plan(pages, offered).where("planned").isEmpty()
+
+
+def test_repeated_identifiers_fail(spark):
+    good = spark.createDataFrame([(1, "a"), (2, "a"), (None, "b")], "id int, v string")
+    assert validation.unique(good, "id").count() == 3
+    for keys in (["v"], ["id", "v"]):
+        with pytest.raises(Exception, match="repeated identifier: .*a"):
+            validation.unique(good.unionByName(spark.createDataFrame([(2, "a")], "id int, v string")), *keys).collect()
+
+
+def test_backfill(spark):
+    table = spark.createDataFrame([(1, "x", None), (2, "x", "kept"), (3, "x", None), (4, "x", None)], "id int, kind string, v string")
+    source = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "z"), (4, "q")], "id int, v string")
+    got = stores.backfilled(table, source, ["id"], "v", spark.createDataFrame([(1,), (1,), (2,), (3,)], "id int"), ["id"])
+    assert {r.id: r.v for r in got.collect()} == {1: "a", 2: "kept", 3: None, 4: None} and got.columns == table.columns
