@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from siteatlas.llm.storage import cleaned, durable, table, tune
 
 #: Chunks and occurrences of groups that a block holds before it is told; bytes that are encoded in one call.
-BLOCK_CHUNKS, BLOCK_OCCURRENCES, CALL = 150_000, 8_000_000, 1 << 18
+BLOCK_CHUNKS, BLOCK_OCCURRENCES, CALL = 400_000, 8_000_000, 1 << 18
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
 _RAW = re.compile(r"<0x([0-9A-F]{2})>")
