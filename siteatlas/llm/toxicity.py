@@ -238,7 +238,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PAS
     def scores() -> np.ndarray:
         x = net.project(_vectors_by_block(net.p["emb"], row, at))
         out = np.empty(len(words), np.float32)
-        for own, n in _alike(there, 1000):
+        for own, n in _alike(there, 250):
             out[own] = net.forward(x[words[own, :n].T], there[own, :n].T)
         return out
 
