@@ -290,3 +290,44 @@ def test_backfill(spark):
     source = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "z"), (4, "q")], "id int, v string")
     got = stores.backfilled(table, source, ["id"], "v", spark.createDataFrame([(1,), (1,), (2,), (3,)], "id int"), ["id"])
     assert {r.id: r.v for r in got.collect()} == {1: "a", 2: "kept", 3: None, 4: None} and got.columns == table.columns
+
+
+def test_crawls_in_rounds(spark):
+    """Batches, sections in turn, what is known, scope, robots, files and missing captures, against a plain queue."""
+    from siteatlas.operators.site_crawl import crawl_sites
+
+    pages = {0: [f"https://a{s}.test/{p}" for s in (0,) for p in ("", "docs/x", "docs/y", "blog/1", "blog/2", "private/z", "file.pdf", "docs/gone", "deep/a/b")]}
+    home, x, y, b1, b2, private, pdf, gone, deep = pages[0]
+    graph = {home: [x, b1, private, pdf, "https://other.test/", home], x: [y, gone, b2], b1: [x], y: [deep], b2: [], deep: [home]}
+    captures = [(u, "extract", 10 * (i + 1), 100, 1.0) for i, u in enumerate(graph)] + [(gone, "not-found", 5, 1, 0.5)]
+    sites = [(1, home, None, None, None, None), (2, home, 3, None, None, None), (3, "https://none.test/", None, None, None, None), (4, home, None, None, None, 35), (5, home, None, 2.0, None, None), (6, home, None, None, 250, None)]
+    rows = spark.createDataFrame(sites, "site long, root string, max_pages long, max_seconds double, max_bytes long, max_chars long")
+    links = spark.createDataFrame([(u, v) for u, vs in graph.items() for v in vs], "url string, link string")
+    rules = spark.createDataFrame([("https://a0.test", 200, "User-agent: *\nDisallow: /private")], "origin string, status int, body string")
+    reads, ends = crawl_sites(rows, spark.createDataFrame(captures, "url string, outcome string, chars long, bytes long, seconds double"), links, crawl.robots_policies(rules), "bot", known=spark.createDataFrame([(1, b2)], "site long, url string"), batch=2)
+    got = collections.defaultdict(list)
+    for r in reads.orderBy("site", "place").collect():
+        got[r.site].append(r.url)
+    stops = {r.site: (r.stopped, r.pages, r.unread) for r in ends.collect()}
+    assert got[1][:2] == [home, b2] and sorted(got[1]) == sorted([home, x, y, b1, b2, gone, deep]) and stops[1] == ("exhausted", 7, 0)
+    assert len(got[2]) == 3 and stops[2][0] == "explicit_page_budget"
+    assert got[3] == ["https://none.test/"] and stops[3] == ("fetch_failure", 1, 0)
+    assert stops[4][0] == "text_budget" and stops[5][:2] == ("time_budget", 2) and stops[6][:2] == ("download_budget", 2)
+    none = rows.limit(0)
+    reads, ends = crawl_sites(none, spark.createDataFrame(captures, "url string, outcome string, chars long, bytes long, seconds double"), links, crawl.robots_policies(rules), "bot")
+    assert reads.isEmpty() and ends.isEmpty()
+
+
+def test_sitemaps_of_any_depth(spark):
+    index = lambda *maps: "<sitemapindex>" + "".join(f"<sitemap><loc>{m}</loc></sitemap>" for m in maps) + "</sitemapindex>"
+    urlset = lambda *urls: "<u:urlset xmlns:u='s'>" + "".join(f"<u:url><u:loc> {u} </u:loc></u:url>" for u in urls) + "</u:urlset>"
+    files = {"r": index("i", "m1", "broken", "dtd", "r"), "i": index("m2", "i"), "m1": urlset("a", "b&amp;c", "", "d"), "m2": urlset("e", "<![CDATA[f]]>"), "broken": "<urlset><url><loc>x</loc></url>", "dtd": "<!DOCTYPE a><urlset><url><loc>x</loc></url></urlset>", "empty": "<urlset/>", "null": None}
+    captures = spark.createDataFrame([(k, 200, v) for k, v in files.items()] + [("gone", 404, urlset("x"))], "sitemap string, status int, body string")
+    offsets = spark.createDataFrame([("m1", 1)], "sitemap string, resume_at long")
+    roots = spark.createDataFrame([(1, "r"), (2, "empty"), (3, "null"), (4, "gone"), (5, "nowhere"), (6, "m2")], "site long, sitemap string")
+    found, rest = crawl.discovered(roots, captures, offsets)
+    assert sorted((r.site, r.sitemap, r.depth, r.pos, r.location) for r in found.collect()) == [(1, "m1", 1, 1, "b&c"), (1, "m1", 1, 2, "d"), (1, "m2", 2, 0, "e"), (1, "m2", 2, 1, "f"), (6, "m2", 0, 0, "e"), (6, "m2", 0, 1, "f")]
+    assert rest.isEmpty()
+    found, rest = crawl.discovered(roots.where("site = 1"), captures, offsets, url_bytes=4)
+    assert [r.location for r in found.orderBy("depth", "pos").collect()] == ["b&c", "d"] and [tuple(r) for r in rest.collect()] == [("m2", 0)]
+    assert crawl.discovered(roots.limit(0), captures, offsets)[0].isEmpty()
