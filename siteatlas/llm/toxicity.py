@@ -253,7 +253,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PAS
         clean = np.flatnonzero(~toxic[doc])
         hard = clean[np.argsort(-score[clean])[: len(good)]] if k else clean[:0]
         chosen = np.concatenate([good, hard, r.choice(clean, min(len(clean), FRESH * len(good) + 200), replace=False)])
-        chosen = np.concatenate([r.permutation(chosen) for _ in range(max(1, min(8, 4000 // len(chosen))))])
+        chosen = np.concatenate([r.permutation(chosen) for _ in range(max(1, min(20, 4000 // len(chosen))))])
         for i in range(0, len(chosen), 128):
             own = chosen[i : i + 128]
             used, back = np.unique(words[own], return_inverse=True)
