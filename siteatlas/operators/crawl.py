@@ -226,10 +226,10 @@ def frozen(wanted: DataFrame, store: DataFrame) -> DataFrame:
     return met.withColumn("cache_miss", miss).withColumn("error", F.when(miss, "Page missing from frozen capture").otherwise(F.col("_error"))).drop("_there", "_error")
 
 
-def replayed(wanted: DataFrame, captures: DataFrame, unknown: str) -> DataFrame:
-    """wanted (url) answered from captures (url, status): what isn't there is 404 in a replay of whole sites (`not-found`), unavailable in one of changes (`unavailable`)."""
+def replayed(wanted: DataFrame, captures: DataFrame, unknown: str, key: str = "url") -> DataFrame:
+    """wanted (url) answered from captures (url, status), or both by another key: what isn't there is 404 in a replay of whole sites (`not-found`), unavailable in one of changes (`unavailable`)."""
     default = {"not-found": 404, "unavailable": 503}[unknown]
-    return wanted.join(captures, "url", "left").withColumn("known", F.col("status").isNotNull()).withColumn("status", F.coalesce("status", F.lit(default)))
+    return wanted.join(captures, key, "left").withColumn("known", F.col("status").isNotNull()).withColumn("status", F.coalesce("status", F.lit(default)))
 
 
 # existing guides

@@ -93,3 +93,18 @@ def test_bm25(spark):
 
     for url in (None, "url"):
         assert sorted((r.query_id, r.doc_id, r["rank"]) for r in bm25(asked, docs, url=url).collect()) == plain(url)
+
+
+def same_over(spark, folder, name, pages):
+    """Whether a query gives the rows of its SQL over pages (page_id, url, html) of its own."""
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    df = catalogue.QUERIES[name](spark, str(folder))
+    names = sorted(df.columns)
+    return rows(df.select(*names).collect()) == rows(con.sql(f"select {', '.join(names)} from ({catalogue.SQL[name]})").fetchall())
+
+
+def test_replays_of_shared_urls(spark, tmp_path):
+    """Two pages of one URL, one captured and one not."""
+    assert same_over(spark, tmp_path, "replayed_pages", [(1, "https://a.test/x", "abc"), (2, "https://a.test/x", "ab"), (3, "https://a.test/y", "abcdef"), (4, "https://a.test/x", "abcd")])
