@@ -318,6 +318,30 @@ def test_crawls_in_rounds(spark):
     assert reads.isEmpty() and ends.isEmpty()
 
 
+def test_crawl_looks_ahead(spark, monkeypatch):
+    """Many rounds in few steps, the same order however far a step sees, and pages that are found in the round of a stop."""
+    from siteatlas.operators import site_crawl
+
+    labels, plain = [], site_crawl.stored
+    monkeypatch.setattr(site_crawl, "stored", lambda df, label: labels.append(label) or plain(df, label))
+    home, a, b, c = (f"https://b.test/{p}" for p in ("", "x/a", "x/b", "x/c"))
+    wide = [f"https://w.test/{'ab'[i % 2]}/{i:02}" for i in range(40)]
+    graph = {home: [a, b], a: [c], "https://w.test/": wide[:30], wide[3]: wide[30:]}
+    chars = {home: 10, a: 20, b: 80, c: 5}
+    captures = spark.createDataFrame([(u, "extract", chars.get(u, 1), 1, 1.0) for u in [home, a, b, c, "https://w.test/", *wide]], "url string, outcome string, chars long, bytes long, seconds double")
+    links = spark.createDataFrame([(u, v) for u, vs in graph.items() for v in vs], "url string, link string")
+    sites = spark.createDataFrame([(1, home, None, None, None, 35), (2, "https://w.test/", None, None, None, None)], "site long, root string, max_pages long, max_seconds double, max_bytes long, max_chars long")
+    rules = spark.createDataFrame([(f"https://{h}.test", 404, "") for h in "bw"], "origin string, status int, body string")
+    orders = []
+    for far in ({}, {"ahead": 8}):
+        reads, ends = site_crawl.crawl_sites(sites, captures, links, crawl.robots_policies(rules), "bot", batch=2, **far)
+        if not far:
+            assert labels.count("crawl-queue") <= 4
+        orders.append(sorted((r.site, r.place, r.url) for r in reads.collect()))
+        assert sorted((r.site, r.stopped, r.pages, r.unread) for r in ends.collect()) == [(1, "text_budget", 3, 1), (2, "exhausted", 41, 0)]
+    assert orders[0] == orders[1] and [u for s, _, u in orders[0] if s == 1] == [home, a, c]
+
+
 def test_sitemaps_of_any_depth(spark):
     index = lambda *maps: "<sitemapindex>" + "".join(f"<sitemap><loc>{m}</loc></sitemap>" for m in maps) + "</sitemapindex>"
     urlset = lambda *urls: "<u:urlset xmlns:u='s'>" + "".join(f"<u:url><u:loc> {u} </u:loc></u:url>" for u in urls) + "</u:urlset>"
