@@ -25,6 +25,7 @@ labels all texts score 0; repeated labels of a row count once, toxic if any is.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -215,14 +216,15 @@ def _alike(there: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, int]]:
 
 def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PASSES) -> Network | None:
     """A network from whole texts and their labels; none without both labels."""
-    split = [(words_of(t), y) for t, y in zip(texts, labels, strict=True)]
-    split = [(w, y) for w, y in split if w]
-    if len({y for _, y in split}) < 2:
-        return None
     number: dict[str, int] = {}
-    docs = [(_windows(np.array([number.setdefault(x, len(number)) for x in w], np.int32)), y) for w, y in split]
+    docs = []
+    for t, y in zip(texts, labels, strict=True):  # one text's words at a time: as lists of strings they take many times its size
+        if w := words_of(t):
+            docs.append((_windows(np.array([number.setdefault(x, len(number)) for x in w], np.int32)), y))
+    if len({y for _, y in docs}) < 2:
+        return None
     row, at = _features_by_block(list(number))
-    del split, number
+    del number
     count = np.diff(at)
     words, there = np.concatenate([d[0][0] for d in docs]), np.concatenate([d[0][1] for d in docs])
     doc = np.repeat(np.arange(len(docs)), [len(d[0][0]) for d in docs])
@@ -347,7 +349,11 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, i
     picked = docs.sparkSession.createDataFrame([(r.id, r.y) for r in chosen], "id long, y int")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0).join(F.broadcast(picked), "id").dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: r.id)
-    return fit([r.text for r in rows], [r.y for r in rows])
+    net = fit([r.text for r in rows], [r.y for r in rows])
+    del rows, chosen
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what training freed would stay with the driver
+        trim(0)
+    return net
 
 
 def toxicity(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
