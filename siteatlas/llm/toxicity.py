@@ -15,7 +15,8 @@ highest window's.
 Training takes a bounded sample of labelled rows, whole texts of any length: for
 each label, in order of a hash of their identifier, SAMPLE rows outside the held
 fold at most, and of these as many as have SAMPLE_TOTAL code points together, or
-the shortest one if none has so few. Labels are of texts, so
+the shortest one if none has so few. One task reads the sample and learns; the
+driver gets identifiers and the network, never texts. Labels are of texts, so
 windows are learnt as multiple instances: of a toxic text the window that
 scores highest counts as toxic, of another one every window as clean.
 
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,12 @@ class Network:
         p |= {"A": r.normal(0, 0.4, (2 * HIDDEN, ATTEND)), "a": np.zeros(ATTEND), "v": r.normal(0, 0.4, ATTEND), "w": r.normal(0, 0.4, 2 * HIDDEN), "c": np.zeros(1)}
         self.p = {k: x.astype(np.float32) for k, x in p.items()}
 
+    @classmethod
+    def of(cls, p: dict[str, np.ndarray]) -> Network:
+        net = cls.__new__(cls)
+        net.p = p
+        return net
+
     def project(self, vectors: np.ndarray) -> np.ndarray:
         """What words give to the gates of both directions."""
         return np.concatenate([vectors @ self.p[d + "W"] + self.p[d + "b"] for d in "fb"], axis=1)
@@ -216,9 +223,13 @@ def _alike(there: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, int]]:
 
 def fit(texts: list[str], labels: list[int], seed: int = SEED, passes: int = PASSES) -> Network | None:
     """A network from whole texts and their labels; none without both labels."""
+    return _fit(zip(texts, labels, strict=True), seed, passes)
+
+
+def _fit(pairs: Iterable[tuple[str, int]], seed: int = SEED, passes: int = PASSES) -> Network | None:
     number: dict[str, int] = {}
     docs = []
-    for t, y in zip(texts, labels, strict=True):  # one text's words at a time: as lists of strings they take many times its size
+    for t, y in pairs:  # one text's words at a time: as lists of strings they take many times its size
         if w := words_of(t):
             docs.append((_windows(np.array([number.setdefault(x, len(number)) for x in w], np.int32)), y))
     if len({y for _, y in docs}) < 2:
@@ -337,6 +348,16 @@ def _within(rows: list, total: int) -> list:
     return out or sorted(rows, key=lambda r: r.n)[:1]
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows id, text, y in order: a network's parameters; no row without a network."""
+    net = _fit((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()) for batch in batches for i in range(batch.num_rows))
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what training freed would stay with the worker
+        trim(0)
+    if net:
+        name, value = zip(*net.p.items(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([x.shape for x in value], pa.list_(pa.int32())), pa.array([x.tobytes() for x in value], pa.binary())], names=["name", "shape", "data"])
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_total: int = SAMPLE_TOTAL) -> Network | None:
     """From a sample of at most `sample` rows of each label outside the held fold."""
     fit_for = docs.where(F.length(F.trim(text_col)) > 0).groupBy(F.col(id_col).alias("id")).agg(F.max(F.length(text_col)).alias("n"))
@@ -347,13 +368,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, i
     if not chosen:
         return None
     picked = docs.sparkSession.createDataFrame([(r.id, r.y) for r in chosen], "id long, y int")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0).join(F.broadcast(picked), "id").dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r.id)
-    net = fit([r.text for r in rows], [r.y for r in rows])
-    del rows, chosen
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what training freed would stay with the driver
-        trim(0)
-    return net
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) > 0).join(F.broadcast(picked), "id").dropDuplicates(["id"])
+    tune(docs.sparkSession)
+    learnt = rows.select("id", "text", "y").repartition(1).sortWithinPartitions("id").mapInArrow(_learn, "name string, shape array<int>, data binary").collect()
+    return Network.of({r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in learnt}) if learnt else None
 
 
 def toxicity(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

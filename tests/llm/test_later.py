@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -343,6 +344,25 @@ def test_held_out_recall(spark):
     assert toxicity.toxicity(docs.limit(0), net).count() == 0
 
 
+def test_training_leaves_the_driver_alone(spark, monkeypatch):
+    """The network is what fit() gives for the same rows in order, and no training runs in this process."""
+    from siteatlas.llm import toxicity
+
+    rows = [(i, f"{'vequoti ' * (i % 4 == 0)}word{i % 7} other{i % 11} more{i % 5}") for i in range(60)]
+    fair = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = toxicity.fit([t for _, t in fair], [int(i % 4 == 0) for i, _ in fair])
+
+    def refuse(*_):
+        raise AssertionError("training on the driver")
+
+    monkeypatch.setattr(toxicity.Network, "backward", refuse)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    net = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert net.p.keys() == want.p.keys()
+    assert all(net.p[k].shape == x.shape and np.allclose(net.p[k], x, atol=1e-3) for k, x in want.p.items())
+    assert toxicity.train(docs, spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, toxic int")) is None
+
+
 # Language model.
 
 
